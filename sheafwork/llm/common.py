@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
+    # Shuffle files of what is written go once the driver collects its garbage; a hint, so that they don't pile up between stages.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(where)
 
 
@@ -81,3 +85,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         e = stage(small, "edges")
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, *more) -> tuple[DataFrame, int]:
+    """(id, text, more columns, chunk) with whole documents dealt to chunks by a hash of their ids, of about so many bytes each, and the number of chunks."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(1, -(-total // chunk_bytes))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality
-from .common import table
+from . import chat, embedding_dedup, exact_dedup, language_model, mixing, near_dedup, packing, quality, warc
+from .common import shared_folder, table
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -48,6 +49,17 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.plan_records(table(spark, sf_dir, "pages"))
+    manifest = warc.write_archives(records, f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}")
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_model.score(table(spark, sf_dir, "documents"), train=remainder("doc_id", 10) != 0)
+    return out.withColumn("held_out", remainder("doc_id", 10) == 0)
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -68,7 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op4_mixing, op7_embedding_dedup, op8_chat, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op4_mixing, op5_warc, op6_lm_scoring, op7_embedding_dedup, op8_chat, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
