@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, language_model, mixing, near_dedup, packing, quality, warc
+from . import chat, embedding_dedup, exact_dedup, language_model, mixing, near_dedup, packing, quality, suffix_dedup, warc
 from .common import shared_folder, table
 
 
@@ -26,6 +26,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -80,7 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op4_mixing, op5_warc, op6_lm_scoring, op7_embedding_dedup, op8_chat, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_suffix_dedup, op4_mixing, op5_warc, op6_lm_scoring, op7_embedding_dedup, op8_chat, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -104,7 +104,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "2020-01-01T00:0
             if out is None:
                 trained = build_dictionary([w[i : i + 8192] for w in waiting for i in range(0, len(w), 8192)])
                 system.create_dir(temp.rpartition("/")[0], recursive=True)
-                out = system.open_output_stream(temp)
+                out = system.open_output_stream(temp, compression=None)
                 body = trained.as_bytes()
                 out.write(struct.pack("<II", MAGIC, len(body)) + body)
                 compressor = zstandard.ZstdCompressor(level=level, dict_data=trained, write_checksum=True)
@@ -159,7 +159,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for pdf in batches:
             for archive in pdf["archive"]:
                 system, path = _open(archive)
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     rows, held = [], 0
                     for data in frames(stream):
                         rows.append(parse(data))
