@@ -1,19 +1,265 @@
-"""Named queries over the tables, each with its SQL."""
+"""Named queries: the engine's operators over the tables, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import subtitles as S
+from ..sources import registry as R
 
-def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _SQL
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_STRIP = r"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'), '<[^>]+>', chr(10), 'g'),
+    '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+_SIZE = """CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN ((b*20+1024)//2048)//10 || '.' || ((b*20+1024)//2048)%10 || ' KB'
+    ELSE ((b*20+1048576)//2097152)//10 || '.' || ((b*20+1048576)//2097152)%10 || ' MB' END"""
+
+
+@query(f"""SELECT page_id, {_STRIP} AS text, len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')) AS n_headings,
+           nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '') AS title, b AS file_size, {_SIZE} AS size_label
+           FROM (SELECT *, strlen(html) AS b FROM pages)""")
+def parsed_pages(spark, sf_dir):
+    """Pages as parsed documents: text, headings, title and size."""
+    p = _t(spark, sf_dir, "pages")
+    size = F.octet_length("html").cast("long")
+    title = F.nullif(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit(""))
+    return p.select("page_id", T.strip_html(F.col("html")).alias("text"), F.size(S.html_headings(F.col("html"))).cast("long").alias("n_headings"), title.alias("title"), size.alias("file_size"), T.file_size_label(size).alias("size_label"))
+
+
+@query(r"""SELECT page_id, pos, substr(h, 3, 1)::INT AS level, regexp_replace(h, '<[^>]+>', '', 'g') AS heading FROM (
+           SELECT page_id, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS l FROM pages))""")
+def html_headings(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", F.posexplode(S.html_headings(F.col("html"))).alias("pos", "h"))
+    return p.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("h.level").alias("level"), F.col("h.text").alias("heading"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS n_links FROM pages""")
+def html_links(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.size(T.all_of(F.col("html"), 'href="([^"]+)"')).cast("long").alias("n_links"))
+
+
+@query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n_words, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM documents""")
+def text_stats(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"), F.length("text").cast("long").alias("chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+@query("SELECT doc_id, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS utf16_units FROM documents")
+def utf16_length(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.utf16_length(F.col("text")).alias("utf16_units"))
+
+
+@query(f"SELECT o_orderkey, {_SIZE} AS label FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 10) AS BIGINT) AS b FROM orders)")
+def file_size_label(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", T.file_size_label(F.floor(F.col("o_totalprice") * 10)).alias("label"))
+
+
+@query("""SELECT event_id, lpad((ms//3600000)::VARCHAR, greatest(2, length((ms//3600000)::VARCHAR))::INT, '0') || ':' || lpad((ms//60000%60)::VARCHAR, 2, '0') || ':' || lpad((ms//1000%60)::VARCHAR, 2, '0') || ',' || lpad((ms%1000)::VARCHAR, 3, '0') AS stamp
+          FROM (SELECT event_id, event_id * 137 AS ms FROM events)""")
+def cue_timestamp(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", T.cue_timestamp(F.col("event_id") * 137).alias("stamp"))
+
+
+@query("""SELECT event_id, CASE WHEN s <= 0 OR s IS NULL THEN '알 수 없음' WHEN s >= 3600 THEN s//3600 || ':' || lpad((s//60%60)::VARCHAR, 2, '0') || ':' || lpad((s%60)::VARCHAR, 2, '0')
+          ELSE s//60 || ':' || lpad((s%60)::VARCHAR, 2, '0') END AS label FROM (SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS s FROM events)""")
+def duration_label(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", T.duration_label(F.floor(F.col("value") * 100).cast("double")).alias("label"))
+
+
+@query(r"""SELECT page_id, array_to_string(l[1:30], '|') AS strings FROM (SELECT page_id, list_filter(r, lambda x, i: list_position(r, x) = i) AS l
+           FROM (SELECT page_id, list_filter(regexp_extract_all(html, '[\x20-\x7E]{4,}'), lambda x: regexp_matches(x, '[A-Za-z]')) AS r FROM pages))""")
+def carve_strings(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(T.carved_strings(F.col("html")), "|").alias("strings"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS joined FROM conversations GROUP BY conv_id")
+def ordered_concat(spark, sf_dir):
+    one = F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))
+    got = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("l"))
+    return got.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("joined"))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def dedup_first_seen(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("text")
+
+
+@query("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 20")
+def topn_preview(spark, sf_dir):
+    """The first twenty of each group; Spark limits groups before the shuffle."""
+    w = Window.partitionBy("event_type").orderBy("event_id")
+    return _t(spark, sf_dir, "events").select("event_type", "event_id", F.row_number().over(w).alias("n")).where("n <= 20").drop("n")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type")
+def type_distribution(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+
+
+@query("SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag <> 'R') AS files, count(*) FILTER (WHERE l_returnflag = 'R') AS dirs, CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem GROUP BY l_orderkey")
+def archive_totals(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") != "R").alias("files"), F.count_if(F.col("l_returnflag") == "R").alias("dirs"), F.sum("l_quantity").cast("long").alias("total"))
+
+
+@query("SELECT l_orderkey, string_agg(p_name, ' > ' ORDER BY l_linenumber, l_partkey, p_name) AS chapters FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
+def spine_join(spark, sf_dir):
+    """Ordered references to a dimension: those without an entry go, repeated ones repeat."""
+    j = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    got = j.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))).alias("l"))
+    return got.select("l_orderkey", F.array_join(F.transform("l", lambda x: x["p_name"]), " > ").alias("chapters"))
+
+
+@query("SELECT s_suppkey, coalesce(n_name, 'Unknown(' || s_nationkey || ')') AS nation FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) ON s_nationkey = n_nationkey")
+def lookup_default(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").where("n_nationkey < 10")
+    s = _t(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return s.select("s_suppkey", F.coalesce("n_name", F.concat(F.lit("Unknown("), "s_nationkey", F.lit(")"))).alias("nation"))
+
+
+@query("SELECT conv_id, arg_max(turn, (length(text), -turn)) AS turn FROM conversations GROUP BY conv_id")
+def longest_string(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("turn", F.struct(F.length("text"), -F.col("turn"))).alias("turn"))
+
+
+@query("SELECT conv_id, min(turn) FILTER (WHERE role = 'assistant' AND length(text) < 400) AS turn FROM conversations GROUP BY conv_id")
+def first_match(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min(F.when((F.col("role") == "assistant") & (F.length("text") < 400), F.col("turn"))).alias("turn"))
+
+
+@query("SELECT event_id, unnest(json_keys(props)) AS key FROM events")
+def json_fields(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.explode(F.expr("json_object_keys(props)")).alias("key"))
+
+
+@query("SELECT page_id, CASE WHEN hex(encode(html))[1:8] = '25504446' THEN '.pdf' WHEN hex(encode(html))[1:8] = '504B0304' THEN '.zip' END AS suffix, hex(encode(html))[1:8] AS head FROM pages")
+def magic_detect(spark, sf_dir):
+    raw = F.encode("html", "UTF-8")
+    return _t(spark, sf_dir, "pages").select("page_id", R.magic_suffix(raw).alias("suffix"), F.hex(F.substring(raw, 1, 4)).alias("head"))
+
+
+@query(r"SELECT page_id, lower(regexp_extract(regexp_split_to_array(url, '[?#]')[1], '(\.[^.]+)$', 1)) AS suffix FROM pages")
+def url_extension(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", T.last_suffix(F.split("url", "[?#]")[0]).alias("suffix"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def html_escape(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped"))
+
+
+@query("SELECT page_id, i * 16 AS address, substring(hex(encode(html)), i * 32 + 1, 32) AS bytes FROM pages, range(128) r(i) WHERE i * 16 < least(2048, strlen(html))")
+def hex_dump(spark, sf_dir):
+    """Sixteen bytes a line of the first 2048; the preview is the feature."""
+    p = _t(spark, sf_dir, "pages").select("page_id", F.substring(F.encode("html", "UTF-8"), 1, 2048).alias("b")).where(F.octet_length("b") > 0)
+    p = p.select("page_id", "b", F.explode(F.expr("sequence(0L, (octet_length(b) - 1) div 16)")).alias("i"))
+    return p.select("page_id", (F.col("i") * 16).alias("address"), F.hex(F.expr("substring(b, cast(i * 16 + 1 as int), 16)")).alias("bytes"))
+
+
+@query(r"SELECT doc_id, len(c) AS n_cells, c[1] AS first_cell FROM (SELECT doc_id, regexp_split_to_array(text, '[.]\s+') AS c FROM documents) WHERE len(c) >= 2")
+def split_cells(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.split("text", r"[.]\s+").alias("c")).where(F.size("c") >= 2)
+    return d.select("doc_id", F.size("c").cast("long").alias("n_cells"), F.col("c")[0].alias("first_cell"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "orders", "lineitem", "events")))
+def table_row_counts(spark, sf_dir):
+    parts = [_t(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t in ("region", "nation", "customer", "orders", "lineitem", "events")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def csv_round_trip(spark, sf_dir):
+    one = F.to_csv(F.struct("conv_id", "turn", "role", "text"), {"escape": '"', "quoteAll": "true"})
+    back = F.from_csv(one, F.lit("conv_id long, turn long, role string, text string"), {"escape": '"', "multiLine": "true"})
+    return _t(spark, sf_dir, "conversations").select(back.alias("r")).select("r.*")
+
+
+_FORMATS_SQL = ", ".join(f"('{c}', {i})" for i, _, _, _, c, _, _ in R.FORMATS)
+
+
+@query(f"SELECT category, count(*) AS formats, count(*) AS supported FROM (VALUES {_FORMATS_SQL}) v(category, id) GROUP BY category")
+def category_summary(spark, sf_dir):
+    return R.formats(spark).groupBy("category").agg(F.count("*").alias("formats"), F.count_if("supported").alias("supported"))
+
+
+_EXT_SQL = ", ".join(f"('{e}', {i}, '{p}')" for i, _, es, _, _, p, _ in R.FORMATS for e in es.split())
+
+
+@query(f"""SELECT doc_id, coalesce(id, 0) AS format_id, p AS parser_name, CASE WHEN id IS NULL THEN 'unknown' ELSE 'extension' END AS detected_by
+           FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.md' WHEN 3 THEN '.csv' ELSE '.nope' END AS e FROM documents)
+           LEFT JOIN (VALUES {_EXT_SQL}) v(ext, id, p) ON e = ext""")
+def detect_ladder(spark, sf_dir):
+    names = F.concat("source", F.lit("."), "lang", F.element_at(F.array(*map(F.lit, (".PDF", ".tar.gz", ".md", ".csv", ".nope"))), (F.col("doc_id") % 5 + 1).cast("int")))
+    return R.detect(_t(spark, sf_dir, "documents").select("doc_id", names.alias("name")), content=None).select("doc_id", "format_id", "parser_name", "detected_by")
+
+
+@query("SELECT conv_id, turn, CAST(turn % 6 + 1 AS INT) AS level, role AS heading FROM conversations")
+def markdown_headings(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").withColumn("md", F.concat(F.expr("repeat('#', cast(turn % 6 + 1 as int))"), F.lit(" "), "role", F.lit("\nplain # text")))
+    return c.select("conv_id", "turn", F.explode(S.headings(F.col("md"))).alias("h")).select("conv_id", "turn", "h.level", F.col("h.text").alias("heading"))
+
+
+@query("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_type AS text,
+          lpad((event_id*137//3600000)::VARCHAR, 2, '0') || ':' || lpad((event_id*137//60000%60)::VARCHAR, 2, '0') || ':' || lpad((event_id*137//1000%60)::VARCHAR, 2, '0') || ',' || lpad((event_id*137%1000)::VARCHAR, 3, '0') AS start FROM events""")
+def srt_render_parse(spark, sf_dir):
+    ms = F.col("event_id") * 137
+    cues = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", ms.alias("start_ms"), (ms + 900).alias("end_ms"), F.col("event_type").alias("text")))).alias("c"))
+    back = cues.select("user_id", F.posexplode(S.srt_cues(S.render_srt(F.col("c")))).alias("pos", "cue"))
+    return back.select("user_id", F.col("pos").cast("long").alias("pos"), "cue.text", "cue.start")
+
+
+@query("""WITH RECURSIVE w AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+          f AS (SELECT conv_id, n, role AS now, '' AS done FROM w WHERE n = 1 UNION ALL
+                SELECT w.conv_id, w.n, CASE WHEN length(f.now) < 20 AND length(w.role) < 20 THEN f.now || ' ' || w.role ELSE w.role END,
+                       CASE WHEN length(f.now) < 20 AND length(w.role) < 20 THEN f.done ELSE f.done || f.now || '|' END FROM f JOIN w ON w.conv_id = f.conv_id AND w.n = f.n + 1)
+          SELECT conv_id, done || now AS merged FROM f QUALIFY n = max(n) OVER (PARTITION BY conv_id)""")
+def adjacent_merge(spark, sf_dir):
+    got = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("l"))
+    return got.select("conv_id", F.array_join(T.merged_short(F.transform("l", lambda x: x["role"])), "|").alias("merged"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(l, lambda x: NOT list_contains(['the', 'of', 'and', 'la', 'de'], x))[1:30], ' ') AS kept
+           FROM (SELECT doc_id, list_filter(r, lambda x, i: list_position(r, x) = i) AS l FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_]\w{1,48}') AS r FROM documents))""")
+def stopword_except(spark, sf_dir):
+    names = T.all_of(F.col("text"), r"[A-Za-z_]\w{1,48}", 0)
+    stop = F.array(*map(F.lit, ("the", "of", "and", "la", "de")))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.array_except(names, stop), 1, 30), " ").alias("kept"))
+
+
+@query("""SELECT conv_id, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i)[1:50], '|') AS both FROM (SELECT conv_id, list_concat(list(role ORDER BY turn), list(CAST(turn AS VARCHAR) ORDER BY turn)) AS r FROM conversations GROUP BY conv_id)""")
+def union_distinct_cap(spark, sf_dir):
+    got = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("l"))
+    roles, turns = F.transform("l", lambda x: x["role"]), F.transform("l", lambda x: x["turn"].cast("string"))
+    return got.select("conv_id", F.array_join(F.slice(F.array_union(roles, turns), 1, 50), "|").alias("both"))
