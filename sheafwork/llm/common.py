@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -28,14 +29,24 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it is computed once, and a lost executor costs no recomputation."""
+def release_shuffles(spark: SparkSession) -> None:
+    """A hint that shuffle files of finished work can go: Spark drops them once the driver collects its garbage, else only now and then."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
+def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once, and a lost executor costs no recomputation.
+
+    ``release`` after work whose shuffles are about as large as the input.
+    """
     spark = df.sparkSession
     where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    # Shuffle files of what is written go once the driver collects its garbage; a hint, so that they don't pile up between stages.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(where)
 
 

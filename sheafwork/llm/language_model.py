@@ -23,7 +23,7 @@ from . import textbytes as tb
 _U = np.uint64
 _END, _BEGIN = _U(0xE4D0E4D0E4D0E4D0), _U(0xBE61BE61BE61BE61)
 #: Text bytes of a chunk, and steps per factor of two in the statistics of the weights.
-CHUNK, STEPS = 16 << 20, 4
+CHUNK, STEPS = 6 << 20, 4
 
 
 @dataclass
@@ -138,7 +138,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     rows, chunks = common.chunked(docs, id_col, text_col, chunk_bytes, F.coalesce(train, F.lit(False)).alias("train"))
     sent = rows.groupBy("chunk").applyInPandas(_count(order, chunks), "chunk int, level int, shard int, keys binary, counts binary")
     replies = sent.groupBy("level", "shard").applyInPandas(_total, "chunk int, level int, shard int, counts binary, n long, v long")
-    replies = common.stage(replies, "replies")
+    replies = common.stage(replies, "replies", release=True)
     first = replies.where("level = 0").agg(F.sum("n"), F.sum("v")).first()
     n, v = first[0] or 0, first[1] or 0
     answers = replies.select("chunk", "level", "shard", "counts")

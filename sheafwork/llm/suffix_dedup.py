@@ -20,7 +20,7 @@ from . import common
 from . import textbytes as tb
 
 _U = np.uint64
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -321,10 +321,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return res
 
     sent = rows.groupBy("chunk").applyInPandas(send, "chunk int, shard int, keys binary, several binary")
-    shared = common.stage(sent.groupBy("shard").applyInPandas(meet, "chunk int, shard int, shared binary, n long"), "shared")
+    shared = common.stage(sent.groupBy("shard").applyInPandas(meet, "chunk int, shard int, shared binary, n long"), "shared", release=True)
     wide = "chunk int, shard int, ids binary, rows binary, starts binary, sizes binary, bytes binary, masks binary"
-    around = common.stage(rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(surround, wide), "surroundings")
+    around = common.stage(rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(surround, wide), "surroundings", release=True)
     masks = around.where("shard >= 0").groupBy("shard").applyInPandas(sort, "chunk int, rows binary, starts binary, masks binary")
-    masks = common.stage(masks.union(around.where("shard < 0").select("chunk", "rows", "starts", "masks")), "masks")
+    masks = common.stage(masks.union(around.where("shard < 0").select("chunk", "rows", "starts", "masks")), "masks", release=True)
     final = "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, length: long>>, kept binary, kept_sha256 string"
     return rows.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInPandas(cut_out, final).withColumnRenamed("id", id_col)
