@@ -55,7 +55,7 @@ def fold(events: DataFrame, conv: str = "conv_id", message: str = "message", seq
     last = F.expr("ev[greatest(at, 1) - 1]")
     rest = F.expr("array_join(transform(slice(ev, greatest(at, 1) + 1, size(ev)), e -> e.t), '')")
     first = F.when(last["k"] == 1, F.lit("")).otherwise(last["t"])
-    who = F.expr("coalesce(element_at(filter(transform(ev, e -> e.r), r -> r is not null), 1), '')")
+    who = F.expr("coalesce(get(filter(transform(ev, e -> e.r), r -> r is not null), 0), '')")
     return parts.where(last["k"] != 4).select("conv", "message", "nth", who.alias("role"), F.concat(first, rest).alias("text"))
 
 
