@@ -5,13 +5,15 @@ the value j + random. Ranks of one element are correlated (each of its values is
 the variance of the estimate, and no value of level j can matter once all slots hold values below j: there work on a set stops.
 
 What is shuffled: a signature per document; band keys of one document per distinct shingle set; texts of the candidates only.
-A group of equal sets is one class from the start.  In a bucket of the banding, members are compared with the smallest one; only
-members that are then still in another component are compared with each other, so that a group of n near copies costs about n
-comparisons and yet no link between its components is lost.
+A group of equal sets is one class from the start.  In a bucket of the banding, members are compared with a few pivots; of those
+that are then still in different components, a pair is compared unless its distances to a pivot rule a link out.  So a group of n near
+copies costs a few times n comparisons and yet no link between its components is lost.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ _U = np.uint64
 _FULL = _U(2**64 - 1)
 #: Owners of shingles are the leading bits of a sorted key, so a hash keeps 52 bits.
 _OWNERS = 4096
+#: Rounds in which each bucket's members are compared with one of them.
+PIVOTS = 3
 #: Members of a bucket up to which all of them that are in different components are paired in one piece.
 PIECE = 64
 
@@ -117,14 +121,14 @@ def _signatures(size: int, bands: int, rows: int):
     return run
 
 
-def _linked(size: int, num: int, den: int):
-    """Pairs (a, b) of which the texts' shingle sets have den * intersection >= num * union."""
+def _compare(size: int, num: int, den: int):
+    """Distance of the shingle sets of pairs (a, b) of texts; linked if den * intersection >= num * union."""
 
     def run(batches):
         sets: dict[int, np.ndarray] = {}
         for batch in batches:
             a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            good = np.zeros(len(a), bool)
+            good, apart = np.zeros(len(a), bool), np.ones(len(a))
             ids = np.concatenate([a, b])
             _, first = np.unique(ids, return_index=True)
             if sum(map(len, sets.values())) > 16_000_000:
@@ -146,8 +150,8 @@ def _linked(size: int, num: int, den: int):
                 both.sort(kind="stable")
                 common_ = int((both[1:] == both[:-1]).sum())
                 good[i] = len(s) > 0 and len(t) > 0 and den * common_ >= num * (len(both) - common_)
-            keep = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+                apart[i] = 1 - common_ / max(len(both) - common_, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart), pa.array(good)], names=["a", "b", "distance", "linked"])
 
     return run
 
@@ -158,19 +162,19 @@ def near_duplicates(
     text_col: str = "text",
     threshold: tuple[int, int] = (80, 100),
     shingle: int = 5,
-    bands: int = 24,
-    rows: int = 5,
+    rows: int = 8,
+    unseen: float = 1e-5,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links), kept.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a text's set has its distinct shingles of five words, one shingle if it has
     fewer words, and none without words (null, empty and blank texts: component_id is the row's id, kept).  Texts are linked when
-    den * intersection >= num * union.  ``bands`` and ``rows`` let a pair of similarity s go unseen with probability (1 - s ** rows) ** bands:
-    8e-7 at 0.85 and 7e-5 at 0.8.  Ids are integers and should be unique: rows that repeat one are compared by one of their texts.
+    den * intersection >= num * union.  A band has ``rows`` slots, and there are so many bands that a pair just
+    at the threshold goes unseen by all of them with probability ``unseen`` at most.  Ids are integers and should be unique: rows that repeat one are compared by one of their texts.
     A row with a null id gets the component of its set and isn't kept.  An empty table gives no rows.  Other columns are ignored, whatever their names.
     """
     num, den = threshold
-    spark = docs.sparkSession
+    bands = max(1, math.ceil(math.log(unseen) / math.log1p(-min(0.999999, num / den) ** rows)))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_shingles long, p1 long, p2 long, bands array<long>"
     sigs = common.stage(source.mapInArrow(_signatures(shingle, bands, rows), schema), "signatures")
@@ -178,37 +182,54 @@ def near_duplicates(
     classes = sigs.where("n_shingles > 0").groupBy(*kind).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null")
     classes = common.stage(classes, "classes")
 
-    keys = classes.select("rep", F.explode("bands").alias("key"), "n_shingles")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    members = common.stage(keys.join(shared, "key"), "members")
-    fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")  # sets of more different sizes can't be linked
+    keys = classes.select("rep", F.explode("bands").alias("key"), F.col("n_shingles").alias("n"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    none = F.array().cast("array<double>")
+    state = keys.join(shared, "key").withColumns({"root": F.col("rep"), "first_root": F.lit(-1).cast("long"), "pivots": F.array().cast("array<long>"), "lo": none, "hi": none})
+    state = common.stage(state, "members")
+    far = 1 - num / den + 1e-9  # the largest distance of linked sets
+    sizes_fit = "{d} * least({x}, {y}) >= {n} * greatest({x}, {y})"  # else the sizes alone forbid a link
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with the distance of their sets, and whether they are linked."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = source.join(ids, "id", "left_semi").dropDuplicates(["id"])
-        texts = common.stage(texts, "texts")
+        texts = common.stage(texts, "texts", release=True)
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        return common.stage(both.select("a", "b", "ta", "tb").mapInArrow(_linked(shingle, num, den), "a long, b long"), "links")
-
-    # First every member with the smallest of its bucket.
-    size = members.where("rep = pivot").select("key", F.col("n_shingles").alias("m"))
-    star = members.where("rep != pivot").join(size, "key").withColumnRenamed("n_shingles", "n").where(fits).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(common.stage(star, "star"))
-    found = common.stage(common.components(links), "components")
-
-    # Then what is still apart within a bucket.
-    label = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    label = common.stage(label, "labels")
-    open_ = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    apart = label.join(open_, "key").where("members > 2")  # of two, the pair is compared
-    piece = F.ceil(F.col("members") / PIECE).cast("int")
-    apart = apart.withColumn("pieces", piece).withColumn("own", F.pmod(F.xxhash64("rep"), piece).cast("int"))
-    left = apart.select("key", "pivot", F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("root").alias("ra"), F.col("own").alias("pa"), F.explode(F.expr("sequence(own, pieces - 1)")).alias("pb"))
-    right = apart.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("m"), F.col("root").alias("rb"), F.col("own").alias("pb"), F.explode(F.expr("sequence(0, own)")).alias("pa"))
-    rest = left.join(right, ["key", "pa", "pb"]).where(fits & F.expr("ra != rb and a != b and a != pivot and b != pivot"))
+        return common.stage(both.select("a", "b", "ta", "tb").mapInArrow(_compare(shingle, num, den), "a long, b long, distance double, linked boolean"), "compared")
+
+    # Rounds of one pivot per bucket: the smallest member, then the smallest one outside the first pivot's component.
+    links = found = None
+    for round_ in range(PIVOTS):
+        fresh = F.lit(True) if not round_ else F.expr("root != first_root and not array_contains(pivots, rep)")
+        pivot = state.where(fresh).groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.n").alias("m"))
+        now = common.stage(state.join(pivot, "key"), "round")  # buckets without a fresh member have nothing left to compare
+        pairs = now.where(F.expr(f"rep != a and not array_contains(pivots, rep) and {sizes_fit.format(d=den, n=num, x='n', y='m')}")).select("a", F.col("rep").alias("b")).distinct()
+        got = compared(common.stage(pairs, "pairs"))
+        more = got.where("linked").select("a", "b")
+        links = more if links is None else links.union(more)
+        found = common.stage(common.components(links), "components")
+        least = F.when(F.col("rep") == F.col("a"), 0.0).otherwise(F.coalesce("distance", 1 - F.least("n", "m") / F.greatest("n", "m")))
+        most = F.when(F.col("rep") == F.col("a"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0)))
+        now = now.join(got.select("a", F.col("b").alias("rep"), "distance"), ["a", "rep"], "left")
+        now = now.withColumns({"pivots": F.array_append("pivots", F.col("a")), "lo": F.array_append("lo", least), "hi": F.array_append("hi", most)})
+        now = now.withColumn("of", F.col("pivots")[0]).drop("root", "first_root", "a", "m", "distance")
+        now = now.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").join(found.select(F.col("node").alias("of"), F.col("root").alias("first_root")), "of", "left")
+        now = now.withColumns({"root": F.coalesce("root", "rep"), "first_root": F.coalesce("first_root", "of")}).drop("of")
+        state = common.stage(now, "members")
+
+    # What is still apart within a bucket, unless distances to a pivot tell that no link is possible (Jaccard distance is a metric).
+    open_ = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    apart = state.join(open_, "key").where("not array_contains(pivots, rep)")
+    apart = apart.withColumn("pieces", F.ceil(F.col("members") / PIECE).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
+    side = lambda x: [F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "root", "lo", "hi")]]
+    left = apart.select("key", *side("a"), F.col("own").alias("pa"), F.explode(F.expr("sequence(own, pieces - 1)")).alias("pb"))
+    right = apart.select("key", *side("b"), F.col("own").alias("pb"), F.explode(F.expr("sequence(0, own)")).alias("pa"))
+    near = " and ".join(f"lo_a[{i}] - hi_b[{i}] <= {far!r} and lo_b[{i}] - hi_a[{i}] <= {far!r}" for i in range(PIVOTS))
+    rest = left.join(right, ["key", "pa", "pb"]).where(F.expr(f"root_a != root_b and (pa < pb or a < b) and {near} and {sizes_fit.format(d=den, n=num, x='n_a', y='n_b')}"))
     rest = common.stage(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
-        links = links.union(verified(rest))
+        links = links.union(compared(rest).where("linked").select("a", "b"))
         found = common.stage(common.components(links), "components")
 
     root = classes.drop("bands").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*kind, F.coalesce("root", "rep").alias("root"))
