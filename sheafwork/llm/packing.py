@@ -9,6 +9,7 @@ to the planned places; ranks are sums over buckets, so a length that a third of
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -25,13 +26,31 @@ BUCKETS = 256
 _TOKENIZERS: dict[str, object] = {}
 
 
+class _Cache:
+    """Token ids by word hash: the place of each word in three arrays."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.place: dict[int, int] = {}
+        self.pool, self.begin, self.many = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: list[int], ids: list[list[int]]):
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.place.update(zip(keys, range(len(self.many), len(self.many) + len(keys)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(n) - n])
+        self.many = np.concatenate([self.many, n])
+        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))])
+
+
 def _tokenizer(path: str):
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
-        _TOKENIZERS[path] = (t, {})
+        _TOKENIZERS[path] = (t, _Cache())
     return _TOKENIZERS[path]
 
 
@@ -46,16 +65,15 @@ def token_ids(flat: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray,
     if not len(h):
         return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
     kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
-    if len(cache) > 1_000_000:
+    if len(cache.place) > 1_000_000:
         cache.clear()
     keys = kinds.tolist()
-    new = [i for i, k in enumerate(keys) if k not in cache]
-    texts = [flat[start[j] : start[j] + length[j]].tobytes().decode("utf-8", "replace") for j in first[new]]
-    for i, e in zip(new, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-        cache[keys[i]] = np.array(e.ids, np.uint32)
-    ids = [cache[k] for k in keys]
-    n = np.array([len(x) for x in ids])
-    pool, begin = np.concatenate(ids), np.cumsum(n) - n
+    new = [i for i, k in enumerate(keys) if k not in cache.place]
+    if new:
+        texts = [flat[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), (start + length)[first[new]].tolist(), strict=True)]
+        cache.add([keys[i] for i in new], [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
+    at = np.fromiter(map(cache.place.__getitem__, keys), np.int64, len(keys))
+    pool, begin, n = cache.pool, cache.begin[at], cache.many[at]
     many = n[which]
     out = pool[np.repeat(begin[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
     ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(counts)])]
@@ -68,7 +86,7 @@ def _pieces(path: str, most: int, end_id: int):
     def run(batches):
         for batch in batches:
             flat, off = tb.flat_column(batch.column(1))
-            for a, b in tb.slices(off, 1 << 20):
+            for a, b in tb.slices(off, 1 << 22, 1 << 14):
                 o = off[a : b + 1]
                 ids, counts = token_ids(flat[o[0] : o[-1]], o - o[0], path)
                 at, rows = 0, ([], [], [], [], [])
