@@ -20,7 +20,9 @@ from . import common
 from . import textbytes as tb
 
 _U = np.uint64
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Shards of surroundings for each chunk: a suffix array takes some hundred times the memory of its text.
+SPREAD = 10
 _LAST = np.iinfo(np.int64).max
 
 
@@ -254,9 +256,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             all_ = ((_U(1) << (size[j] - least + 1).astype(_U)) - _U(1)).astype(_U)
             out.append((chunk, -1, b"", row[j].astype(np.int64).tobytes(), begin[j].astype(np.int64).tobytes(), b"", b"", all_.tobytes()))
         j = order[~known]
-        shard = _shard(h[j], chunks)
+        shard = _shard(h[j], chunks * SPREAD)
         j = j[np.argsort(shard, kind="stable")]
-        edges = np.searchsorted(np.sort(shard), np.arange(chunks + 1))
+        edges = np.searchsorted(np.sort(shard), np.arange(chunks * SPREAD + 1))
         for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             if b > a:
                 i = j[a:b]
