@@ -4,7 +4,8 @@ SuperMinHash gives every element of a set a random permutation of the signature'
 the value j + random. Ranks of one element are correlated (each of its values is in another slot), which lowers
 the variance of the estimate, and no value of level j can matter once all slots hold values below j: there work on a set stops.
 
-What is shuffled: a signature per document; band keys of one document per distinct shingle set; texts of the candidates only.
+What is shuffled: a signature per document (some bits of each slot); band keys of one document per distinct shingle set; texts only of
+candidates that their signatures don't rule out.
 A group of equal sets is one class from the start.  In a bucket of the banding, members are compared with a few pivots; of those
 that are then still in different components, a pair is compared unless its distances to a pivot rule a link out.  So a group of n near
 copies costs a few times n comparisons and yet no link between its components is lost.
@@ -30,6 +31,8 @@ _OWNERS = 4096
 PIVOTS = 3
 #: Members of a bucket up to which all of them that are in different components are paired in one piece.
 PIECE = 64
+#: Standard errors by which a signature's estimate may be off: a linked pair is beyond them once in about 50 million.
+UNSURE = 5.5
 
 
 def distinct_sets(word_hash: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +92,8 @@ def superminhash(elements: np.ndarray, counts: np.ndarray, slots: int) -> np.nda
 
 
 def _signatures(size: int, bands: int, rows: int):
-    slots = bands * rows
+    slots, bits = bands * rows, _U(min(32, 64 // rows))
+    field = (_U(1) << bits) - _U(1)
 
     def run(batches):
         for batch in batches:
@@ -105,9 +109,9 @@ def _signatures(size: int, bands: int, rows: int):
                     for i, salt in enumerate((0x51, 0xA7)):
                         print_[i] = np.where(many > 0, np.add.reduceat(tb.mix(sets + _U(salt)), at), _U(0))
                 sig = superminhash(sets, many, slots).reshape(b - a, bands, rows)
-                key = np.broadcast_to(tb.mix(np.arange(bands, dtype=_U)), (b - a, bands)).copy()
+                key = np.zeros((b - a, bands), _U)
                 for j in range(rows):
-                    key = tb.mix(key * _U(0x9E3779B97F4A7C15) + sig[:, :, j])
+                    key = (key << bits) | (tb.mix(sig[:, :, j]) & field)
                 sizes.append(many)
                 prints.append(print_)
                 keys.append(key)
@@ -121,37 +125,48 @@ def _signatures(size: int, bands: int, rows: int):
     return run
 
 
+def _estimate(rows: int, unsure: float):
+    """Bounds of the distance of pairs (a, b) from the slots that their signatures have in common."""
+    bits = min(32, 64 // rows)
+    field, chance = _U((1 << bits) - 1), 2.0**-bits
+
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).view(_U).reshape(batch.num_rows, -1) for i in (2, 3))
+            differs = x ^ y
+            n = max(1, differs.shape[1] * rows)
+            same = sum((((differs >> _U(bits * j)) & field) == 0).sum(axis=1) for j in range(rows)) / n
+            bound = lambda e, sign: (e + unsure**2 / (2 * n) + sign * unsure * np.sqrt(e * (1 - e) / n + unsure**2 / (4 * n * n))) / (1 + unsure**2 / n)
+            lo, hi = 1 - bound(same, 1), 1 - bound(np.maximum(same - chance, 0) / (1 - chance), -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.maximum(lo, 0.0)), pa.array(np.minimum(hi, 1.0))], names=["a", "b", "lo", "hi"])
+
+    return run
+
+
 def _compare(size: int, num: int, den: int):
-    """Distance of the shingle sets of pairs (a, b) of texts; linked if den * intersection >= num * union."""
+    """Distance of the shingle sets of texts b to the text a that comes before them; linked if den * intersection >= num * union."""
 
     def run(batches):
-        sets: dict[int, np.ndarray] = {}
+        held = np.zeros(0, _U)
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            good, apart = np.zeros(len(a), bool), np.ones(len(a))
-            ids = np.concatenate([a, b])
-            _, first = np.unique(ids, return_index=True)
-            if sum(map(len, sets.values())) > 16_000_000:
-                sets.clear()
-            now = {}
-            for col, low, high in ((2, 0, len(a)), (3, len(a), 2 * len(a))):
-                want = [i - low for i in first if low <= i < high and int(ids[i]) not in sets]
-                flat, off = tb.flat_column(batch.column(col).take(pa.array(want, pa.int32())))
-                for x, y in tb.slices(off):
-                    o = off[x : y + 1]
-                    _, _, wh, counts = tb.words(flat[o[0] : o[-1]], o - o[0])
-                    all_sets, many = distinct_sets(wh, counts, size)
-                    for i, s in zip(want[x:y], np.split(all_sets, np.cumsum(many)[:-1]), strict=True):
-                        now[int(ids[i + low])] = s
-            sets |= now
-            for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                s, t = sets[x], sets[y]
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")
-                common_ = int((both[1:] == both[:-1]).sum())
-                good[i] = len(s) > 0 and len(t) > 0 and den * common_ >= num * (len(both) - common_)
-                apart[i] = 1 - common_ / max(len(both) - common_, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart), pa.array(good)], names=["a", "b", "distance", "linked"])
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            flat, off = tb.flat_column(batch.column(2))
+            out = []
+            for x, y in tb.slices(off):
+                o = off[x : y + 1]
+                _, _, wh, counts = tb.words(flat[o[0] : o[-1]], o - o[0])
+                sets, many = distinct_sets(wh, counts, size)
+                for i, s in zip(range(x, y), np.split(sets, np.cumsum(many)[:-1]), strict=True):
+                    if b[i] is None:
+                        held = s
+                        continue
+                    both = np.concatenate([held, s])
+                    both.sort(kind="stable")
+                    common_ = int((both[1:] == both[:-1]).sum())
+                    union = len(both) - common_
+                    out.append((a[i], b[i], 1 - common_ / max(union, 1), len(held) > 0 and len(s) > 0 and den * common_ >= num * union))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["a", "b", "distance", "linked"])
 
     return run
 
@@ -182,7 +197,7 @@ def near_duplicates(
     classes = sigs.where("n_shingles > 0").groupBy(*kind).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null")
     classes = common.stage(classes, "classes")
 
-    keys = classes.select("rep", F.explode("bands").alias("key"), F.col("n_shingles").alias("n"))
+    keys = classes.select("rep", F.posexplode("bands").alias("i", "band"), F.col("n_shingles").alias("n")).select("rep", F.xxhash64("i", "band").alias("key"), "n")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     none = F.array().cast("array<double>")
     state = keys.join(shared, "key").withColumns({"root": F.col("rep"), "first_root": F.lit(-1).cast("long"), "pivots": F.array().cast("array<long>"), "lo": none, "hi": none})
@@ -191,12 +206,24 @@ def near_duplicates(
     sizes_fit = "{d} * least({x}, {y}) >= {n} * greatest({x}, {y})"  # else the sizes alone forbid a link
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with the distance of their sets, and whether they are linked."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = source.join(ids, "id", "left_semi").dropDuplicates(["id"])
-        texts = common.stage(texts, "texts", release=True)
-        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        return common.stage(both.select("a", "b", "ta", "tb").mapInArrow(_compare(shingle, num, den), "a long, b long, distance double, linked boolean"), "compared")
+        """Pairs (a, b) with bounds of the distance of their sets, and whether they are linked.
+
+        Signatures rule most out; for the others texts are read: a text goes once to each piece of the pairs that it leads.
+        """
+        slots = lambda x: classes.select(F.col("rep").alias(x), F.col("bands").alias(f"bands_{x}"))
+        both = pairs.join(slots("a"), "a").join(slots("b"), "b").select("a", "b", "bands_a", "bands_b")
+        guess = common.stage(both.mapInArrow(_estimate(rows, UNSURE), "a long, b long, lo double, hi double"), "estimates")
+        open_ = guess.where(F.col("lo") <= far).select("a", "b")
+        ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = common.stage(source.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+        pieces = open_.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+        dealt = open_.join(pieces, "a").select("a", F.pmod(F.xxhash64("b"), F.col("pieces")).alias("piece"), "b")
+        heads = dealt.select("a", "piece").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "text", "piece")
+        others = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "text", "piece")
+        rows_ = heads.union(others).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first()).select("a", "b", "text")
+        exact = rows_.mapInArrow(_compare(shingle, num, den), "a long, b long, distance double, linked boolean")
+        exact = exact.select("a", "b", F.col("distance").alias("lo"), F.col("distance").alias("hi"), "linked")
+        return common.stage(exact.union(guess.where(F.col("lo") > far).withColumn("linked", F.lit(False))), "compared")
 
     # Rounds of one pivot per bucket: the smallest member, then the smallest one outside the first pivot's component.
     links = found = None
@@ -209,11 +236,11 @@ def near_duplicates(
         more = got.where("linked").select("a", "b")
         links = more if links is None else links.union(more)
         found = common.stage(common.components(links), "components")
-        least = F.when(F.col("rep") == F.col("a"), 0.0).otherwise(F.coalesce("distance", 1 - F.least("n", "m") / F.greatest("n", "m")))
-        most = F.when(F.col("rep") == F.col("a"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0)))
-        now = now.join(got.select("a", F.col("b").alias("rep"), "distance"), ["a", "rep"], "left")
+        least = F.when(F.col("rep") == F.col("a"), 0.0).otherwise(F.coalesce("near", 1 - F.least("n", "m") / F.greatest("n", "m")))
+        most = F.when(F.col("rep") == F.col("a"), 0.0).otherwise(F.coalesce("distant", F.lit(1.0)))
+        now = now.join(got.select("a", F.col("b").alias("rep"), F.col("lo").alias("near"), F.col("hi").alias("distant")), ["a", "rep"], "left")
         now = now.withColumns({"pivots": F.array_append("pivots", F.col("a")), "lo": F.array_append("lo", least), "hi": F.array_append("hi", most)})
-        now = now.withColumn("of", F.col("pivots")[0]).drop("root", "first_root", "a", "m", "distance")
+        now = now.withColumn("of", F.col("pivots")[0]).drop("root", "first_root", "a", "m", "near", "distant")
         now = now.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").join(found.select(F.col("node").alias("of"), F.col("root").alias("first_root")), "of", "left")
         now = now.withColumns({"root": F.coalesce("root", "rep"), "first_root": F.coalesce("first_root", "of")}).drop("of")
         state = common.stage(now, "members")
