@@ -149,8 +149,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         parts, bucket = _parts(_answers(g, right), n, v, np.ones(len(g.doc), np.int64))
         q = np.where(parts[1:, learn] > 0, np.round(STEPS * np.log2(np.maximum(parts[1:, learn], 1e-300))), -4000).astype(np.int64)
         cell = np.vstack([bucket[learn], q])
-        kinds, many = np.unique(cell, axis=1, return_counts=True)
-        return pd.DataFrame({"cell": list(kinds.T), "n": many})
+        code = cell[0]
+        for i, x in enumerate(q):
+            if i and i % 3 == 0:  # else codes of long n-grams would outgrow 64 bits
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * 4096 - x
+        _, first, many = np.unique(code, return_index=True, return_counts=True)
+        return pd.DataFrame({"cell": list(cell[:, first].T), "n": many})
 
     both = rows.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     table = both.applyInPandas(statistics, "cell array<long>, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # bounded: 40 buckets by steps
