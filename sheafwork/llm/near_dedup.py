@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -200,7 +200,8 @@ def near_duplicates(
     keys = classes.select("rep", F.posexplode("bands").alias("i", "band"), F.col("n_shingles").alias("n")).select("rep", F.xxhash64("i", "band").alias("key"), "n")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     none = F.array().cast("array<double>")
-    state = keys.join(shared, "key").withColumns({"root": F.col("rep"), "first_root": F.lit(-1).cast("long"), "pivots": F.array().cast("array<long>"), "lo": none, "hi": none})
+    state = keys.join(shared, "key").withColumn("company", F.sum("members").over(Window.partitionBy("rep")))
+    state = state.withColumns({"root": F.col("rep"), "first_root": F.lit(-1).cast("long"), "pivots": F.array().cast("array<long>"), "lo": none, "hi": none})
     state = common.stage(state, "members")
     far = 1 - num / den + 1e-9  # the largest distance of linked sets
     sizes_fit = "{d} * least({x}, {y}) >= {n} * greatest({x}, {y})"  # else the sizes alone forbid a link
@@ -225,11 +226,12 @@ def near_duplicates(
         exact = exact.select("a", "b", F.col("distance").alias("lo"), F.col("distance").alias("hi"), "linked")
         return common.stage(exact.union(guess.where(F.col("lo") > far).withColumn("linked", F.lit(False))), "compared")
 
-    # Rounds of one pivot per bucket: the smallest member, then the smallest one outside the first pivot's component.
+    # Rounds of one pivot per bucket: the member with most company in all its buckets, then such a one outside the first pivot's component.
+    # Buckets of one group agree on such a member, so that most pairs of a document are one and the same.
     links = found = None
     for round_ in range(PIVOTS):
         fresh = F.lit(True) if not round_ else F.expr("root != first_root and not array_contains(pivots, rep)")
-        pivot = state.where(fresh).groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.n").alias("m"))
+        pivot = state.where(fresh).groupBy("key").agg(F.min(F.struct(-F.col("company"), "rep", "n")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.n").alias("m"))
         now = common.stage(state.join(pivot, "key"), "round")  # buckets without a fresh member have nothing left to compare
         pairs = now.where(F.expr(f"rep != a and not array_contains(pivots, rep) and {sizes_fit.format(d=den, n=num, x='n', y='m')}")).select("a", F.col("rep").alias("b")).distinct()
         got = compared(common.stage(pairs, "pairs"))
