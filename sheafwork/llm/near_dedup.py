@@ -7,7 +7,8 @@ the variance of the estimate, and no value of level j can matter once all slots
 What is shuffled: a signature per document (some bits of each slot); band keys of one document per distinct shingle set; texts only of
 candidates that their signatures don't rule out.
 A group of equal sets is one class from the start.  In a bucket of the banding, members are compared with a few pivots; of those
-that are then still in different components, a pair is compared unless its distances to a pivot rule a link out.  So a group of n near
+that are then still in different components, pieces are held against each other in blocks, and only pairs that neither distances to a pivot nor
+signatures rule out leave the task, to be compared in full.  So a group of n near
 copies costs a few times n comparisons and yet no link between its components is lost.
 """
 
@@ -29,8 +30,8 @@ _FULL = _U(2**64 - 1)
 _OWNERS = 4096
 #: Rounds in which each bucket's members are compared with one of them.
 PIVOTS = 3
-#: Members of a bucket up to which all of them that are in different components are paired in one piece.
-PIECE = 64
+#: Texts that are compared with one text in one go, and members of a piece of a bucket: two pieces at a time are held against each other.
+PIECE, BLOCK = 64, 512
 #: Standard errors by which a signature's estimate may be off: a linked pair is beyond them once in about 50 million.
 UNSURE = 5.5
 
@@ -125,20 +126,70 @@ def _signatures(size: int, bands: int, rows: int):
     return run
 
 
-def _estimate(rows: int, unsure: float):
-    """Bounds of the distance of pairs (a, b) from the slots that their signatures have in common."""
+def _bounds(x: np.ndarray, y: np.ndarray, rows: int, unsure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the distances of sets from the slots that their signatures, rows of x and y, have in common."""
     bits = min(32, 64 // rows)
     field, chance = _U((1 << bits) - 1), 2.0**-bits
+    differs = x ^ y
+    n = max(1, differs.shape[1] * rows)
+    same = sum((((differs >> _U(bits * j)) & field) == 0).sum(axis=1) for j in range(rows)) / n
+    bound = lambda e, sign: (e + unsure**2 / (2 * n) + sign * unsure * np.sqrt(e * (1 - e) / n + unsure**2 / (4 * n * n))) / (1 + unsure**2 / n)
+    lo, hi = 1 - bound(same, 1), 1 - bound(np.maximum(same - chance, 0) / (1 - chance), -1)
+    return np.maximum(lo, 0.0), np.minimum(hi, 1.0)
+
+
+def _matrix(column, rows: int, kind=None) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return (flat.view(kind) if kind else flat).reshape(rows, -1)
+
+
+def _estimate(rows: int, unsure: float):
+    """Bounds of the distance of pairs (a, b)."""
+
+    def run(batches):
+        for batch in batches:
+            lo, hi = _bounds(*(_matrix(batch.column(i), batch.num_rows, _U) for i in (2, 3)), rows, unsure)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lo), pa.array(hi)], names=["a", "b", "lo", "hi"])
+
+    return run
+
+
+def _still_open(rows: int, unsure: float, num: int, den: int, far: float):
+    """Of the members of two pieces of a bucket, the pairs in different components that sizes, pivots and signatures don't rule out.
+
+    Rows come sorted by (key, pa, pb); the pairs are formed block by block and only those that stay open leave the task.
+    """
+
+    def pairs(t: pa.Table):
+        whole = t.combine_chunks().to_batches()[0]
+        own, first, last, rep, n, root = (whole.column(c).to_numpy() for c in ("own", "pa", "pb", "rep", "n", "root"))
+        lo, hi, sig = _matrix(whole["lo"], len(rep)), _matrix(whole["hi"], len(rep)), _matrix(whole["bands"], len(rep), _U)
+        x, y = np.flatnonzero(own == first[0]), np.flatnonzero(own == last[0])
+        small, large = np.minimum(n[x][:, None], n[y]), np.maximum(n[x][:, None], n[y])
+        on = (root[x][:, None] != root[y]) & (den * small >= num * large)
+        if first[0] == last[0]:
+            on &= rep[x][:, None] < rep[y]
+        for i in range(lo.shape[1]):
+            on &= (lo[x, i][:, None] - hi[y, i] <= far) & (lo[y, i] - hi[x, i][:, None] <= far)
+        i, j = np.nonzero(on)
+        for a in range(0, len(i), 1 << 14):
+            u, v = x[i[a : a + (1 << 14)]], y[j[a : a + (1 << 14)]]
+            near = _bounds(sig[u], sig[v], rows, unsure)[0] <= far
+            if near.any():
+                u, v = rep[u[near]], rep[v[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
     def run(batches):
+        held = None  # the rows of the group that may go on in the next batch
         for batch in batches:
-            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).view(_U).reshape(batch.num_rows, -1) for i in (2, 3))
-            differs = x ^ y
-            n = max(1, differs.shape[1] * rows)
-            same = sum((((differs >> _U(bits * j)) & field) == 0).sum(axis=1) for j in range(rows)) / n
-            bound = lambda e, sign: (e + unsure**2 / (2 * n) + sign * unsure * np.sqrt(e * (1 - e) / n + unsure**2 / (4 * n * n))) / (1 + unsure**2 / n)
-            lo, hi = 1 - bound(same, 1), 1 - bound(np.maximum(same - chance, 0) / (1 - chance), -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.maximum(lo, 0.0)), pa.array(np.minimum(hi, 1.0))], names=["a", "b", "lo", "hi"])
+            now = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            ids = np.stack([now[c].to_numpy().astype(np.int64) for c in ("key", "pa", "pb")])
+            cut = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cut[:-1]], cut, strict=False):
+                yield from pairs(now.slice(a, b - a))
+            held = now.slice(cut[-1] if len(cut) else 0)
+        if held is not None and len(held):
+            yield from pairs(held)
 
     return run
 
@@ -206,15 +257,8 @@ def near_duplicates(
     far = 1 - num / den + 1e-9  # the largest distance of linked sets
     sizes_fit = "{d} * least({x}, {y}) >= {n} * greatest({x}, {y})"  # else the sizes alone forbid a link
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with bounds of the distance of their sets, and whether they are linked.
-
-        Signatures rule most out; for the others texts are read: a text goes once to each piece of the pairs that it leads.
-        """
-        slots = lambda x: classes.select(F.col("rep").alias(x), F.col("bands").alias(f"bands_{x}"))
-        both = pairs.join(slots("a"), "a").join(slots("b"), "b").select("a", "b", "bands_a", "bands_b")
-        guess = common.stage(both.mapInArrow(_estimate(rows, UNSURE), "a long, b long, lo double, hi double"), "estimates")
-        open_ = guess.where(F.col("lo") <= far).select("a", "b")
+    def confirmed(open_: DataFrame) -> DataFrame:
+        """Distances of pairs (a, b) on their full sets: a text goes once to each piece of the pairs that it leads."""
         ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = common.stage(source.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
         pieces = open_.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
@@ -223,7 +267,14 @@ def near_duplicates(
         others = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "text", "piece")
         rows_ = heads.union(others).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first()).select("a", "b", "text")
         exact = rows_.mapInArrow(_compare(shingle, num, den), "a long, b long, distance double, linked boolean")
-        exact = exact.select("a", "b", F.col("distance").alias("lo"), F.col("distance").alias("hi"), "linked")
+        return exact.select("a", "b", F.col("distance").alias("lo"), F.col("distance").alias("hi"), "linked")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with bounds of the distance of their sets, and whether they are linked; texts are read where signatures leave it open."""
+        slots = lambda x: classes.select(F.col("rep").alias(x), F.col("bands").alias(f"bands_{x}"))
+        both = pairs.join(slots("a"), "a").join(slots("b"), "b").select("a", "b", "bands_a", "bands_b")
+        guess = common.stage(both.mapInArrow(_estimate(rows, UNSURE), "a long, b long, lo double, hi double"), "estimates")
+        exact = confirmed(guess.where(F.col("lo") <= far).select("a", "b"))
         return common.stage(exact.union(guess.where(F.col("lo") > far).withColumn("linked", F.lit(False))), "compared")
 
     # Rounds of one pivot per bucket: the member with most company in all its buckets, then such a one outside the first pivot's component.
@@ -249,16 +300,13 @@ def near_duplicates(
 
     # What is still apart within a bucket, unless distances to a pivot tell that no link is possible (Jaccard distance is a metric).
     open_ = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    apart = state.join(open_, "key").where("not array_contains(pivots, rep)")
-    apart = apart.withColumn("pieces", F.ceil(F.col("members") / PIECE).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
-    side = lambda x: [F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "root", "lo", "hi")]]
-    left = apart.select("key", *side("a"), F.col("own").alias("pa"), F.explode(F.expr("sequence(own, pieces - 1)")).alias("pb"))
-    right = apart.select("key", *side("b"), F.col("own").alias("pb"), F.explode(F.expr("sequence(0, own)")).alias("pa"))
-    near = " and ".join(f"lo_a[{i}] - hi_b[{i}] <= {far!r} and lo_b[{i}] - hi_a[{i}] <= {far!r}" for i in range(PIVOTS))
-    rest = left.join(right, ["key", "pa", "pb"]).where(F.expr(f"root_a != root_b and (pa < pb or a < b) and {near} and {sizes_fit.format(d=den, n=num, x='n_a', y='n_b')}"))
-    rest = common.stage(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    apart = state.join(open_, "key").where("not array_contains(pivots, rep)").join(classes.select("rep", "bands"), "rep")
+    apart = apart.withColumn("pieces", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
+    blocks = apart.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)"))).withColumns({"pa": F.least("own", "other"), "pb": F.greatest("own", "other")})
+    blocks = blocks.select("key", "pa", "pb", "own", "rep", "n", "root", "lo", "hi", "bands").repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb")
+    rest = common.stage(blocks.mapInArrow(_still_open(rows, UNSURE, num, den, far), "a long, b long").distinct(), "rest")
     if not rest.isEmpty():
-        links = links.union(compared(rest).where("linked").select("a", "b"))
+        links = links.union(common.stage(confirmed(rest), "compared").where("linked").select("a", "b"))
         found = common.stage(common.components(links), "components")
 
     root = classes.drop("bands").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*kind, F.coalesce("root", "rep").alias("root"))

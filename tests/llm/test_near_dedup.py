@@ -67,6 +67,7 @@ def test_lower_threshold(spark, rows):
 
 def test_pieces_of_a_large_bucket(spark, rows, monkeypatch):
     monkeypatch.setattr(near_dedup, "PIECE", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
     monkeypatch.setattr(near_dedup, "PIVOTS", 1)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(near_dedup.near_duplicates(df, threshold=(85, 100))) == brute(rows, 85, 100)
