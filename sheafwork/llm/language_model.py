@@ -5,7 +5,9 @@ expectation-maximisation on held-out counts: every training token is held out of
 
 Documents are dealt to chunks. A chunk sends each of its distinct n-grams once, as a hash with its training count, to the shard of that hash; the
 shard adds up and answers with the total counts in the chunk's own order. So a frequent n-gram costs a shard one entry per chunk, nothing is
-joined token by token, and what is gathered grows with the corpus. The sufficient statistics of the weights are a histogram of bounded size.
+joined token by token, and what is gathered grows with the corpus. Every order from trigrams up has a pass of its own, after the shuffles of the one before
+are released; there a chunk sends no n-gram of which a shorter part stands in no other chunk (so does the n-gram, and its total is the chunk's own count) or
+never occurs in training. The sufficient statistics of the weights are a histogram of bounded size.
 """
 
 from __future__ import annotations
@@ -32,10 +34,11 @@ class Grams:
     real: np.ndarray  # places that are tokens, not beginnings
     doc: np.ndarray
     docs: int
+    starts: np.ndarray  # places that are the first of a text
 
 
-def grams(texts, order: int) -> Grams:
-    """Hashes of the n-grams of texts; each text is led by order - 1 beginnings and followed by one end."""
+def grams(texts, order: int, levels: int | None = None) -> Grams:
+    """Hashes of the n-grams of texts, of all orders or the first ``levels``; each text is led by order - 1 beginnings and followed by one end."""
     flat, off = tb.flatten(texts)
     hashes, counts = [], []
     for a, b in tb.slices(off):
@@ -53,55 +56,92 @@ def grams(texts, order: int) -> Grams:
     seq[last] = _END
     seq[real & ~last] = word
     keys = [tb.mix(seq)]
-    for _ in range(order - 1):
+    for _ in range((levels or order) - 1):
         longer = np.zeros_like(seq)  # what lies before a text counts as a beginning
         longer[1:] = keys[-1][:-1]
         longer[place == 0] = _BEGIN
         keys.append(tb.mix(longer * _U(0x9E3779B97F4A7C15) + seq))
-    return Grams(keys, real, doc, len(counts))
+    return Grams(keys, real, doc, len(counts), place == 0)
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> _U(32)) * _U(shards)) >> _U(32)
 
 
-def _count(order: int, shards: int):
-    def run(pdf):
-        g = grams(pdf["text"], order)
-        train = pdf["train"].to_numpy(bool)[g.doc]
-        rows = []
-        for level, keys in enumerate(g.keys):
-            kinds, which = np.unique(keys, return_inverse=True)
-            n = np.bincount(which, weights=train, minlength=len(kinds)).astype(np.uint32)
-            edges = np.searchsorted(_shard(kinds, shards), np.arange(shards + 1))
-            rows += [(int(pdf["chunk"].iloc[0]), level, s, kinds[a:b].tobytes(), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-        return pd.DataFrame(rows, columns=["chunk", "level", "shard", "keys", "counts"])
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of numbers, all lowest ones first: the zeros of small numbers lie together and compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _from_planes(b: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _totals(g: Grams, train: np.ndarray, replies: pd.DataFrame | None, upto: int):
+    """For each order below ``upto``: its distinct n-grams, the training counts in the chunk, which n-grams shards are asked for, each place's n-gram, and the total counts (none where not answered yet)."""
+    whole = None
+    for level, keys in enumerate(g.keys[:upto]):
+        kinds, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        own = np.bincount(which, weights=train, minlength=len(kinds)).astype(np.int64)
+        # Pairs are asked for in the pass of the words, when no totals are known.
+        ask = np.ones(len(kinds), bool) if level < 2 else ~(whole[first] | (whole[first - 1] & ~g.starts[first]))
+        total = None
+        if replies is not None and level in replies:
+            total, alone = own.copy(), np.ones(len(kinds), bool)
+            total[ask], alone[ask] = replies[level]
+            whole = (alone | (total == 0))[which]
+        yield kinds, own, ask, which, total
+
+
+def _read(replies: pd.DataFrame, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Answers of each order, in the order of the n-grams asked for: total counts, and whether no other chunk has the n-gram."""
+    out, replies = {}, replies.sort_values(["level", "shard"])
+    for level in range(order):
+        own = replies[replies["level"] == level]
+        counts = [_from_planes(c, np.uint32) for c in own["counts"]]
+        alone = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)) for x, c in zip(own["alone"], counts, strict=True)]
+        out[level] = np.concatenate(counts or [np.zeros(0, np.uint32)]), np.concatenate(alone or [np.zeros(0, np.uint8)]).astype(bool)
+    return out
+
+
+def _sender(order: int, levels: range, shards: int):
+    return (lambda pdf: _send(pdf, None, order, levels, shards)), (lambda left, right: _send(left, right, order, levels, shards))
 
-    return run
+
+def _send(left: pd.DataFrame, right: pd.DataFrame | None, order: int, levels: range, shards: int) -> pd.DataFrame:
+    rows = []
+    if len(left):
+        g = grams(left["text"], order, levels[-1] + 1)
+        train = left["train"].to_numpy(bool)[g.doc]
+        known = None if right is None else _read(right, levels[0])
+        for level, (kinds, own, ask, _, _) in enumerate(_totals(g, train, known, levels[-1] + 1)):
+            if level in levels:
+                kinds, n = kinds[ask], own[ask].astype(np.uint32)
+                edges = np.searchsorted(_shard(kinds, shards), np.arange(shards + 1))
+                rows += [(int(left["chunk"].iloc[0]), level, s, _planes(np.diff(kinds[a:b], prepend=_U(0))), _planes(n[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+    return pd.DataFrame(rows, columns=["chunk", "level", "shard", "keys", "counts"])
 
 
 def _total(pdf):
-    keys = [np.frombuffer(k, _U) for k in pdf["keys"]]
-    counts = [np.frombuffer(c, np.uint32) for c in pdf["counts"]]
+    keys = [np.cumsum(_from_planes(k, _U), dtype=_U) for k in pdf["keys"]]
+    counts = [_from_planes(c, np.uint32) for c in pdf["counts"]]
     kinds, which = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(which, weights=np.concatenate(counts), minlength=len(kinds)).astype(np.int64)
     begin = tb.mix(np.array([_BEGIN]))[0]
     known = (total > 0) & (kinds != begin)
     ends = np.cumsum([len(k) for k in keys])
-    answers = [total[which[e - len(k) : e]].astype(np.uint32).tobytes() for k, e in zip(keys, ends, strict=True)]
+    answers = [_planes(total[which[e - len(k) : e]].astype(np.uint32)) for k, e in zip(keys, ends, strict=True)]
+    single = (np.bincount(which, minlength=len(kinds)) == 1)[which]
+    alone = [np.packbits(single[e - len(k) : e]).tobytes() for k, e in zip(keys, ends, strict=True)]
     n, v = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     n[0], v[0] = int(total[known].sum()), int(known.sum())
-    return pd.DataFrame({"chunk": pdf["chunk"], "level": pdf["level"], "shard": pdf["shard"], "counts": answers, "n": n, "v": v})
+    return pd.DataFrame({"chunk": pdf["chunk"], "level": pdf["level"], "shard": pdf["shard"], "counts": answers, "alone": alone, "n": n, "v": v})
 
 
-def _answers(g: Grams, replies: pd.DataFrame) -> list[np.ndarray]:
+def _answers(g: Grams, train: np.ndarray, replies: pd.DataFrame) -> list[np.ndarray]:
     """For each order, the total count of the n-gram that ends at every place."""
-    out = []
-    for level, keys in enumerate(g.keys):
-        own = replies[replies["level"] == level].sort_values("shard")
-        _, which = np.unique(keys, return_inverse=True)
-        out.append(np.concatenate([np.frombuffer(c, np.uint32) for c in own["counts"]]).astype(np.int64)[which])
-    return out
+    return [total[which] for _, _, _, which, total in _totals(g, train, _read(replies, len(g.keys)), len(g.keys))]
 
 
 def _parts(counts: list[np.ndarray], n: int, v: int, less: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,14 +161,17 @@ def expectation_maximisation(bucket: np.ndarray, parts: np.ndarray, weight: np.n
     k = len(parts)
     lam = np.full((40, k), 1 / k)
     for _ in range(rounds):
-        p = lam[bucket].T * parts
-        p *= weight / np.maximum(p.sum(axis=0), 1e-300)
-        total = np.stack([np.bincount(bucket, weights=p[i], minlength=40) for i in range(k)], axis=1) + 1 / k
+        total = np.full((40, k), 1 / k)
+        for a in range(0, len(bucket), 1 << 17):
+            own = slice(a, a + (1 << 17))
+            p = lam[bucket[own]].T * parts[:, own]
+            p *= weight[own] / np.maximum(p.sum(axis=0), 1e-300)
+            total += np.stack([np.bincount(bucket[own], weights=p[i], minlength=40) for i in range(k)], axis=1)
         lam = total / total.sum(axis=1, keepdims=True)
     return lam
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, add: float = 0.1, chunk_bytes: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, add: float = 0.1, chunk_bytes: int = CHUNK) -> DataFrame:
     """One row per input row: id, n_tokens, n_known, train_tokens, base_score, score; scores are log10 probabilities.
 
     Tokens are words at ASCII white space, A-Z lower-cased, then one end; null and empty texts are the end alone.  ``train`` says which rows are learnt from.
@@ -136,39 +179,53 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     Repeated rows count as often as they are there.  Without training rows all tokens are alike.  An empty table gives no rows.  Other columns are ignored, whatever their names.
     """
     rows, chunks = common.chunked(docs, id_col, text_col, chunk_bytes, F.coalesce(train, F.lit(False)).alias("train"))
-    sent = rows.groupBy("chunk").applyInPandas(_count(order, chunks), "chunk int, level int, shard int, keys binary, counts binary")
-    replies = sent.groupBy("level", "shard").applyInPandas(_total, "chunk int, level int, shard int, counts binary, n long, v long")
-    replies = common.stage(replies, "replies", release=True)
+    wide, narrow = "chunk int, level int, shard int, keys binary, counts binary", "chunk int, level int, shard int, counts binary, alone binary, n long, v long"
+    replies = None
+    for levels in (range(min(order, 2)), *(range(i, i + 1) for i in range(2, order))):
+        alone, answered = _sender(order, levels, chunks)
+        if replies is None:
+            sent = rows.groupBy("chunk").applyInPandas(alone, wide)
+        else:
+            known = replies.select("chunk", "level", "shard", "counts", "alone").groupBy("chunk")
+            sent = rows.groupBy("chunk").cogroup(known).applyInPandas(answered, wide)
+        more = common.stage(sent.groupBy("level", "shard").applyInPandas(_total, narrow), "replies", release=True)
+        replies = more if replies is None else replies.union(more)
     first = replies.where("level = 0").agg(F.sum("n"), F.sum("v")).first()
     n, v = first[0] or 0, first[1] or 0
-    answers = replies.select("chunk", "level", "shard", "counts")
+    answers = replies.select("chunk", "level", "shard", "counts", "alone")
 
     def statistics(left, right):
         g = grams(left["text"], order)
-        learn = g.real & left["train"].to_numpy(bool)[g.doc]
-        parts, bucket = _parts(_answers(g, right), n, v, np.ones(len(g.doc), np.int64))
+        train = left["train"].to_numpy(bool)[g.doc]
+        learn = g.real & train
+        parts, bucket = _parts(_answers(g, train, right), n, v, np.ones(len(g.doc), np.int64))
         q = np.where(parts[1:, learn] > 0, np.round(STEPS * np.log2(np.maximum(parts[1:, learn], 1e-300))), -4000).astype(np.int64)
-        cell = np.vstack([bucket[learn], q])
-        code = cell[0]
-        for i, x in enumerate(q):
-            if i and i % 3 == 0:  # else codes of long n-grams would outgrow 64 bits
-                code = np.unique(code, return_inverse=True)[1]
-            code = code * 4096 - x
-        _, first, many = np.unique(code, return_index=True, return_counts=True)
-        return pd.DataFrame({"cell": list(cell[:, first].T), "n": many})
+        fields = np.vstack([bucket[learn], -q])
+        # five fields of 12 bits to a column
+        codes = np.stack([sum(f << (12 * i) for i, f in enumerate(fields[j : j + 5])) for j in range(0, len(fields), 5)])
+        order_ = np.lexsort(codes)
+        codes = codes[:, order_]
+        cut = np.flatnonzero(np.concatenate([[True], (codes[:, 1:] != codes[:, :-1]).any(axis=0)])) if len(order_) else order_
+        return pd.DataFrame({c: x[cut] for c, x in zip(cell, codes, strict=True)} | {"n": np.diff(np.append(cut, len(order_)))})
 
     both = rows.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    table = both.applyInPandas(statistics, "cell array<long>, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # bounded: 40 buckets by steps
-    if len(table):
-        cells = np.stack(table["cell"].to_numpy())
-        parts = np.where(cells[:, 1:] == -4000, 0.0, 2.0 ** (cells[:, 1:] / STEPS)).T
-        lam = expectation_maximisation(cells[:, 0], np.vstack([np.full(len(cells), 1 / (v + 1)), parts]), table["n"].to_numpy(float))
+    cell = [f"c{j}" for j in range(0, order + 1, 5)]
+    table = both.applyInPandas(statistics, ", ".join(f"{c} long" for c in [*cell, "n"])).groupBy(*cell).agg(F.sum("n").alias("n")).toArrow()  # bounded: 40 buckets by steps
+    common.release_shuffles(docs.sparkSession)
+    if table.num_rows:
+        codes = [table[c].to_numpy() for c in cell]
+        parts = np.empty((order + 1, table.num_rows))
+        parts[0] = 1 / (v + 1)
+        for i in range(1, order + 1):
+            q = codes[i // 5] >> (12 * (i % 5)) & 4095
+            parts[i] = np.where(q == 4000, 0.0, 2.0 ** (-q / STEPS))
+        lam = expectation_maximisation(codes[0] & 4095, parts, table["n"].to_numpy().astype(float))
     else:
         lam = np.full((40, order + 1), 1 / (order + 1))
 
     def scores(left, right):
         g = grams(left["text"], order)
-        counts = _answers(g, right)
+        counts = _answers(g, left["train"].to_numpy(bool)[g.doc], right)
         parts, bucket = _parts(counts, n, v, 0)
         p = np.log10((lam[bucket].T * parts).sum(axis=0))
         base = np.log10((counts[0] + add) / (n + add * (v + 1)))

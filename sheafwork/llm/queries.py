@@ -60,7 +60,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = language_model.score(table(spark, sf_dir, "documents"), train=remainder("doc_id", 10) != 0)
+    out = language_model.score(table(spark, sf_dir, "documents"), train=remainder("doc_id", 10) != 0, order=3)
     return out.withColumn("held_out", remainder("doc_id", 10) == 0)
 
 

@@ -33,3 +33,21 @@ def test_odd_tables(spark):
     out = language_model.score(df, train=df.doc_id > 1).collect()
     assert sorted(r.n_tokens for r in out) == [1, 1, 3, 3] and {r.train_tokens for r in out} == {7}
     assert language_model.score(df.limit(0), train=df.doc_id > 1).count() == 0
+
+
+def test_query_uses_contexts_of_two_words(spark, tmp_path):
+    # Both held-out texts have the same words, and pairs of equal counts; only the word two places before tells which is likelier.
+    learn = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(1, 200) if not zlib.crc32(str(i).encode()) % 10][:2]
+    rows = [(i, "a b c" if k % 2 else "d b e") for k, i in enumerate(learn[:100])] + [(held[0], "a b c d b e"), (held[1], "a b e d b c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_lm_scoring(spark, str(tmp_path)).collect()}
+    assert math.isclose(got[held[0]].base_score, got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 1
+
+
+def test_totals_of_trigrams_do_not_depend_on_chunks(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 5 = 0")
+    train = df.doc_id % 7 > 0
+    one, many = ({r.doc_id: (r.n_known, round(r.score, 6)) for r in language_model.score(df, train, order=4, chunk_bytes=c).collect()} for c in (1 << 30, 20_000))
+    assert one == many
