@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafwork.llm import common, exact_dedup, mixing, near_dedup, packing, quality, queries
@@ -19,16 +19,36 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, model)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of their own each; written, so that the numbers stay."""
+    return common.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _by_id() -> Column:
+    """The order of choice: the smallest doc_id, null last, then any one of rows that repeat it."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("__row"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id."""
-    kept = exact_dedup.exact_groups(docs, keep="smallest").where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of rows with equal texts exactly one, that with the smallest doc_id.
+
+    A null doc_id is the last choice, but a text that only such rows have stays. Of rows that repeat doc_id and text one stays; an id that stands on two texts
+    decides for each of them alone. Null texts count as empty.
+    """
+    rows = _numbered(docs)
+    kept = exact_dedup.exact_groups(rows.withColumn("__key", _by_id()), id_col="__key", keep="smallest").where("kept").select("__key.__row")
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, the document with the smallest doc_id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of each component of near duplicates exactly one row, that with the smallest doc_id.
+
+    Rows are told apart by numbers of their own: null and repeated ids are treated as in drop_exact_copies. Texts without words are alone, each stays.
+    """
+    rows = _numbered(docs)
+    groups = near_dedup.near_duplicates(rows, id_col="__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row")
+    kept = groups.groupBy("component_id").agg(F.min(_by_id()).alias("best")).select("best.__row")
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,38 @@
+import corpus_pipeline
+
+LONG = " ".join(f"w{i}" for i in range(60))
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def fixture(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "only without an id"), (None, "only without an id"), (None, "a b c")]
+    rows += [(5, "x y z"), (5, LONG), (6, LONG), (7, LONG + " more"), (None, LONG + " other"), (8, None), (9, ""), (None, "q r s t u v w"), (4, "q r s t u v w")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def best(rows):
+    return min(rows, key=lambda r: (r[0] is None, r[0] or 0))
+
+
+def test_exact_stage_against_brute_force(spark):
+    rows, df = fixture(spark)
+    want = [best([r for r in rows if (r[1] or "") == t]) for t in {r[1] or "" for r in rows}]
+    assert rows_of(corpus_pipeline.drop_exact_copies(spark, df, "")) == sorted(want, key=repr)
+
+
+def test_near_stage_against_brute_force(spark):
+    rows, df = fixture(spark)
+    groups = []
+    for r in rows:
+        s = shingles(r[1])
+        near = [g for g in groups if any(s and len(s & (o := shingles(x[1]))) * 100 >= 80 * len(s | o) for x in g)]
+        groups = [g for g in groups if g not in near] + [[r, *(x for g in near for x in g)]]
+    assert rows_of(corpus_pipeline.drop_near_copies(spark, df, "")) == sorted(map(best, groups), key=repr)
