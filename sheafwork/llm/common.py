@@ -99,8 +99,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, *more) -> tuple[DataFrame, int]:
-    """(id, text, more columns, chunk) with whole documents dealt to chunks by a hash of their ids, of about so many bytes each, and the number of chunks."""
+    """(id, text, more columns, chunk) with whole documents dealt to chunks by a hash of id and text, of about so many bytes each, and the number of chunks."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-total // chunk_bytes))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")), n

@@ -189,18 +189,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, n_bytes, n_removed, n_spans, spans (array of start, length), kept (the bytes that are left), kept_sha256.
 
     Texts are their UTF-8 bytes, null is empty. A byte goes if a string of ``least`` bytes that covers it starts in a document of a smaller id as well; strings are judged on the input and never
-    cross documents. Rows that repeat an id are one document to each other: they take nothing from each other. A null id is larger than any other. ``anchor`` < ``least`` only
+    cross documents. Rows that repeat an id are one document to each other: they take nothing from each other. A null id is larger than any other (and one document with the largest long, if a row has that). ``anchor`` < ``least`` only
     changes how the work is dealt. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     if not 0 < anchor < least:
         raise ValueError("0 < anchor < least")
     rows, chunks = common.chunked(docs, id_col, text_col, chunk_bytes)
+    # A null id would turn all ids of its batch into floats.
+    rows = rows.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(int(_LAST))))
     side, most = least - anchor, 2 * least - anchor  # bytes around an anchor, and of a surrounding
     starts = side + 1  # strings in a surrounding
 
     def found(pdf):
         pdf = pdf.sort_values(["id", "text"], kind="stable", ignore_index=True)
-        ids = pdf["id"].fillna(_LAST).to_numpy(np.int64)
+        ids = pdf["id"].to_numpy(np.int64)
         flat, off = tb.flatten(pdf["text"])
         return (ids, flat, off, *anchors(flat, off, least, anchor))
 
@@ -301,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(out, columns=["chunk", "rows", "starts", "masks"])
 
     def cut_out(left, right):
-        left = left.sort_values(["id", "text"], kind="stable", ignore_index=True)
+        left = left.sort_values(["id", "text"], kind="stable", ignore_index=True)  # rows of one id and text get equal masks
         flat, off = tb.flatten(left["text"])
         row, start, mask = (np.concatenate([np.frombuffer(x, t) for x in right[c]] or [np.zeros(0, t)]) for c, t in (("rows", np.int64), ("starts", np.int64), ("masks", _U)))
         edge = np.zeros(len(flat) + 1, np.int32)
@@ -319,7 +321,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept = text[~g].tobytes()
             out.append((len(text), int(g.sum()), len(spans), spans, kept, hashlib.sha256(kept).hexdigest()))
         res = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
-        res.insert(0, "id", left["id"].astype("Int64"))
+        res.insert(0, "id", pd.arrays.IntegerArray(left["id"].to_numpy(np.int64), left["none"].to_numpy(bool)))
         return res
 
     sent = rows.groupBy("chunk").applyInPandas(send, "chunk int, shard int, keys binary, several binary")

@@ -127,7 +127,9 @@ def write_archives(records: DataFrame, folder: str, date: str = "2020-01-01T00:0
             system.move(temp, path)
             yield pd.DataFrame({"archive": [final], "records": [done], "bytes": [size]})
 
-    return common.stage(records.select("page_id", "url", "payload", "refers_to").mapInPandas(run, "archive string, records long, bytes long"), "manifest")
+    # as strings: pandas would take longs with nulls through floats
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return common.stage(records.select(text("page_id"), "url", "payload", text("refers_to")).mapInPandas(run, "archive string, records long, bytes long"), "manifest")
 
 
 def frames(stream):
@@ -177,5 +179,5 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def _table(rows: list[dict], names: list[str]) -> pd.DataFrame:
     pdf = pd.DataFrame(rows, columns=names)
     for c in ("page_id", "refers_to"):
-        pdf[c] = pdf[c].astype("Int64")
+        pdf[c] = pd.array([r[c] for r in rows], dtype="Int64")
     return pdf

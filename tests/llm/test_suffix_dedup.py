@@ -61,3 +61,14 @@ def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got(queries.op3_suffix_dedup(spark, sf)) == brute(rows, 50)
+
+
+def test_null_and_large_ids(spark):
+    text, big = "q" * 30 + "w" * 40, 2**60
+    rows = [(None, text), (big + 3, text), (big + 1, text), (None, text + "e" * 30), (None, "r" * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    last = 2**63 - 1
+    want = brute([(last if i is None else i, t) for i, t in rows], 20)
+    for chunk_bytes in (60, 1 << 20):
+        out = [(last if r[0] is None else r[0], *r[1:]) for r in [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, least=20, anchor=8, chunk_bytes=chunk_bytes).collect()]]
+        assert sorted(out) == want

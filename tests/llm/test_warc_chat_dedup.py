@@ -71,3 +71,10 @@ def test_mix_meets_budget_entropy_and_whole_passes(spark):
     assert (few.tokens * few.copies).groupby(few.source.fillna("-")).sum().div(few.groupby(few.source.fillna("-")).tokens.sum()).max() <= 1.5
     same = mixing.realise(df.where("doc_id < 100"))
     assert same.columns == df.columns and mixing.mix(df.limit(0)).count() == 0
+
+
+def test_warc_ids_beyond_floats(spark):
+    big = 2**60
+    df = spark.createDataFrame([(big + 1, "u", "p"), (big + 3, "u", "p"), (None, "u", "z"), (big + 5, "u", "y")], "page_id long, url string, html string")
+    out = warc.read_archives(warc.write_archives(warc.plan_records(df.coalesce(1)), f"{shared_folder(spark)}/{uuid.uuid4().hex}")).collect()
+    assert sorted((r.page_id or 0, r.refers_to or 0) for r in out) == [(0, 0), (big + 1, big + 3), (big + 3, 0), (big + 5, 0)]
