@@ -132,9 +132,10 @@ def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int =
                 m[j], s[j] = 0.9 * m[j] + 0.1 * g, 0.999 * s[j] + 0.001 * g * g
                 params[j] -= rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(s[j] / (1 - 0.999**t)) + 1e-8)
     # Probabilities for the labels' real shares: the class weights' shift of the log odds is taken back, then the temperature fitted.
+    c = c + np.log(share / (1 - share))
     logit = np.tanh(x[held] @ w + b) @ v + c if len(held) else np.zeros(0)
     grid = np.geomspace(0.25, 8, 60)
-    loss = [np.mean(np.logaddexp(0, -(2 * y[held] - 1) * logit / g) * weight[held]) if len(held) else g for g in grid]
+    loss = [np.mean(np.logaddexp(0, -(2 * y[held] - 1) * logit / g)) if len(held) else g for g in grid]
     return w, b, v, float(c[0]), float(grid[int(np.argmin(loss))])
 
 

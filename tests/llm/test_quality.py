@@ -43,3 +43,12 @@ def test_units_depend_on_each_text_alone():
         w, c = quality.units(*tb.flatten([t]))
         assert (w == words[:, at : at + n]).all()
         at += n
+
+
+def test_probabilities_follow_the_real_shares():
+    rng = np.random.default_rng(2)
+    y = (rng.random(6000) < 0.85).astype(float)
+    x = rng.normal(0, 1, (6000, 4)) + y[:, None] * 0.5
+    w, b, v, c, temperature = quality.train_network(x[:4000], y[:4000])
+    p = 1 / (1 + np.exp(-(np.tanh(x[4000:] @ w + b) @ v + c) / temperature))
+    assert abs(p.mean() - y[4000:].mean()) < 0.05
