@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  One of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share.  One of our own only where a local session names none, as in tests; elsewhere that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if of_context.isDefined():
             return of_context.get()
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -47,7 +50,17 @@ def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     df.write.parquet(where)
     if release:
         release_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.staged_at = where
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of stage() that nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def width(spark: SparkSession) -> int:
@@ -95,7 +108,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
-        e = stage(small, "edges")
+        done, e = e, stage(small, "edges")
+        discard(done)
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, *more) -> tuple[DataFrame, int]:

@@ -7,9 +7,9 @@ the variance of the estimate, and no value of level j can matter once all slots
 What is shuffled: a signature per document (some bits of each slot); band keys of one document per distinct shingle set; texts only of
 candidates that their signatures don't rule out.
 A group of equal sets is one class from the start.  In a bucket of the banding, members are compared with a few pivots; of those
-that are then still in different components, pieces are held against each other in blocks, and only pairs that neither distances to a pivot nor
-signatures rule out leave the task, to be compared in full.  So a group of n near
-copies costs a few times n comparisons and yet no link between its components is lost.
+that are then still in different components, pieces are held against each other in blocks. A pair is looked at in the first bucket that it has in common. Texts that have a
+pair which neither distances to a pivot nor signatures rule out go to their block, once each however many such pairs they have, and are compared in full there.
+So a group of n near copies costs a few times n comparisons, no row is made for a pair, and yet no link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,12 +26,11 @@ from . import textbytes as tb
 
 _U = np.uint64
 _FULL = _U(2**64 - 1)
-#: Owners of shingles are the leading bits of a sorted key, so a hash keeps 52 bits.
-_OWNERS = 4096
+# Owners of shingles are the leading 12 bits of a sorted key, so a hash keeps 52 bits.
 #: Rounds in which each bucket's members are compared with one of them.
 PIVOTS = 3
-#: Texts that are compared with one text in one go, and members of a piece of a bucket: two pieces at a time are held against each other.
-PIECE, BLOCK = 64, 512
+#: Texts that are compared with one text in one go; members and shingles of a piece of a bucket: two pieces at a time are held against each other.
+PIECE, BLOCK, BLOCK_SHINGLES = 64, 512, 1 << 19
 #: Standard errors by which a signature's estimate may be off: a linked pair is beyond them once in about 50 million.
 UNSURE = 5.5
 
@@ -126,8 +125,10 @@ def _signatures(size: int, bands: int, rows: int):
     return run
 
 
-def _bounds(x: np.ndarray, y: np.ndarray, rows: int, unsure: float) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the distances of sets from the slots that their signatures, rows of x and y, have in common."""
+def _bounds(x: np.ndarray, y: np.ndarray, rows: int, unsure: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the distances of sets from the slots that their signatures, rows of x and y, have in common; none if ``unsure`` is None."""
+    if unsure is None:
+        return np.zeros(len(x)), np.ones(len(x))
     bits = min(32, 64 // rows)
     field, chance = _U((1 << bits) - 1), 2.0**-bits
     differs = x ^ y
@@ -143,7 +144,7 @@ def _matrix(column, rows: int, kind=None) -> np.ndarray:
     return (flat.view(kind) if kind else flat).reshape(rows, -1)
 
 
-def _estimate(rows: int, unsure: float):
+def _estimate(rows: int, unsure: float | None):
     """Bounds of the distance of pairs (a, b)."""
 
     def run(batches):
@@ -154,42 +155,87 @@ def _estimate(rows: int, unsure: float):
     return run
 
 
-def _still_open(rows: int, unsure: float, num: int, den: int, far: float):
-    """Of the members of two pieces of a bucket, the pairs in different components that sizes, pivots and signatures don't rule out.
+def _blocks(batches):
+    """The rows of each block: they come sorted by (key, pa, pb)."""
+    held = None  # the rows of the block that may go on in the next batch
+    for batch in batches:
+        now = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        ids = np.stack([now[c].to_numpy().astype(np.int64) for c in ("key", "pa", "pb")])
+        cut = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+        for a, b in zip([0, *cut[:-1]], cut, strict=False):
+            yield now.slice(a, b - a).combine_chunks().to_batches()[0]
+        held = now.slice(cut[-1] if len(cut) else 0)
+    if held is not None and len(held):
+        yield held.combine_chunks().to_batches()[0]
 
-    Rows come sorted by (key, pa, pb); the pairs are formed block by block and only those that stay open leave the task.
-    """
 
-    def pairs(t: pa.Table):
-        whole = t.combine_chunks().to_batches()[0]
-        own, first, last, rep, n, root = (whole.column(c).to_numpy() for c in ("own", "pa", "pb", "rep", "n", "root"))
-        lo, hi, sig = _matrix(whole["lo"], len(rep)), _matrix(whole["hi"], len(rep)), _matrix(whole["bands"], len(rep), _U)
-        x, y = np.flatnonzero(own == first[0]), np.flatnonzero(own == last[0])
-        small, large = np.minimum(n[x][:, None], n[y]), np.maximum(n[x][:, None], n[y])
-        on = (root[x][:, None] != root[y]) & (den * small >= num * large)
-        if first[0] == last[0]:
-            on &= rep[x][:, None] < rep[y]
-        for i in range(lo.shape[1]):
-            on &= (lo[x, i][:, None] - hi[y, i] <= far) & (lo[y, i] - hi[x, i][:, None] <= far)
-        i, j = np.nonzero(on)
-        for a in range(0, len(i), 1 << 14):
-            u, v = x[i[a : a + (1 << 14)]], y[j[a : a + (1 << 14)]]
-            near = _bounds(sig[u], sig[v], rows, unsure)[0] <= far
-            if near.any():
-                u, v = rep[u[near]], rep[v[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+def _open_pairs(whole, num: int, den: int):
+    """Members x and y of the two pieces of a block, and which of their pairs are in different components and of sizes that allow a link."""
+    own, first, last, rep, n, root = (whole.column(c).to_numpy() for c in ("own", "pa", "pb", "rep", "n", "root"))
+    x, y = np.flatnonzero(own == first[0]), np.flatnonzero(own == last[0])
+    small, large = np.minimum(n[x][:, None], n[y]), np.maximum(n[x][:, None], n[y])
+    on = (root[x][:, None] != root[y]) & (den * small >= num * large)
+    if first[0] == last[0]:
+        on &= rep[x][:, None] < rep[y]
+    return x, y, on
+
+
+def _still_open(rows: int, unsure: float | None, num: int, den: int, far: float):
+    """Of the members of a block, those with a pair that pivots and signatures don't rule out and that has no bucket in common before this one."""
 
     def run(batches):
-        held = None  # the rows of the group that may go on in the next batch
-        for batch in batches:
-            now = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            ids = np.stack([now[c].to_numpy().astype(np.int64) for c in ("key", "pa", "pb")])
-            cut = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
-            for a, b in zip([0, *cut[:-1]], cut, strict=False):
-                yield from pairs(now.slice(a, b - a))
-            held = now.slice(cut[-1] if len(cut) else 0)
-        if held is not None and len(held):
-            yield from pairs(held)
+        for whole in _blocks(batches):
+            x, y, on = _open_pairs(whole, num, den)
+            lo, hi, sig = _matrix(whole["lo"], len(whole)), _matrix(whole["hi"], len(whole)), _matrix(whole["bands"], len(whole), _U)
+            for i in range(lo.shape[1]):
+                on &= (lo[x, i][:, None] - hi[y, i] <= far) & (lo[y, i] - hi[x, i][:, None] <= far)
+            for i in range(whole["i"][0].as_py()):
+                on &= sig[x, i][:, None] != sig[y, i]
+            i, j = np.nonzero(on)
+            left = np.zeros(len(whole), bool)
+            for a in range(0, len(i), 1 << 14):
+                u, v = x[i[a : a + (1 << 14)]], y[j[a : a + (1 << 14)]]
+                near = _bounds(sig[u], sig[v], rows, unsure)[0] <= far
+                left[u[near]] = left[v[near]] = True
+            if left.any():
+                yield whole.select(["key", "pa", "pb", "own", "rep", "n", "root"]).filter(pa.array(left))
+
+    return run
+
+
+def _settle(size: int, num: int, den: int):
+    """Links between members of a block, as far as they join components, from the full sets of their texts."""
+
+    def run(batches):
+        for whole in _blocks(batches):
+            flat, off = tb.flat_column(whole["text"])
+            sets, many = [], []
+            for a, b in tb.slices(off):
+                o = off[a : b + 1]
+                _, _, wh, counts = tb.words(flat[o[0] : o[-1]], o - o[0])
+                for out, got in zip((sets, many), distinct_sets(wh, counts, size), strict=True):
+                    out.append(got)
+            which = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+            many = np.concatenate(many)
+            end = np.cumsum(many)
+            x, y, on = _open_pairs(whole, num, den)
+            rep, root = whole["rep"].to_numpy(), whole["root"].to_numpy().copy()
+            of_y = np.concatenate([which[end[j] - many[j] : end[j]] for j in y.tolist()])
+            first = np.cumsum(many[y]) - many[y]
+            mark = np.zeros(int(which.max(initial=-1)) + 1, bool)
+            links = ([], [])
+            for i in np.flatnonzero(on.any(axis=1)).tolist():
+                u = x[i]
+                own = which[end[u] - many[u] : end[u]]
+                mark[own] = True
+                both = np.add.reduceat(mark[of_y], first, dtype=np.int64)
+                mark[own] = False
+                for v in y[on[i] & (den * both >= num * (many[u] + many[y] - both))].tolist():
+                    if root[u] != root[v]:
+                        root[root == root[v]] = root[u]
+                        links[0].append(min(rep[u], rep[v]))
+                        links[1].append(max(rep[u], rep[v]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links], names=["a", "b"])
 
     return run
 
@@ -230,13 +276,15 @@ def near_duplicates(
     shingle: int = 5,
     rows: int = 8,
     unseen: float = 1e-5,
+    unsure: float | None = UNSURE,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links), kept.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a text's set has its distinct shingles of five words, one shingle if it has
     fewer words, and none without words (null, empty and blank texts: component_id is the row's id, kept).  Texts are linked when
     den * intersection >= num * union.  A band has ``rows`` slots, and there are so many bands that a pair just
-    at the threshold goes unseen by all of them with probability ``unseen`` at most.  Ids are integers and should be unique: rows that repeat one are compared by one of their texts.
+    at the threshold goes unseen by all of them with probability ``unseen`` at most.  ``unsure``: standard errors by which a signature must be beyond the threshold to rule a pair out; None compares
+    all pairs of a bucket in full.  Ids are integers and should be unique: rows that repeat one are compared by one of their texts.
     A row with a null id gets the component of its set and isn't kept.  An empty table gives no rows.  Other columns are ignored, whatever their names.
     """
     num, den = threshold
@@ -248,19 +296,19 @@ def near_duplicates(
     classes = sigs.where("n_shingles > 0").groupBy(*kind).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null")
     classes = common.stage(classes, "classes")
 
-    keys = classes.select("rep", F.posexplode("bands").alias("i", "band"), F.col("n_shingles").alias("n")).select("rep", F.xxhash64("i", "band").alias("key"), "n")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    keys = classes.select("rep", F.posexplode("bands").alias("i", "band"), F.col("n_shingles").alias("n")).select("rep", "i", F.xxhash64("i", "band").alias("key"), "n")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
     none = F.array().cast("array<double>")
     state = keys.join(shared, "key").withColumn("company", F.sum("members").over(Window.partitionBy("rep")))
     state = state.withColumns({"root": F.col("rep"), "first_root": F.lit(-1).cast("long"), "pivots": F.array().cast("array<long>"), "lo": none, "hi": none})
     state = common.stage(state, "members")
+    # Texts of all that share a bucket.  Merged at every size: how many these are grows with the corpus.
+    texts = common.stage(source.join(state.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     far = 1 - num / den + 1e-9  # the largest distance of linked sets
     sizes_fit = "{d} * least({x}, {y}) >= {n} * greatest({x}, {y})"  # else the sizes alone forbid a link
 
     def confirmed(open_: DataFrame) -> DataFrame:
         """Distances of pairs (a, b) on their full sets: a text goes once to each piece of the pairs that it leads."""
-        ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = common.stage(source.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
         pieces = open_.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
         dealt = open_.join(pieces, "a").select("a", F.pmod(F.xxhash64("b"), F.col("pieces")).alias("piece"), "b")
         heads = dealt.select("a", "piece").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "text", "piece")
@@ -273,9 +321,11 @@ def near_duplicates(
         """Pairs (a, b) with bounds of the distance of their sets, and whether they are linked; texts are read where signatures leave it open."""
         slots = lambda x: classes.select(F.col("rep").alias(x), F.col("bands").alias(f"bands_{x}"))
         both = pairs.join(slots("a"), "a").join(slots("b"), "b").select("a", "b", "bands_a", "bands_b")
-        guess = common.stage(both.mapInArrow(_estimate(rows, UNSURE), "a long, b long, lo double, hi double"), "estimates")
+        guess = common.stage(both.mapInArrow(_estimate(rows, unsure), "a long, b long, lo double, hi double"), "estimates")
         exact = confirmed(guess.where(F.col("lo") <= far).select("a", "b"))
-        return common.stage(exact.union(guess.where(F.col("lo") > far).withColumn("linked", F.lit(False))), "compared")
+        out = common.stage(exact.union(guess.where(F.col("lo") > far).withColumn("linked", F.lit(False))), "compared")
+        common.discard(pairs, guess)
+        return out
 
     # Rounds of one pivot per bucket: the member with most company in all its buckets, then such a one outside the first pivot's component.
     # Buckets of one group agree on such a member, so that most pairs of a document are one and the same.
@@ -283,11 +333,12 @@ def near_duplicates(
     for round_ in range(PIVOTS):
         fresh = F.lit(True) if not round_ else F.expr("root != first_root and not array_contains(pivots, rep)")
         pivot = state.where(fresh).groupBy("key").agg(F.min(F.struct(-F.col("company"), "rep", "n")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.n").alias("m"))
-        now = common.stage(state.join(pivot, "key"), "round")  # buckets without a fresh member have nothing left to compare
+        now = round_rows = common.stage(state.join(pivot, "key"), "round")  # buckets without a fresh member have nothing left to compare
         pairs = now.where(F.expr(f"rep != a and not array_contains(pivots, rep) and {sizes_fit.format(d=den, n=num, x='n', y='m')}")).select("a", F.col("rep").alias("b")).distinct()
         got = compared(common.stage(pairs, "pairs"))
         more = got.where("linked").select("a", "b")
         links = more if links is None else links.union(more)
+        common.discard(found)
         found = common.stage(common.components(links), "components")
         least = F.when(F.col("rep") == F.col("a"), 0.0).otherwise(F.coalesce("near", 1 - F.least("n", "m") / F.greatest("n", "m")))
         most = F.when(F.col("rep") == F.col("a"), 0.0).otherwise(F.coalesce("distant", F.lit(1.0)))
@@ -296,18 +347,27 @@ def near_duplicates(
         now = now.withColumn("of", F.col("pivots")[0]).drop("root", "first_root", "a", "m", "near", "distant")
         now = now.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").join(found.select(F.col("node").alias("of"), F.col("root").alias("first_root")), "of", "left")
         now = now.withColumns({"root": F.coalesce("root", "rep"), "first_root": F.coalesce("first_root", "of")}).drop("of")
-        state = common.stage(now, "members")
+        done, state = (state, round_rows), common.stage(now, "members")
+        common.discard(*done)
 
     # What is still apart within a bucket, unless distances to a pivot tell that no link is possible (Jaccard distance is a metric).
     open_ = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     apart = state.join(open_, "key").where("not array_contains(pivots, rep)").join(classes.select("rep", "bands"), "rep")
-    apart = apart.withColumn("pieces", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
+    pieces = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    apart = apart.withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
     blocks = apart.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)"))).withColumns({"pa": F.least("own", "other"), "pb": F.greatest("own", "other")})
-    blocks = blocks.select("key", "pa", "pb", "own", "rep", "n", "root", "lo", "hi", "bands").repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb")
-    rest = common.stage(blocks.mapInArrow(_still_open(rows, UNSURE, num, den, far), "a long, b long").distinct(), "rest")
+    sorted_ = lambda t: t.repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb")
+    blocks = sorted_(blocks.select("key", "pa", "pb", "own", "i", "rep", "n", "root", "lo", "hi", "bands"))
+    left = "key long, pa int, pb int, own int, rep long, n long, root long"
+    rest = common.stage(blocks.mapInArrow(_still_open(rows, unsure, num, den, far), left), "rest")
+    common.discard(state)
     if not rest.isEmpty():
-        links = links.union(common.stage(confirmed(rest), "compared").where("linked").select("a", "b"))
-        found = common.stage(common.components(links), "components")
+        met = sorted_(rest.join(texts.withColumnRenamed("id", "rep"), "rep").select("key", "pa", "pb", "own", "rep", "n", "root", "text"))
+        more = common.stage(met.mapInArrow(_settle(shingle, num, den), "a long, b long").distinct(), "settled")
+        if not more.isEmpty():
+            common.discard(found)
+            found = common.stage(common.components(links.union(more)), "components")
+    common.discard(texts, rest)
 
     root = classes.drop("bands").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*kind, F.coalesce("root", "rep").alias("root"))
     out = sigs.drop("bands").join(root, kind, "left")

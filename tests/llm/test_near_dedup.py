@@ -103,3 +103,20 @@ def test_shingles_of_short_and_long_texts():
     _, _, h, n = tb.words(flat, off)
     sets, many = near_dedup.distinct_sets(h, n, 5)
     assert n.tolist() == [6, 2, 0, 2, 0] and many.tolist() == [2, 1, 0, 1, 0] and sets[2] == sets[3]
+
+
+def test_blocks_settle_what_pivots_leave_open(spark, monkeypatch):
+    """Texts near the threshold to each other, most of them not linked: pieces of a bucket meet, with and without signatures ruling pairs out."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 4000)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for j in rng.sample(range(150), 2):
+            w[j] = f"y{i}{j}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for unsure in (near_dedup.UNSURE, None):
+        assert got(near_dedup.near_duplicates(df, threshold=(88, 100), unsure=unsure)) == brute(rows, 88, 100)
