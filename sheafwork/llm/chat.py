@@ -4,13 +4,13 @@ Events of a conversation are sorted by their sequence and folded into final mess
 an edit replaces its text, a regeneration empties it, a deletion drops it.  Messages are rendered to a template whose control
 strings are escaped inside texts, and the rendered text can be read back exactly.
 
-Events are grouped by (conversation, message), never by conversation alone, and rendered messages join their conversation by way of
+Events are grouped by (conversation, message), so that the events of one message meet in a row as its final text does, never by conversation alone, and rendered messages join their conversation by way of
 blocks of messages; so a conversation that holds a third of all events is folded by many tasks and only its finished text is one value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -93,9 +93,23 @@ def read_back(formatted: Column) -> Column:
 
 
 def table_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: each row opens a message."""
-    role = F.coalesce(F.col("role"), F.lit(""))
-    return conversations.select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("open").alias("kind"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """A table of finished turns (conv_id, turn, role, text) as the log that could have led to it.
+
+    By their number and role, turns come about in three ways: streamed in deltas; drafted, regenerated and streamed again; drafted, edited and
+    continued by a delta. Folding the log gives every turn its own text back. Repeated turns are messages of their own, in the order of role and text; null roles and texts are empty.
+    """
+    rows = conversations.select("conv_id", F.col("turn").alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "message").orderBy("role", "text"))
+    rows = rows.withColumns({"nth": nth.cast("long"), "half": F.ceil(F.length("text") / 2).cast("int")})
+    head, tail = F.expr("substring(text, 1, half)"), F.expr("substring(text, half + 1)")
+    event = lambda step, kind, text: F.struct((F.col("nth") * 8 + step).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    nothing, draft = F.lit(""), F.concat(F.lit("draft: "), F.reverse(head))
+    streamed = F.array(event(0, "open", nothing), event(1, "delta", head), event(2, "delta", tail))
+    regenerated = F.array(event(0, "open", nothing), event(1, "delta", draft), event(2, "regenerate", nothing), event(3, "delta", head), event(4, "delta", tail))
+    edited = F.array(event(0, "open", draft), event(1, "delta", tail), event(2, "edit", head), event(3, "delta", tail))
+    way = F.pmod(F.coalesce(F.col("message"), F.lit(0)) + F.length("role"), F.lit(3))
+    log = F.when(way == 0, streamed).when(way == 1, regenerated).otherwise(edited)
+    return rows.select("conv_id", "message", "role", F.explode(log).alias("e")).select("conv_id", "message", "role", "e.seq", "e.kind", "e.text")
 
 
 def format_conversations(events: DataFrame, **columns) -> DataFrame:

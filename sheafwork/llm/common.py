@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -32,24 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """A hint that shuffle files of finished work can go: Spark drops them once the driver collects its garbage, else only now and then."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+#: Spark's own option to delete a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Write a table to the shared folder and read it back: it is computed once, and a lost executor costs no recomputation.
-
-    ``release`` after work whose shuffles are about as large as the input.
-    """
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once, a lost executor costs no recomputation, and the shuffles behind it can go at once."""
     spark = df.sparkSession
     where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    if release:
-        release_shuffles(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(where)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(where)
     out.staged_at = where
     return out
@@ -112,6 +106,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(done)
 
 
+def spread_join(rows: DataFrame, dim: DataFrame, on: str, count: str, by: str, keep: list[str]) -> DataFrame:
+    """``rows`` left-joined with the columns ``keep`` of ``dim``, which has a row for each value of ``on`` and in ``count`` how many rows have it; nulls are equal.
+
+    A value that more rows have than an even share of a partition is dealt over as many tasks as it needs, by a hash of the column ``by``. Fewer values than there are
+    partitions can be such: only these are broadcast.
+    """
+    parts = width(rows.sparkSession)
+    share = F.lit(max(1, -(-(dim.agg(F.sum(count)).first()[0] or 0) // parts)))
+    ways = F.when(F.col(count) > share, F.ceil(F.col(count) / share)).otherwise(1).cast("int")
+    dim = dim.select(F.col(on).alias("__on"), F.col(count).alias("__count"), ways.alias("__ways"), *keep)
+    hot = dim.where("__ways > 1").select(F.col("__on").alias("__hot"), "__ways")
+    dealt = rows.join(F.broadcast(hot), F.col(on).eqNullSafe(F.col("__hot")), "left")
+    dealt = dealt.withColumn("__way", F.coalesce(F.pmod(F.xxhash64(by), F.col("__ways")), F.lit(0)).cast("int")).drop("__hot", "__ways")
+    spread = dim.withColumn("__to", F.explode(F.expr("sequence(0, __ways - 1)"))).drop("__ways", "__count")
+    return dealt.join(spread, F.col(on).eqNullSafe(F.col("__on")) & (F.col("__way") == F.col("__to")), "left").drop("__on", "__to", "__way")
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, *more) -> tuple[DataFrame, int]:
     """(id, text, more columns, chunk) with whole documents dealt to chunks by a hash of id and text, of about so many bytes each, and the number of chunks."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)

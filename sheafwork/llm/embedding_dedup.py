@@ -3,7 +3,7 @@
 Centroids are trained on a bounded sample.  Every vector has the cell of its nearest centroid as its home, and is a guest in each cell to whose
 border it is so near that a linked vector could live there: vectors of cosine t are at most sqrt(2 - 2 t) apart, and so is
 each of them from the plane between their cells.  So the cells lose no pair.  Within a cell and label, vectors are dealt into blocks and each task multiplies one block of
-residents with one block of residents or guests; it gives back counts and a spanning forest of the links it found, never the pairs.
+residents with one block of residents and guests; it gives back counts and a spanning forest of the links it found, never the pairs.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors in a block, and the sample that centroids are trained on.
-BLOCK, SAMPLE = 2048, 20_000
+#: Vectors in a block, the sample that centroids are trained on, and the vector lengths that get centroids (the most frequent ones; others have one cell each).
+BLOCK, SAMPLE, LENGTHS = 2048, 20_000, 16
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -94,21 +94,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = rows.withColumn("good", F.coalesce(finite, F.lit(False)))
     classes = rows.where("good").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("cls", F.xxhash64("label", "v"))
     classes = common.stage(classes, "classes")
-    dims = [r[0] for r in classes.select(F.size("v")).distinct().limit(1001).collect()]
-    if len(dims) > 1000:
-        raise ValueError("vectors of over 1000 different lengths")
-    total = classes.count()
+    by_length = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    frequent = by_length.orderBy(F.desc("n"), "d").limit(LENGTHS).collect()
 
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     centroids = {}
-    for d in dims:
-        own = classes.where(F.size("v") == d)
-        sample = own.orderBy(F.xxhash64("cls")).select("v").limit(SAMPLE).toPandas()["v"]
+    for d, n in frequent:
+        sample = classes.where(F.size("v") == d).orderBy(F.xxhash64("cls")).select("v").limit(SAMPLE).toPandas()["v"]
         # scaled by the largest component first: no overflow of squares
         x = np.stack([np.asarray(v, float) for v in sample])
         x = unit(x / np.abs(x).max(axis=1, keepdims=True))
-        centroids[d] = choose_cells(x, max(len(x), total // len(dims)), reach)
-    cells = vectors.sparkSession.sparkContext.broadcast(centroids)  # at most 1024 vectors for each length
+        centroids[d] = choose_cells(x, n, reach)
+    cells = vectors.sparkSession.sparkContext.broadcast(centroids)  # at most 1024 vectors for each of so many lengths
 
     def assign(batches):
         for pdf in batches:
@@ -116,17 +113,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             for d, part in pdf.groupby(size):
                 x = np.stack(part["v"].to_numpy()).astype(float)
                 x = unit(x / np.abs(x).max(axis=1, keepdims=True))
-                home, guest = visits(x, cells.value[d], reach)
+                home, guest = visits(x, cells.value.get(d, x[:1] * 0), reach)
                 i, g = np.nonzero(guest)
                 at, cell, lives = np.concatenate([np.arange(len(x)), i]), np.concatenate([home, g]), np.concatenate([np.ones(len(x), bool), np.zeros(len(i), bool)])
                 yield pd.DataFrame({"label": part["label"].to_numpy()[at], "cell": [f"{d}/{c}" for c in cell], "home": lives, "rep": part["rep"].to_numpy()[at], "cls": part["cls"].to_numpy()[at], "n": part["n"].to_numpy()[at], "v": list(x[at])})
 
     placed = common.stage(classes.where("rep is not null").mapInPandas(assign, "label string, cell string, home boolean, rep long, cls long, n long, v array<double>"), "cells")
-    sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # A cell's residents of block i meet all of block j: residents for i <= j, guests for every j.
-    dealt = placed.join(sizes, ["label", "cell"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    row_side = dealt.where("home").withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("side", F.lit(0))
-    col_side = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("side", F.lit(1))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    sizes = placed.groupBy("label", "cell").agg(parts(F.count_if("home")).alias("own_blocks"), parts(F.count("*")).alias("blocks"))
+    # A cell's residents, in own_blocks, each meet all of its residents and guests, in blocks.
+    dealt = placed.join(sizes, ["label", "cell"])
+    at = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    row_side = dealt.where("home").withColumns({"i": at("own_blocks"), "j": F.explode(F.expr("sequence(0, blocks - 1)")), "side": F.lit(0)})
+    col_side = dealt.withColumns({"j": at("blocks"), "i": F.explode(F.expr("sequence(0, own_blocks - 1)")), "side": F.lit(1)})
     key = ["label", "cell", "i", "j"]
     tasks = row_side.select(*key, "side", "rep", "n", "v").union(col_side.select(*key, "side", "rep", "n", "v"))
 
@@ -138,7 +137,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         ra, rb, nb = a["rep"].to_numpy(), b["rep"].to_numpy(), b["n"].to_numpy()
         links, ii, jj = np.zeros(len(a), np.int64), [], []
         for s in range(0, len(a), 512):  # bounded memory
-            hit = x[s : s + 512] @ y.T >= threshold - 1e-12
+            hit = x[s : s + 512] @ y.T >= threshold
             hit &= ra[s : s + 512, None] != rb[None, :]
             links[s : s + 512] = hit @ nb
             i, j = np.nonzero(hit)

@@ -5,8 +5,8 @@ expectation-maximisation on held-out counts: every training token is held out of
 
 Documents are dealt to chunks. A chunk sends each of its distinct n-grams once, as a hash with its training count, to the shard of that hash; the
 shard adds up and answers with the total counts in the chunk's own order. So a frequent n-gram costs a shard one entry per chunk, nothing is
-joined token by token, and what is gathered grows with the corpus. Every order from trigrams up has a pass of its own, after the shuffles of the one before
-are released; there a chunk sends no n-gram of which a shorter part stands in no other chunk (so does the n-gram, and its total is the chunk's own count) or
+joined token by token, and what is gathered grows with the corpus. Every order from trigrams up has a pass of its own, after that of
+the one before; there a chunk sends no n-gram of which a shorter part stands in no other chunk (so does the n-gram, and its total is the chunk's own count) or
 never occurs in training. The sufficient statistics of the weights are a histogram of bounded size.
 """
 
@@ -188,7 +188,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         else:
             known = replies.select("chunk", "level", "shard", "counts", "alone").groupBy("chunk")
             sent = rows.groupBy("chunk").cogroup(known).applyInPandas(answered, wide)
-        more = common.stage(sent.groupBy("level", "shard").applyInPandas(_total, narrow), "replies", release=True)
+        more = common.stage(sent.groupBy("level", "shard").applyInPandas(_total, narrow), "replies")
         replies = more if replies is None else replies.union(more)
     first = replies.where("level = 0").agg(F.sum("n"), F.sum("v")).first()
     n, v = first[0] or 0, first[1] or 0
@@ -211,7 +211,6 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     both = rows.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     cell = [f"c{j}" for j in range(0, order + 1, 5)]
     table = both.applyInPandas(statistics, ", ".join(f"{c} long" for c in [*cell, "n"])).groupBy(*cell).agg(F.sum("n").alias("n")).toArrow()  # bounded: 40 buckets by steps
-    common.release_shuffles(docs.sparkSession)
     if table.num_rows:
         codes = [table[c].to_numpy() for c in cell]
         parts = np.empty((order + 1, table.num_rows))

@@ -18,6 +18,8 @@ from . import common
 
 #: Exponents tried in each round of the search, and rounds: the exponent is exact to (HIGH - LOW) / WAYS ** ROUNDS.
 WAYS, ROUNDS, LOW, HIGH = 32, 5, 0.0, 4.0
+#: Sources whose plan is broadcast, at most: a hundred bytes each.
+FEW = 50_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -26,35 +28,35 @@ def tokens_of(text: Column) -> Column:
 
 
 def find_exponent(sources: DataFrame, budget: float, target_entropy: float, max_epochs: float) -> float:
-    """The largest exponent (least change) whose mix has at least ``target_entropy`` of the highest possible entropy, but no smaller than what ``max_epochs`` allows.
+    """The largest exponent whose mix has at least ``target_entropy`` of the highest possible entropy, as near to it as ``max_epochs`` allows.
 
-    ``sources`` has one row per source with its tokens; every round is one aggregation of it for all tried exponents at once.
-    The entropy falls and the largest number of repetitions falls too as the exponent rises, so both are bisected by one grid.
+    ``sources`` has one row per source with its tokens; every round is one aggregation of it for all tried exponents of all goals at once. The entropy
+    falls as the exponent rises. How often a source is repeated is a monotone function of its share, so the smallest source (exponents below 1) and the largest one (above) tell
+    whether a limit of repetitions holds: exponents that keep it are a range around 1.
     """
     positive = sources.where("tokens > 0").select(F.col("tokens").cast("double").alias("n"))
-    total, count, smallest = positive.agg(F.sum("n"), F.count("*"), F.min("n")).first()
+    total, count, smallest, largest = positive.agg(F.sum("n"), F.count("*"), F.min("n"), F.max("n")).first()
     if not count or count == 1:
         return 1.0
     want = target_entropy * math.log(count)
-
-    def solve(ok) -> tuple[float, float]:
-        """The boundary between exponents at which ok() is true (below) and false (above), from both sides; LOW, LOW if it is never true."""
-        low, high = LOW, HIGH
-        for _ in range(ROUNDS):
-            step = (high - low) / WAYS
-            tried = F.explode(F.array(*[F.lit(low + i * step) for i in range(WAYS + 1)])).alias("x")
-            z = positive.select((F.col("n") / total).alias("s"), tried).select("x", F.pow("s", "x").alias("p"), F.log("s").alias("l"), "s")
-            stats = z.groupBy("x").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.col("l")).alias("pl")).collect()
-            good = [r.x for r in stats if ok(r.x, r.z, r.pl)]
-            if not good:
-                return low, low
-            low = max(good)
-            high = min(high, low + step)
-        return low, high
-
-    by_entropy = solve(lambda x, z, pl: math.log(z) - x * pl / z >= want - 1e-12)[0]
-    by_repeats = solve(lambda x, z, pl: (smallest / total) ** x / z * budget / smallest > max_epochs)[1] if max_epochs else LOW
-    return max(by_entropy, by_repeats)
+    repeats = lambda n, x, z: (n / total) ** x / z * budget / n
+    # For each goal the range that holds its boundary: the test is true below it and false above.
+    goals = {"entropy": (LOW, HIGH, lambda x, z, pl: math.log(z) - x * pl / z >= want - 1e-12)}
+    if max_epochs:
+        goals["least"] = (LOW, 1.0, lambda x, z, pl: repeats(smallest, x, z) > max_epochs * (1 + 1e-9))
+        goals["most"] = (1.0, HIGH, lambda x, z, pl: repeats(largest, x, z) <= max_epochs * (1 + 1e-9))
+    span = {g: (low, high) for g, (low, high, _) in goals.items()}
+    grid = lambda low, high: [low + i * (high - low) / WAYS for i in range(WAYS + 1)]
+    for _ in range(ROUNDS):
+        tried = F.explode(F.array(*[F.lit(x) for x in sorted({x for s in span.values() for x in grid(*s)})])).alias("x")
+        z = positive.select((F.col("n") / total).alias("s"), tried).select("x", F.pow("s", "x").alias("p"), F.log("s").alias("l"))
+        stats = {r.x: r for r in z.groupBy("x").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.col("l")).alias("pl")).collect()}
+        for g, (_, _, ok) in goals.items():
+            low, high = span[g]
+            good = [x for x in grid(low, high) if ok(x, stats[x].z, stats[x].pl)]
+            span[g] = (low, low) if not good else (max(good), min(high, max(good) + (high - low) / WAYS))
+    x = span["entropy"][0]
+    return min(max(x, span["least"][1]), span["most"][0]) if max_epochs else x
 
 
 def mix(
@@ -71,7 +73,7 @@ def mix(
     """One row per input row: id, source, tokens, weight (of the source), copies (how often the row is in the mix).
 
     ``budget_tokens``: size of the mix, by default that of the input.  ``target_entropy``: a share of the highest entropy
-    that so many sources can have.  ``max_epochs`` (0: none) limits how often a source may be repeated and goes before the entropy.
+    that so many sources can have.  ``max_epochs`` (0: none) limits how often a source may be repeated and goes before the entropy; a budget beyond so many passes over all tokens is an error.
     A source never gets more than its budget, and less by less than one document at most (rows of equal id hash, such as
     repeated rows, are taken together or not at all).  Null sources are one source; null and empty texts have 0 tokens and go with
     the rows before them in the order.  A source of 0 tokens is kept once.  An empty table gives no rows.
@@ -82,6 +84,8 @@ def mix(
     sources = common.stage(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     budget = total if budget_tokens is None else budget_tokens
+    if max_epochs and budget > max_epochs * total:
+        raise ValueError(f"a budget of {budget} tokens needs more than {max_epochs} passes over {total}")
     x = find_exponent(sources, budget, target_entropy, max_epochs)
 
     z = sources.where("tokens > 0").agg(F.sum(F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(x)))).first()[0] or 1.0
@@ -93,8 +97,12 @@ def mix(
     plan = plan.withColumn("bits", F.least(F.lit(24), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("tokens") / F.lit(float(block_tokens))))))).cast("int"))
     plan = common.stage(plan, "plan")
 
-    # A session's limit for broadcasts decides how the few rows of the plan meet the documents; a hot source is split by AQE otherwise.
-    dealt = rows.join(plan.select(F.col("source").alias("of"), "weight", "passes", "rest", "bits"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    few_sources = sources.count() <= FEW
+    wanted = ["weight", "passes", "rest", "bits"]
+    if few_sources:
+        dealt = rows.join(F.broadcast(plan.select(F.col("source").alias("of"), *wanted)), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    else:
+        dealt = common.spread_join(rows, plan, "source", "rows", "u", wanted)
     dealt = dealt.withColumn("block", F.expr("shiftrightunsigned(u, 1) div shiftleft(1L, 63 - bits)"))
     blocks = dealt.where("rest > 0").groupBy("source", "block").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
     upto = F.sum("t").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
@@ -109,7 +117,11 @@ def mix(
     cut = inside.withColumn("key", unsigned).withColumn("running", running).where(F.col("running") <= F.col("left")).groupBy("source").agg(F.max("key").alias("cut"))
     ends = last.alias("l").join(cut.alias("c"), F.expr("l.source <=> c.source"), "left").select(F.col("l.source").alias("of"), "last", "cut")
 
-    out = dealt.join(ends, F.col("source").eqNullSafe(F.col("of")), "left")
+    if few_sources:
+        out = dealt.join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("of")), "left")
+    else:
+        counted = ends.join(plan.select("source", "rows"), F.col("of").eqNullSafe(F.col("source"))).drop("of")
+        out = common.spread_join(dealt, counted, "source", "rows", "u", ["last", "cut"])
     more = F.when(F.col("rest") <= 0, F.lit(0)).when(F.col("last").isNull(), F.lit(1)).when(F.col("block") < F.col("last"), F.lit(1))
     more = more.when((F.col("block") == F.col("last")) & (unsigned <= F.col("cut")), F.lit(1)).otherwise(F.lit(0))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "tokens", "weight", (F.col("passes") + more).cast("long").alias("copies"))

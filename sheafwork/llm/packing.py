@@ -4,7 +4,7 @@ Documents become token pieces of at most a sequence's length.  What must be plan
 length, a histogram no larger than a sequence is long: lengths go, longest first, to the open bins they fit best, by the weighted dot product
 of the piece's demands with a bin's free tokens, free places and free attention cost (or by the norm of what would be left), and never beyond any of them.  Bins with equal free
 capacities are one class with a count, so the plan doesn't grow with the corpus.  Spark then ranks the pieces of each length and deals them
-to the planned places; ranks are sums over buckets, so a length that a third of all pieces has is never in one task.
+to the planned places; ranks are sums over buckets, of which a length has as many as its pieces need, so a length that a third of all pieces has is never in one task.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import common
 from . import textbytes as tb
 
-#: Parts of a length's pieces that are ranked on their own.
-BUCKETS = 256
+#: Pieces of a length that are ranked in one go, about.
+RANKED = 1 << 15
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -198,13 +198,15 @@ def pack(
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pieces = source.mapInArrow(_pieces(tokenizer_path, capacity, end_id), schema)
     # equal pieces of repeated rows may change places with each other: any order does, if it stays as it was written
-    pieces = common.stage(pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pieces")
+    pieces = common.stage(pieces, "pieces")
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    plan = spark.sparkContext.broadcast(places(best_fit(histogram, capacity, max_docs, max_cost, score=score)))
+    buckets = spark.createDataFrame([(n, -(-many // RANKED)) for n, many in histogram.items()], "length long, buckets long")
+    pieces = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
 
-    per = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))  # at most capacity x BUCKETS rows
+    per = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     per = per.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     per = common.stage(per, "lengths")
-    histogram = {r.length: r.n for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(places(best_fit(histogram, capacity, max_docs, max_cost, score=score)))
 
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece"))
     ranked = pieces.withColumn("within", within - 1).join(per.drop("n"), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))

@@ -142,11 +142,11 @@ def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int =
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
     """A model of ``labels`` (id, 0/1) over the texts of ``docs``, from at most ``max_train`` labelled rows, chosen by a hash of their ids.
 
-    ``learn`` says which ids may be learnt from.  Rows without a label don't count.  Labels of one class only, or none, give a model that scores all texts alike.
+    ``learn`` says which ids may be learnt from.  Rows without a label don't count, nor do ids that have both labels.  Labels of one class only, or none, give a model that scores all texts alike.
     """
     spark = docs.sparkSession
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.lit(True) if learn is None else learn))
-    usable = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).dropDuplicates(["id"])
+    usable = usable.groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("double")).alias("y"), F.max(F.col(label_col).cast("double")).alias("most")).where("y = most").drop("most")
     chosen = usable.orderBy(F.xxhash64("id", F.lit(23)), "id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     texts = common.stage(texts.repartition(8, "id"), "labelled")

@@ -18,6 +18,11 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Limits of a packed sequence besides its 2048 tokens: documents, and the sum of squared lengths (attention within documents). At these
+#: no sequence more is needed than for tokens alone, and all three residuals weigh in the choice of a bin.
+PACKING = {"max_docs": 2048, "max_cost": 2048 * 2048}
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=(85, 100))
 
@@ -69,7 +74,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), **PACKING)
 
 
 def remainder(id_col: str, of: int) -> Column:

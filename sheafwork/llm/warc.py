@@ -38,8 +38,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"sha": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")})
-    groups = rows.groupBy("sha", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where(F.col("n") > 1)
-    rows = rows.join(groups.drop("n"), ["sha", "size"], "left")
+    rows = rows.withColumn("equal", F.struct("sha", "size")).drop("sha")
+    groups = rows.groupBy("equal").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    rows = common.spread_join(rows, groups, "equal", "n", "page_id", ["top"])
     refers = F.when((F.col("size") >= least_bytes) & ~F.col("top").eqNullSafe(F.col("page_id")), F.col("top"))
     return rows.select("page_id", "url", "payload", refers.alias("refers_to"))
 
@@ -66,7 +67,7 @@ def record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
 
 
 def parse(data: bytes) -> dict:
-    """A record's fields as written by record(), with the payload (None for revisits)."""
+    """A record's fields as written by record(), with the payload (None for revisits).  A response's length and digest are those of the payload that was read; if the header differs it is an error."""
     top, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in top.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
@@ -74,6 +75,8 @@ def parse(data: bytes) -> dict:
     size = int(next(x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")))
     number = lambda k: int(fields[k]) if k in fields else None
     revisit = fields["WARC-Type"] == "revisit"
+    if not revisit and (size != len(body) or fields["WARC-Payload-Digest"] != f"sha1:{digest(body)}"):
+        raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its header")
     return {"page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "payload_bytes": size, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload": None if revisit else body}
 
 
