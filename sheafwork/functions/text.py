@@ -61,27 +61,35 @@ def escape_html(c: Column) -> Column:
     return out
 
 
+def collapsed(c: Column) -> Column:
+    return F.regexp_replace(c, "\n{3,}", "\n\n")
+
+
 def strip_html(c: Column) -> Column:
-    """A page's text: styles and scripts go, tags become line ends, five entities are decoded in a fixed order."""
-    out = F.regexp_replace(c, r"(?is)<style[^>]*>.*?</style>", "")
+    """A page's text: the body if there is one, without styles and scripts; tags become line ends, five entities are decoded in a fixed order."""
+    body = r"(?is)<body[^>]*>(.*?)</body>"
+    out = F.when(c.rlike(body), F.regexp_extract(c, body, 1)).otherwise(c)
+    out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", "")
     out = F.regexp_replace(out, r"(?is)<script[^>]*>.*?</script>", "")
     out = F.regexp_replace(out, r"<[^>]+>", "\n")
     for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(collapsed(out), r"^\s+|\s+$", "")
 
 
 def strip_tags(c: Column, by: str = "") -> Column:
     return F.regexp_replace(c, "<[^>]+>", by)
 
 
+# What is replaced in RTF, in this order.
+RTF = [(r"\{\\[^{}]*\}", ""), (r"(?i)\\[a-z]+\d*\s?", ""), (r"[{}]", ""), (r"\\\\", r"\\"), (r"\n+", "\n")]
+
+
 def strip_rtf(c: Column) -> Column:
-    """Plain text of RTF: groups that hold no text, paragraph marks, hex characters, control words and braces, in this order."""
-    out = F.regexp_replace(c, r"\\par[d]?\b ?", "\n")
-    out = F.regexp_replace(out, r"\{\\\*?\\[^{}]+\}", "")
-    out = F.regexp_replace(out, r"\\'[0-9a-fA-F]{2}", "")
-    out = F.regexp_replace(out, r"\\[a-z]+-?\d* ?", "")
-    return trim_all(F.regexp_replace(out, r"[{}]", ""))
+    """Plain text of RTF: groups that begin with a control and hold no other group go, then control words and braces; a doubled backslash is one."""
+    for pattern, by in RTF:
+        c = F.regexp_replace(c, pattern, by)
+    return trim_all(c)
 
 
 def all_of(c: Column, pattern: str, group: int = 1) -> Column:
@@ -105,12 +113,6 @@ def utf16_length(c: Column) -> Column:
     return F.floor(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("long")
 
 
-def carved_strings(latin1: Column, least: int = 4, most: int = 30) -> Column:
-    """Runs of printable ASCII with a letter, each once, in the order of their first place, so many at most (a preview)."""
-    runs = F.filter(all_of(latin1, f"[\\x20-\\x7E]{{{least},}}", 0), lambda s: s.rlike("[A-Za-z]"))
-    return F.slice(F.array_distinct(runs), 1, most)
-
-
 def longer(a: Column, b: Column) -> Column:
     return F.when(F.length(a) >= F.length(b), a).otherwise(b)
 

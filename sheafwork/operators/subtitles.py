@@ -52,9 +52,9 @@ def render_srt(cues: Column) -> Column:
 
 
 def headings(text: Column) -> Column:
-    """Markdown headings (level, text), in order; code fences aren't known."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^#{1,6}\s"))
-    return F.transform(lines, lambda x: F.struct(F.length(F.regexp_extract(x, "^(#{1,6})", 1)).cast("int").alias("level"), T.trim_all(F.regexp_replace(x, r"^#{1,6}\s+", "")).alias("text")))
+    """Markdown headings (level, text), in order; those without a text go, code fences aren't known."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^#{1,6}\s+."))
+    return F.transform(lines, lambda x: F.struct(F.length(F.regexp_extract(x, "^(#{1,6})", 1)).cast("int").alias("level"), F.regexp_extract(x, r"^#{1,6}\s+(.+)", 1).alias("text")))
 
 
 def html_headings(html: Column) -> Column:
@@ -62,11 +62,30 @@ def html_headings(html: Column) -> Column:
     return F.transform(whole, lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), T.strip_tags(h).alias("text")))
 
 
+# What is replaced in Markdown, in this order.
+MARKDOWN = [
+    (r"(?m)^### (.+)$", "<h3>$1</h3>"), (r"(?m)^## (.+)$", "<h2>$1</h2>"), (r"(?m)^# (.+)$", "<h1>$1</h1>"), (r"\*\*(.+?)\*\*", "<strong>$1</strong>"),
+    (r"\*(.+?)\*", "<em>$1</em>"), ("`(.+?)`", "<code>$1</code>"), (r"(?m)^- (.+)$", "<li>$1</li>"), (r"\n\n", "</p><p>"),
+]
+
+
 def markdown_html(text: Column) -> Column:
-    """A plain rendering: headings, bold, italics, code, links, lists and paragraphs, replaced in this order."""
-    out = T.escape_html(text)
-    for n in range(6, 0, -1):
-        out = F.regexp_replace(out, rf"(?m)^#{{{n}}}\s+(.+)$", f"<h{n}>$1</h{n}>")
-    for pattern, by in ((r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"\*([^*]+)\*", "<em>$1</em>"), ("`([^`]+)`", "<code>$1</code>"), (r"\[([^\]]+)\]\(([^)]+)\)", '<a href="$2">$1</a>'), (r"(?m)^[-*]\s+(.+)$", "<li>$1</li>"), ("\n\n", "<br><br>")):
-        out = F.regexp_replace(out, pattern, by)
-    return out
+    """A plain rendering of Markdown: three levels of headings, bold, italics, code, list items and paragraphs; nothing is escaped."""
+    for pattern, by in MARKDOWN:
+        text = F.regexp_replace(text, pattern, by)
+    return F.concat(F.lit("<p>"), text, F.lit("</p>"))
+
+
+def subtitle_cues(text: Column, suffix: Column) -> Column:
+    """Cues by the file's suffix: .srt, .vtt, any other as ASS."""
+    return F.when(suffix == ".srt", srt_cues(text)).when(suffix == ".vtt", vtt_cues(text)).otherwise(ass_cues(text))
+
+
+def cue_table(cues: Column) -> Column:
+    """Rows (number from 1, start, end, text) as strings."""
+    return F.transform(cues, lambda c, i: F.array((i + 1).cast("string"), c["start"], c["end"], c["text"]))
+
+
+def cue_text(cues: Column) -> Column:
+    """Texts of the cues, a line each; empty ones go."""
+    return F.array_join(F.filter(F.transform(cues, lambda c: c["text"]), lambda t: t != ""), "\n")

@@ -9,37 +9,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import subtitles as S
-from ..sources import registry as R
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+from . import formats  # noqa: F401  its queries join the catalogue
+from .base import QUERIES, SQL, query
+from .base import table as _t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return SQL
 
 
-_STRIP = r"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
+_BODY = "CASE WHEN regexp_matches(html, '(?is)<body[^>]*>(.*?)</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE html END"
+_STRIP = rf"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({_BODY},
     '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'), '<[^>]+>', chr(10), 'g'),
-    '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+    '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
 _SIZE = """CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN ((b*20+1024)//2048)//10 || '.' || ((b*20+1024)//2048)%10 || ' KB'
     ELSE ((b*20+1048576)//2097152)//10 || '.' || ((b*20+1048576)//2097152)%10 || ' MB' END"""
 
@@ -70,7 +56,7 @@ def html_links(spark, sf_dir):
 @query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n_words, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM documents""")
 def text_stats(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"), F.length("text").cast("long").alias("chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    return d.select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n_words"), F.length("text").cast("long").alias("chars"), (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"))
 
 
 @query("SELECT doc_id, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS utf16_units FROM documents")
@@ -95,12 +81,6 @@ def duration_label(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", T.duration_label(F.floor(F.col("value") * 100).cast("double")).alias("label"))
 
 
-@query(r"""SELECT page_id, array_to_string(l[1:30], '|') AS strings FROM (SELECT page_id, list_filter(r, lambda x, i: list_position(r, x) = i) AS l
-           FROM (SELECT page_id, list_filter(regexp_extract_all(html, '[\x20-\x7E]{4,}'), lambda x: regexp_matches(x, '[A-Za-z]')) AS r FROM pages))""")
-def carve_strings(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(T.carved_strings(F.col("html")), "|").alias("strings"))
-
-
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS joined FROM conversations GROUP BY conv_id")
 def ordered_concat(spark, sf_dir):
     one = F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))
@@ -110,7 +90,9 @@ def ordered_concat(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def dedup_first_seen(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("text")
+    """Texts are told apart by SHA-256 and length, so that keys of the shuffle are short."""
+    key = [F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), F.octet_length("text").alias("size")]
+    return _t(spark, sf_dir, "documents").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("sha", "size")
 
 
 @query("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 20")
@@ -138,11 +120,11 @@ def spine_join(spark, sf_dir):
     return got.select("l_orderkey", F.array_join(F.transform("l", lambda x: x["p_name"]), " > ").alias("chapters"))
 
 
-@query("SELECT s_suppkey, coalesce(n_name, 'Unknown(' || s_nationkey || ')') AS nation FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) ON s_nationkey = n_nationkey")
+@query("SELECT c_custkey, coalesce(s_name, 'Unknown(' || c_custkey || ')') AS namesake FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
 def lookup_default(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation").where("n_nationkey < 10")
-    s = _t(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return s.select("s_suppkey", F.coalesce("n_name", F.concat(F.lit("Unknown("), "s_nationkey", F.lit(")"))).alias("nation"))
+    """A name from a dimension, or a label made of the key where it has none."""
+    c = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "left")
+    return c.select("c_custkey", F.coalesce("s_name", F.concat(F.lit("Unknown("), "c_custkey", F.lit(")"))).alias("namesake"))
 
 
 @query("SELECT conv_id, arg_max(turn, (length(text), -turn)) AS turn FROM conversations GROUP BY conv_id")
@@ -160,12 +142,6 @@ def json_fields(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.explode(F.expr("json_object_keys(props)")).alias("key"))
 
 
-@query("SELECT page_id, CASE WHEN hex(encode(html))[1:8] = '25504446' THEN '.pdf' WHEN hex(encode(html))[1:8] = '504B0304' THEN '.zip' END AS suffix, hex(encode(html))[1:8] AS head FROM pages")
-def magic_detect(spark, sf_dir):
-    raw = F.encode("html", "UTF-8")
-    return _t(spark, sf_dir, "pages").select("page_id", R.magic_suffix(raw).alias("suffix"), F.hex(F.substring(raw, 1, 4)).alias("head"))
-
-
 @query(r"SELECT page_id, lower(regexp_extract(regexp_split_to_array(url, '[?#]')[1], '(\.[^.]+)$', 1)) AS suffix FROM pages")
 def url_extension(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", T.last_suffix(F.split("url", "[?#]")[0]).alias("suffix"))
@@ -176,14 +152,6 @@ def html_escape(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped"))
 
 
-@query("SELECT page_id, i * 16 AS address, substring(hex(encode(html)), i * 32 + 1, 32) AS bytes FROM pages, range(128) r(i) WHERE i * 16 < least(2048, strlen(html))")
-def hex_dump(spark, sf_dir):
-    """Sixteen bytes a line of the first 2048; the preview is the feature."""
-    p = _t(spark, sf_dir, "pages").select("page_id", F.substring(F.encode("html", "UTF-8"), 1, 2048).alias("b")).where(F.octet_length("b") > 0)
-    p = p.select("page_id", "b", F.explode(F.expr("sequence(0L, (octet_length(b) - 1) div 16)")).alias("i"))
-    return p.select("page_id", (F.col("i") * 16).alias("address"), F.hex(F.expr("substring(b, cast(i * 16 + 1 as int), 16)")).alias("bytes"))
-
-
 @query(r"SELECT doc_id, len(c) AS n_cells, c[1] AS first_cell FROM (SELECT doc_id, regexp_split_to_array(text, '[.]\s+') AS c FROM documents) WHERE len(c) >= 2")
 def split_cells(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", F.split("text", r"[.]\s+").alias("c")).where(F.size("c") >= 2)
@@ -206,25 +174,6 @@ def csv_round_trip(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select(back.alias("r")).select("r.*")
 
 
-_FORMATS_SQL = ", ".join(f"('{c}', {i})" for i, _, _, _, c, _, _ in R.FORMATS)
-
-
-@query(f"SELECT category, count(*) AS formats, count(*) AS supported FROM (VALUES {_FORMATS_SQL}) v(category, id) GROUP BY category")
-def category_summary(spark, sf_dir):
-    return R.formats(spark).groupBy("category").agg(F.count("*").alias("formats"), F.count_if("supported").alias("supported"))
-
-
-_EXT_SQL = ", ".join(f"('{e}', {i}, '{p}')" for i, _, es, _, _, p, _ in R.FORMATS for e in es.split())
-
-
-@query(f"""SELECT doc_id, coalesce(id, 0) AS format_id, p AS parser_name, CASE WHEN id IS NULL THEN 'unknown' ELSE 'extension' END AS detected_by
-           FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.md' WHEN 3 THEN '.csv' ELSE '.nope' END AS e FROM documents)
-           LEFT JOIN (VALUES {_EXT_SQL}) v(ext, id, p) ON e = ext""")
-def detect_ladder(spark, sf_dir):
-    names = F.concat("source", F.lit("."), "lang", F.element_at(F.array(*map(F.lit, (".PDF", ".tar.gz", ".md", ".csv", ".nope"))), (F.col("doc_id") % 5 + 1).cast("int")))
-    return R.detect(_t(spark, sf_dir, "documents").select("doc_id", names.alias("name")), content=None).select("doc_id", "format_id", "parser_name", "detected_by")
-
-
 @query("SELECT conv_id, turn, CAST(turn % 6 + 1 AS INT) AS level, role AS heading FROM conversations")
 def markdown_headings(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations").withColumn("md", F.concat(F.expr("repeat('#', cast(turn % 6 + 1 as int))"), F.lit(" "), "role", F.lit("\nplain # text")))
@@ -250,14 +199,6 @@ def adjacent_merge(spark, sf_dir):
     return got.select("conv_id", F.array_join(T.merged_short(F.transform("l", lambda x: x["role"])), "|").alias("merged"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(l, lambda x: NOT list_contains(['the', 'of', 'and', 'la', 'de'], x))[1:30], ' ') AS kept
-           FROM (SELECT doc_id, list_filter(r, lambda x, i: list_position(r, x) = i) AS l FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_]\w{1,48}') AS r FROM documents))""")
-def stopword_except(spark, sf_dir):
-    names = T.all_of(F.col("text"), r"[A-Za-z_]\w{1,48}", 0)
-    stop = F.array(*map(F.lit, ("the", "of", "and", "la", "de")))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.array_except(names, stop), 1, 30), " ").alias("kept"))
-
-
 @query("""SELECT conv_id, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i)[1:50], '|') AS both FROM (SELECT conv_id, list_concat(list(role ORDER BY turn), list(CAST(turn AS VARCHAR) ORDER BY turn)) AS r FROM conversations GROUP BY conv_id)""")
 def union_distinct_cap(spark, sf_dir):
     got = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("l"))
