@@ -1,10 +1,10 @@
 """Removing passages that repeat across documents, by suffix arrays built with induced sorting.
 
-A string of ``least`` bytes that stands in two documents has in both the same anchor: the k bytes with the smallest hash among all that it holds.
-So documents are cut to the surroundings of their anchors, those of anchors that stand in two documents or more go to the shard of the anchor's hash, and every
-shard builds the suffix array of its distinct surroundings: suffixes are classified, leftmost-smaller substrings sorted and named, the reduced string sorted
-recursively, and the array induced from it in linear time. Neighbours with a common prefix of ``least`` bytes are occurrences of one string; the smallest document among
-them keeps it. A surrounding that stands in several documents of one chunk goes to the shard once.
+A string of ``least`` bytes that stands in two documents has in both the same anchor: the k bytes with the smallest hash among all that it holds, the leftmost of equal ones.
+So documents are cut to the surroundings of their anchors, and those of anchors that stand in two documents or more go to the shard of the anchor's hash. A shard builds suffix arrays of
+its distinct surroundings, part by part: suffixes are classified, leftmost-smaller substrings sorted and named, the reduced string sorted, and the array induced from it in linear time.
+Common prefixes of neighbours are computed in the text's order (permuted); neighbours that share ``least`` bytes are occurrences of one string, and the smallest document among them keeps it.
+A surrounding that stands several times in a chunk goes to the shard once. Anchors that very many documents have are dealt string by string, so that no shard grows with how often one phrase is used.
 """
 
 from __future__ import annotations
@@ -20,10 +20,13 @@ from . import common
 from . import textbytes as tb
 
 _U = np.uint64
-CHUNK = 4 << 20
-#: Shards of surroundings for each chunk: a suffix array takes some hundred times the memory of its text.
-SPREAD = 10
-_LAST = np.iinfo(np.int64).max
+#: Text bytes of a chunk, of surroundings' text that a shard is meant for, and of one suffix array (which takes some hundred times its text's memory).
+CHUNK, SHARD, PART = 4 << 20, 4 << 20, 1 << 18
+#: Documents that may have an anchor before its strings are dealt one by one.
+HOT = 2048
+#: Distinct symbols up to which a reduced string is sorted by recursion.
+RECURSE = 512
+_LAST, _FULL = np.iinfo(np.int64).max, _U(2**64 - 1)
 
 
 # ---- suffix arrays -------------------------------------------------------------------------------------------------------
@@ -96,7 +99,12 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.nda
 
 
 def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """Suffix order of the reduced string.  Its alphabet is as large as itself, so ranks of prefixes are doubled there until all differ."""
+    """Suffix order of the reduced string, by recursion where its alphabet is small.
+
+    An alphabet about as large as the string would make as many buckets as symbols; ranks of prefixes are doubled there until all differ.
+    """
+    if names.max() < RECURSE:
+        return suffix_array(names)
     rank, step = names, 1
     while rank.max() < len(rank) - 1:
         ahead = np.zeros(len(rank), np.int64)
@@ -122,37 +130,55 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         ordered = rough[is_lms[rough]]
         place = np.zeros(len(t), np.int64)
         place[lms] = np.arange(len(lms))
-        length = np.append(np.diff(lms), 1)
-        mark = tb.segment_hash(t[lms[0] :], length) + tb.mix(t[np.append(lms[1:], len(t) - 1)].astype(_U))
+        length = np.append(np.diff(lms) + 1, 1)  # a substring ends with the first symbol of the next one
         i = place[ordered]
-        new = np.concatenate([[0], (mark[i[1:]] != mark[i[:-1]]) | (length[i[1:]] != length[i[:-1]])]).cumsum()
+        new = np.concatenate([[0], _differ(t, ordered, length[i])]).cumsum()
         names = np.zeros(len(lms), np.int64)
         names[i] = new
         lms = lms[_order_of_names(names)]
     return _induce(t, small, lms, k)[1:]
 
 
-def same_prefix(flat: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    """Whether the common prefix of the suffixes at a and b, in the text's order of a, has ``least`` bytes (permuted common prefixes, cut there)."""
-    order = np.argsort(a)
-    x, y = a[order], b[order]
-    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded.view(), (len(flat), 8), (1, 1))
-    equal, live = np.zeros(len(a), bool), np.arange(len(a))
-    for at in sorted({*range(0, least - 7, 8), max(least - 8, 0)}):
-        u = word[x[live] + at].view(_U).ravel() if least >= 8 else word[x[live] + at][:, :least]
-        v = word[y[live] + at].view(_U).ravel() if least >= 8 else word[y[live] + at][:, :least]
-        live = live[(u == v) if least >= 8 else (u == v).all(axis=1)]
-    equal[order[live]] = True
-    return equal
+def _differ(t: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each substring differs from the one before, symbol by symbol."""
+    out = length[1:] != length[:-1]
+    same = np.flatnonzero(~out)
+    n = length[1:][same]
+    ends = np.cumsum(n)
+    for a in range(0, len(same), 1 << 15):
+        b = min(a + (1 << 15), len(same))
+        base = ends[a] - n[a]
+        step = np.arange(ends[b - 1] - base) - np.repeat(ends[a:b] - n[a:b] - base, n[a:b])
+        x = np.repeat(starts[1:][same[a:b]], n[a:b]) + step
+        y = np.repeat(starts[:-1][same[a:b]], n[a:b]) + step
+        out[same[a:b]] = np.logical_or.reduceat(t[x] != t[y], ends[a:b] - n[a:b] - base)
+    return out
+
+
+def permuted_prefixes(flat: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """Common prefixes of the suffixes of an array with the ones before, up to ``most`` bytes each; 0 for the first.  They are computed in the order of the text's places, where reads are local."""
+    order = np.argsort(sa[1:], kind="stable")
+    x, y = sa[1:][order], sa[:-1][order]
+    padded = np.concatenate([flat, np.zeros(most + 8, np.uint8)])
+    word = np.lib.stride_tricks.as_strided(padded, (len(flat) + most, 8), (1, 1))
+    got, live = np.zeros(len(x), np.int64), np.arange(len(x))
+    for at in range(0, most, 8):
+        differs = word[x[live] + at].view(_U).ravel() ^ word[y[live] + at].view(_U).ravel()
+        lowest = differs & (~differs + _U(1))  # the first differing byte holds the lowest bit that differs
+        got[live] = at + np.where(differs == 0, 8, np.log2(np.maximum(lowest, _U(1)).astype(float)).astype(np.int64) // 8)
+        live = live[differs == 0]
+    room = len(flat) - np.maximum(x, y)
+    out = np.zeros(len(sa), np.int64)
+    out[1:][order] = np.minimum(np.minimum(got, most), room)
+    return out
 
 
 # ---- anchors -------------------------------------------------------------------------------------------------------------
 
 
-def anchors(flat: np.ndarray, off: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, hash) of the anchors of texts: of each ``least`` bytes, the k bytes of the smallest hash, the leftmost of equal ones."""
-    rows, places, hashes = [], [], []
+def anchors(flat: np.ndarray, off: np.ndarray, least: int, k: int) -> tuple[np.ndarray, ...]:
+    """(row, place, hash, first, last) of the anchors of texts: first and last are the places of the first and the last string of ``least`` bytes whose anchor it is."""
+    out = [[], [], [], [], []]
     window = least - k + 1
     for a, b in tb.slices(off, 1 << 16):
         o = off[a : b + 1] - off[a]
@@ -160,175 +186,247 @@ def anchors(flat: np.ndarray, off: np.ndarray, least: int, k: int) -> tuple[np.n
         if len(part) < least:
             continue
         h = tb.kgram_hash(part, k)
-        bits = _U(len(h)).item().bit_length()
-        low = (h >> _U(bits) << _U(bits)) | np.arange(len(h)).astype(_U)
+        at = np.arange(len(h), dtype=np.int32)
         have = 1
         while have < window:
             step = min(have, window - have)
-            low = np.minimum(low[: len(low) - step], low[step:])
+            x, y = at[: len(at) - step], at[step:]
+            at = np.where(h[x] <= h[y], x, y)  # the leftmost of equal ones
             have += step
-        ends = np.repeat(o[1:], np.diff(o))[: len(low)]
-        low = low[np.arange(len(low)) + least <= ends]
-        if not len(low):
+        ends = np.repeat(o[1:], np.diff(o))[: len(at)]
+        begin = np.flatnonzero(np.arange(len(at)) + least <= ends)  # places of strings
+        if not len(begin):
             continue
-        at = (low[np.concatenate([[True], low[1:] != low[:-1]])] & _U((1 << bits) - 1)).astype(np.int64)
+        at = at[begin].astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        at, first, last = at[cut], begin[cut], begin[np.append(cut[1:], len(at)) - 1]
         row = np.searchsorted(o, at, side="right") - 1
-        rows.append(row + a)
-        places.append(at - o[row])
-        hashes.append(h[at])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
-    return np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
+        for c, x in zip(out, (row + a, at - o[row], h[at], first - o[row], last - o[row]), strict=True):
+            c.append(x)
+    kinds = (np.int64, np.int64, _U, np.int64, np.int64)
+    return tuple(np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, kinds, strict=True))
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> _U(32)) * _U(shards)) >> _U(32)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, anchor: int = 26, chunk_bytes: int = CHUNK) -> DataFrame:
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """All places first, first + 1, ... of each range."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+
+
+class Piece:
+    """Surroundings of a chunk: text from ``at`` on, of ``size`` bytes, of the document ``row``; equal ones are found by hash and confirmed byte by byte."""
+
+    def __init__(self, flat, off, row, begin, size, h, most):
+        self.flat, self.row, self.begin, self.size, self.h, self.at = flat, row, begin, size, h, off[row] + begin
+        mark = np.zeros(len(row), _U)
+        power = tb._powers(most)[:most]
+        for a in range(0, len(row), 1 << 13):
+            grid, inside = self._grid(slice(a, a + (1 << 13)), most)
+            mark[a : a + (1 << 13)] = ((grid.astype(_U) + _U(1)) * power * inside).sum(axis=1)
+        self.mark, self.most = tb.mix(mark ^ tb.mix(size.astype(_U))), most
+
+    def _grid(self, which, most):
+        at, size = self.at[which], self.size[which]
+        place = np.arange(most)
+        return self.flat[np.minimum(at[:, None] + place, len(self.flat) - 1)], place < size[:, None]
+
+    def groups(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order in which equal surroundings stand together, the smallest id first, and where in it each one's first stands."""
+        order = np.lexsort((self.begin, self.row, ids[self.row], self.mark))
+        n = len(order)
+        first = np.ones(n, bool)
+        if n > 1:
+            first[1:] = self.mark[order][1:] != self.mark[order][:-1]
+            same = np.flatnonzero(~first)
+            for a in range(0, len(same), 1 << 13):
+                i = same[a : a + (1 << 13)]
+                (x, on), (y, _) = self._grid(order[i], self.most), self._grid(order[i - 1], self.most)
+                first[i] = (self.size[order[i]] != self.size[order[i - 1]]) | ((x != y) & on).any(axis=1)
+        return order, np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else order
+
+
+def covered(text: bytes, starts: np.ndarray, least: int) -> tuple[list[tuple[int, int]], bytes]:
+    """Maximal runs (start, length) that strings of ``least`` bytes at ``starts`` (sorted, each once) cover, and the bytes that are left."""
+    if not len(starts):
+        return [], text
+    cut = np.flatnonzero(starts[1:] > starts[:-1] + least) + 1
+    a, b = starts[np.concatenate([[0], cut])].tolist(), (starts[np.append(cut, len(starts)) - 1] + least).tolist()
+    return [(x, y - x) for x, y in zip(a, b, strict=True)], b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True))
+
+
+def repeats(texts: list[bytes], ids: np.ndarray, least: int) -> np.ndarray:
+    """For each surrounding the smallest id that has the string of ``least`` bytes at each of its places, (surroundings, places); of equal surroundings each has all ids'."""
+    kind: dict[bytes, int] = {}
+    which = np.fromiter((kind.setdefault(t, len(kind)) for t in texts), np.int64, len(texts))
+    flat, off = tb.flatten(list(kind))
+    size = np.diff(off)
+    owner = np.repeat(np.arange(len(kind)), size)
+    own_id = np.full(len(kind), _LAST)
+    np.minimum.at(own_id, which, ids)
+    # a separator after each surrounding, smaller than any byte
+    symbols = np.insert(flat.astype(np.int32) + 1, off[1:], 0)
+    sa = suffix_array(symbols)
+    back = np.full(len(symbols), -1)
+    back[np.arange(len(flat)) + owner] = np.arange(len(flat))
+    sa = back[sa]
+    valid = np.arange(len(flat)) + least <= off[1:][owner]
+    sa = sa[sa >= 0]
+    sa = sa[valid[sa]]
+    smallest = np.full((len(kind), max(1, int(size.max(initial=0)) - least + 1)), _LAST)
+    if len(sa):
+        cut = np.flatnonzero(permuted_prefixes(flat, sa, least) < least)
+        low = np.minimum.reduceat(own_id[owner[sa]], cut)
+        smallest[owner[sa], sa - off[owner[sa]]] = low[np.searchsorted(cut, np.arange(len(sa)), side="right") - 1]
+    return smallest[which]
+
+
+def _join(column, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in column] or [np.zeros(0, kind)])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, anchor: int | None = None, chunk_bytes: int = CHUNK, hot: int = HOT) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, spans (array of start, length), kept (the bytes that are left), kept_sha256.
 
     Texts are their UTF-8 bytes, null is empty. A byte goes if a string of ``least`` bytes that covers it starts in a document of a smaller id as well; strings are judged on the input and never
-    cross documents. Rows that repeat an id are one document to each other: they take nothing from each other. A null id is larger than any other (and one document with the largest long, if a row has that). ``anchor`` < ``least`` only
-    changes how the work is dealt. An empty table gives no rows. Other columns are ignored, whatever their names.
+    cross documents. Rows that repeat an id are one document to each other: they take nothing from each other. A null id is larger than any other (and one document with the largest long, if a row has that). ``anchor``
+    (by default about half of ``least``, and 24 less at most), ``chunk_bytes`` and ``hot`` only change how the work is dealt; a string may hold 64 anchors at most. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    if not 0 < anchor < least:
-        raise ValueError("0 < anchor < least")
+    anchor = max((least + 1) // 2, least - 24) if anchor is None else anchor
+    if not 0 < anchor < least or least - anchor + 1 > 64:
+        raise ValueError("0 < anchor < least, and least - anchor < 64")
     rows, chunks = common.chunked(docs, id_col, text_col, chunk_bytes)
+    shards = max(1, -(-chunks * chunk_bytes // SHARD))
     # A null id would turn all ids of its batch into floats.
     rows = rows.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(int(_LAST))))
-    side, most = least - anchor, 2 * least - anchor  # bytes around an anchor, and of a surrounding
-    starts = side + 1  # strings in a surrounding
+    most = 2 * least - anchor  # bytes of a surrounding at most
 
-    def found(pdf):
+    def read(pdf):
+        """Rows in an order that repeated ones don't change."""
         pdf = pdf.sort_values(["id", "text"], kind="stable", ignore_index=True)
-        ids = pdf["id"].to_numpy(np.int64)
-        flat, off = tb.flatten(pdf["text"])
-        return (ids, flat, off, *anchors(flat, off, least, anchor))
+        return pdf, pdf["id"].to_numpy(np.int64), *tb.flatten(pdf["text"])
 
     def send(pdf):
-        chunk = int(pdf["chunk"].iloc[0])
-        ids, _, _, row, _, h = found(pdf)
+        _, ids, flat, off = read(pdf)
+        row, _, h, _, _ = anchors(flat, off, least, anchor)
         order = np.lexsort((ids[row], h))
         h, d = h[order], ids[row][order]
-        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        last = np.append(cut[1:], len(h)) - 1 if len(h) else cut
-        kinds, several = h[cut], (d[cut] != d[last]).astype(np.uint8)
-        edges = np.searchsorted(_shard(kinds, chunks), np.arange(chunks + 1))
-        out = [(chunk, s, kinds[a:b].tobytes(), several[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-        return pd.DataFrame(out, columns=["chunk", "shard", "keys", "several"])
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        cut = np.flatnonzero(new)
+        fresh = new.copy()
+        fresh[1:] |= d[1:] != d[:-1]
+        kinds, many = h[cut], np.minimum(np.add.reduceat(fresh, cut, dtype=np.int64), 65535).astype(np.uint16) if len(cut) else np.zeros(0, np.uint16)
+        edges = np.searchsorted(_shard(kinds, shards), np.arange(shards + 1))
+        out = [(int(pdf["chunk"].iloc[0]), s, kinds[a:b].tobytes(), many[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        return pd.DataFrame(out, columns=["chunk", "shard", "keys", "many"])
 
     def meet(pdf):
+        """For each anchor of each chunk: 0 if one document has it, 1 if several do, 2 if very many do."""
         keys = [np.frombuffer(x, _U) for x in pdf["keys"]]
-        many = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["several"]])
-        kinds, which, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        shared = (n + np.bincount(which, weights=many, minlength=len(kinds)) > 1)[which]
+        kinds, which = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(which, weights=_join(pdf["many"], np.uint16), minlength=len(kinds))
+        kind = ((n > 1).astype(np.uint8) + (n > hot))[which]
         ends = np.cumsum([len(x) for x in keys])
-        return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "shared": [np.packbits(shared[e - len(x) : e]).tobytes() for x, e in zip(keys, ends, strict=True)], "n": [len(x) for x in keys]})
+        return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "kinds": [kind[e - len(x) : e].tobytes() for x, e in zip(keys, ends, strict=True)]})
+
+    columns = ["chunk", "shard", "ids", "rows", "starts", "sizes", "fine", "bytes", "masks"]
 
     def surround(left, right):
         if not len(left):
-            return pd.DataFrame({c: [] for c in ("chunk", "shard", "ids", "rows", "starts", "sizes", "bytes", "masks")})
+            return pd.DataFrame({c: [] for c in columns})
         chunk = int(left["chunk"].iloc[0])
-        ids, flat, off, row, place, h = found(left)
-        kinds, which = np.unique(h, return_inverse=True)
-        right = right.sort_values("shard")
-        shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(right["shared"], right["n"], strict=True)] or [np.zeros(0, np.uint8)]).astype(bool)
-        on = shared[which] if len(h) else np.zeros(0, bool)
-        row, place, h = row[on], place[on], h[on]
-        begin = np.maximum(place - side, 0)
-        size = np.minimum(place + least, np.diff(off)[row]) - begin
-        at = off[row] + begin
-        mark = np.zeros(len(row), _U)
-        power = tb._powers(most)[:most]
-        for a in range(0, len(row), 1 << 14):
-            b = min(a + (1 << 14), len(row))
-            grid = at[a:b, None] + np.arange(most)
-            inside = np.arange(most) < size[a:b, None]
-            mark[a:b] = ((flat[np.minimum(grid, len(flat) - 1)].astype(_U) + _U(1)) * power * inside).sum(axis=1)
-        mark = tb.mix(mark ^ tb.mix((size * most + place - begin).astype(_U)))
-        order = np.lexsort((row, ids[row], mark))
-        first = np.concatenate([[True], mark[order][1:] != mark[order][:-1]]) if len(order) else np.zeros(0, bool)
-        least_id = ids[row][order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else ids[:0]
-        # Equal surroundings within the chunk: the smallest document's goes to the shard, those of other documents are repeats already.
-        known = ids[row][order] > least_id
+        _, ids, flat, off = read(left)
+        row, _, h, first, last = anchors(flat, off, least, anchor)
+        which = np.unique(h, return_inverse=True)[1]
+        kind = _join(right.sort_values("shard")["kinds"], np.uint8)[which] if len(h) else np.zeros(0, np.uint8)
+        on, single = kind == 1, kind == 2
+        many = (last - first + 1)[single]
+        begin = np.concatenate([first[on], _ranges(first[single], many)])
+        size = np.concatenate([(last - first)[on] + least, np.full(len(begin) - int(on.sum()), least)])
+        row_, h_ = np.concatenate([row[on], np.repeat(row[single], many)]), np.concatenate([h[on], np.zeros(len(begin) - int(on.sum()), _U)])
+        piece = Piece(flat, off, row_, begin, size, h_, most)
+        piece.h[int(on.sum()) :] = piece.mark[int(on.sum()) :]
+        order, head = piece.groups(ids)
+        heads = order[head] if len(order) else order
+        later = ids[row_[order]] > ids[row_[heads]]
+        again = ~later & (order != heads)
+        binary = lambda x, t=np.int64: x.astype(t).tobytes()
         out = []
-        j = order[known]
+        j = order[later]  # an earlier document of the chunk has the whole surrounding
+        if len(j):
+            strings = (size[j] - least + 1).astype(_U)
+            out.append((chunk, -1, b"", binary(row_[j]), binary(begin[j]), b"", b"", b"", binary(_FULL >> (_U(64) - strings), _U)))
+        j, k = order[again], heads[again]  # the same document has it again: what its first place gets counts here too
         if len(j):
-            all_ = ((_U(1) << (size[j] - least + 1).astype(_U)) - _U(1)).astype(_U)
-            out.append((chunk, -1, b"", row[j].astype(np.int64).tobytes(), begin[j].astype(np.int64).tobytes(), b"", b"", all_.tobytes()))
-        j = order[~known]
-        shard = _shard(h[j], chunks * SPREAD)
+            out.append((chunk, -2, b"", binary(row_[j]), binary(begin[j]), binary(row_[k]), b"", binary(begin[k]), b""))
+        j = order[order == heads]
+        shard = _shard(piece.h[j], shards)
         j = j[np.argsort(shard, kind="stable")]
-        edges = np.searchsorted(np.sort(shard), np.arange(chunks * SPREAD + 1))
+        edges = np.searchsorted(np.sort(shard), np.arange(shards + 1))
         for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             if b > a:
                 i = j[a:b]
-                text = b"".join(flat[x : x + n].tobytes() for x, n in zip(at[i].tolist(), size[i].tolist(), strict=True))
-                out.append((chunk, s, ids[row[i]].tobytes(), row[i].astype(np.int64).tobytes(), begin[i].astype(np.int64).tobytes(), size[i].astype(np.uint16).tobytes(), text, b""))
-        return pd.DataFrame(out, columns=["chunk", "shard", "ids", "rows", "starts", "sizes", "bytes", "masks"])
+                text = b"".join(flat[x : x + n].tobytes() for x, n in zip(piece.at[i].tolist(), size[i].tolist(), strict=True))
+                out.append((chunk, s, binary(ids[row_[i]]), binary(row_[i]), binary(begin[i]), binary(size[i], np.uint16), binary(piece.h[i] & _U(255), np.uint8), text, b""))
+        return pd.DataFrame(out, columns=columns)
 
     def sort(pdf):
-        size = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["sizes"]]).astype(np.int64)
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
+        size, ids, fine = _join(pdf["sizes"], np.uint16).astype(np.int64), _join(pdf["ids"], np.int64), _join(pdf["fine"], np.uint8)
         text = b"".join(pdf["bytes"])
         ends = np.cumsum(size)
-        kind: dict[bytes, int] = {}
-        which = np.fromiter((kind.setdefault(text[e - n : e], len(kind)) for e, n in zip(ends.tolist(), size.tolist(), strict=True)), np.int64, len(size))
-        flat, off = tb.flatten(list(kind))
-        owner = np.repeat(np.arange(len(kind)), np.diff(off))
-        own_id = np.full(len(kind), _LAST)
-        np.minimum.at(own_id, which, ids)
-        # a separator after each surrounding, smaller than any byte
-        symbols = np.insert(flat.astype(np.int32) + 1, off[1:], 0)
-        sa = suffix_array(symbols)
-        back = np.full(len(symbols), -1)
-        back[np.arange(len(flat)) + owner] = np.arange(len(flat))
-        sa = back[sa]
-        valid = np.arange(len(flat)) + least <= off[1:][owner]
-        sa = sa[sa >= 0]
-        sa = sa[valid[sa]]
-        smallest = np.full((len(kind), starts), _LAST)
-        if len(sa):
-            new = np.concatenate([[True], ~same_prefix(flat, sa[1:], sa[:-1], least)])
-            cut = np.flatnonzero(new)
-            low = np.minimum.reduceat(own_id[owner[sa]], cut)
-            smallest[owner[sa], sa - off[owner[sa]]] = low[np.cumsum(new) - 1]
-        mask = ((smallest[which] < ids[:, None]).astype(_U) << np.arange(starts).astype(_U)).sum(axis=1, dtype=_U)
+        mask = np.zeros(len(size), _U)
+        # Parts of the shard: surroundings of one anchor are in one.
+        volume = np.cumsum(np.bincount(fine, weights=size, minlength=256))
+        part = (np.maximum(volume - 1, 0) // PART).astype(np.int64)[fine]
+        for p in np.unique(part).tolist():
+            on = np.flatnonzero(part == p)
+            least_id = repeats([text[e - n : e] for e, n in zip(ends[on].tolist(), size[on].tolist(), strict=True)], ids[on], least)
+            bits = np.arange(least_id.shape[1]).astype(_U)
+            mask[on] = ((least_id < ids[on][:, None]).astype(_U) << bits).sum(axis=1, dtype=_U)
         out, b = [], 0
         for c, r, s in zip(pdf["chunk"], pdf["rows"], pdf["starts"], strict=True):
             a, b = b, b + len(r) // 8
-            on = mask[a:b] > 0
-            out.append((c, np.frombuffer(r, np.int64)[on].tobytes(), np.frombuffer(s, np.int64)[on].tobytes(), mask[a:b][on].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "rows", "starts", "masks"])
+            hit = mask[a:b] > 0
+            if hit.any():
+                out.append((c, np.frombuffer(r, np.int64)[hit].tobytes(), np.frombuffer(s, np.int64)[hit].tobytes(), b"", b"", mask[a:b][hit].tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "rows", "starts", "sizes", "bytes", "masks"])
 
     def cut_out(left, right):
-        left = left.sort_values(["id", "text"], kind="stable", ignore_index=True)  # rows of one id and text get equal masks
-        flat, off = tb.flatten(left["text"])
-        row, start, mask = (np.concatenate([np.frombuffer(x, t) for x in right[c]] or [np.zeros(0, t)]) for c, t in (("rows", np.int64), ("starts", np.int64), ("masks", _U)))
-        edge = np.zeros(len(flat) + 1, np.int32)
-        for k in range(starts):
-            at = (off[row] + start)[(mask >> _U(k)) & _U(1) > 0] + k
-            at = np.unique(at)
-            edge[at] += 1
-            edge[at + least] -= 1
-        gone = edge.cumsum()[:-1] > 0
+        left, _, flat, off = read(left)
+        plain = right["masks"].str.len() > 0
+        row, start, mask = (_join(right[c][plain], t) for c, t in (("rows", np.int64), ("starts", np.int64), ("masks", _U)))
+        again = [_join(right[c][~plain], np.int64) for c in ("rows", "starts", "sizes", "bytes")]
+        # What the first place of a surrounding got, for its other places in the same document.
+        key, wanted = off[row] + start, off[again[2]] + again[3]
+        order = np.argsort(key, kind="stable")
+        if len(key) and len(wanted):
+            lo, hi = (np.searchsorted(key[order], wanted, side=s) for s in ("left", "right"))
+            many = hi - lo
+            of = order[_ranges(lo, many)]
+            row, start, mask = np.concatenate([row, np.repeat(again[0], many)]), np.concatenate([start, np.repeat(again[1], many)]), np.concatenate([mask, mask[of]])
+        at = [(off[row] + start)[(mask >> _U(k)) & _U(1) > 0] + k for k in range(least - anchor + 1)]
+        at = np.unique(np.concatenate(at))
+        edges = np.searchsorted(at, off)
         out = []
         for i in range(len(left)):
-            g, text = gone[off[i] : off[i + 1]], flat[off[i] : off[i + 1]]
-            turn = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
-            spans = [{"start": int(a), "length": int(b - a)} for a, b in zip(turn[::2], turn[1::2], strict=True)]
-            kept = text[~g].tobytes()
-            out.append((len(text), int(g.sum()), len(spans), spans, kept, hashlib.sha256(kept).hexdigest()))
+            text = flat[off[i] : off[i + 1]].tobytes()
+            spans, kept = covered(text, at[edges[i] : edges[i + 1]] - off[i], least)
+            out.append((len(text), len(text) - len(kept), len(spans), [{"start": a, "length": n} for a, n in spans], kept, hashlib.sha256(kept).hexdigest()))
         res = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
         res.insert(0, "id", pd.arrays.IntegerArray(left["id"].to_numpy(np.int64), left["none"].to_numpy(bool)))
         return res
 
-    sent = rows.groupBy("chunk").applyInPandas(send, "chunk int, shard int, keys binary, several binary")
-    shared = common.stage(sent.groupBy("shard").applyInPandas(meet, "chunk int, shard int, shared binary, n long"), "shared")
-    wide = "chunk int, shard int, ids binary, rows binary, starts binary, sizes binary, bytes binary, masks binary"
+    sent = rows.groupBy("chunk").applyInPandas(send, "chunk int, shard int, keys binary, many binary")
+    shared = common.stage(sent.groupBy("shard").applyInPandas(meet, "chunk int, shard int, kinds binary"), "shared")
+    wide = "chunk int, shard int, ids binary, rows binary, starts binary, sizes binary, fine binary, bytes binary, masks binary"
     around = common.stage(rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(surround, wide), "surroundings")
-    masks = around.where("shard >= 0").groupBy("shard").applyInPandas(sort, "chunk int, rows binary, starts binary, masks binary")
-    masks = common.stage(masks.union(around.where("shard < 0").select("chunk", "rows", "starts", "masks")), "masks")
+    common.discard(shared)
+    narrow = ["chunk", "rows", "starts", "sizes", "bytes", "masks"]
+    masks = around.where("shard >= 0").groupBy("shard").applyInPandas(sort, ", ".join(f"{c} {'int' if c == 'chunk' else 'binary'}" for c in narrow))
+    masks = common.stage(masks.union(around.where("shard < 0").select(*narrow)), "masks")
+    common.discard(around)
     final = "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, length: long>>, kept binary, kept_sha256 string"
     return rows.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInPandas(cut_out, final).withColumnRenamed("id", id_col)
