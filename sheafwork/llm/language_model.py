@@ -7,7 +7,8 @@ Documents are dealt to chunks. A chunk sends each of its distinct n-grams once,
 shard adds up and answers with the total counts in the chunk's own order. So a frequent n-gram costs a shard one entry per chunk, nothing is
 joined token by token, and what is gathered grows with the corpus. Every order from trigrams up has a pass of its own, after that of
 the one before; there a chunk sends no n-gram of which a shorter part stands in no other chunk (so does the n-gram, and its total is the chunk's own count) or
-never occurs in training. The sufficient statistics of the weights are a histogram of bounded size.
+never occurs in training. The sufficient statistics of the weights are a histogram of bounded size: for them alone, estimates are rounded to quarter powers of two; scores use
+unrounded estimates. A chunk sends a row to every shard that it has n-grams for, never more rows than n-grams.
 """
 
 from __future__ import annotations
@@ -99,9 +100,9 @@ def _read(replies: pd.DataFrame, order: int) -> dict[int, tuple[np.ndarray, np.n
     out, replies = {}, replies.sort_values(["level", "shard"])
     for level in range(order):
         own = replies[replies["level"] == level]
-        counts = [_from_planes(c, np.uint32) for c in own["counts"]]
+        counts = [_from_planes(c, _U) for c in own["counts"]]
         alone = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)) for x, c in zip(own["alone"], counts, strict=True)]
-        out[level] = np.concatenate(counts or [np.zeros(0, np.uint32)]), np.concatenate(alone or [np.zeros(0, np.uint8)]).astype(bool)
+        out[level] = np.concatenate(counts or [np.zeros(0, _U)]).astype(np.int64), np.concatenate(alone or [np.zeros(0, np.uint8)]).astype(bool)
     return out
 
 
@@ -131,7 +132,7 @@ def _total(pdf):
     begin = tb.mix(np.array([_BEGIN]))[0]
     known = (total > 0) & (kinds != begin)
     ends = np.cumsum([len(k) for k in keys])
-    answers = [_planes(total[which[e - len(k) : e]].astype(np.uint32)) for k, e in zip(keys, ends, strict=True)]
+    answers = [_planes(total[which[e - len(k) : e]].astype(_U)) for k, e in zip(keys, ends, strict=True)]
     single = (np.bincount(which, minlength=len(kinds)) == 1)[which]
     alone = [np.packbits(single[e - len(k) : e]).tobytes() for k, e in zip(keys, ends, strict=True)]
     n, v = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
@@ -179,6 +180,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     Repeated rows count as often as they are there.  Without training rows all tokens are alike.  An empty table gives no rows.  Other columns are ignored, whatever their names.
     """
     rows, chunks = common.chunked(docs, id_col, text_col, chunk_bytes, F.coalesce(train, F.lit(False)).alias("train"))
+    rows = rows.withColumn("id", F.col("id").cast("string"))  # beside nulls, numbers would become floats in pandas
     wide, narrow = "chunk int, level int, shard int, keys binary, counts binary", "chunk int, level int, shard int, counts binary, alone binary, n long, v long"
     replies = None
     for levels in (range(min(order, 2)), *(range(i, i + 1) for i in range(2, order))):
@@ -231,5 +233,5 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         sums = lambda x: np.bincount(g.doc[g.real], weights=x[g.real], minlength=g.docs)
         return pd.DataFrame({"id": left["id"], "n_tokens": sums(np.ones(len(g.doc))).astype(np.int64), "n_known": sums(counts[0] > 0).astype(np.int64), "train_tokens": n, "base_score": sums(base), "score": sums(p)})
 
-    out = both.applyInPandas(scores, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("id", id_col)
+    out = both.applyInPandas(scores, "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)

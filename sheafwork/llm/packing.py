@@ -27,20 +27,26 @@ _TOKENIZERS: dict[str, object] = {}
 
 
 class _Cache:
-    """Token ids by word hash: the place of each word in three arrays."""
+    """Token ids by word hash: hashes in order, and the place of each word's ids in one array."""
 
     def __init__(self):
         self.clear()
 
     def clear(self):
-        self.place: dict[int, int] = {}
-        self.pool, self.begin, self.many = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.pool, self.begin, self.many = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, keys: list[int], ids: list[list[int]]):
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes, and which of them are known."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]):
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.place.update(zip(keys, range(len(self.many), len(self.many) + len(keys)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(n) - n])
-        self.many = np.concatenate([self.many, n])
+        self.keys = np.concatenate([self.keys, keys])
+        order = np.argsort(self.keys, kind="stable")
+        self.keys = self.keys[order]
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(n) - n])[order]
+        self.many = np.concatenate([self.many, n])[order]
         self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))])
 
 
@@ -65,14 +71,14 @@ def token_ids(flat: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray,
     if not len(h):
         return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
     kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
-    if len(cache.place) > 1_000_000:
+    if len(cache.keys) > 1_000_000:
         cache.clear()
-    keys = kinds.tolist()
-    new = [i for i, k in enumerate(keys) if k not in cache.place]
-    if new:
-        texts = [flat[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), (start + length)[first[new]].tolist(), strict=True)]
-        cache.add([keys[i] for i in new], [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
-    at = np.fromiter(map(cache.place.__getitem__, keys), np.int64, len(keys))
+    new = np.flatnonzero(~cache.find(kinds)[1])
+    if len(new):
+        raw = flat.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), (start + length)[first[new]].tolist(), strict=True)]
+        cache.add(kinds[new], [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
+    at = cache.find(kinds)[0]
     pool, begin, n = cache.pool, cache.begin[at], cache.many[at]
     many = n[which]
     out = pool[np.repeat(begin[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
