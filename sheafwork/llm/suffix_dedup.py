@@ -13,6 +13,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from . import textbytes as tb
 
 _U = np.uint64
 #: Text bytes of a chunk, of surroundings' text that a shard is meant for, and of one suffix array (which takes some hundred times its text's memory).
-CHUNK, SHARD, PART = 4 << 20, 4 << 20, 1 << 18
+CHUNK, SHARD, PART = 4 << 20, 2 << 20, 1 << 20
 #: Documents that may have an anchor before its strings are dealt one by one.
 HOT = 2048
 #: Distinct symbols up to which a reduced string is sorted by recursion.
@@ -302,6 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A null id would turn all ids of its batch into floats.
     rows = rows.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(int(_LAST))))
     most = 2 * least - anchor  # bytes of a surrounding at most
+    narrow = ["chunk", "rows", "starts", "sizes", "bytes", "masks"]
 
     def read(pdf):
         """Rows in an order that repeated ones don't change."""
@@ -353,15 +355,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         heads = order[head] if len(order) else order
         later = ids[row_[order]] > ids[row_[heads]]
         again = ~later & (order != heads)
-        binary = lambda x, t=np.int64: x.astype(t).tobytes()
+        binary = lambda x, t=np.int32: x.astype(t).tobytes()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        own = -1 - chunk  # a group that the shards' step passes through
         out = []
         j = order[later]  # an earlier document of the chunk has the whole surrounding
         if len(j):
             strings = (size[j] - least + 1).astype(_U)
-            out.append((chunk, -1, b"", binary(row_[j]), binary(begin[j]), b"", b"", b"", binary(_FULL >> (_U(64) - strings), _U)))
+            out.append((chunk, own, b"", binary(row_[j]), binary(begin[j]), b"", b"", b"", binary(_FULL >> (_U(64) - strings), _U)))
         j, k = order[again], heads[again]  # the same document has it again: what its first place gets counts here too
         if len(j):
-            out.append((chunk, -2, b"", binary(row_[j]), binary(begin[j]), binary(row_[k]), b"", binary(begin[k]), b""))
+            out.append((chunk, own, b"", binary(row_[j]), binary(begin[j]), binary(row_[k]), b"", binary(begin[k]), b""))
         j = order[order == heads]
         shard = _shard(piece.h[j], shards)
         j = j[np.argsort(shard, kind="stable")]
@@ -370,12 +374,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if b > a:
                 i = j[a:b]
                 text = b"".join(flat[x : x + n].tobytes() for x, n in zip(piece.at[i].tolist(), size[i].tolist(), strict=True))
-                out.append((chunk, s, binary(ids[row_[i]]), binary(row_[i]), binary(begin[i]), binary(size[i], np.uint16), binary(piece.h[i] & _U(255), np.uint8), text, b""))
+                out.append((chunk, s, binary(ids[row_[i]], np.int64), binary(row_[i]), binary(begin[i]), binary(size[i], np.uint16), binary(piece.h[i] & _U(255), np.uint8), squeeze(text), b""))
         return pd.DataFrame(out, columns=columns)
 
     def sort(pdf):
+        if pdf["shard"].iloc[0] < 0:
+            return pdf[narrow]
         size, ids, fine = _join(pdf["sizes"], np.uint16).astype(np.int64), _join(pdf["ids"], np.int64), _join(pdf["fine"], np.uint8)
-        text = b"".join(pdf["bytes"])
+        text = b"".join(map(zstandard.ZstdDecompressor().decompress, pdf["bytes"]))
         ends = np.cumsum(size)
         mask = np.zeros(len(size), _U)
         # Parts of the shard: surroundings of one anchor are in one.
@@ -388,17 +394,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             mask[on] = ((least_id < ids[on][:, None]).astype(_U) << bits).sum(axis=1, dtype=_U)
         out, b = [], 0
         for c, r, s in zip(pdf["chunk"], pdf["rows"], pdf["starts"], strict=True):
-            a, b = b, b + len(r) // 8
+            a, b = b, b + len(r) // 4
             hit = mask[a:b] > 0
             if hit.any():
-                out.append((c, np.frombuffer(r, np.int64)[hit].tobytes(), np.frombuffer(s, np.int64)[hit].tobytes(), b"", b"", mask[a:b][hit].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "rows", "starts", "sizes", "bytes", "masks"])
+                out.append((c, np.frombuffer(r, np.int32)[hit].tobytes(), np.frombuffer(s, np.int32)[hit].tobytes(), b"", b"", mask[a:b][hit].tobytes()))
+        return pd.DataFrame(out, columns=narrow)
 
     def cut_out(left, right):
         left, _, flat, off = read(left)
         plain = right["masks"].str.len() > 0
-        row, start, mask = (_join(right[c][plain], t) for c, t in (("rows", np.int64), ("starts", np.int64), ("masks", _U)))
-        again = [_join(right[c][~plain], np.int64) for c in ("rows", "starts", "sizes", "bytes")]
+        row, start, mask = (_join(right[c][plain], t) for c, t in (("rows", np.int32), ("starts", np.int32), ("masks", _U)))
+        again = [_join(right[c][~plain], np.int32) for c in ("rows", "starts", "sizes", "bytes")]
         # What the first place of a surrounding got, for its other places in the same document.
         key, wanted = off[row] + start, off[again[2]] + again[3]
         order = np.argsort(key, kind="stable")
@@ -422,11 +428,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = rows.groupBy("chunk").applyInPandas(send, "chunk int, shard int, keys binary, many binary")
     shared = common.stage(sent.groupBy("shard").applyInPandas(meet, "chunk int, shard int, kinds binary"), "shared")
     wide = "chunk int, shard int, ids binary, rows binary, starts binary, sizes binary, fine binary, bytes binary, masks binary"
-    around = common.stage(rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(surround, wide), "surroundings")
+    around = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(surround, wide)
+    masks = around.groupBy("shard").applyInPandas(sort, ", ".join(f"{c} {'int' if c == 'chunk' else 'binary'}" for c in narrow))
+    masks = common.stage(masks, "masks")
     common.discard(shared)
-    narrow = ["chunk", "rows", "starts", "sizes", "bytes", "masks"]
-    masks = around.where("shard >= 0").groupBy("shard").applyInPandas(sort, ", ".join(f"{c} {'int' if c == 'chunk' else 'binary'}" for c in narrow))
-    masks = common.stage(masks.union(around.where("shard < 0").select(*narrow)), "masks")
-    common.discard(around)
     final = "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, length: long>>, kept binary, kept_sha256 string"
     return rows.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInPandas(cut_out, final).withColumnRenamed("id", id_col)

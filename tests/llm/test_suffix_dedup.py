@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from sheafwork.llm import queries, suffix_dedup
 
@@ -72,3 +73,31 @@ def test_null_and_large_ids(spark):
     for chunk_bytes in (60, 1 << 20):
         out = [(last if r[0] is None else r[0], *r[1:]) for r in [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, least=20, anchor=8, chunk_bytes=chunk_bytes).collect()]]
         assert sorted(out) == want
+
+
+def test_hot_anchors_runs_and_long_strings(spark):
+    """Anchors that many documents have, dealt by string; runs of one byte and short periods; strings of other lengths; extra columns with names of the work's own."""
+    rng = random.Random(8)
+    phrase = "a phrase that everybody uses in some context, "
+    rows = [(i, "".join(rng.choices("xyz ", k=30)) + phrase[: rng.randint(28, 46)] + "".join(rng.choices("uvw ", k=30))) for i in range(80)]
+    rows += [(100, "ab" * 300), (101, "ab" * 200 + "c"), (102, "q" * 900), (102, "q" * 300), (103, "q" * 500 + "r"), (104, phrase * 20), (105, phrase * 9)]
+    df = spark.createDataFrame([(*r, 1, "s", 2) for r in rows], "doc_id long, text string, shard int, masks string, rows int")
+    for least, hot in ((30, 1), (30, 2048), (120, 3), (50, 5)):
+        assert got(suffix_dedup.remove_repeats(df, least=least, chunk_bytes=2000, hot=hot)) == brute(rows, least)
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(df, least=120, anchor=26)
+
+
+def test_common_prefixes_and_recursion():
+    rng = np.random.default_rng(4)
+    flat = rng.integers(0, 3, 4000).astype(np.uint8)
+    sa = suffix_dedup.suffix_array(flat.astype(np.int64))  # few symbols: the reduced string is sorted by recursion
+    text = flat.tobytes()
+    assert [text[a:] for a in sa] == sorted(text[i:] for i in range(len(text)))
+    want = [0]
+    for a, b in zip(sa[1:], sa[:-1]):
+        n = 0
+        while n < 20 and max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+            n += 1
+        want.append(n)
+    assert suffix_dedup.permuted_prefixes(flat, sa, 20).tolist() == want
