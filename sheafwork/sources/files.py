@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """All files below a folder: path, name, size, modified, content.  Spark reads no bytes of files whose content isn't asked for."""
+    """All files below a folder: path, name, size, modified, content.  Spark reads no bytes where content isn't asked for, and leaves out files without bytes."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
