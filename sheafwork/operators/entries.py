@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import binary as B
+from ..functions import text as T
+from . import markup as M
 
 # Tags that are looked for in DICOM bytes (group, element, name).
 DICOM_TAGS = [
@@ -25,6 +27,31 @@ def joined_parts(entries: DataFrame, by: str, pattern: str, text, sep: str = "\n
     return got.select(by, F.size("l").alias("parts"), F.array_join(F.transform("l", lambda x: x["__t"]), sep).alias("text"))
 
 
+def epub_books(entries: DataFrame, by: str) -> DataFrame:
+    """Books from their entries (``by``, name, xml): title, creator, publisher, chapters, characters, words and text.
+
+    The container names the package (OEBPS/content.opf by default); its spine refers to items of the manifest, whose HTML parts are the chapters in the spine's order. References without an item or
+    a part go, repeated ones repeat, of items with one id the last counts. A book without any such chapter is read from all its HTML parts in the order of their names. Books without entries
+    of a package have null fields.
+    """
+    attribute = lambda tag, name: F.nullif(F.regexp_extract(tag, rf'\b{name}="([^"]+)"', 1), F.lit(""))
+    container = entries.where("name = 'META-INF/container.xml'").groupBy(by).agg(F.max(attribute(F.col("xml"), "full-path")).alias("opf"))
+    books = entries.select(by).distinct().join(container, by, "left").select(by, F.coalesce("opf", F.lit("OEBPS/content.opf")).alias("name"))
+    package = books.join(entries, [by, "name"]).select(by, folder_of(F.col("name")).alias("dir"), "xml")
+    item = package.select(by, "dir", F.posexplode(F.regexp_extract_all("xml", F.lit(r"<item\b[^>]*>"), F.lit(0))).alias("pos", "tag"))
+    item = item.select(by, attribute(F.col("tag"), "id").alias("id"), "pos", F.concat("dir", attribute(F.col("tag"), "href")).alias("name"), attribute(F.col("tag"), "media-type").alias("media")).where("id is not null and name is not null")
+    item = item.groupBy(by, "id").agg(F.max_by(F.struct("name", "media"), "pos").alias("i")).where("i.media like '%html%'").select(by, "id", "i.name")
+    spine = package.select(by, F.posexplode(F.regexp_extract_all("xml", F.lit(r"<itemref\b[^>]*>"), F.lit(0))).alias("pos", "tag")).select(by, "pos", attribute(F.col("tag"), "idref").alias("id"))
+    chapter = spine.join(item, [by, "id"]).join(entries, [by, "name"]).select(by, "pos", F.lit("").alias("name"), T.strip_html(F.col("xml")).alias("t")).where("t != ''")
+    other = entries.where(F.col("name").rlike(r"(?i)\.(x?html?|htm)$")).join(chapter.select(by).distinct(), by, "left_anti")
+    other = other.select(by, F.lit(0).alias("pos"), "name", M.mail_text(F.col("xml")).alias("t")).where("t != ''")
+    told = chapter.union(other).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "name", "t"))).alias("l"))
+    field = lambda name: T.dublin_core(F.col("xml"), name).alias(name)
+    text = F.coalesce(F.array_join(F.transform("l", lambda x: x["t"]), "\n\n"), F.lit(""))
+    out = books.select(by).join(package.select(by, field("title"), field("creator"), field("publisher")), by, "left").join(told, by, "left")
+    return out.select(by, "title", "creator", "publisher", F.coalesce(F.size("l"), F.lit(0)).alias("chapters"), F.length(text).alias("characters"), F.regexp_count(text, F.lit(r"\S+")).alias("words"), text.alias("text"))
+
+
 def folder_of(path: Column) -> Column:
     """A path up to its last slash, or nothing."""
     return F.regexp_extract(path, "^(.*/)", 1)

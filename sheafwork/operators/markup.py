@@ -143,6 +143,24 @@ def dxf_types(text: Column) -> Column:
     return T.all_of(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?m)^[ \t]*0\n\s*(\w+)")
 
 
+def dxf_drawing(text: Column) -> Column:
+    """(version, units, variables, layers, blocks, types, texts, dimensions) of a DXF: header variables, names of layers and blocks, and the types of the entities of its section of entities, in order; a hundred texts."""
+    t = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    pairs = r"(?:[ \t]*[1-9]\d*\n[^\n]*\n)*?"  # group codes and values up to what is looked for, within one entity
+    entities = F.regexp_extract(t, r"(?s)\n[ \t]*2\nENTITIES\n(.*?\n)[ \t]*0\nENDSEC", 1)
+    named = lambda kind: T.all_of(t, rf"(?m)^[ \t]*0\n{kind}\n{pairs}[ \t]*2\n([^\n]*)$")
+    variable = lambda name, code: F.nullif(T.trim_all(F.regexp_extract(t, rf"(?m)^[ \t]*9\n\${name}\n[ \t]*{code}\n([^\n]*)$", 1)), F.lit(""))
+    lines = F.split(entities, "\n")
+    codes = F.filter(lines, lambda x, i: i % 2 == 0)
+    values = F.filter(lines, lambda x, i: i % 2 == 1)
+    kinds = F.filter(F.zip_with(codes, values, lambda c, v: F.when(T.trim_all(c) == "0", T.trim_all(v))), lambda k: k.isNotNull())
+    texts = F.filter(T.all_of(entities, rf"(?m)^[ \t]*0\nM?TEXT\n{pairs}[ \t]*1\n([^\n]*)$"), lambda x: x != "")
+    return F.struct(
+        variable("ACADVER", 1).alias("version"), variable("INSUNITS", 70).alias("units"), F.regexp_count(t, F.lit(r"(?m)^[ \t]*9\n\$")).alias("variables"), named("LAYER").alias("layers"), named("BLOCK").alias("blocks"),
+        kinds.alias("types"), F.slice(texts, 1, 100).alias("texts"), F.size(F.filter(kinds, lambda k: k == "DIMENSION")).alias("dimensions"),
+    )
+
+
 def counted(items: Column) -> Column:
     """(item, n) of an array, in the order of the first places."""
     return F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("item"), F.size(F.filter(items, lambda y: y == x)).alias("n")))

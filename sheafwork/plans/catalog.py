@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import subtitles as S
-from . import formats  # noqa: F401  its queries join the catalogue
+from . import formats, steps  # noqa: F401  their queries join the catalogue
 from .base import QUERIES, SQL, query
 from .base import table as _t
 
