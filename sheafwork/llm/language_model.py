@@ -65,6 +65,17 @@ def grams(texts, order: int, levels: int | None = None) -> Grams:
     return Grams(keys, real, doc, len(counts), place == 0)
 
 
+def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and which of them stands at every place."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> _U(32)) * _U(shards)) >> _U(32)
 
@@ -83,7 +94,7 @@ def _totals(g: Grams, train: np.ndarray, replies: pd.DataFrame | None, upto: int
     """For each order below ``upto``: its distinct n-grams, the training counts in the chunk, which n-grams shards are asked for, each place's n-gram, and the total counts (none where not answered yet)."""
     whole = None
     for level, keys in enumerate(g.keys[:upto]):
-        kinds, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        kinds, first, which = _kinds(keys)
         own = np.bincount(which, weights=train, minlength=len(kinds)).astype(np.int64)
         # Pairs are asked for in the pass of the words, when no totals are known.
         ask = np.ones(len(kinds), bool) if level < 2 else ~(whole[first] | (whole[first - 1] & ~g.starts[first]))
@@ -127,7 +138,7 @@ def _send(left: pd.DataFrame, right: pd.DataFrame | None, order: int, levels: ra
 def _total(pdf):
     keys = [np.cumsum(_from_planes(k, _U), dtype=_U) for k in pdf["keys"]]
     counts = [_from_planes(c, np.uint32) for c in pdf["counts"]]
-    kinds, which = np.unique(np.concatenate(keys), return_inverse=True)
+    kinds, _, which = _kinds(np.concatenate(keys))
     total = np.bincount(which, weights=np.concatenate(counts), minlength=len(kinds)).astype(np.int64)
     begin = tb.mix(np.array([_BEGIN]))[0]
     known = (total > 0) & (kinds != begin)
