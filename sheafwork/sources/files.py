@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """All files below a folder: path, name, size, modified, content.  Spark reads no bytes where content isn't asked for, and leaves out files without bytes."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+def read_files(spark: SparkSession, path: str, glob: str | None = None, stream: bool = False) -> DataFrame:
+    """All files below a folder: path, name, size, modified, content.  Spark reads no bytes where content isn't asked for, and leaves out files without bytes.
+
+    As a stream, files that come later are rows of later batches; detection and parsing keep no state, so that their plans are the same there.
+    """
+    reader = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read).format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.load(path)

@@ -141,3 +141,14 @@ def test_views_of_odd_results(spark):
     assert V.table_view(r, "name").count() == 0 and V.metadata_view(r, "name").where("name = 'b.nope'").count() == 2
     hexed = r.withColumn("result", F.col("result").withField("metadata", F.create_map(F.lit("hexPreview"), F.lit("true"))))
     assert {x.raw.kind for x in V.raw_view(hexed).collect()} == {"hex"}
+
+
+def test_files_as_a_stream(spark, tmp_path):
+    """Files are parsed once each, in the batch after they have come."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    names = lambda: sorted((r.name, r.result.metadata["rows"]) for r in spark.read.parquet(out).collect())
+    for batch in (["a", "b"], ["c"]):
+        files_.write_files(spark.createDataFrame([(f"{x}.csv", f"h\n{x}\n{x}") for x in batch], "name string, content string"), source).collect()
+        stream = P.parse(R.detect(files_.read_files(spark, source, stream=True))).select("name", "result")
+        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    assert names() == [("a.csv", "2"), ("b.csv", "2"), ("c.csv", "2")]
