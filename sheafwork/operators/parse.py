@@ -181,9 +181,12 @@ def archive(f: File) -> Column:
 
 def domain(f: File) -> Column:
     """DXF by its entities, DWG by its version, MessagePack by its first byte; others by size."""
-    kinds = M.dxf_types(f.text)
-    listed = F.array_join(F.transform(M.counted(kinds), lambda c: F.concat(c["item"], F.lit(": "), c["n"].cast("string"))), "\n")
-    dxf = parts(F.concat(F.lit("[DXF]\n"), F.size(kinds).cast("string"), F.lit("\n"), listed), {"format": F.lit("DXF"), "entities": F.size(kinds)})
+    drawing = M.dxf_drawing(f.text)
+    kinds = F.when(F.size(drawing["types"]) > 0, drawing["types"]).otherwise(M.dxf_types(f.text))
+    listed = F.array_join(F.transform(M.counted(kinds), lambda c: F.concat(c["item"], F.lit("("), c["n"].cast("string"), F.lit(")"))), ", ")
+    some = lambda c: F.when(F.size(c) > 0, F.size(c))
+    shown = F.concat(F.lit("[DXF]\n"), listed, F.when(F.size(drawing["texts"]) > 0, F.concat(F.lit("\n"), F.array_join(drawing["texts"], "\n"))).otherwise(""))
+    dxf = parts(shown, {"format": F.lit("DXF"), "version": drawing["version"], "layers": some(drawing["layers"]), "blocks": some(drawing["blocks"]), "entities": F.size(kinds), "texts": some(drawing["texts"])})
     code = B.latin1(F.substring(f.content, 1, 6))
     long = f.size >= 6
     dwg = parts(_sized(F.lit("DWG"), f), {"format": F.lit("DWG"), "versionCode": F.when(long, code), "version": F.when(long, B.named(code, B.DWG_RELEASES, F.lit("Unknown")))})

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import binary as B
 from ..functions import text as T
 from ..operators import entries as N
 from ..operators import markup as M
+from ..operators import parse as P
 from ..sources import registry as R
 from .base import query, scratch
 from .base import table as _t
@@ -134,3 +136,57 @@ def word_paragraphs(spark, sf_dir):
     xml = _cat("<w:document><w:body><w:p><w:r><w:t>", F.col("role"), "</w:t></w:r><w:r><w:t xml:space=\"preserve\"> tail</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>", F.col("turn").cast("string"), "</w:t></w:r></w:p></w:body></w:document>")
     p = M.paragraphs(xml, "</w:p>", "<w:t(?: [^>]*)?>([^<]*)</w:t>")
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(p, "\n\n").alias("text"), F.size(p).alias("paragraphs"))
+
+
+@query("""SELECT page_id, 'data:' || CASE page_id % 2 WHEN 0 THEN 'text/html' ELSE 'application/octet-stream' END || ';base64,' || base64(encode(html)) AS url FROM pages""")
+def data_urls(spark, sf_dir):
+    mime = F.when(F.col("page_id") % 2 == 0, "text/html")
+    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace(T.data_url(F.encode("html", "UTF-8"), mime), r"\s", "").alias("url"))
+
+
+@query("""SELECT event_id, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp, CASE WHEN length(event_type) >= length(props) THEN event_type ELSE props END AS longer FROM events""")
+def stamps_and_choices(spark, sf_dir):
+    """Times in ISO form, to the millisecond; the longer of two strings, the first of equally long ones."""
+    return _t(spark, sf_dir, "events").select("event_id", T.iso_timestamp(F.col("ts")).alias("stamp"), T.longer(F.col("event_type"), F.col("props")).alias("longer"))
+
+
+# What a parser says of each file made by format_heads, by the remainder of its key.
+_HEADS_SQL = """CASE c_custkey % 8
+    WHEN 0 THEN 'format=Apache Arrow/Feather;size=' || (10 + n) || ';validMagic=true;variant=Arrow IPC' WHEN 1 THEN 'format=HDF5;size=' || (11 + n) || ';superblockVersion=2;validMagic=true'
+    WHEN 2 THEN 'columns=amount_x, col_' || c_custkey || ';footerLength=513;format=Apache Parquet;size=' || (40 + length(c_custkey::VARCHAR)) || ';validMagic=true'
+    WHEN 3 THEN 'format=SQLite;pageCount=3;pageSize=4096;schemaVersion=7;size=60;textEncoding=UTF-8' WHEN 4 THEN 'compressionMethod=Deflate;format=tar.gz;isGzip=true;originalSize=' || c_custkey || ';os=Unix;size=14'
+    WHEN 5 THEN 'format=DWG;version=2013;versionCode=AC1027' WHEN 6 THEN 'format=MessagePack;size=1;type=fixmap(' || c_custkey % 16 || ')'
+    ELSE 'detectedFiles=dir/' || c_name || '.txt;format=7z;size=' || (6 + 1 + 4 + n + 4 + 1) END"""
+
+
+@query(f"SELECT c_custkey, {_HEADS_SQL} AS said FROM (SELECT *, length(c_name) AS n FROM customer)")
+def format_heads(spark, sf_dir):
+    """What parsers say of files by their heads: databases, archives, drawings, packed values."""
+    k, name = F.col("c_custkey"), F.hex("c_name")
+    zeros = lambda n: "00" * n
+    swapped = F.lpad(F.hex(k), 8, "0")
+    codes = [
+        (".arrow", _cat("4152524F573100", name, "000000")),
+        (".h5", _cat("894844460D0A1A0A02", name, "0000")),
+        (".parquet", _cat("504152310000", F.hex(_cat("schema amount_x INT64 col_")), F.hex(k.cast("string")), "01020000" + "50415231")),
+        (".sqlite", _cat("53514C69746520666F726D6174203300" + "1000" + zeros(10) + "00000003" + zeros(8) + "00000007" + zeros(12) + "00000001")),
+        (".tgz", _cat("1F8B0800" + zeros(4) + "0003", F.concat(*[F.substring(swapped, i, 2) for i in (7, 5, 3, 1)]))),
+        (".dwg", F.hex(F.lit("AC1027xyz"))),
+        (".msgpack", F.hex(F.lit(128) + k % 16)),
+        (".7z", _cat("377ABCAF271C" + "00", F.hex(F.lit("dir/")), name, F.hex(F.lit(".txt")), "00")),
+    ]
+    suffix = code = None
+    for i, (x, c) in enumerate(codes):
+        suffix = F.when(k % 8 == i, F.lit(x)) if suffix is None else suffix.when(k % 8 == i, F.lit(x))
+        code = F.when(k % 8 == i, c) if code is None else code.when(k % 8 == i, c)
+    files = _t(spark, sf_dir, "customer").select("c_custkey", _cat("f", suffix).alias("name"), F.unhex(code).alias("content"), F.lit(None).cast("timestamp").alias("modified"))
+    got = P.parse(R.detect(files.withColumn("size", F.octet_length("content").cast("long"))))
+    own = F.map_filter("result.metadata", lambda key, _: ~key.isin("fileName", "fileSize", "fileType", "lastModified"))
+    return got.select("c_custkey", F.array_join(F.transform(F.array_sort(F.map_entries(own)), lambda e: _cat(e["key"], "=", e["value"])), ";").alias("said"))
+
+
+@query("""SELECT page_id, array_to_string(list_filter(list_filter(r, lambda x: length(x) >= 4 AND regexp_matches(x, '[A-Za-z]')), lambda x, i: list_position(list_filter(r, lambda y: length(y) >= 4 AND regexp_matches(y, '[A-Za-z]')), x) = i)[1:30], '|') AS strings
+          FROM (SELECT page_id, regexp_extract_all(html, '([\\x20-\\x7E]+)[^\\x20-\\x7E]', 1) AS r FROM pages)""")
+def design_strings(spark, sf_dir):
+    """Strings of any length from four characters on."""
+    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(B.text_strings(F.encode("html", "UTF-8"), least=4, below=2**31 - 1), "|").alias("strings"))
