@@ -23,6 +23,8 @@ from . import textbytes as tb
 
 #: Pieces of a length that are ranked in one go, about.
 RANKED = 1 << 15
+#: Words that are encoded in one go: the tokenizer's own results take about a kilobyte each.
+ENCODED = 2048
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -77,7 +79,10 @@ def token_ids(flat: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray,
     if len(new):
         raw = flat.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), (start + length)[first[new]].tolist(), strict=True)]
-        cache.add(kinds[new], [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
+        ids = []
+        for i in range(0, len(texts), ENCODED):
+            ids += [e.ids for e in tokenizer.encode_batch(texts[i : i + ENCODED], add_special_tokens=False)]
+        cache.add(kinds[new], ids)
     at = cache.find(kinds)[0]
     pool, begin, n = cache.pool, cache.begin[at], cache.many[at]
     many = n[which]

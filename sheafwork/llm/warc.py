@@ -39,7 +39,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"sha": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")})
     rows = rows.withColumn("equal", F.struct("sha", "size")).drop("sha")
-    groups = rows.groupBy("equal").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    groups = common.stage(rows.groupBy("equal").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1"), "groups")
     rows = common.spread_join(rows, groups, "equal", "n", "page_id", ["top"])
     refers = F.when((F.col("size") >= least_bytes) & ~F.col("top").eqNullSafe(F.col("page_id")), F.col("top"))
     return rows.select("page_id", "url", "payload", refers.alias("refers_to"))
