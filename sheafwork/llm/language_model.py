@@ -223,7 +223,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     both = rows.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     cell = [f"c{j}" for j in range(0, order + 1, 5)]
-    table = both.applyInPandas(statistics, ", ".join(f"{c} long" for c in [*cell, "n"])).groupBy(*cell).agg(F.sum("n").alias("n")).toArrow()  # bounded: 40 buckets by steps
+    cells = both.applyInPandas(statistics, ", ".join(f"{c} long" for c in [*cell, "n"])).groupBy(*cell).agg(F.sum("n").alias("n"))
+    table = common.stage(cells, "cells").toArrow()  # bounded: 40 buckets by steps
     if table.num_rows:
         codes = [table[c].to_numpy() for c in cell]
         parts = np.empty((order + 1, table.num_rows))
