@@ -105,10 +105,6 @@ def dublin_core(xml: Column, field: str) -> Column:
     return F.nullif(F.regexp_extract(xml, f"(?s)<dc:{field}[^>]*>(.*?)</dc:{field}>", 1), F.lit(""))
 
 
-def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
-
-
 def utf16_length(c: Column) -> Column:
     return F.floor(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("long")
 

@@ -94,8 +94,8 @@ def user_blocks(names: Column) -> Column:
     return F.filter(names, lambda n: ~F.startswith(n, F.lit("*")))
 
 
-def with_note(items: Column, most: int) -> Column:
-    """The first items, a line each, and how many more there are."""
-    more = F.size(items) - most
+def with_note(items: Column, most: int, total: Column | None = None) -> Column:
+    """The first items, a line each, and how many more there are (of ``total``, by default those of the array)."""
+    more = (F.size(items) if total is None else total) - most
     shown = F.array_join(F.slice(items, 1, most), "\n")
     return F.when(more > 0, F.concat(shown, F.lit("\n... +"), more.cast("string"))).otherwise(shown)

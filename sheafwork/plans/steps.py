@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import binary as B
@@ -35,9 +36,13 @@ def page_counts(spark, sf_dir):
 @query("""SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, chr(10) ORDER BY n) FILTER (WHERE n <= 3) || CASE WHEN count(*) > 3 THEN chr(10) || '... +' || (count(*) - 3) ELSE '' END AS preview
           FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) GROUP BY l_orderkey""")
 def preview_notes(spark, sf_dir):
-    """The first rows of each group and how many more there are; only the first rows and the count are gathered."""
-    got = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
-    return got.select("l_orderkey", N.with_note(F.transform("l", lambda x: _cat(x["l_linenumber"].cast("string"), ":", x["l_partkey"].cast("string"))), 3).alias("preview"))
+    """The first rows of each group and how many more there are; only first rows are gathered, and groups are limited before the shuffle."""
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    first = rows.withColumn("n", nth).where("n <= 3").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "l_linenumber", "l_partkey"))).alias("l"))
+    both = first.join(rows.groupBy("l_orderkey").agg(F.count("*").alias("total")), "l_orderkey")
+    lines = F.transform("l", lambda x: _cat(x["l_linenumber"].cast("string"), ":", x["l_partkey"].cast("string")))
+    return both.select("l_orderkey", N.with_note(lines, 3, F.col("total")).alias("preview"))
 
 
 @query("""SELECT conv_id, array_to_string(list_concat(list(role ORDER BY turn), list(role ORDER BY turn)), ',') AS bag FROM conversations GROUP BY conv_id""")
