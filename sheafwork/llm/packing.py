@@ -9,7 +9,6 @@ to the planned places; ranks are sums over buckets, of which a length has as man
 
 from __future__ import annotations
 
-import itertools
 import zlib
 
 import numpy as np
@@ -23,8 +22,8 @@ from . import textbytes as tb
 
 #: Pieces of a length that are ranked in one go, about.
 RANKED = 1 << 15
-#: Words that are encoded in one go: the tokenizer's own results take about a kilobyte each.
-ENCODED = 2048
+#: Words that are encoded in one go, with blanks between.
+ENCODED = 1024
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -42,14 +41,13 @@ class _Cache:
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]):
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
+    def add(self, keys: np.ndarray, ids: np.ndarray, n: np.ndarray):
         self.keys = np.concatenate([self.keys, keys])
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
         self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(n) - n])[order]
         self.many = np.concatenate([self.many, n])[order]
-        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))])
+        self.pool = np.concatenate([self.pool, ids])
 
 
 def _tokenizer(path: str):
@@ -65,8 +63,8 @@ def _tokenizer(path: str):
 def token_ids(flat: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of texts, end to end, and how many each has.
 
-    The tokenizer drops white space and no token crosses it, so each distinct word between ASCII white space is encoded once; a worker
-    keeps the ids of up to a million words by their 64-bit hash.
+    The tokenizer drops white space and no token crosses it, so each distinct word between ASCII white space is encoded once, many of them as one text
+    whose tokens' places tell the words apart; a worker keeps the ids of up to a million words by their 64-bit hash.
     """
     tokenizer, cache = _tokenizer(path)
     start, length, h, counts = tb.words(flat, off, lower=False)
@@ -79,10 +77,15 @@ def token_ids(flat: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray,
     if len(new):
         raw = flat.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), (start + length)[first[new]].tolist(), strict=True)]
-        ids = []
+        ids, many = [], []
         for i in range(0, len(texts), ENCODED):
-            ids += [e.ids for e in tokenizer.encode_batch(texts[i : i + ENCODED], add_special_tokens=False)]
-        cache.add(kinds[new], ids)
+            part = texts[i : i + ENCODED]
+            e = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            of = np.searchsorted(ends, np.fromiter((a for a, _ in e.offsets), np.int64), side="right")
+            ids.append(np.array(e.ids, np.uint32))
+            many.append(np.bincount(of, minlength=len(part)))
+        cache.add(kinds[new], np.concatenate(ids), np.concatenate(many))
     at = cache.find(kinds)[0]
     pool, begin, n = cache.pool, cache.begin[at], cache.many[at]
     many = n[which]
