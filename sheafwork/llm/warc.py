@@ -89,6 +89,8 @@ def build_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
 
 
 def _open(uri: str):
+    """The file system and path of a URI; pyarrow says s3 where Hadoop says s3a."""
+    uri = f"s3://{uri[6:]}" if uri.startswith("s3a://") else uri
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "/")) else f"/{uri}")
 
 
