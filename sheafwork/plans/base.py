@@ -29,6 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the one that driver and executors share; a temporary one only for a local session that names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = of_context.get() if of_context.isDefined() else None
     if not where:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")

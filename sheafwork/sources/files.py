@@ -31,7 +31,8 @@ def write_files(rows: DataFrame, folder: str, name: str = "name", content: str =
     def run(batches):
         import pyarrow.fs as fs
 
-        system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith(("file:", "/")) else f"/{folder}")
+        uri = f"s3://{folder[6:]}" if folder.startswith("s3a://") else folder  # pyarrow says s3 where Hadoop says s3a
+        system, base = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "/")) else f"/{uri}")
         system.create_dir(base, recursive=True)
         for pdf in batches:
             sizes = []
