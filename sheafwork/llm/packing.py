@@ -24,6 +24,8 @@ from . import textbytes as tb
 RANKED = 1 << 15
 #: Words that are encoded in one go, with blanks between.
 ENCODED = 1024
+#: Words whose ids a worker keeps.
+CACHED = 1 << 20
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -64,14 +66,14 @@ def token_ids(flat: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray,
     """Token ids of texts, end to end, and how many each has.
 
     The tokenizer drops white space and no token crosses it, so each distinct word between ASCII white space is encoded once, many of them as one text
-    whose tokens' places tell the words apart; a worker keeps the ids of up to a million words by their 64-bit hash.
+    whose tokens' places tell the words apart; a worker keeps the ids of about CACHED words by their 64-bit hash.
     """
     tokenizer, cache = _tokenizer(path)
     start, length, h, counts = tb.words(flat, off, lower=False)
     if not len(h):
         return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
     kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
-    if len(cache.keys) > 1_000_000:
+    if len(cache.keys) > CACHED:
         cache.clear()
     new = np.flatnonzero(~cache.find(kinds)[1])
     if len(new):
@@ -100,7 +102,7 @@ def _pieces(path: str, most: int, end_id: int):
     def run(batches):
         for batch in batches:
             flat, off = tb.flat_column(batch.column(1))
-            for a, b in tb.slices(off, 1 << 22, 1 << 14):
+            for a, b in tb.slices(off, 1 << 21, 1 << 14):
                 o = off[a : b + 1]
                 ids, counts = token_ids(flat[o[0] : o[-1]], o - o[0], path)
                 at, rows = 0, ([], [], [], [], [])
