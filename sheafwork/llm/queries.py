@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, language_model, mixing, near_dedup, packing, quality, suffix_dedup, warc
+from . import chat, decomposition, embedding_dedup, exact_dedup, language_model, mixing, near_dedup, packing, quality, suffix_dedup, warc
 from .common import shared_folder, table
 
 
@@ -88,8 +88,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op13_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into sequences whose lengths are powers of two."""
+    return decomposition.decompose(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_suffix_dedup, op4_mixing, op5_warc, op6_lm_scoring, op7_embedding_dedup, op8_chat, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_suffix_dedup, op4_mixing, op5_warc, op6_lm_scoring, op7_embedding_dedup, op8_chat, op9_packing, op10_quality, op13_decomposition)}
 
 
 def oracle_sql() -> dict[str, str]:
