@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decomposition, embedding_dedup, exact_dedup, language_model, mixing, near_dedup, packing, quality, suffix_dedup, warc
+from . import chat, decomposition, embedding_dedup, exact_dedup, language_model, merkle, mixing, near_dedup, packing, quality, suffix_dedup, warc, whitening
 from .common import shared_folder, table
 
 
@@ -88,17 +88,62 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened coordinates of each vector; an exact deviation beyond a long is an error of the cast."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), scale=1024, offset=100_000).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proofs of all documents, verified against rows of which one in seven was changed."""
+    tampered = F.coalesce(remainder("doc_id", 7) == 0, F.lit(False))
+    seen = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], seen=seen)
+
+
 def op13_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into sequences whose lengths are powers of two."""
     return decomposition.decompose(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_suffix_dedup, op4_mixing, op5_warc, op6_lm_scoring, op7_embedding_dedup, op8_chat, op9_packing, op10_quality, op13_decomposition)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_suffix_dedup, op4_mixing, op5_warc, op6_lm_scoring, op7_embedding_dedup, op8_chat, op9_packing, op10_quality, op11_whitening, op12_merkle, op13_decomposition)}
+
+
+#: CRC-32 of a string of ASCII characters, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda r, b: list_reduce([xor(r, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+
+
+def _merkle_sql() -> str:
+    fields = lambda chars: " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", chars, "text"))
+    return f"""
+        WITH RECURSIVE d AS (
+            SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n, row_number() OVER () AS r
+            FROM (SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS k, sha256({fields("n_chars")}) AS leaf,
+                         CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 7 = 0 THEN sha256({fields("(n_chars + 1)")}) END AS changed FROM documents)),
+        node AS (SELECT k, 0 AS lvl, pos, n, leaf AS h FROM d
+            UNION ALL SELECT k, any_value(lvl) + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY k, pos // 2),
+        sub AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+        top AS (SELECT 0 AS lvl, pos, n, subroot AS h FROM sub
+            UNION ALL SELECT any_value(lvl) + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY pos // 2),
+        step AS (
+            SELECT r, l AS nth, (d.pos >> l) & 1 AS odd, s.h AS sib FROM (SELECT d.*, unnest(range(0, (SELECT max(lvl) FROM node WHERE node.k = d.k)))::INT AS l FROM d) d
+                LEFT JOIN node s ON s.k = d.k AND s.lvl = d.l AND s.pos = xor(d.pos >> d.l, 1)
+            UNION ALL SELECT r, 1000 + l, (u.pos >> l) & 1, s.h FROM d JOIN (SELECT sub.*, unnest(range(0, (SELECT max(lvl) FROM top)))::INT AS l FROM sub) u ON u.k = d.k
+                LEFT JOIN top s ON s.lvl = u.l AND s.pos = xor(u.pos >> u.l, 1)),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY nth) AS go FROM step),
+        fold AS (SELECT r, 1 AS go, coalesce(changed, leaf) AS h FROM d
+            UNION ALL SELECT f.r, f.go + 1, sha256(CASE WHEN o.sib IS NULL THEN f.h WHEN o.odd = 1 THEN o.sib || f.h ELSE f.h || o.sib END) FROM fold f JOIN ordered o ON o.r = f.r AND o.go = f.go),
+        proof AS (SELECT r, string_agg(sib, '' ORDER BY go) AS sibs FROM ordered GROUP BY r),
+        root AS (SELECT h AS root FROM top WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(sibs, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+        FROM d JOIN sub USING (k) JOIN (SELECT r, arg_max(h, go) AS h FROM fold GROUP BY r) f USING (r) LEFT JOIN proof USING (r), root"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_merkle": _merkle_sql(),
         "op2_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
