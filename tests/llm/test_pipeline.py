@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sheafwork.llm import common, mixing, queries
@@ -85,9 +86,11 @@ def test_run_against_a_brute_force_version_of_each_stage(spark, small):
     for _, stage in corpus_pipeline.STAGES[:3]:
         staged = common.stage(stage(spark, staged, small), "test")
     assert rows_of(staged) == kept
-    copies = {r.doc_id: r.copies for r in mixing.mix(staged).collect()}
-    mixed = sorted((r for r in kept for _ in range(copies[r[0]])), key=repr)
-    assert rows_of(corpus_pipeline.mix_sources(spark, staged, small)) == mixed
+    by_id = Counter()
+    for r in mixing.mix(staged).collect():
+        by_id[r.doc_id] += r.copies
+    mixed = rows_of(corpus_pipeline.mix_sources(spark, staged, small))
+    assert Counter(i for i, _ in mixed) == +by_id and set(mixed) <= set(kept)
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_file())
     tokenizer.no_truncation()
@@ -123,3 +126,21 @@ def test_stages_and_sha_are_stable(spark, small):
     docs = common.table(spark, small, "documents")
     one, two = (sorted(hashlib.sha256(repr(tuple(r)).encode()).hexdigest() for r in corpus_pipeline.mix_sources(spark, docs, small).collect()) for _ in range(2))
     assert one == two
+
+
+@pytest.mark.parametrize("few", [mixing.FEW, 0])
+def test_realised_tokens_are_those_that_were_planned(spark, monkeypatch, few):
+    """Ids that are null or stand in two sources of different weight: each row is there as often as its own source's plan says."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    rows = [(None, "w " * 40, "x")] * 2 + [(None, "v " * 30, "x"), (None, "y " * 40, "y"), (7, "same id", "x"), (7, "same id", "y"), (7, "other text", "x"), (8, None, None), (8, "", "y")]
+    rows += [(100 + i, "a b c d e " * 20, "x") for i in range(300)] + [(100 + i, "f g h i j " * 3, "y") for i in range(300)] + [(None, f"n{i} text " * 5, "z") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"u": F.lit("mine"), "bits": F.lit(1), "row": F.lit(2)}).repartition(5)
+    plan = mixing.mix(docs, target_entropy=1.0).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.sum("copies").alias("n"), F.first("weight").alias("weight"), F.sum("tokens").alias("own")).collect()
+    got = mixing.realise(docs, target_entropy=1.0)
+    assert got.columns == docs.columns
+    real = {r.source: (r.t, r.n) for r in got.groupBy("source").agg(F.sum(mixing.tokens_of(F.col("text"))).alias("t"), F.count("*").alias("n")).collect()}
+    assert real == {r.source: (r.t, r.n) for r in plan if r.n}
+    budget = sum(r.own for r in plan)
+    for r in plan:
+        if r.own:
+            assert 0 <= r.weight * budget + 1 - r.t < 101, r  # less than its weight asks for by no document's tokens

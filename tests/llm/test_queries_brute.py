@@ -56,7 +56,7 @@ def exponent(shares, want):
 @pytest.mark.parametrize("few", [mixing.FEW, 0])
 def test_op4_against_plain_python(spark, monkeypatch, few):
     monkeypatch.setattr(mixing, "FEW", few)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("u", F.xxhash64("doc_id", F.lit(17)))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("u", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(17)))
     rows = [(r.doc_id, r.source, len(re.findall(r"[^ \t-\r]+", r.text or "")), r.u % 2**64) for r in docs.collect()]
     got = queries.op4_mixing(spark, SF).collect()
     tokens, total = defaultdict(int), sum(r[2] for r in rows)
