@@ -72,7 +72,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources asks for: as many tokens as there are, four passes over a source at most.
 
-    A null source is a source. Rows that repeat an id, and all with a null id, are taken together or not at all. Texts without words go with the rows before them in a source's random order;
+    A null source is a source. An id that is null or stands in several sources is no tie between rows: only rows of one source that repeat id and text are taken together or not at all. Texts without words go with the rows before them in a source's random order;
     sources without any words stay as they are.
     """
     return mixing.realise(docs)
@@ -81,7 +81,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, each with its sequence and place: 2048 tokens, and documents and attention cost (queries.PACKING), at most.
 
-    Repeated rows and rows with a null id are documents of their own each; an empty text is its end alone. Of equally long pieces any goes to a place.
+    Repeated rows and rows with a null id are documents of their own each; an empty text is its end alone. Of equally long pieces any goes to a place. Neither of the other two limits can bind
+    before the tokens do: they weigh in the choice of a bin and would hold where a longer sequence is asked for.
     """
     return packing.pack(docs, queries.tokenizer_file(), **queries.PACKING)
 
