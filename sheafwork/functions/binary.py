@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as T
+
 # Words that aren't column names in the end of a Parquet file.
 PARQUET_WORDS = [
     "PAR1", "parquet", "schema", "PLAIN", "SNAPPY", "GZIP", "NONE", "OPTIONAL", "REQUIRED", "REPEATED", "UTF8", "INT32", "INT64", "FLOAT",
@@ -36,6 +38,39 @@ def number(content: Column, at: int, size: int, little: bool = False) -> Column:
     return F.when((F.length(part) == 2 * size) & (begin > 0), F.conv(part, 16, 10).cast("long"))
 
 
+def number_at(content: Column, at: Column, size: int, little: bool = False, signed: bool = False) -> Column:
+    """The number of ``size`` bytes (8 at most) at a place that is a column, counted from 0; null where bytes are missing.  Eight bytes are a long, whatever their sign."""
+    part = F.hex(F.substr(content, (at + 1).cast("int"), F.lit(size)))
+    if little:
+        part = F.concat(*[F.substring(part, 2 * i + 1, 2) for i in range(size - 1, -1, -1)])
+    value = F.conv(part, 16, -10 if size == 8 else 10).cast("long")
+    if signed and size < 8:
+        value = F.when(value >= 1 << (8 * size - 1), value - (1 << (8 * size))).otherwise(value)
+    return F.when((at >= 0) & (F.length(part) == 2 * size), value)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def varint(content: Column, at: Column) -> Column:
+    """(value, next) of a zig-zag number of variable length at a place that is a column: seven bits a byte, the lowest first, up to ten bytes; nulls where its last byte is missing."""
+    code = F.regexp_extract(F.hex(F.substr(content, (at + 1).cast("int"), F.lit(10))), "^((?:[89A-F].){0,9}[0-7].)", 1)
+
+    def read(c):
+        n = (F.length(c) / 2).cast("long")
+        seven = lambda i: F.conv(F.substr(c, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("long").bitwiseAND(F.lit(0x7F).cast("long"))
+        bits = F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", seven(i), (7 * i).cast("int"))))
+        return F.struct(bits.alias("bits"), (at + n).alias("next"))
+
+    def decoded(r):
+        return F.struct(F.shiftrightunsigned(r["bits"], 1).bitwiseXOR(-r["bits"].bitwiseAND(F.lit(1).cast("long"))).alias("value"), r["next"].alias("next"))
+
+    none = F.struct(F.lit(None).cast("long").alias("bits"), F.lit(None).cast("long").alias("next"))
+    return let(let(code, lambda c: F.when(F.length(c) > 0, read(c)).otherwise(none)), decoded)
+
+
 def named(key: Column, names: dict, default: Column) -> Column:
     """The name of a key, or the default: a lookup in a few fixed values."""
     pairs = [F.lit(x) for pair in names.items() for x in pair]
@@ -48,7 +83,7 @@ def _distinct(runs: Column, keep, most: int) -> Column:
 
 def _runs(content: Column, window: int) -> Column:
     """Runs of printable ASCII in the first ``window`` bytes; one that reaches the end of the window isn't closed and doesn't count."""
-    return F.regexp_extract_all(latin1(F.substring(content, 1, window)), F.lit(r"([\x20-\x7E]+)[^\x20-\x7E]"), F.lit(1))
+    return F.regexp_extract_all(latin1(F.substring(content, 1, window)), F.lit(r"(?<![\x20-\x7E])([\x20-\x7E]++)(?=[^\x20-\x7E])"), F.lit(1))
 
 
 def text_strings(content: Column, most: int = 30, least: int = 3, below: int = 100) -> Column:
@@ -75,21 +110,69 @@ def ascii_text(content: Column) -> Column:
     return F.when(F.length(text) > 20, text)
 
 
+def hex_line(part: Column, at: Column) -> Column:
+    """A line of a hex dump: the address, up to sixteen bytes in two halves and their ASCII characters."""
+    code = F.rpad(F.lower(F.hex(part)), 32, " ")
+    half = lambda begin: F.regexp_replace(F.substring(code, begin, 16), r"(..)(?!$)", "$1 ")
+    shown = F.rpad(F.regexp_replace(latin1(part), r"[^\x20-\x7E]", "."), 16, " ")
+    return F.concat(F.lpad(F.lower(F.hex(at)), 8, "0"), F.lit("  "), half(1), F.lit("  "), half(17), F.lit("  |"), shown, F.lit("|"))
+
+
+def _lines(content: Column, most: int) -> Column:
+    """Places of the lines of a hex dump of the first bytes."""
+    n = F.when(F.octet_length(content) > most, F.lit(most)).otherwise(F.octet_length(content))
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 16) * 16, F.lit(16).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _rest(content: Column) -> Column:
+    return F.concat(F.lit("... ("), T.file_size_label(F.octet_length(content)), F.lit(" total)"))
+
+
 def hex_lines(content: Column, most: int = 2048) -> Column:
-    """A hex dump of the first bytes: lines with the address, sixteen bytes in two halves and their ASCII characters; then the whole size if there is more."""
-    from .text import file_size_label
-
-    b = F.substring(content, 1, most)
-    n = F.octet_length(b)
-
-    def line(i):
-        part = F.substr(b, (i * 16 + 1).cast("int"), F.lit(16))
-        code = F.lower(F.hex(part))
-        cell = lambda j: F.rpad(F.substr(code, F.lit(2 * j + 1), F.lit(2)), 2, " ")
-        halves = [F.concat_ws(" ", *[cell(j) for j in range(k, k + 8)]) for k in (0, 8)]
-        shown = F.rpad(F.regexp_replace(latin1(part), r"[^\x20-\x7E]", "."), 16, " ")
-        return F.concat(F.lpad(F.lower(F.hex(i * 16)), 8, "0"), F.lit("  "), halves[0], F.lit("  "), halves[1], F.lit("  |"), shown, F.lit("|"))
-
-    lines = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 16)), line)).otherwise(F.array().cast("array<string>"))
-    size = F.octet_length(content)
-    return F.when(size > most, F.array_append(lines, F.concat(F.lit("... ("), file_size_label(size), F.lit(" total)")))).otherwise(lines)
+    """A hex dump of the first bytes as an array of lines; then the whole size if there is more."""
+    lines = F.flatten(F.transform(F.array(F.substring(content, 1, most)), lambda b: F.transform(_lines(content, most), lambda at: F.transform(F.array(F.substr(b, (at + 1).cast("int"), F.lit(16))), lambda part: hex_line(part, at))[0])))
+    return F.when(F.octet_length(content) > most, F.array_append(lines, _rest(content))).otherwise(lines)
+
+
+def hex_rows(files: DataFrame, key: str, content: str, most: int = 2048) -> DataFrame:
+    """(key, nth, line): the same, a row for each line, each made of its own sixteen bytes; null and empty values have none."""
+    c = F.col(content)
+    lines = files.select(key, F.substring(c, 1, most).alias("__b"), F.posexplode(_lines(c, most)).alias("nth", "__at"))
+    lines = lines.select(key, "nth", F.col("__at"), F.substr("__b", (F.col("__at") + 1).cast("int"), F.lit(16)).alias("__part")).select(key, "nth", hex_line(F.col("__part"), F.col("__at")).alias("line"))
+    more = files.where(F.octet_length(c) > most).select(key, F.lit(-(-most // 16)).alias("nth"), _rest(c).alias("line"))
+    return lines.unionByName(more)
+
+
+def utf16_units(content: Column, start: int = 0, most: int | None = None) -> Column:
+    """Bytes from an even or odd place on as text of UTF-16 units, the low byte first; what isn't a whole unit at the end is left out. ``most``: bytes that are looked at."""
+    size = F.octet_length(content) - start
+    if most is not None:
+        size = F.least(size, F.lit(most))
+    return F.decode(F.substr(content, F.lit(start + 1), F.greatest(F.lit(0), size - size % 2)), "UTF-16LE")
+
+
+# The characters of runs, as classes.
+DOC_UNITS = r"\x20-\x7E\u3000-\u303F\u3131-\u318E\u4E00-\u9FFF\uAC00-\uD7AF\uFF01-\uFF5E"
+OLE_UNITS = r"\x20-\x7E\u3000-\u9FFF\uAC00-\uD7AF"
+
+
+def utf16_document(content: Column, start: int = 0) -> Column:
+    """Text of a word processor's stream: runs of four units and more, line by line, carriage returns and line feeds as line ends; empty if it is ten characters or fewer. The last run counts."""
+    runs = F.regexp_extract_all(utf16_units(content, start), F.lit(rf"[{DOC_UNITS}\t\n\r]{{4,}}+"), F.lit(0))
+    text = T.trim_all(T.collapsed(F.replace(F.array_join(runs, "\n"), F.lit("\r"), F.lit("\n"))))
+    return F.when(F.length(text) > 10, text).otherwise("")
+
+
+def utf16_strings(content: Column, start: int = 0, most: int = 20, window: int = 100_000) -> Column:
+    """Strings of three units and more with a letter or a syllable, in order: so many at most, of the first bytes; one that no other unit ends doesn't count."""
+    runs = F.regexp_extract_all(utf16_units(content, start, window), F.lit(rf"(?<![{OLE_UNITS}])([{OLE_UNITS}]{{3,}}+)(?=[^{OLE_UNITS}])"), F.lit(1))
+    return F.slice(F.filter(runs, lambda s: s.rlike(r"[a-zA-Z\uAC00-\uD7AF]")), 1, most)
+
+
+def utf16_lines(content: Column, start: int = 0, most: int = 200, window: int = 200_000) -> Column:
+    """Lines of two units and more, trimmed, in order: those that a line end closes, and of others those with a Hangul syllable; the last counts like the others."""
+    pattern = F.lit(rf"([{OLE_UNITS}]++)([\r\n]?)")
+    text = utf16_units(content, start, window)
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("run"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("end"))
+    kept = F.filter(pairs, lambda p: (F.length(T.trim_all(p["run"])) >= 2) & ((p["end"] != "") | p["run"].rlike(r"[\uAC00-\uD7AF]")))
+    return F.slice(F.transform(kept, lambda p: T.trim_all(p["run"])), 1, most)

@@ -16,8 +16,36 @@ def data_url(content: Column, mime: Column) -> Column:
 
 
 def trim_all(c: Column) -> Column:
-    """Without white space of any kind at both ends; SQL's trim() takes spaces only."""
-    return F.regexp_replace(c, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")
+    """Without white space of any kind at both ends; SQL's trim() takes spaces only. A run of it is looked at once, wherever it stands."""
+    return F.regexp_replace(c, r"^[\s\u00a0\ufeff]++|(?<![\s\u00a0\ufeff])[\s\u00a0\ufeff]++\z", "")
+
+
+def _lower_ascii(c: Column) -> Column:
+    """Places in the result are those in the text."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def body_of(html: Column) -> Column:
+    """What stands in a page's body, or the page if none is opened and closed. Only the first opening counts: if it isn't closed, no later one is."""
+    low = _lower_ascii(html)
+    begin = F.locate("<body", low)
+    opened = F.when(begin > 0, F.nullif(F.position(F.lit(">"), html, begin + 5), F.lit(0)))
+    closed = F.nullif(F.position(F.lit("</body>"), low, opened + 1), F.lit(0))
+    return F.when(closed.isNull(), html).otherwise(F.substr(html, opened + 1, closed - opened - 1))
+
+
+def closed_only(c: Column, opening: str, closing: str, start: str) -> Column:
+    """A text without what follows the first element that is never closed.
+
+    No element behind such a one is closed either, so patterns that look for whole elements find the same in what is left, and each of them is then read once. ``start``: what an ``opening``
+    begins with, such that it fails only for want of an end.
+    """
+    return F.regexp_replace(c, f"(?is)({opening}.*?{closing})|{start}.*+", "$1")
+
+
+def without(c: Column, opening: str, closing: str, start: str) -> Column:
+    """A text without whole elements; what follows the first one that is never closed stays as it is."""
+    return F.regexp_replace(c, f"(?is){opening}.*?{closing}|({start}.*+)", "$1")
 
 
 def last_suffix(name: Column) -> Column:
@@ -67,18 +95,18 @@ def collapsed(c: Column) -> Column:
 
 def strip_html(c: Column) -> Column:
     """A page's text: the body if there is one, without styles and scripts; tags become line ends, five entities are decoded in a fixed order."""
-    body = r"(?is)<body[^>]*>(.*?)</body>"
-    out = F.when(c.rlike(body), F.regexp_extract(c, body, 1)).otherwise(c)
-    out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", "")
-    out = F.regexp_replace(out, r"(?is)<script[^>]*>.*?</script>", "")
-    out = F.regexp_replace(out, r"<[^>]+>", "\n")
+    out = without(without(body_of(c), "<style[^>]*>", "</style>", "<style"), "<script[^>]*>", "</script>", "<script")
+    out = strip_tags(out, "\n")
     for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(collapsed(out), r"^\s+|\s+$", "")
+    return F.regexp_replace(collapsed(out), r"^\s++|(?<!\s)\s++\z", "")
 
 
 def strip_tags(c: Column, by: str = "") -> Column:
-    return F.regexp_replace(c, "<[^>]+>", by)
+    """A text with ``by`` for each tag.  Behind the last closing bracket there are none, so nothing is looked for there."""
+    rest = F.substring_index(c, ">", -1)
+    head = F.substr(c, F.lit(1), F.length(c) - F.length(rest))
+    return F.concat(F.regexp_replace(head, "<[^>]+>", by), rest)
 
 
 # What is replaced in RTF, in this order.
@@ -98,7 +126,7 @@ def all_of(c: Column, pattern: str, group: int = 1) -> Column:
 
 def element_texts(xml: Column, tag: str) -> Column:
     """Texts of an XML element, entities not decoded: element_texts(x, "w:t")."""
-    return all_of(xml, f"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>")
+    return all_of(closed_only(xml, f"(?-i:<{tag}(?: [^>]*)?>)", f"(?-i:</{tag}>)", f"(?-i:<{tag})(?=[ >])"), f"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>")
 
 
 def dublin_core(xml: Column, field: str) -> Column:
@@ -122,22 +150,57 @@ def iso_timestamp(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+#: Items that are folded in one go: Spark copies a fold's state at each step, so no state may grow with all items.
+_GO = 512
+
+
+def _fold(items: Column, kind: str, state: str, step) -> Column:
+    """(lists, now): what a fold gives out, in order, and its last state.  ``step(state, item)`` is (whether something is given out, what, the next state); the first state is null.
+
+    Items are folded in pieces, each with a list of its own, and pieces among each other.
+    """
+    pieces = F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(1), F.size(items), F.lit(_GO)), lambda at: F.slice(items, at, _GO))).otherwise(F.array().cast("array<array<string>>") if kind == "string" else F.array().cast("array<array<int>>"))
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(acc, x):
+        out, what, now = step(acc["now"], x)
+        return F.struct(F.when(out, F.array_append(acc["list"], what)).otherwise(acc["list"]).alias("list"), now.alias("now"))
+
+    def piece(acc, xs):
+        got = F.aggregate(xs, F.struct(empty.alias("list"), acc["now"].alias("now")), one)
+        return F.transform(F.array(got), lambda g: F.struct(F.array_append(acc["lists"], g["list"]).alias("lists"), g["now"].alias("now")))[0]
+
+    start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("lists"), F.lit(None).cast(state).alias("now"))
+    return F.aggregate(pieces, start, piece)
+
+
 def merged_short(items: Column, least: int = 20) -> Column:
     """An ordered fold: an item joins the one before, with a blank, while both are shorter than ``least``."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
-    def step(acc, x):
-        together = (F.length(acc["now"]) < least) & (F.length(x) < least)
-        return F.when(acc["now"].isNull(), F.struct(acc["done"].alias("done"), x.alias("now"))).when(together, F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.lit(" "), x).alias("now"))).otherwise(F.struct(F.array_append(acc["done"], acc["now"]).alias("done"), x.alias("now")))
-    return F.aggregate(items, start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])))
+
+    def step(now, x):
+        together = F.coalesce((F.length(now) < least) & (F.length(x) < least), F.lit(False))
+        return now.isNotNull() & ~together, now, F.when(together, F.concat(now, F.lit(" "), x)).otherwise(x)
+
+    whole = lambda items: F.transform(F.array(_fold(items, "string", "string", step)), lambda g: F.when(g["now"].isNull(), F.flatten(g["lists"])).otherwise(F.array_append(F.flatten(g["lists"]), g["now"])))[0]
+    return F.when(items.isNotNull(), F.transform(F.array(items), whole)[0])
 
 
 def lines_of_items(items: Column, tolerance: float = 3.0) -> Column:
-    """Positioned items, array of (x, y, str), as lines: from top to bottom, an item is on a line while its y is within ``tolerance`` of that of the line's first item."""
-    ordered = F.transform(F.array_sort(F.transform(items, lambda i: F.struct((-i["y"]).alias("k"), i["x"].alias("x"), i["str"].alias("str")))), lambda i: i)
-    start = F.struct(F.array().cast("array<struct<k:double,x:double,str:string>>").alias("line"), F.array().cast("array<array<struct<k:double,x:double,str:string>>>").alias("done"))
-    def step(acc, i):
-        near = (F.size(acc["line"]) > 0) & (F.abs(i["k"] - acc["line"][0]["k"]) < tolerance)
-        opened = F.when(F.size(acc["line"]) > 0, F.array_append(acc["done"], acc["line"])).otherwise(acc["done"])
-        return F.when(near, F.struct(F.array_append(acc["line"], i).alias("line"), acc["done"].alias("done"))).otherwise(F.struct(F.array(i).alias("line"), opened.alias("done")))
-    lines = F.aggregate(ordered, start, step, lambda acc: F.when(F.size(acc["line"]) > 0, F.array_append(acc["done"], acc["line"])).otherwise(acc["done"]))
-    return F.transform(lines, lambda line: F.array_join(F.transform(F.array_sort(F.transform(line, lambda i: F.struct(i["x"].alias("x"), i["str"].alias("str")))), lambda i: i["str"]), " "))
+    """Positioned items, array of (x, y, str), as lines: from top to bottom, an item is on a line while its y is within ``tolerance`` of that of the line's first item.
+
+    The fold notes where lines begin; then each line is cut out of the ordered items.
+    """
+
+    def lines(ordered):
+        def step(anchor, at):
+            y = ordered[at]["k"]
+            near = F.coalesce(F.abs(y - anchor) < tolerance, F.lit(False))
+            return ~near, at, F.when(near, anchor).otherwise(y)
+
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.transform(F.array(places), lambda p: F.flatten(_fold(p, "int", "double", step)["lists"]))[0]
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda at, n: F.slice(ordered, at + 1, F.coalesce(F.get(b, n + 1), F.size(ordered)) - at)))[0]
+
+    ordered = F.array_sort(F.transform(items, lambda i: F.struct((-i["y"]).alias("k"), i["x"].alias("x"), i["str"].alias("str"))))
+    cut = F.when(items.isNotNull(), F.transform(F.array(ordered), lines)[0])  # bound once, however often it is named
+    return F.transform(cut, lambda line: F.array_join(F.transform(F.array_sort(F.transform(line, lambda i: F.struct(i["x"].alias("x"), i["str"].alias("str")))), lambda i: i["str"]), " "))

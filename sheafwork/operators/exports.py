@@ -51,9 +51,7 @@ def json_export(text: Column, columns: int = 10, rows: int = 100, keys: int = 20
 
 def html_export(text: Column) -> Column:
     """(title, text): 5000 characters of the body's text."""
-    body = r"(?is)<body[^>]*>(.*?)</body>"
-    inner = F.when(text.rlike(body), F.regexp_extract(text, body, 1)).otherwise(text)
-    return F.struct(F.regexp_extract(text, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.substring(T.strip_tags(inner), 1, 5000).alias("text"))
+    return F.struct(F.regexp_extract(text, r"(?is)<title[^>]*>(.*?)</title>|<title.*+", 1).alias("title"), F.substring(T.strip_tags(T.body_of(text)), 1, 5000).alias("text"))
 
 
 def xml_export(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import binary as B
 from ..functions import text as T
 
 STRINGS = "array<string>"
@@ -12,9 +13,11 @@ STRINGS = "array<string>"
 
 def html_tables(html: Column) -> Column:
     """Tables (headers, rows) of a page: the first row's cells are headers, rows without cells go; texts without tags, trimmed. Tables inside tables aren't known."""
-    cells = lambda row: F.transform(T.all_of(row, r"(?is)<t[hd](?:\s[^>]*)?>(.*?)</t[hd]>"), lambda c: T.trim_all(T.strip_tags(c)))
-    rows = lambda t: F.transform(T.all_of(t, r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"), cells)
-    tables = F.transform(T.all_of(html, r"(?is)<table(?:\s[^>]*)?>(.*?)</table>"), rows)
+    opening = lambda tag: rf"<{tag}(?:\s[^>]*)?>"
+    whole = lambda c, tag, end: T.all_of(T.closed_only(c, opening(tag), f"</{end}>", rf"<{tag}(?=[\s>])"), rf"(?is){opening(tag)}(.*?)</{end}>")
+    cells = lambda row: F.transform(whole(row, "t[hd]", "t[hd]"), lambda c: T.trim_all(T.strip_tags(c)))
+    rows = lambda t: F.transform(whole(t, "tr", "tr"), cells)
+    tables = F.transform(whole(html, "table", "table"), rows)
     none = F.array().cast(STRINGS)
     split = lambda r: F.struct(F.coalesce(F.get(r, F.lit(0)), none).alias("headers"), F.filter(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), lambda c: F.size(c) > 0).alias("rows"))
     return F.filter(F.transform(tables, split), lambda t: (F.size(t["headers"]) > 0) | (F.size(t["rows"]) > 0))
@@ -92,17 +95,31 @@ def csv_rows(text: Column, delimiter: Column) -> Column:
     """Rows of delimited text as arrays of cells, ragged ones as they are; lines without any character go.
 
     A quoted cell may hold delimiters, line ends and doubled quotes. The text is cut at quotes: every second piece is inside them, and an empty piece outside,
-    between two that are inside, is a doubled quote. Delimiters and line ends outside are turned to the unit and record separators of ASCII, which shouldn't be in the text.
+    between two that are inside, is a doubled quote. Delimiters and line ends outside are turned to the unit and record separators of ASCII; those that a text has itself are written as a shift
+    and a letter while it is cut, and so are shifts.
     """
-    pieces = F.split(text, '"', -1)
+    hidden = (("\x0e", "\x0eS"), ("\x1e", "\x0eR"), ("\x1f", "\x0eU"))
+    odd = F.contains(text, F.lit("\x0e")) | F.contains(text, F.lit("\x1e")) | F.contains(text, F.lit("\x1f"))
+    safe = text
+    for a, b in hidden:
+        safe = F.replace(safe, F.lit(a), F.lit(b))
 
-    def piece(p, i):
-        outside = F.replace(F.replace(F.replace(p, F.lit("\r\n"), F.lit("\n")), delimiter, F.lit("\x1f")), F.lit("\n"), F.lit("\x1e"))
-        doubled = (p == "") & (i > 0) & (i < F.size(pieces) - 1)
-        return F.when(i % 2 == 1, p).when(doubled, F.lit('"')).otherwise(outside)
+    def turned(pieces):
+        def piece(p, i):
+            outside = F.replace(F.replace(F.replace(p, F.lit("\r\n"), F.lit("\n")), delimiter, F.lit("\x1f")), F.lit("\n"), F.lit("\x1e"))
+            return F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < F.size(pieces) - 1), F.lit('"')).otherwise(outside)
 
-    records = F.split(F.array_join(F.transform(pieces, piece), ""), "\x1e", -1)
-    return F.transform(F.filter(records, lambda r: r != ""), lambda r: F.split(r, "\x1f", -1))
+        return F.array_join(F.transform(pieces, piece), "")
+
+    records = F.split(B.let(F.split(F.when(odd, safe).otherwise(text), '"', -1), turned), "\x1e", -1)
+
+    def shown(cell):
+        for a, b in reversed(hidden):
+            cell = F.replace(cell, F.lit(b), F.lit(a))
+        return cell
+
+    rows = F.transform(F.filter(records, lambda r: r != ""), lambda r: F.split(r, "\x1f", -1))
+    return F.when(odd, F.transform(rows, lambda r: F.transform(r, shown))).otherwise(rows)
 
 
 def csv_cells_of_lines(text: Column, delimiter: str = ",", most: int | None = None) -> Column:
@@ -123,19 +140,25 @@ def scalar(literal: Column) -> Column:
 
 
 def toml_entries(text: Column) -> Column:
-    """Entries (section, key, kind, value) of flat TOML, in order: every entry carries the section whose line was last before it, the empty one at first."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: T.trim_all(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
-    entry = "struct<section:string,key:string,kind:string,value:string>"
-    start = F.struct(F.lit("").alias("section"), F.array().cast(f"array<{entry}>").alias("done"))
+    """Entries (section, key, kind, value) of flat TOML, in order: every entry carries the section whose line was last before it, the empty one at first.
+
+    The text is cut before each line that names a section, so each part knows its own.
+    """
+    blank = r"[ \t\r\x0b\f\u00a0\ufeff]*"
+    parts = F.split(text, rf"(?m)^(?={blank}\[[^\]\n]+\]{blank}$)")
+
+    def entries(part):
+        lines = F.transform(F.split(part, "\n"), lambda x: T.trim_all(x))
+        section = T.trim_all(F.regexp_extract(F.get(lines, F.lit(0)), r"^\[([^\]]+)\]$", 1))
+        known = F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("#")) & ~x.rlike(r"^\[[^\]]+\]$") & x.rlike(r"^[^=]+=\s*.+$"))
+
+        def entry(line):
+            s = scalar(T.trim_all(F.regexp_extract(line, r"^[^=]+=\s*(.+)$", 1)))
+            return F.struct(section.alias("section"), T.trim_all(F.regexp_extract(line, r"^([^=]+)=", 1)).alias("key"), s["kind"].alias("kind"), s["value"].alias("value"))
 
-    def step(acc, line):
-        s = scalar(T.trim_all(F.regexp_extract(line, r"^[^=]+=\s*(.+)$", 1)))
-        one = F.struct(acc["section"].alias("section"), T.trim_all(F.regexp_extract(line, r"^([^=]+)=", 1)).alias("key"), s["kind"].alias("kind"), s["value"].alias("value")).cast(entry)
-        opened = F.struct(T.trim_all(F.regexp_extract(line, r"^\[([^\]]+)\]$", 1)).alias("section"), acc["done"].alias("done"))
-        added = F.struct(acc["section"].alias("section"), F.array_append(acc["done"], one).alias("done"))
-        return F.when(line.rlike(r"^\[[^\]]+\]$"), opened).when(line.rlike(r"^[^=]+=\s*.+$"), added).otherwise(acc)
+        return F.transform(known, entry)
 
-    return F.aggregate(lines, start, step, lambda acc: acc["done"])
+    return F.flatten(F.transform(parts, entries))
 
 
 def dxf_types(text: Column) -> Column:
@@ -168,16 +191,12 @@ def counted(items: Column) -> Column:
 
 def listed_7z(output: Column) -> Column:
     """Entries (name, size, packed, dir) of a listing: lines between two rules of dashes with six fields at least; the name is all from the sixth on."""
-    lines = F.split(output, "\n")
-    entry = "struct<name:string,size:bigint,packed:bigint,dir:boolean>"
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast(f"array<{entry}>").alias("done"))
+    parts = F.split(output, r"(?m)^-{19}[^\n]*\n?", -1)
+    inside = F.flatten(F.transform(F.filter(parts, lambda p, i: i % 2 == 1), lambda p: F.split(p, "\n")))
+    fields = F.filter(F.transform(inside, lambda line: F.split(T.trim_all(line), r"\s+")), lambda part: F.size(part) >= 6)
 
-    def step(acc, line):
-        part = F.split(T.trim_all(line), r"\s+")
+    def entry(part):
         number = lambda i: F.coalesce(F.regexp_extract(F.get(part, F.lit(i)), r"^(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
-        one = F.struct(F.array_join(F.slice(part, 6, F.greatest(F.size(part), F.lit(1))), " ").alias("name"), number(3).alias("size"), number(4).alias("packed"), F.contains(F.get(part, F.lit(2)), F.lit("D")).alias("dir")).cast(entry)
-        turned = F.struct((~acc["inside"]).alias("inside"), acc["done"].alias("done"))
-        added = F.struct(acc["inside"].alias("inside"), F.array_append(acc["done"], one).alias("done"))
-        return F.when(F.startswith(line, F.lit("-" * 19)), turned).when(acc["inside"] & (F.size(part) >= 6), added).otherwise(acc)
+        return F.struct(F.array_join(F.slice(part, 6, F.size(part)), " ").alias("name"), number(3).alias("size"), number(4).alias("packed"), F.contains(F.get(part, F.lit(2)), F.lit("D")).alias("dir"))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["done"])
+    return F.transform(fields, entry)

@@ -11,7 +11,7 @@ _TIME = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})"
 
 
 def _clean(c: Column) -> Column:
-    return T.trim_all(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"\{[^}]*\}", ""))
+    return T.trim_all(F.regexp_replace(T.strip_tags(c), r"\{[^}]*\}", ""))
 
 
 def _cue(start: Column, end: Column, text: Column) -> Column:
@@ -58,7 +58,7 @@ def headings(text: Column) -> Column:
 
 
 def html_headings(html: Column) -> Column:
-    whole = T.all_of(html, r"(?is)<h[1-6][^>]*>.*?</h[1-6]>", 0)
+    whole = T.all_of(T.closed_only(html, "<h[1-6][^>]*>", "</h[1-6]>", "<h[1-6]"), r"(?is)<h[1-6][^>]*>.*?</h[1-6]>", 0)
     return F.transform(whole, lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), T.strip_tags(h).alias("text")))
 
 

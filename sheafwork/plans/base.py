@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import scratch  # noqa: F401  queries that write use it
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -24,16 +24,3 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share; a temporary one only for a local session that names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = of_context.get() if of_context.isDefined() else None
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="spark-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

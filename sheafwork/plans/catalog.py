@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import subtitles as S
-from . import formats, steps  # noqa: F401  their queries join the catalogue
+from . import formats, layouts, steps  # noqa: F401  their queries join the catalogue
 from .base import QUERIES, SQL, query
 from .base import table as _t
 
@@ -37,7 +37,7 @@ def parsed_pages(spark, sf_dir):
     """Pages as parsed documents: text, headings, title and size."""
     p = _t(spark, sf_dir, "pages")
     size = F.octet_length("html").cast("long")
-    title = F.nullif(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit(""))
+    title = F.nullif(F.regexp_extract("html", "(?is)<title>(.*?)</title>|<title>.*+", 1), F.lit(""))
     return p.select("page_id", T.strip_html(F.col("html")).alias("text"), F.size(S.html_headings(F.col("html"))).cast("long").alias("n_headings"), title.alias("title"), size.alias("file_size"), T.file_size_label(size).alias("size_label"))
 
 

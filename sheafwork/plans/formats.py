@@ -405,8 +405,8 @@ def fixed_headers(spark, sf_dir):
            nullif(array_to_string(list_filter(regexp_extract_all(html, '[\x20-\x7E\n\r\t]{6,}'), lambda x: true), chr(10)), '') AS plain FROM r""")
 def carved_bytes(spark, sf_dir):
     """Strings carved from bytes; a run that isn't closed in the window doesn't count."""
-    raw = F.encode("html", "UTF-8")
-    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(B.text_strings(raw), "|").alias("strings"), F.array_join(B.archive_strings(raw), "|").alias("names"), B.ascii_text(raw).alias("plain"))
+    raw = F.col("raw")
+    return _t(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("raw")).select("page_id", F.array_join(B.text_strings(raw), "|").alias("strings"), F.array_join(B.archive_strings(raw), "|").alias("names"), B.ascii_text(raw).alias("plain"))
 
 
 _WORDS = ", ".join(f"'{w}'" for w in ("PAR1 parquet schema PLAIN SNAPPY GZIP NONE OPTIONAL REQUIRED REPEATED UTF8 INT32 INT64 FLOAT DOUBLE BOOLEAN BYTE_ARRAY FIXED_LEN MAP LIST org apache spark pandas writer version created NULL").split())
@@ -428,8 +428,7 @@ _HALF = " || ' ' || ".join
     UNION ALL SELECT page_id, 128, '... (' || CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' ELSE ((strlen(html)*20+1024)//2048)//10 || '.' || ((strlen(html)*20+1024)//2048)%10 || ' KB' END || ' total)' FROM pages WHERE strlen(html) > 2048""")
 def hex_dump(spark, sf_dir):
     """Address, sixteen bytes and their characters of the first 2048 bytes of each page; the preview is the feature."""
-    p = _t(spark, sf_dir, "pages").select("page_id", F.posexplode(B.hex_lines(F.encode("html", "UTF-8"))).alias("nth", "line"))
-    return p
+    return B.hex_rows(_t(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content")), "page_id", "content")
 
 
 @query("""SELECT c_custkey, 132 + 2 * (c_custkey % 5) AS at, 'Modality' AS name, 'CT' AS value FROM customer UNION ALL SELECT c_custkey, 142 + 2 * (c_custkey % 5), 'PatientName', c_name FROM customer""")
