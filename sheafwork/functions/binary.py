@@ -49,11 +49,6 @@ def number_at(content: Column, at: Column, size: int, little: bool = False, sign
     return F.when((at >= 0) & (F.length(part) == 2 * size), value)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)``, with the value computed once however often it is named."""
-    return F.transform(F.array(value), use)[0]
-
-
 def varint(content: Column, at: Column) -> Column:
     """(value, next) of a zig-zag number of variable length at a place that is a column: seven bits a byte, the lowest first, up to ten bytes; nulls where its last byte is missing."""
     code = F.regexp_extract(F.hex(F.substr(content, (at + 1).cast("int"), F.lit(10))), "^((?:[89A-F].){0,9}[0-7].)", 1)
@@ -68,7 +63,7 @@ def varint(content: Column, at: Column) -> Column:
         return F.struct(F.shiftrightunsigned(r["bits"], 1).bitwiseXOR(-r["bits"].bitwiseAND(F.lit(1).cast("long"))).alias("value"), r["next"].alias("next"))
 
     none = F.struct(F.lit(None).cast("long").alias("bits"), F.lit(None).cast("long").alias("next"))
-    return let(let(code, lambda c: F.when(F.length(c) > 0, read(c)).otherwise(none)), decoded)
+    return T.let(T.let(code, lambda c: F.when(F.length(c) > 0, read(c)).otherwise(none)), decoded)
 
 
 def named(key: Column, names: dict, default: Column) -> Column:
@@ -171,8 +166,6 @@ def utf16_strings(content: Column, start: int = 0, most: int = 20, window: int =
 
 def utf16_lines(content: Column, start: int = 0, most: int = 200, window: int = 200_000) -> Column:
     """Lines of two units and more, trimmed, in order: those that a line end closes, and of others those with a Hangul syllable; the last counts like the others."""
-    pattern = F.lit(rf"([{OLE_UNITS}]++)([\r\n]?)")
-    text = utf16_units(content, start, window)
-    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("run"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("end"))
-    kept = F.filter(pairs, lambda p: (F.length(T.trim_all(p["run"])) >= 2) & ((p["end"] != "") | p["run"].rlike(r"[\uAC00-\uD7AF]")))
-    return F.slice(F.transform(kept, lambda p: T.trim_all(p["run"])), 1, most)
+    runs = F.regexp_extract_all(utf16_units(content, start, window), F.lit(rf"[{OLE_UNITS}]++[\r\n]?"), F.lit(0))
+    kept = F.filter(runs, lambda r: (F.length(T.trim_all(r)) >= 2) & (F.endswith(r, F.lit("\n")) | F.endswith(r, F.lit("\r")) | r.rlike(r"[\uAC00-\uD7AF]")))
+    return F.slice(F.transform(kept, T.trim_all), 1, most)

@@ -20,18 +20,15 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\u00a0\ufeff]++|(?<![\s\u00a0\ufeff])[\s\u00a0\ufeff]++\z", "")
 
 
-def _lower_ascii(c: Column) -> Column:
-    """Places in the result are those in the text."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def body_of(html: Column) -> Column:
     """What stands in a page's body, or the page if none is opened and closed. Only the first opening counts: if it isn't closed, no later one is."""
-    low = _lower_ascii(html)
-    begin = F.locate("<body", low)
-    opened = F.when(begin > 0, F.nullif(F.position(F.lit(">"), html, begin + 5), F.lit(0)))
-    closed = F.nullif(F.position(F.lit("</body>"), low, opened + 1), F.lit(0))
-    return F.when(closed.isNull(), html).otherwise(F.substr(html, opened + 1, closed - opened - 1))
+    inner = lambda b: F.substr(b, F.locate(">", b) + 1, F.length(b) - F.locate(">", b) - len("</body>"))
+    return let(html, lambda c: let(F.regexp_extract(c, "(?is)(<body[^>]*+>.*?</body>)|<body.*+", 1), lambda b: F.when(b == "", c).otherwise(inner(b))))
 
 
 def closed_only(c: Column, opening: str, closing: str, start: str) -> Column:
@@ -104,9 +101,8 @@ def strip_html(c: Column) -> Column:
 
 def strip_tags(c: Column, by: str = "") -> Column:
     """A text with ``by`` for each tag.  Behind the last closing bracket there are none, so nothing is looked for there."""
-    rest = F.substring_index(c, ">", -1)
-    head = F.substr(c, F.lit(1), F.length(c) - F.length(rest))
-    return F.concat(F.regexp_replace(head, "<[^>]+>", by), rest)
+    cut = lambda x, n: F.concat(F.regexp_replace(F.substr(x, F.lit(1), n), "<[^>]+>", by), F.substr(x, n + 1))
+    return let(c, lambda x: let(F.length(x) - F.length(F.substring_index(x, ">", -1)), lambda n: cut(x, n)))
 
 
 # What is replaced in RTF, in this order.

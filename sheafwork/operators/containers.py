@@ -110,10 +110,10 @@ def _avro_sync(c: Column) -> Column:
     def step(s, _):
         def entry(one):
             opened = F.struct(F.when(one["value"] < 0, B.varint(c, one["next"])["next"]).otherwise(one["next"]).alias("at"), F.abs(one["value"]).alias("left"), (one["value"] == 0).alias("done")).cast(state)
-            passed = B.let(B.varint(c, one["next"] + one["value"]), lambda two: F.struct((two["next"] + two["value"]).alias("at"), (s["left"] - 1).alias("left"), F.lit(False).alias("done")).cast(state))
+            passed = T.let(B.varint(c, one["next"] + one["value"]), lambda two: F.struct((two["next"] + two["value"]).alias("at"), (s["left"] - 1).alias("left"), F.lit(False).alias("done")).cast(state))
             return F.when(s["left"] == 0, opened).otherwise(passed)
 
-        return F.when(s["done"], s).otherwise(B.let(B.varint(c, s["at"]), entry))
+        return F.when(s["done"], s).otherwise(T.let(B.varint(c, s["at"]), entry))
 
     steps = F.sequence(F.lit(1).cast("long"), F.least(F.abs(first) + 2, F.octet_length(c).cast("long")))
     end = F.aggregate(steps, F.struct(F.lit(4).cast("long").alias("at"), F.lit(0).cast("long").alias("left"), F.lit(False).alias("done")).cast(state), step)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import binary as B
 from ..functions import text as T
 
 STRINGS = "array<string>"
@@ -99,10 +98,9 @@ def csv_rows(text: Column, delimiter: Column) -> Column:
     and a letter while it is cut, and so are shifts.
     """
     hidden = (("\x0e", "\x0eS"), ("\x1e", "\x0eR"), ("\x1f", "\x0eU"))
-    odd = F.contains(text, F.lit("\x0e")) | F.contains(text, F.lit("\x1e")) | F.contains(text, F.lit("\x1f"))
     safe = text
-    for a, b in hidden:
-        safe = F.replace(safe, F.lit(a), F.lit(b))
+    for x, y in hidden:
+        safe = F.replace(safe, F.lit(x), F.lit(y))
 
     def turned(pieces):
         def piece(p, i):
@@ -111,15 +109,15 @@ def csv_rows(text: Column, delimiter: Column) -> Column:
 
         return F.array_join(F.transform(pieces, piece), "")
 
-    records = F.split(B.let(F.split(F.when(odd, safe).otherwise(text), '"', -1), turned), "\x1e", -1)
+    records = F.split(T.let(F.split(safe, '"', -1), turned), "\x1e", -1)
 
     def shown(cell):
-        for a, b in reversed(hidden):
-            cell = F.replace(cell, F.lit(b), F.lit(a))
-        return cell
+        plain = cell
+        for x, y in reversed(hidden):
+            plain = F.replace(plain, F.lit(y), F.lit(x))
+        return F.when(F.contains(cell, F.lit("\x0e")), plain).otherwise(cell)
 
-    rows = F.transform(F.filter(records, lambda r: r != ""), lambda r: F.split(r, "\x1f", -1))
-    return F.when(odd, F.transform(rows, lambda r: F.transform(r, shown))).otherwise(rows)
+    return F.transform(F.filter(records, lambda r: r != ""), lambda r: F.transform(F.split(r, "\x1f", -1), shown))
 
 
 def csv_cells_of_lines(text: Column, delimiter: str = ",", most: int | None = None) -> Column:

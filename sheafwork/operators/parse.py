@@ -92,11 +92,14 @@ def _sized(title: Column, f: File, *more: Column) -> Column:
 
 def delimited(f: File) -> Column:
     tab = f.suffix == ".tsv"
-    rows = M.csv_rows(f.text, F.when(tab, "\t").otherwise(","))
-    headers, data = F.get(rows, F.lit(0)), F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))
-    empty = F.size(rows) == 0
-    meta = {"format": F.when(~empty, "CSV"), "rows": F.when(empty, 0).otherwise(F.size(data)), "columns": F.when(empty, 0).otherwise(F.size(headers)), "headers": F.array_join(headers, ", "), "delimiter": F.when(~empty, F.when(tab, "TAB").otherwise(","))}
-    return parts(f.text, meta, F.when(~empty, table(headers, data)).otherwise(F.array().cast(TABLES)))
+
+    def told(rows):
+        headers, data = F.get(rows, F.lit(0)), F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))
+        empty = F.size(rows) == 0
+        meta = {"format": F.when(~empty, "CSV"), "rows": F.when(empty, 0).otherwise(F.size(data)), "columns": F.when(empty, 0).otherwise(F.size(headers)), "headers": F.array_join(headers, ", "), "delimiter": F.when(~empty, F.when(tab, "TAB").otherwise(","))}
+        return parts(f.text, meta, F.when(~empty, table(headers, data)).otherwise(F.array().cast(TABLES)))
+
+    return T.let(M.csv_rows(f.text, F.when(tab, "\t").otherwise(",")), told)
 
 
 def markdown(f: File) -> Column:
@@ -106,8 +109,8 @@ def markdown(f: File) -> Column:
 
 
 def subtitle(f: File) -> Column:
-    cues = S.subtitle_cues(f.text, f.suffix)
-    return parts(S.cue_text(cues), {"entries": _count(cues), "format": f.suffix}, table(F.array(*map(F.lit, ("#", "Start", "End", "Text"))), S.cue_table(cues)))
+    heads = F.array(*map(F.lit, ("#", "Start", "End", "Text")))
+    return T.let(S.subtitle_cues(f.text, f.suffix), lambda cues: parts(S.cue_text(cues), {"entries": _count(cues), "format": f.suffix}, table(heads, S.cue_table(cues))))
 
 
 def pdf(f: File) -> Column:
@@ -138,15 +141,13 @@ def _xml_strings(pattern: str, sep: str, format_: str) -> Parser:
 
 
 def mail(f: File) -> Column:
-    m = M.mail_parts(f.text)
-    return parts(m["body"], {"format": F.lit("EML"), "from": m["from"], "to": m["to"], "subject": m["subject"], "date": m["date"], "contentType": m["content_type"]})
+    return T.let(M.mail_parts(f.text), lambda m: parts(m["body"], {"format": F.lit("EML"), "from": m["from"], "to": m["to"], "subject": m["subject"], "date": m["date"], "contentType": m["content_type"]}))
 
 
 def configuration(f: File) -> Column:
     """TOML: the text as it is, and its sections; YAML: the text alone."""
-    entries = M.toml_entries(f.text)
-    sections = F.array_join(F.filter(F.array_distinct(F.transform(entries, lambda e: e["section"])), lambda s: s != ""), ", ")
-    toml = parts(f.text, {"format": F.lit("TOML"), "type": F.lit("object"), "sections": sections, "entries": F.size(entries)})
+    sections = lambda entries: F.array_join(F.filter(F.array_distinct(F.transform(entries, lambda e: e["section"])), lambda s: s != ""), ", ")
+    toml = T.let(M.toml_entries(f.text), lambda entries: parts(f.text, {"format": F.lit("TOML"), "type": F.lit("object"), "sections": sections(entries), "entries": F.size(entries)}))
     return F.when(f.suffix == ".toml", toml).otherwise(parts(f.text, {"format": F.lit("YAML")}))
 
 
@@ -181,12 +182,15 @@ def archive(f: File) -> Column:
 
 def domain(f: File) -> Column:
     """DXF by its entities, DWG by its version, MessagePack by its first byte; others by size."""
-    drawing = M.dxf_drawing(f.text)
-    kinds = F.when(F.size(drawing["types"]) > 0, drawing["types"]).otherwise(M.dxf_types(f.text))
-    listed = F.array_join(F.transform(M.counted(kinds), lambda c: F.concat(c["item"], F.lit("("), c["n"].cast("string"), F.lit(")"))), ", ")
     some = lambda c: F.when(F.size(c) > 0, F.size(c))
-    shown = F.concat(F.lit("[DXF]\n"), listed, F.when(F.size(drawing["texts"]) > 0, F.concat(F.lit("\n"), F.array_join(drawing["texts"], "\n"))).otherwise(""))
-    dxf = parts(shown, {"format": F.lit("DXF"), "version": drawing["version"], "layers": some(drawing["layers"]), "blocks": some(drawing["blocks"]), "entities": F.size(kinds), "texts": some(drawing["texts"])})
+
+    def drawn(drawing):
+        kinds = F.when(F.size(drawing["types"]) > 0, drawing["types"]).otherwise(M.dxf_types(f.text))
+        listed = F.array_join(F.transform(M.counted(kinds), lambda c: F.concat(c["item"], F.lit("("), c["n"].cast("string"), F.lit(")"))), ", ")
+        shown = F.concat(F.lit("[DXF]\n"), listed, F.when(F.size(drawing["texts"]) > 0, F.concat(F.lit("\n"), F.array_join(drawing["texts"], "\n"))).otherwise(""))
+        return parts(shown, {"format": F.lit("DXF"), "version": drawing["version"], "layers": some(drawing["layers"]), "blocks": some(drawing["blocks"]), "entities": F.size(kinds), "texts": some(drawing["texts"])})
+
+    dxf = T.let(M.dxf_drawing(f.text), drawn)
     code = B.latin1(F.substring(f.content, 1, 6))
     long = f.size >= 6
     dwg = parts(_sized(F.lit("DWG"), f), {"format": F.lit("DWG"), "versionCode": F.when(long, code), "version": F.when(long, B.named(code, B.DWG_RELEASES, F.lit("Unknown")))})

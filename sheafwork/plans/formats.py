@@ -12,6 +12,7 @@ from ..operators import markup as M
 from ..operators import parse as P
 from ..operators import subtitles as S
 from ..operators import views as V
+from ..sources import datasource as D
 from ..sources import files as files_
 from ..sources import registry as R
 from .base import query, scratch
@@ -30,25 +31,41 @@ def _bytes(code) -> F.Column:
 # ---- registry and detection ----------------------------------------------------------------------------------------------
 
 
-@query("""SELECT * FROM (VALUES ('문서', 13, 13, 1), ('웹/마크업', 4, 4, 2), ('이미지/스캔', 4, 4, 3), ('전자책/출판', 2, 2, 4), ('오디오/비디오', 10, 10, 5),
-          ('코드/기술문서', 2, 2, 6), ('구조화 데이터', 8, 8, 7), ('복합/압축', 5, 5, 8), ('도메인 특수', 2, 2, 9)) v(category, formats, supported, place)""")
+# Suffixes of files named after the tables' rows, with what the registry says of each: format, category, whether it has a parser, the category's place.
+_SUFFIXES = [
+    (".pdf", "PDF", "문서", 1), (".rtf", "RTF", "문서", 1), (".yml", "YAML", "웹/마크업", 2), (".eml", "이메일 (EML)", "웹/마크업", 2), (".dcm", "DICOM", "이미지/스캔", 3), (".epub", "EPUB", "전자책/출판", 4),
+    (".mp3", "MP3", "오디오/비디오", 5), (".md", "Markdown", "코드/기술문서", 6), (".proto", "Protocol Buffers", "코드/기술문서", 6), (".csv", "CSV", "구조화 데이터", 7), (".avro", "Avro", "구조화 데이터", 7),
+    (".tgz", "tar.gz", "복합/압축", 8), (".shp", "Shapefile", "도메인 특수", 9), (".none", "Unknown", "기타", None),
+]
+_KNOWN = ", ".join(f"({i}, '{f}', '{c}', {p or 'NULL'})" for i, (_, f, c, p) in enumerate(_SUFFIXES))
+
+
+def _named_files(spark, sf_dir):
+    """A file's name for each order, detected."""
+    suffix = F.element_at(F.array(*[F.lit(x[0]) for x in _SUFFIXES]), (F.col("o_custkey") % len(_SUFFIXES) + 1).cast("int"))
+    return R.detect(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", _cat("o", F.col("o_orderkey").cast("string"), suffix).alias("name")), content=None)
+
+
+@query(f"""SELECT category, count(*) AS files, count(DISTINCT f)::BIGINT AS formats, place::INT AS place FROM orders JOIN (VALUES {_KNOWN}) v(i, f, category, place) ON o_custkey % {len(_SUFFIXES)} = i GROUP BY category, place""")
 def category_summary(spark, sf_dir):
-    return R.categories(R.formats(spark)).withColumns({c: F.col(c).cast("int") for c in ("formats", "supported")})
+    """How many files and formats there are of each category, and its place in the registry."""
+    got = _named_files(spark, sf_dir).groupBy("category").agg(F.count("*").alias("files"), F.count_distinct("format").alias("formats"))
+    return got.join(F.broadcast(R.categories(R.formats(spark)).select("category", F.col("place").cast("int").alias("place"))), "category", "left")  # nine categories
 
 
-@query("SELECT 50 AS formats, 50 AS supported")
+@query(f"""SELECT f AS format, f <> 'Unknown' AS supported, count(*) AS files FROM orders JOIN (VALUES {_KNOWN}) v(i, f, category, place) ON o_custkey % {len(_SUFFIXES)} = i GROUP BY ALL""")
 def format_totals(spark, sf_dir):
-    return R.formats(spark).agg(F.count("*").cast("int").alias("formats"), F.count_if("supported").cast("int").alias("supported"))
+    return _named_files(spark, sf_dir).groupBy("format", "supported").agg(F.count("*").alias("files"))
 
 
-@query("""SELECT * FROM (VALUES ('by .csv', 900), ('by .log', 900), ('by .tsv', 72), ('by text/csv', 71), ('id 900', 900), ('category', 71), ('category', 72), ('category', 73), ('category', 74),
-          ('category', 75), ('category', 77), ('category', 78), ('category', 80), ('category', 900)) v(how, id)""")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 900 WHEN 1 THEN 900 WHEN 2 THEN 72 ELSE 71 END AS format_id, CASE page_id % 4 WHEN 0 THEN 'Log' WHEN 1 THEN 'Log' WHEN 2 THEN 'TSV' ELSE 'CSV' END AS format,
+          CASE page_id % 4 WHEN 3 THEN 'mime' ELSE 'extension' END AS detected_by FROM pages""")
 def format_lookup(spark, sf_dir):
-    """A format that is registered last takes over the suffixes it names, in any case of letters."""
+    """A format that is registered last takes over the suffixes it names, in any case of letters, but no MIME type that it doesn't."""
     known = R.register(R.formats(spark), 900, "Log", [".LOG", ".csv"], [], "구조화 데이터", "TextParser")
-    keys = R.by_key(known, "extensions").where("key in ('.csv', '.log', '.tsv')").union(R.by_key(known, "mimes").where("key = 'text/csv'"))
-    out = keys.select(F.concat(F.lit("by "), "key").alias("how"), "id")
-    return out.union(R.by_id(known, 900).select(F.lit("id 900"), "id")).union(R.by_category(known, "구조화 데이터").select(F.lit("category"), "id"))
+    k = F.col("page_id") % 4
+    files = _t(spark, sf_dir, "pages").select("page_id", _cat("p", F.when(k == 0, ".log").when(k == 1, ".CSV").when(k == 2, ".tsv").otherwise("")).alias("name"), F.when(k == 3, "text/csv").alias("mime"))
+    return R.detect(files, content=None, mime="mime", known=known).select("page_id", "format_id", "format", "detected_by")
 
 
 @query("""SELECT doc_id, id AS format_id, p AS parser_name, how AS detected_by FROM documents
@@ -129,24 +146,55 @@ def parsed_files(spark, sf_dir):
     return got.select("name", *r, meta("error").alias("soft_error"), F.when(table.isNotNull(), F.array_join(rows, "|")).alias("cells"), meta("fileName").alias("file_name"), meta("fileType").alias("file_type"))
 
 
+@query("""SELECT 'f' || s_suppkey || '.csv' AS name, 'CSV' AS format, (10 + 1 + length(s_name) + 7 + 20 + 6)::BIGINT AS size, 'name,note|' || s_name || ', Ltd,say "hi"' || chr(10) || 'there|short' AS cells
+          FROM supplier WHERE s_suppkey % 11 = 0 AND 10 + 1 + length(s_name) + 7 + 20 + 6 > 40""")
+def file_source(spark, sf_dir):
+    """Files of a folder through the data source, by their suffix and size: the others are never opened."""
+    folder = scratch(spark, "source")
+    files_.write_files(_supplier_files(spark, sf_dir), folder).agg(F.sum("bytes")).collect()
+    got = P.parse(R.detect(D.read_folder(spark, folder, partition_bytes=1 << 10).where("suffix = '.csv' and size > 40")))
+    table = F.get("result.tables", F.lit(0))
+    return got.select("name", "result.format", "size", F.array_join(F.transform(F.concat(F.array(table["headers"]), table["rows"]), lambda r: F.array_join(r, ",")), "|").alias("cells"))
+
+
+def _settings(content: bytes):
+    for line in content.decode().splitlines():
+        key, mark, value = line.partition("=")
+        if not mark:
+            raise ValueError(line)
+        yield key.strip(), value.strip()
+
+
+@query("""SELECT s_suppkey, unnest([0, 1, 2]) AS nth, unnest(['name', 'key', CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'nation' END]) AS key, unnest([s_name, s_suppkey::VARCHAR, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_nationkey::VARCHAR END]) AS value,
+          unnest([NULL, NULL, CASE WHEN s_suppkey % 3 = 0 THEN 'ValueError: broken ' || s_suppkey END]) AS error FROM supplier""")
+def table_parser(spark, sf_dir):
+    """A parser of the user's own as a table function; files that it fails on say why."""
+    D.register_table_parser(spark, "settings_of", _settings)
+    last = F.when(F.col("s_suppkey") % 3 == 0, _cat("broken ", F.col("s_suppkey").cast("string"))).otherwise(_cat("nation=", F.col("s_nationkey").cast("string")))
+    files = _t(spark, sf_dir, "supplier").select("s_suppkey", _cat("name = ", F.col("s_name"), "\nkey=", F.col("s_suppkey").cast("string"), "\n", last).cast("binary").alias("content"))
+    files.createOrReplaceTempView("settings_files")
+    return spark.sql("SELECT s_suppkey, p.nth, p.key, p.value, p.error FROM settings_files, LATERAL settings_of(content) AS p")
+
+
 def _segments(spark, sf_dir):
-    """Results of a CSV for each market segment."""
-    c = _t(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("l"))
+    """Results of a CSV for each market segment and thousand of customers' keys."""
+    c = _t(spark, sf_dir, "customer").groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 1000).alias("b")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("l"))
     text = _cat("key,name\n", F.array_join(F.transform("l", lambda x: F.concat(x["c_custkey"].cast("string"), F.lit(","), x["c_name"])), "\n"))
-    files = c.select(F.concat("c_mktsegment", F.lit(".csv")).alias("name"), F.octet_length(text).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified"), text.cast("binary").alias("content"))
+    files = c.select(_cat(F.col("c_mktsegment"), "-", F.col("b").cast("string"), ".csv").alias("name"), F.octet_length(text).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified"), text.cast("binary").alias("content"))
     return P.parse(R.detect(files))
 
 
-@query("""SELECT c_mktsegment || '.csv' AS name, 1 AS nth, NULL::VARCHAR AS title, 'key,name' AS headers, least(100, count(*))::INT AS shown,
+@query("""SELECT name, 1 AS nth, NULL::VARCHAR AS title, 'key,name' AS headers, least(100, count(*))::INT AS shown,
           string_agg(c_custkey, ',' ORDER BY c_custkey) FILTER (WHERE n <= 100) AS keys, CASE WHEN count(*) > 100 THEN '... ' || (count(*) - 100) || '개 행 더 있음' END AS note
-          FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer) GROUP BY c_mktsegment""")
+          FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY c_custkey) AS n FROM (SELECT *, c_mktsegment || '-' || c_custkey // 1000 || '.csv' AS name FROM customer)) GROUP BY name""")
 def result_tables(spark, sf_dir):
     v = V.table_view(_segments(spark, sf_dir), "name")
     return v.select("name", "nth", "title", F.array_join("headers", ",").alias("headers"), F.size("rows").alias("shown"), F.array_join(F.transform("rows", lambda r: r[0]), ",").alias("keys"), "note")
 
 
-@query("""SELECT c_mktsegment || '.csv' AS name, unnest(['columns', 'delimiter', 'fileName', 'fileSize', 'fileType', 'format', 'headers', 'rows']) AS key,
-          unnest(['2', ',', c_mktsegment || '.csv', (8 + sum(length(c_custkey::VARCHAR) + 2 + length(c_name)))::BIGINT::VARCHAR, 'unknown', 'CSV', 'key, name', count(*)::VARCHAR]) AS value FROM customer GROUP BY c_mktsegment""")
+@query("""SELECT name, unnest(['columns', 'delimiter', 'fileName', 'fileSize', 'fileType', 'format', 'headers', 'rows']) AS key,
+          unnest(['2', ',', name, (8 + sum(length(c_custkey::VARCHAR) + 2 + length(c_name)))::BIGINT::VARCHAR, 'unknown', 'CSV', 'key, name', count(*)::VARCHAR]) AS value
+          FROM (SELECT *, c_mktsegment || '-' || c_custkey // 1000 || '.csv' AS name FROM customer) GROUP BY name""")
 def result_metadata(spark, sf_dir):
     return V.metadata_view(_segments(spark, sf_dir), "name")
 
@@ -221,9 +269,9 @@ def _at(ms, mark: str):
     return F.replace(T.cue_timestamp(ms), F.lit(","), F.lit(mark))
 
 
-@query(f"""SELECT event_id, unnest(['1', '2']) AS nth, unnest([{_STAMP.format('(event_id*3)', '.')}, {_STAMP.format('(event_id*3+1000)', '.')}]) AS start, unnest([event_type || ' said', 'id ' || event_id || ' twice']) AS text FROM events WHERE event_id * 3 < 300000000""")
+@query(f"""SELECT event_id, unnest(['1', '2']) AS nth, unnest([{_STAMP.format('(m*3)', '.')}, {_STAMP.format('(m*3+1000)', '.')}]) AS start, unnest([event_type || ' said', 'id ' || event_id || ' twice']) AS text FROM (SELECT * EXCLUDE (event_id), event_id, event_id % 100000000 AS m FROM events)""")
 def vtt_cue_table(spark, sf_dir):
-    e, ms = _t(spark, sf_dir, "events").where("event_id * 3 < 300000000"), F.col("event_id") * 3  # hours of two digits
+    e, ms = _t(spark, sf_dir, "events"), F.col("event_id") % 100_000_000 * 3  # hours of two digits
     text = _cat("WEBVTT - a title\r\n\r\n1\r\n", _at(ms, "."), " --> ", _at(ms + 900, "."), " align:start\r\n<v Ann>", F.col("event_type"), "</v> said\r\n\r\n", _at(ms + 1000, "."), " --> ", _at(ms + 1100, "."), "\r\nid ", F.col("event_id").cast("string"), "\r\ntwice\r\n\r\nNOTE nothing")
     rows = e.select("event_id", F.explode(S.cue_table(S.subtitle_cues(text, F.lit(".vtt")))).alias("r"))
     return rows.select("event_id", F.col("r")[0].alias("nth"), F.col("r")[1].alias("start"), F.col("r")[3].alias("text"))
@@ -399,7 +447,7 @@ def fixed_headers(spark, sf_dir):
     )
 
 
-@query(r"""WITH r AS (SELECT page_id, regexp_extract_all(html, '([\x20-\x7E]+)[^\x20-\x7E]', 1) AS r, html FROM pages)
+@query(r"""WITH r AS (SELECT page_id, regexp_extract_all(left(html, 50000), '([\x20-\x7E]+)[^\x20-\x7E]', 1) AS r, html FROM pages)
     SELECT page_id, array_to_string(list_filter(list_filter(r, lambda x: length(x) BETWEEN 3 AND 99 AND regexp_matches(x, '[A-Za-z]')), lambda x, i: list_position(list_filter(r, lambda y: length(y) BETWEEN 3 AND 99 AND regexp_matches(y, '[A-Za-z]')), x) = i)[1:30], '|') AS strings,
            array_to_string(list_filter(list_filter(r, lambda x: length(x) BETWEEN 4 AND 199 AND (regexp_matches(x, '\.[a-zA-Z0-9]{1,10}$') OR contains(x, '/') OR contains(x, '\'))), lambda x, i: list_position(list_filter(r, lambda y: length(y) BETWEEN 4 AND 199 AND (regexp_matches(y, '\.[a-zA-Z0-9]{1,10}$') OR contains(y, '/') OR contains(y, '\'))), x) = i)[1:30], '|') AS names,
            nullif(array_to_string(list_filter(regexp_extract_all(html, '[\x20-\x7E\n\r\t]{6,}'), lambda x: true), chr(10)), '') AS plain FROM r""")
@@ -409,7 +457,7 @@ def carved_bytes(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("raw")).select("page_id", F.array_join(B.text_strings(raw), "|").alias("strings"), F.array_join(B.archive_strings(raw), "|").alias("names"), B.ascii_text(raw).alias("plain"))
 
 
-_WORDS = ", ".join(f"'{w}'" for w in ("PAR1 parquet schema PLAIN SNAPPY GZIP NONE OPTIONAL REQUIRED REPEATED UTF8 INT32 INT64 FLOAT DOUBLE BOOLEAN BYTE_ARRAY FIXED_LEN MAP LIST org apache spark pandas writer version created NULL").split())
+_WORDS = ", ".join(f"'{w}'" for w in B.PARQUET_WORDS)
 
 
 @query(rf"""SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:30], ' ') AS kept FROM (SELECT doc_id, list_filter(regexp_extract_all(text || ' org.apache.spark List map_key INT64', '[a-zA-Z_][a-zA-Z0-9_]{{0,63}}'),

@@ -13,7 +13,7 @@ from ..operators import parse as P
 from ..sources import registry as R
 from .base import query, scratch
 from .base import table as _t
-from .formats import _cat
+from .formats import _KNOWN, _SUFFIXES, _cat, _named_files
 
 
 @query("""SELECT conv_id, turn, role || '|' || turn || '|' AS fields, 'role,text' AS first FROM conversations""")
@@ -62,11 +62,14 @@ def tables_of_parts(spark, sf_dir):
     return got.select("conv_id", F.size(flat).cast("long").alias("tables"), F.array_join(flat, "|").alias("names"))
 
 
-@query("""SELECT kind, name, n FROM (VALUES ('table', 'nation', 3), ('table', 'region', 2), ('view', 'orders', 6)) v(kind, name, n)""")
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, '{t}' AS name, {n}::BIGINT AS columns, count(*) AS n FROM {t}" for k, t, n in (("table", "nation", 3), ("table", "region", 2), ("view", "lineitem", 11), ("view", "orders", 6))))
 def catalog_listing(spark, sf_dir):
-    """Tables and views of a database in the order of type and name, with the number of their columns."""
-    rows = [("table", n, len(_t(spark, sf_dir, n).columns)) for n in ("region", "nation")] + [("view", "orders", len(_t(spark, sf_dir, "orders").columns))]
-    return spark.createDataFrame(rows, "kind string, name string, n int").orderBy("kind", "name")
+    """Tables and views with their columns and rows."""
+    parts = []
+    for kind, name in (("table", "region"), ("table", "nation"), ("view", "orders"), ("view", "lineitem")):
+        t = _t(spark, sf_dir, name)
+        parts.append(t.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(len(t.columns)).cast("long").alias("columns"), "n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).orderBy("kind", "name")
 
 
 @query("""SELECT event_id, CASE WHEN c < 0 THEN '-' ELSE '' END || (abs(c) // 100) || '.' || lpad((abs(c) % 100)::VARCHAR, 2, '0') AS two, CASE WHEN c < 0 THEN '-' ELSE '' END || (abs(c) // 100) || '.' || lpad((abs(c) % 100)::VARCHAR, 2, '0') || '0000' AS six,
@@ -84,21 +87,20 @@ def json_strings(spark, sf_dir):
     return e.select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), _cat("[Binary ", F.octet_length(F.col("event_type").cast("binary")).cast("string"), " bytes]").alias("raw"))).alias("json"))
 
 
-@query("""SELECT s_suppkey, s_name || ' wörld' AS line FROM supplier UNION ALL SELECT s_suppkey, 'line ' || s_suppkey FROM supplier""")
+@query("""SELECT s_nationkey, s_name || ' wörld' AS line FROM supplier UNION ALL SELECT s_nationkey, 'line ' || s_suppkey FROM supplier""")
 def text_sink(spark, sf_dir):
-    """Texts written as UTF-8 and read back, line by line, with the key they were written under."""
+    """Texts written as UTF-8 and read back, line by line, a folder for each nation: few folders, of files as large as Spark writes them."""
     folder = scratch(spark, "text")
     text = _cat(F.col("s_name"), " wörld\nline ", F.col("s_suppkey").cast("string"))
-    _t(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(folder)
-    return spark.read.text(folder).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.col("value").alias("line"))
+    _t(spark, sf_dir, "supplier").select("s_nationkey", text.alias("text")).write.partitionBy("s_nationkey").text(folder)
+    return spark.read.text(folder).select(F.col("s_nationkey").cast("int").alias("s_nationkey"), F.col("value").alias("line"))
 
 
-@query("""SELECT category, string_agg(name, ', ' ORDER BY pos) AS names FROM (VALUES ('웹/마크업', 'YAML', 1), ('웹/마크업', 'TOML', 2), ('웹/마크업', '이메일 (EML)', 3), ('웹/마크업', 'Outlook (MSG)', 4), ('전자책/출판', 'EPUB', 5), ('전자책/출판', 'MOBI/AZW', 6),
-          ('코드/기술문서', 'Markdown', 7), ('코드/기술문서', 'Protocol Buffers', 8), ('도메인 특수', 'Shapefile', 9), ('도메인 특수', 'MessagePack', 10)) v(category, name, pos) GROUP BY category""")
+@query(f"""SELECT category, string_agg(DISTINCT f, ', ' ORDER BY f) AS names, count(*) AS files FROM orders JOIN (VALUES {_KNOWN}) v(i, f, category, place) ON o_custkey % {len(_SUFFIXES)} = i GROUP BY category HAVING count(DISTINCT f) < 2""")
 def small_categories(spark, sf_dir):
-    """Formats of the categories that have fewer than five."""
-    got = R.formats(spark).groupBy("category").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("l")).where("size(l) < 5 and category not like '이미지%'")
-    return got.select("category", F.array_join(F.transform("l", lambda x: x["name"]), ", ").alias("names"))
+    """Categories of which files have one format only."""
+    got = _named_files(spark, sf_dir).groupBy("category", "format").agg(F.count("*").alias("n")).groupBy("category").agg(F.array_sort(F.collect_list("format")).alias("l"), F.sum("n").alias("files"))
+    return got.where("size(l) < 2").select("category", F.array_join("l", ", ").alias("names"), "files")
 
 
 @query("""SELECT conv_id, turn, 'AC1032' AS version, '4' AS units, 2 AS variables, '0,' || role AS layers, 'door' AS blocks, 'LINE,TEXT,DIMENSION,MTEXT' AS types, role || ' text,m' AS texts, 1 AS dimensions FROM conversations""")
@@ -191,7 +193,7 @@ def format_heads(spark, sf_dir):
 
 
 @query("""SELECT page_id, array_to_string(list_filter(list_filter(r, lambda x: length(x) >= 4 AND regexp_matches(x, '[A-Za-z]')), lambda x, i: list_position(list_filter(r, lambda y: length(y) >= 4 AND regexp_matches(y, '[A-Za-z]')), x) = i)[1:30], '|') AS strings
-          FROM (SELECT page_id, regexp_extract_all(html, '([\\x20-\\x7E]+)[^\\x20-\\x7E]', 1) AS r FROM pages)""")
+          FROM (SELECT page_id, regexp_extract_all(left(html, 50000), '([\\x20-\\x7E]+)[^\\x20-\\x7E]', 1) AS r FROM pages)""")
 def design_strings(spark, sf_dir):
     """Strings of any length from four characters on."""
     return _t(spark, sf_dir, "pages").select("page_id", F.array_join(B.text_strings(F.encode("html", "UTF-8"), least=4, below=2**31 - 1), "|").alias("strings"))
