@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary as B
@@ -15,6 +15,23 @@ DICOM_TAGS = [
     (0x0008, 0x1030, "StudyDescription"), (0x0028, 0x0010, "Rows"), (0x0028, 0x0011, "Columns"),
 ]
 
+# Fields of DICOM files that results show, in this order, and names of transfer syntaxes.
+DICOM_FIELDS = [
+    ("PatientName", "환자명"), ("PatientID", "환자 ID"), ("PatientBirthDate", "생년월일"), ("PatientSex", "성별"), ("Modality", "모달리티"), ("Manufacturer", "제조사"), ("StudyDescription", "검사 설명"),
+    ("SeriesDescription", "시리즈 설명"), ("StudyDate", "검사 날짜"), ("StudyTime", "검사 시간"), ("AccessionNumber", "접수 번호"), ("InstitutionName", "기관명"), ("ReferringPhysicianName", "의뢰의"),
+    ("ProtocolName", "프로토콜"), ("InstanceNumber", "인스턴스 번호"), ("Rows", "행 수"), ("Columns", "열 수"), ("PixelSpacing", "픽셀 간격"), ("BitsAllocated", "비트 할당"), ("BitsStored", "비트 저장"),
+    ("PhotometricInterpretation", "포토메트릭"), ("SamplesPerPixel", "샘플/픽셀"), ("SliceThickness", "슬라이스 두께"), ("KVP", "kVp"), ("Exposure", "노출량"),
+]
+TRANSFER_SYNTAXES = {
+    "1.2.840.10008.1.2": "Implicit VR Little Endian", "1.2.840.10008.1.2.1": "Explicit VR Little Endian", "1.2.840.10008.1.2.2": "Explicit VR Big Endian", "1.2.840.10008.1.2.4.50": "JPEG Baseline",
+    "1.2.840.10008.1.2.4.70": "JPEG Lossless", "1.2.840.10008.1.2.4.90": "JPEG 2000 Lossless", "1.2.840.10008.1.2.4.91": "JPEG 2000",
+}
+
+
+def dicom_dimension(spark: SparkSession) -> DataFrame:
+    """(key, label, pos) of the fields, for fields_in_order()."""
+    return spark.createDataFrame([(k, label, pos) for pos, (k, label) in enumerate(DICOM_FIELDS)], "key string, label string, pos int")
+
 
 def joined_parts(entries: DataFrame, by: str, pattern: str, text, sep: str = "\n\n", number: bool = True) -> DataFrame:
     """Texts of the entries whose whole name fits ``pattern``, joined in the order of the number in their name (or of the names): ``by``, parts, text.
@@ -58,11 +75,11 @@ def folder_of(path: Column) -> Column:
 
 
 def fields_in_order(values: DataFrame, dimension: DataFrame, by: str) -> DataFrame:
-    """Values (``by``, key, value) that a dimension (key, label, pos) knows and that aren't empty: ``by``, fields, an array of "label: value" in the dimension's order.
+    """Values (``by``, key, value) that a dimension (key, label, pos) knows and that aren't empty: ``by``, fields, an array of "label: value" in the dimension's order, values trimmed.
 
     The dimension is broadcast by Spark if it is small.
     """
-    known = values.where("value is not null and value != ''").join(dimension, "key")
+    known = values.withColumn("value", T.trim_all(F.col("value"))).where("value is not null and value != ''").join(dimension, "key")
     got = known.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("label", F.lit(": "), "value").alias("f")))).alias("l"))
     return got.select(by, F.transform("l", lambda x: x["f"]).alias("fields"))
 

@@ -31,12 +31,13 @@ def kinds_of_entries(entries: DataFrame, by: str, name: str = "name") -> DataFra
 def json_export(text: Column, columns: int = 10, rows: int = 100, keys: int = 20, chars: int = 100) -> Column:
     """(type, records, fields, keys, headers, rows) of JSON: of an array the fields of its first object and a table of the first rows; of an object its first keys.
 
-    Columns, rows, keys and characters of a cell are limited, as in a preview. Null for text that isn't JSON. Keys are in the order of their names, as Spark's variants keep them.
+    Columns, rows, keys and characters of a cell are limited, as in a preview. Null for text that isn't JSON. Keys are in the order in which the text has them; of one that stands twice the last value
+    counts, at the first one's place.
     """
     v = F.try_parse_json(text)
     items = F.try_variant_get(v, "$", "array<variant>")
-    first = F.map_keys(F.try_variant_get(F.get(items, F.lit(0)), "$", "map<string,variant>"))
-    own = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    first = F.array_distinct(F.json_object_keys(F.get_json_object(text, "$[0]")))
+    own = F.array_distinct(F.json_object_keys(F.when(v.isNotNull(), text)))
     headers = F.slice(first, 1, columns)
 
     def cells(item):

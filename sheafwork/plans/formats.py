@@ -488,6 +488,20 @@ def dicom_tags(spark, sf_dir):
     return N.dicom_scan(files, "c_custkey")
 
 
+_DICOM = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(N.DICOM_FIELDS))
+
+
+@query(f"""WITH f AS (SELECT * FROM (VALUES {_DICOM}) v(pos, key, label)), v AS (SELECT o_custkey, o_orderkey % 26 AS pos, max(CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderkey::VARCHAR ELSE ' ' || o_orderstatus || ' ' END) AS value FROM orders GROUP BY ALL)
+    SELECT o_custkey, string_agg(label || ': ' || trim(value), chr(10) ORDER BY pos) AS fields FROM v JOIN f USING (pos) GROUP BY o_custkey""")
+def dicom_fields(spark, sf_dir):
+    """Tagged values in the order of the map of fields; tags that it doesn't have go."""
+    names = F.array(*[F.lit(k) for k, _ in N.DICOM_FIELDS], F.lit("OtherTag"))
+    o = F.col("o_orderkey")
+    value = F.when(o % 3 == 0, F.col("o_orderpriority")).when(o % 3 == 1, o.cast("string")).otherwise(_cat(" ", F.col("o_orderstatus"), " "))
+    v = _t(spark, sf_dir, "orders").select("o_custkey", F.element_at(names, (o % 26 + 1).cast("int")).alias("key"), value.alias("value")).groupBy("o_custkey", "key").agg(F.max("value").alias("value"))
+    return N.fields_in_order(v, N.dicom_dimension(spark), "o_custkey").select("o_custkey", F.array_join("fields", "\n").alias("fields"))
+
+
 @query("""SELECT conv_id, array_to_string(list(label || ': ' || v ORDER BY pos), '; ') AS fields FROM (SELECT conv_id, role, min(turn) AS v FROM conversations GROUP BY conv_id, role) JOIN (VALUES ('assistant', 'Answer', 0), ('user', 'Question', 1)) d(role, label, pos) USING (role) GROUP BY conv_id""")
 def fields_by_dimension(spark, sf_dir):
     """Tagged values that a dimension knows, in its order."""
@@ -533,10 +547,8 @@ def json_exports(spark, sf_dir):
     e, i = _t(spark, sf_dir, "events"), F.col("event_id").cast("string")
     array = _cat('[{"id": ', i, ', "kind": "', F.col("event_type"), '", ', F.regexp_extract("props", r"\{(.*)\}", 1), '}, {"id": ', i, ', "k": null}]')
     x = e.select("event_id", X.json_export(F.when(F.col("event_id") % 2 == 0, array).otherwise(F.col("props"))).alias("x"))
-    order = F.array(F.lit("id"), F.lit("kind"), F.lit("k"))
-    place = F.transform(order, lambda h: F.array_position("x.headers", h).cast("int"))
-    rows = F.transform("x.rows", lambda r: F.array_join(F.transform(place, lambda p: F.get(r, p - 1)), ","))
-    return x.select("event_id", "x.type", F.col("x.records").alias("records"), F.when(F.col("x.headers").isNotNull(), F.array_join(F.filter(order, lambda h: F.array_contains("x.headers", h)), ",")).alias("headers"), F.array_join(rows, "|").alias("rows"), F.array_join("x.keys", ",").alias("keys"))
+    rows = F.transform("x.rows", lambda r: F.array_join(r, ","))
+    return x.select("event_id", "x.type", F.col("x.records").alias("records"), F.array_join("x.headers", ",").alias("headers"), F.array_join(rows, "|").alias("rows"), F.array_join("x.keys", ",").alias("keys"))
 
 
 @query(rf"""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, substring(regexp_replace(CASE WHEN regexp_matches(html, '(?is)<body[^>]*>(.*?)</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE html END, '<[^>]+>', '', 'g'), 1, 5000) AS text FROM pages""")

@@ -86,17 +86,29 @@ def shape_chain(spark, sf_dir):
 _ZIP_SIZE = "30 + length('o' || o || '.txt') + o % 3 + 4 + o % 30"
 
 
-@query(f"""WITH {_O} SELECT k, nth, ({_BEFORE.format(_ZIP_SIZE)})::BIGINT AS at, 'o' || o || '.txt' AS name, o AS size, 4 + o % 30 AS packed, s = 'F' AS encrypted FROM o WHERE k % 5 <> 0 OR nth < 2""")
-def zip_chain(spark, sf_dir):
-    """Local heads of archives, with signatures inside the data; one archive in five has something else behind its second entry."""
+def _archives(spark, sf_dir):
     o = F.col("o")
     name = _cat("o", o.cast("string"), ".txt")
-    head = _cat("504B030414000000", "", "0000", "0000", "0000")
     part = _cat("504B03041400", F.when(F.col("o_orderstatus") == "F", "0108").otherwise("0008"), "0000" * 3, "00000000", _hex(4 + o % 30, 4, True), _hex(o, 4, True), _hex(F.length(name), 2, True), _hex(o % 3, 2, True), F.hex(name), F.repeat(F.lit("FF"), (o % 3).cast("int")), "504B0304", F.repeat(F.lit("50"), (o % 30).cast("int")))
     files = _orders(spark, sf_dir, part)
-    cut = F.array_join(F.concat(F.slice(F.transform("l", lambda x: x["part"]), 1, 2), F.array(F.lit("00")), F.slice(F.transform("l", lambda x: x["part"]), 3, F.greatest(F.size("l"), F.lit(1)))), "")
-    body = F.when(F.col("k") % 5 == 0, cut).otherwise(_cat(F.col("body"), "504B0102", head))
-    return K.zip_entries(files.select("k", F.unhex(body).alias("content")), "k", "content")
+    parts = F.transform("l", lambda x: x["part"])
+    cut = F.array_join(F.concat(F.slice(parts, 1, 2), F.array(F.lit("00")), F.slice(parts, 3, F.greatest(F.size("l"), F.lit(1)))), "")
+    body = F.when(F.col("k") % 5 == 0, cut).otherwise(_cat(F.col("body"), "504B0102", "504B030414000000" + "0000" * 3))
+    return files.select("k", F.unhex(body).alias("content"))
+
+
+@query(f"""WITH {_O}, s AS (SELECT *, CASE WHEN o < 1024 THEN o || ' B' ELSE ((o*20+1024)//2048)//10 || '.' || ((o*20+1024)//2048)%10 || ' KB' END AS label FROM o WHERE k % 5 <> 0 OR nth < 2)
+    SELECT k, count(*) AS files, count(*) FILTER (WHERE s = 'F') AS encrypted, sum(o)::BIGINT AS bytes, string_agg('o' || o || '.txt' || CASE WHEN s = 'F' THEN ' [암호화]' ELSE '' END || ' (' || label || ')', chr(10) ORDER BY nth) FILTER (WHERE nth < 8) AS listing,
+           CASE WHEN count(*) > 8 THEN '... 외 ' || (count(*) - 8) || '개' END AS note FROM s GROUP BY k""")
+def zip_reports(spark, sf_dir):
+    """What listings of archives say: entries, encrypted ones, sizes, the first eight lines."""
+    return K.archive_reports(K.zip_entries(_archives(spark, sf_dir), "k", "content"), "k", most=8)
+
+
+@query(f"""WITH {_O} SELECT k, nth, ({_BEFORE.format(_ZIP_SIZE)})::BIGINT AS at, 'o' || o || '.txt' AS name, o AS size, 4 + o % 30 AS packed, s = 'F' AS encrypted FROM o WHERE k % 5 <> 0 OR nth < 2""")
+def zip_chain(spark, sf_dir):
+    """Local heads of archives, with signatures inside the data; one archive in five has something else behind its second entry."""
+    return K.zip_entries(_archives(spark, sf_dir), "k", "content")
 
 
 @query(f"""WITH {_O} SELECT k, nth, ({_BEFORE.format('512 + 512 * ceil(o % 1500 / 512.0)::BIGINT')})::BIGINT AS at, 'd/o' || o || '.bin' AS name, o % 1500 AS size FROM o WHERE nth < 100 AND (k % 4 <> 0 OR nth < 1)""")

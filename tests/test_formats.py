@@ -86,7 +86,7 @@ def test_configuration_and_listings(spark):
 def test_exports(spark):
     assert values(spark, X.notebook, "{}", "no json", '{"cells": [{"source": []}]}', None)[0]["cells"] == 0
     broken = values(spark, X.json_export, "{", "[]", "3", '[{"a": {"b": 1}}, 5]', '{"b": 1, "a": 2}')
-    assert broken[0] is None and broken[1]["records"] == 0 and broken[2]["type"] is None and broken[3]["rows"] == [['{"b":1}'], [""]] and broken[4]["keys"] == ["a", "b"]
+    assert broken[0] is None and broken[1]["records"] == 0 and broken[2]["type"] is None and broken[3]["rows"] == [['{"b":1}'], [""]] and broken[4]["keys"] == ["b", "a"]
     assert values(spark, lambda c: X.sniff(c, F.lit("x.txt")), "", "  \n[", "<html>", "<a/>", "a,b") == ["unknown", "json", "html", "xml", "unknown"]
     assert values(spark, V.value_type, "[1]", "{}", '"s"', "1.5", "false", "null", "nope", None) == ["array", "object", "string", "number", "boolean", "null", "invalid", "invalid"]
     assert values(spark, V.rendered_value, '[1, "a", {"b": 2}]', "{}", "[]", "x") == ['1, a, {"b":2}', "{}", "", "x"]
