@@ -156,22 +156,41 @@ def _differ(t: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray
     return out
 
 
-def permuted_prefixes(flat: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Common prefixes of the suffixes of an array with the ones before, up to ``most`` bytes each; 0 for the first.  They are computed in the order of the text's places, where reads are local."""
-    order = np.argsort(sa[1:], kind="stable")
-    x, y = sa[1:][order], sa[:-1][order]
-    padded = np.concatenate([flat, np.zeros(most + 8, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded, (len(flat) + most, 8), (1, 1))
+def permuted_prefixes(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Common prefixes of the suffixes of an array with the ones before; 0 for the first.  They are found in the order of the text's places.
+
+    Where the symbols before a place and before its neighbour's are equal, the place before has the neighbour before, so the prefix is one less than there. All other places are compared symbol by
+    symbol, four at a time; their prefixes add up to no more than the text's length times its logarithm.
+    """
+    n = len(symbols)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    text = symbols.astype(np.uint16)
+    phi = np.full(n, -1)
+    phi[sa[1:]] = sa[:-1]
+    first = phi <= 0
+    first[0] = True
+    rest = np.flatnonzero(~first)
+    first[rest] = text[rest - 1] != text[phi[rest] - 1]
+    x = np.flatnonzero(first & (phi >= 0))
+    y = phi[x]
+    room = n - np.maximum(x, y)
+    padded = np.concatenate([text, np.zeros(8, np.uint16)])
+    word = np.lib.stride_tricks.as_strided(padded, (n + 4, 4), (2, 2))
     got, live = np.zeros(len(x), np.int64), np.arange(len(x))
-    for at in range(0, most, 8):
+    at = 0
+    while len(live):
+        live = live[room[live] > at]
         differs = word[x[live] + at].view(_U).ravel() ^ word[y[live] + at].view(_U).ravel()
-        lowest = differs & (~differs + _U(1))  # the first differing byte holds the lowest bit that differs
-        got[live] = at + np.where(differs == 0, 8, np.log2(np.maximum(lowest, _U(1)).astype(float)).astype(np.int64) // 8)
+        lowest = differs & (~differs + _U(1))  # the first differing symbol holds the lowest bit that differs
+        got[live] = at + np.where(differs == 0, 4, np.log2(np.maximum(lowest, _U(1)).astype(float)).astype(np.int64) // 16)
         live = live[differs == 0]
-    room = len(flat) - np.maximum(x, y)
-    out = np.zeros(len(sa), np.int64)
-    out[1:][order] = np.minimum(np.minimum(got, most), room)
-    return out
+        at += 4
+    own = np.zeros(n, np.int64)
+    own[x] = np.minimum(got, room)
+    last = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    own = own[last] - (np.arange(n) - last)
+    return own[sa]
 
 
 # ---- anchors -------------------------------------------------------------------------------------------------------------
@@ -270,15 +289,16 @@ def repeats(texts: list[bytes], ids: np.ndarray, least: int) -> np.ndarray:
     # a separator after each surrounding, smaller than any byte
     symbols = np.insert(flat.astype(np.int32) + 1, off[1:], 0)
     sa = suffix_array(symbols)
+    prefix = permuted_prefixes(symbols, sa)
     back = np.full(len(symbols), -1)
     back[np.arange(len(flat)) + owner] = np.arange(len(flat))
-    sa = back[sa]
-    valid = np.arange(len(flat)) + least <= off[1:][owner]
-    sa = sa[sa >= 0]
-    sa = sa[valid[sa]]
+    valid = np.append(np.arange(len(flat)) + least <= off[1:][owner], False)
+    rank = np.flatnonzero(valid[back[sa]])  # suffixes that hold a whole string; -1 is the one that isn't valid
     smallest = np.full((len(kind), max(1, int(size.max(initial=0)) - least + 1)), _LAST)
-    if len(sa):
-        cut = np.flatnonzero(permuted_prefixes(flat, sa, least) < least)
+    if len(rank):
+        common_ = np.minimum.reduceat(prefix[: rank[-1] + 1], rank[:-1] + 1) if len(rank) > 1 else np.zeros(0, np.int64)
+        sa = back[sa[rank]]
+        cut = np.concatenate([[0], np.flatnonzero(common_ < least) + 1])
         low = np.minimum.reduceat(own_id[owner[sa]], cut)
         smallest[owner[sa], sa - off[owner[sa]]] = low[np.searchsorted(cut, np.arange(len(sa)), side="right") - 1]
     return smallest[which]
