@@ -25,8 +25,8 @@ _U = np.uint64
 CHUNK, SHARD, PART = 4 << 20, 2 << 20, 1 << 20
 #: Documents that may have an anchor before its strings are dealt one by one.
 HOT = 2048
-#: Distinct symbols up to which a reduced string is sorted by recursion.
-RECURSE = 512
+#: Distinct symbols up to which suffixes are induced in waves of buckets; beyond, one by one.
+WAVES = 512
 _LAST, _FULL = np.iinfo(np.int64).max, _U(2**64 - 1)
 
 
@@ -99,33 +99,46 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.nda
     return np.concatenate(out)
 
 
-def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """Suffix order of the reduced string, by recursion where its alphabet is small.
-
-    An alphabet about as large as the string would make as many buckets as symbols; ranks of prefixes are doubled there until all differ.
-    """
-    if names.max() < RECURSE:
-        return suffix_array(names)
-    rank, step = names, 1
-    while rank.max() < len(rank) - 1:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:-step] = rank[step:] + 1
-        rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)[1]
-        step *= 2
-    return np.argsort(rank, kind="stable")
+def _induce_each(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """The same, suffix by suffix: where an alphabet is about as large as its string, buckets hold hardly more than one each and waves of them would be as many steps."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t, minlength=k))
+    head, tail = np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()
+    text, is_small, out = t.tolist(), small.tolist(), [-1] * n
+    for i in reversed(lms.tolist()):
+        c = text[i]
+        tail[c] -= 1
+        out[tail[c]] = i
+    for i in range(n):
+        j = out[i] - 1
+        if j >= 0 and not is_small[j]:
+            c = text[j]
+            out[head[c]] = j
+            head[c] += 1
+    tail = ends.tolist()
+    for i in range(n - 1, -1, -1):
+        j = out[i] - 1
+        if j >= 0 and is_small[j]:
+            c = text[j]
+            tail[c] -= 1
+            out[tail[c]] = j
+    out[0] = n - 1
+    return np.array(out, np.int64)
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order, for symbols from 0 to 65534."""
+    """Starts of all suffixes in order, for symbols from 0 on.  The names of the substrings are a string of their own, sorted in the same way, unless all differ."""
     if not len(symbols):
         return np.zeros(0, np.int64)
-    t = np.append(symbols.astype(np.int32) + 1, 0)
-    t = np.unique(t, return_inverse=True)[1].astype(np.uint16)
+    t = np.append(symbols.astype(np.int64) + 1, 0)
+    t = np.unique(t, return_inverse=True)[1]
     k = int(t.max()) + 1
+    t = t.astype(np.uint16 if k < 1 << 16 else np.int64)
+    induce = _induce if k <= WAVES else _induce_each
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
-        rough = _induce(t, small, lms, k)
+        rough = induce(t, small, lms, k)
         is_lms = np.zeros(len(t), bool)
         is_lms[lms] = True
         ordered = rough[is_lms[rough]]
@@ -136,8 +149,8 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         new = np.concatenate([[0], _differ(t, ordered, length[i])]).cumsum()
         names = np.zeros(len(lms), np.int64)
         names[i] = new
-        lms = lms[_order_of_names(names)]
-    return _induce(t, small, lms, k)[1:]
+        lms = lms[np.argsort(names, kind="stable") if names.max() == len(names) - 1 else suffix_array(names)]
+    return induce(t, small, lms, k)[1:]
 
 
 def _differ(t: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
