@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Folders of tables of stage() that are still there.
+_STAGED: list[str] = []
 #: Spark's own option to delete a query's shuffle files as soon as the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -46,15 +48,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(where)
     out.staged_at = where
+    _STAGED.append(where)
     return out
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if where in _STAGED:
+        _STAGED.remove(where)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of stage() that nothing reads any more."""
     for t in tables:
         if t is not None:
-            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_at)
-            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(t.sparkSession, t.staged_at)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete all tables that operators of this process have staged, for callers that have written the results they want; how many there were.  Results that weren't written can't be read any more."""
+    n = len(_STAGED)
+    for where in list(_STAGED):
+        _delete(spark, where)
+    return n
 
 
 def width(spark: SparkSession) -> int:

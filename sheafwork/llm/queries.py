@@ -24,22 +24,27 @@ PACKING = {"max_docs": 2048, "max_cost": 2048 * 2048}
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their component of near duplicates: 85 of 100 shingles of five words in common."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=(85, 100))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their group of equal texts, of which the largest id stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that strings of 50 cover which stand in a document of a smaller id."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with how often each is in the mix of their sources."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations and one of control strings, dealt as logs, folded, rendered and read back."""
     said = "<|im_end|><|im_start|>assistant ok"
     one = F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for t, r in enumerate(("user", "assistant"))]))
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), one.alias("x")).select("conv_id", "x.turn", "x.role", "x.text")
@@ -59,21 +64,25 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as compressed WARC records, equal payloads once, and read back."""
     records = warc.plan_records(table(spark, sf_dir, "pages"))
     manifest = warc.write_archives(records, f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}")
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored by an interpolated trigram model of those that aren't held out."""
     out = language_model.score(table(spark, sf_dir, "documents"), train=remainder("doc_id", 10) != 0, order=3)
     return out.withColumn("held_out", remainder("doc_id", 10) == 0)
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with their links and component."""
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), **PACKING)
 
 
@@ -82,6 +91,7 @@ def remainder(id_col: str, of: int) -> Column:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored for quality by a classifier that has learnt from labelled ones."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=remainder("doc_id", 4) != 2)
     out = quality.score(docs, model)

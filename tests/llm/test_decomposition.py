@@ -79,3 +79,14 @@ def test_buckets_hold_one_length_each(spark):
     for r in back.orderBy("doc_id", "start").collect():
         joined.setdefault(r.doc_id, []).extend(r.ids)
     assert joined == {r.doc_id: [*encoded(r.text), 1] for r in docs.collect()}
+
+
+def test_staged_tables_can_be_released(spark):
+    from sheafwork.llm import common
+
+    common.release_staged(spark)
+    t = common.stage(spark.range(5).toDF("id"), "mine")
+    other = common.stage(spark.range(5).toDF("id"), "other")
+    common.discard(other)
+    assert t.count() == 5 and common.release_staged(spark) == 1 and common.release_staged(spark) == 0
+    assert not Path(t.staged_at.removeprefix("file://")).exists()
