@@ -56,8 +56,8 @@ def html_export(text: Column) -> Column:
 
 
 def xml_export(text: Column) -> Column:
-    """(root, children): the root element's name, and how many elements are its children."""
-    return F.struct(F.xpath_string(text, F.lit("name(/*)")).alias("root"), F.xpath_int(text, F.lit("count(/*/*)")).alias("children"))
+    """(root, children, text): the root element's name, how many elements are its children, and the first 5000 characters."""
+    return F.struct(F.xpath_string(text, F.lit("name(/*)")).alias("root"), F.xpath_int(text, F.lit("count(/*/*)")).alias("children"), F.substring(text, 1, 5000).alias("text"))
 
 
 def markdown_export(text: Column) -> Column:

@@ -556,15 +556,15 @@ def html_exports(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", X.html_export(F.col("html")).alias("x")).select("page_id", "x.*")
 
 
-@query("""SELECT conv_id, turn, 'thread' AS root, 2 + (turn % 2)::INT AS children, 'Name,Turn' AS headers, 'x, y|' || turn AS row, 3 AS lines, 2 AS n_headings, '## b' AS second FROM conversations""")
+@query("""SELECT conv_id, turn, 'thread' AS root, 2 + (turn % 2)::INT AS children, 'Name,Turn' AS headers, 'x, y|' || turn AS row, 3 AS lines, 2 AS n_headings, '## b' AS second, least(5000, length('<thread><a/><b/><c></c></thread>') + length(text)) AS shown FROM conversations""")
 def text_exports(spark, sf_dir):
     """XML, CSV and Markdown exports: root and children, headers and rows, headings."""
     t = F.col("turn").cast("string")
     xml = F.when(F.col("turn") % 2 == 0, "<?xml version='1.0'?><thread><a><b/></a><c/></thread>").otherwise("<thread><a/><b/><c>x</c></thread>")
     csv = _cat('"Name", Turn\n\n"x, y", ', t, "\nz\n")
     md = _cat("# ", F.col("role"), "\ntext\n## b\n#no")
-    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", X.xml_export(xml).alias("x"), X.csv_export(csv).alias("c"), X.markdown_export(md).alias("m"))
-    return c.select("conv_id", "turn", "x.root", "x.children", F.array_join("c.headers", ",").alias("headers"), F.array_join(F.col("c.rows")[0], "|").alias("row"), "c.lines", F.size("m.headings").alias("n_headings"), F.col("m.headings")[1].alias("second"))
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text", X.xml_export(xml).alias("x"), X.csv_export(csv).alias("c"), X.markdown_export(md).alias("m"))
+    return c.select("conv_id", "turn", "x.root", "x.children", F.length(X.xml_export(_cat("<thread><a/><b/><c>", F.col("text"), "</c></thread>"))["text"]).cast("long").alias("shown"), F.array_join("c.headers", ",").alias("headers"), F.array_join(F.col("c.rows")[0], "|").alias("row"), "c.lines", F.size("m.headings").alias("n_headings"), F.col("m.headings")[1].alias("second"))
 
 
 @query("""SELECT conv_id, turn, '--- Cell 1 [markdown] ---' || chr(10) || '# ' || role || chr(10) || chr(10) || '--- Cell 2 [code] ---' || chr(10) || 'a = ' || turn || chr(10) || 'a' || chr(10) || chr(10) || '[Output]' || chr(10) || turn || chr(10) || 'done' AS text,
