@@ -88,47 +88,16 @@ def test_hot_anchors_runs_and_long_strings(spark):
         suffix_dedup.remove_repeats(df, least=120, anchor=26)
 
 
-def test_permuted_prefixes_against_plain_comparison():
+def test_common_prefixes_and_recursion():
     rng = np.random.default_rng(4)
-    texts = [rng.integers(0, k, n) for n, k in [(0, 1), (1, 1), (2, 1), (60, 1), (400, 2), (900, 4), (700, 257)]]
-    texts += [np.tile(rng.integers(0, 3, 30), 20), np.concatenate([np.repeat(5, 300), [0], np.repeat(5, 200)])]
-    for x in texts:
-        sa = suffix_dedup.suffix_array(x)
-        want = [0] * min(len(x), 1)
-        for a, b in zip(sa.tolist(), sa.tolist()[1:], strict=False):
-            n = 0
-            while max(a, b) + n < len(x) and x[a + n] == x[b + n]:
-                n += 1
-            want.append(n)
-        assert suffix_dedup.permuted_prefixes(x, sa).tolist() == want
-
-
-def test_recursion_on_few_symbols():
-    text = np.random.default_rng(4).integers(0, 3, 4000).astype(np.uint8)
-    raw = text.tobytes()
-    assert [raw[a:] for a in suffix_dedup.suffix_array(text.astype(np.int64))] == sorted(raw[i:] for i in range(len(raw)))
-
-
-def test_recursion_on_many_names(monkeypatch):
-    """Reduced strings of thousands of names are sorted by recursion; waves and single steps induce the same."""
-    depth, sizes = [0], []
-    whole = suffix_dedup.suffix_array
-
-    def counted(x):
-        depth[0] += 1
-        sizes.append((depth[0], len(set(np.asarray(x).tolist()))))
-        out = whole(x)
-        depth[0] -= 1
-        return out
-
-    monkeypatch.setattr(suffix_dedup, "suffix_array", counted)
-    rng = np.random.default_rng(2)
-    words = [rng.integers(0, 60, rng.integers(3, 9)) for _ in range(3000)]
-    text = np.concatenate([words[i] for i in rng.integers(0, len(words), 12_000)]).astype(np.uint8)
-    raw = text.tobytes()
-    got = suffix_dedup.suffix_array(text.astype(np.int64))
-    assert max(n for d, n in sizes if d > 1) > 2000
-    assert all(raw[a : a + 300] <= raw[b : b + 300] for a, b in zip(got.tolist(), got.tolist()[1:], strict=False)) and sorted(got.tolist()) == list(range(len(raw)))
-    for waves in (1, 1 << 40):
-        monkeypatch.setattr(suffix_dedup, "WAVES", waves)
-        assert suffix_dedup.suffix_array(text[:5000].astype(np.int64)).tolist() == sorted(range(5000), key=lambda i: raw[i:5000])
+    flat = rng.integers(0, 3, 4000).astype(np.uint8)
+    sa = suffix_dedup.suffix_array(flat.astype(np.int64))  # few symbols: the reduced string is sorted by recursion
+    text = flat.tobytes()
+    assert [text[a:] for a in sa] == sorted(text[i:] for i in range(len(text)))
+    want = [0]
+    for a, b in zip(sa[1:], sa[:-1]):
+        n = 0
+        while n < 20 and max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+            n += 1
+        want.append(n)
+    assert suffix_dedup.permuted_prefixes(flat, sa, 20).tolist() == want
