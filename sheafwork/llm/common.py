@@ -105,32 +105,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round merges what a task sees by union-find and then hangs neighbours below the smallest of
     their neighbourhood (large-star, small-star), until no edge changes.  A node's neighbourhood is only ever
-    reduced by min() and joined, never gathered, so a hub may have any number of edges.
+    reduced by min() and joined, never gathered, and the edges of a hub are dealt over tasks, so it may have any number of them.
     """
     e = edges.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).where("a < b")
-    e, before = stage(e.repartition("a").mapInPandas(_contract, "a long, b long"), "edges"), None
+    e, before = stage(e.repartition("a", "b").mapInPandas(_contract, "a long, b long"), "edges"), None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum("a")).first()
         if now == before or not now[0]:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         before = now
         both = e.select(F.col("b").alias("u"), F.col("a").alias("v")).union(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.expr("v > u")).alias("n"))
+        large = spread_join(both.where("v > u"), least, "u", "n", "v", ["m"], total=now[0]).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, "b", "n", "a", ["m"], total=now[0]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         done, e = e, stage(small, "edges")
         discard(done)
 
 
-def spread_join(rows: DataFrame, dim: DataFrame, on: str, count: str, by: str, keep: list[str]) -> DataFrame:
+def spread_join(rows: DataFrame, dim: DataFrame, on: str, count: str, by: str, keep: list[str], total: int | None = None) -> DataFrame:
     """``rows`` left-joined with the columns ``keep`` of ``dim``, which has a row for each value of ``on`` and in ``count`` how many rows have it; nulls are equal.
 
     A value that more rows have than an even share of a partition is dealt over as many tasks as it needs, by a hash of the column ``by``. Fewer values than there are
-    partitions can be such: only these are broadcast.
+    partitions can be such: only these are broadcast. ``total``: how many rows there are, where that is known.
     """
     parts = width(rows.sparkSession)
-    share = F.lit(max(1, -(-(dim.agg(F.sum(count)).first()[0] or 0) // parts)))
+    total = (dim.agg(F.sum(count)).first()[0] or 0) if total is None else total
+    share = F.lit(max(1, -(-total // parts)))
     ways = F.when(F.col(count) > share, F.ceil(F.col(count) / share)).otherwise(1).cast("int")
     dim = dim.select(F.col(on).alias("__on"), F.col(count).alias("__count"), ways.alias("__ways"), *keep)
     hot = dim.where("__ways > 1").select(F.col("__on").alias("__hot"), "__ways")

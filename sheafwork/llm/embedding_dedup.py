@@ -1,8 +1,9 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells, one representative per group.
 
-Centroids are trained on a bounded sample.  Every vector has the cell of its nearest centroid as its home, and is a guest in each cell to whose
-border it is so near that a linked vector could live there: vectors of cosine t are at most sqrt(2 - 2 t) apart, and so is
-each of them from the plane between their cells.  So the cells lose no pair.  Within a cell and label, vectors are dealt into blocks and each task multiplies one block of
+Cells are split level by level: each cell with more residents than a block holds is trained on a bounded sample of its own, in a task of its own, and its vectors go to the cells that come of it, until
+cells are small or a split costs more than it saves. So there are as many cells as the number of vectors asks for. Every vector has the cell of its nearest centroid as its home, and is a guest in each
+cell to whose border it is so near that a linked vector could live there: vectors of cosine t are at most sqrt(2 - 2 t) apart, and so is
+each of them from the plane between their cells.  That holds for residents and guests of the cell that is split alike, so no level loses a pair.  Within a cell and label, vectors are dealt into blocks and each task multiplies one block of
 residents with one block of residents and guests; it gives back counts and a spanning forest of the links it found, never the pairs.
 """
 
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors in a block, the sample that centroids are trained on, and the vector lengths that get centroids (the most frequent ones; others have one cell each).
-BLOCK, SAMPLE, LENGTHS = 2048, 20_000, 16
+#: Vectors in a block; about how many vectors, and numbers in them, the centroids of one cell are trained on; vectors that a task gives their cells at once.
+BLOCK, SAMPLE, SAMPLE_NUMBERS, PART = 2048, 8192, 1 << 23, 16_384
+#: Cells that come of one at most, and the share of its residents that a cell may keep if it is to be split once more.
+CELLS, SHRINK = 256, 0.9
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -49,11 +52,11 @@ def visits(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.n
     return home, guest
 
 
-def choose_cells(x: np.ndarray, n: int, reach: float) -> np.ndarray:
+def choose_cells(x: np.ndarray, n: int, reach: float, most: int = CELLS) -> np.ndarray:
     """Centroids with the least work over all n vectors: residents times residents and guests, in each cell, and the copies to be moved."""
     best, cost = unit(x[:1]), float(n) * n + 64.0 * n
     k = 4
-    while k <= min(1024, len(x) // 20):
+    while k <= min(most, len(x) // 20):
         c = spherical_kmeans(x, k)
         home, guest = visits(x, c, reach)
         own = np.bincount(home, minlength=k) * (n / len(x))
@@ -80,6 +83,89 @@ def _spanning(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
+_PLACED = "label string, cell string, home boolean, open boolean, parent long, rep long, cls long, n long, v array<double>"
+
+
+def _whole(batches):
+    """Unit vectors, all of one length in one cell; they are scaled by the largest component first: no overflow of squares."""
+    for pdf in batches:
+        for d, part in pdf.groupby(pdf["v"].map(len)):
+            x = np.stack(part["v"].to_numpy()).astype(float)
+            x = unit(x / np.abs(x).max(axis=1, keepdims=True))
+            yield part.assign(cell=str(d), home=True, open=True, parent=2**62, v=list(x))[["label", "cell", "home", "open", "parent", "rep", "cls", "n", "v"]]
+
+
+def _trained(reach: float, most: int):
+    """The centroids that a cell is split by, trained on its sample; one if no split is worth it."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("cls")
+        c = choose_cells(np.stack(pdf["v"].to_numpy()), int(pdf["residents"].iloc[0]), reach, most)
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "cell": pdf["cell"].iloc[:1], "centroids": [[list(x) for x in c]]})
+
+    return run
+
+
+def _moved(reach: float):
+    """A part of a cell's vectors in the cells that come of it: residents live in one, guests nowhere."""
+
+    def run(pdf, trained):
+        if not len(pdf):
+            return pdf.drop(columns=["part", "residents"])
+        out = pdf.assign(parent=pdf["residents"]).drop(columns=["part", "residents"])
+        c = [np.asarray(x) for x in trained["centroids"].iloc[0]] if len(trained) else []
+        if len(c) < 2:
+            return out.assign(open=False)
+        c = np.stack(c)
+        home, guest = visits(np.stack(out["v"].to_numpy()), c, reach)
+        i, g = np.nonzero(guest)
+        at, child = np.concatenate([np.arange(len(out)), i]), np.concatenate([home, g])
+        lives = np.concatenate([out["home"].to_numpy(), np.zeros(len(i), bool)])
+        out = out.iloc[at]
+        return out.assign(home=lives, cell=[f"{a}/{b}" for a, b in zip(out["cell"], child, strict=True)])
+
+    return run
+
+
+def placed_in_cells(classes: DataFrame, reach: float) -> DataFrame:
+    """Vectors (label, rep, cls, n, v) in cells: a row for the cell where each lives (home) and for each where it is a guest; staged.
+
+    ``reach``: how far linked vectors are apart at most. Rows of a cell are dealt in parts, and centroids go to each part: neither a cell nor all centroids meet in one task.
+    """
+    placed = common.stage(classes.select("label", "rep", "cls", "n", "v").mapInPandas(_whole, _PLACED), "cells")
+    while True:
+        # placed may have cells that were closed; those that a split has hardly made smaller are left as they are
+        sizes = placed.where("open").groupBy("label", "cell").agg(F.count_if("home").alias("residents"), F.count("*").alias("members"), F.max("parent").alias("parent"), F.max(F.size("v")).alias("d"))
+        large = common.stage(sizes.where((F.col("residents") > BLOCK) & (F.col("residents") < F.col("parent") * SHRINK)).withColumn("at", F.struct("label", "cell")), "large")
+        if large.isEmpty():
+            common.discard(large)
+            return placed
+        parts = F.ceil(F.col("members") / PART).cast("int")
+        rows = common.spread_join(placed.withColumn("at", F.struct("label", "cell")), large.withColumn("parts", parts), "at", "members", "cls", ["residents", "d", "parts"]).drop("at")
+        splits = rows.where("residents is not null").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        take = F.greatest(F.lit(64), F.least(F.lit(SAMPLE), F.floor(SAMPLE_NUMBERS / F.col("d"))))
+        sample = splits.where("home").where(F.pmod(F.xxhash64("cls", F.lit("sample")), F.col("residents")) < take).select("label", "cell", "residents", "cls", "v")
+        trained = common.stage(sample.groupBy("label", "cell").applyInPandas(_trained(reach, CELLS), "label string, cell string, centroids array<array<double>>"), "centroids")
+        dealt = trained.join(large.select("label", "cell", parts.alias("parts")), ["label", "cell"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+        key = ["label", "cell", "part"]
+        names = placed.columns
+        moved = splits.select(*names, "part", "residents").groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(_moved(reach), _PLACED)
+        before, placed = placed, common.stage(rows.where("residents is null").select(*names).union(moved.select(*names)), "cells")
+        common.discard(before, large, trained)
+
+
+def exploded(placed: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows of the products' tasks and the columns that name a task: a cell's residents, in own_blocks, each meet all of its residents and guests, in blocks."""
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    sizes = placed.groupBy(F.struct("label", "cell").alias("at")).agg(F.count("*").alias("members"), parts(F.count_if("home")).alias("own_blocks"), parts(F.count("*")).alias("blocks"))
+    dealt = common.spread_join(placed.withColumn("at", F.struct("label", "cell")), sizes, "at", "members", "cls", ["own_blocks", "blocks"], total=placed.count())
+    at = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    row_side = dealt.where("home").withColumns({"i": at("own_blocks"), "j": F.explode(F.expr("sequence(0, blocks - 1)")), "side": F.lit(0)})
+    col_side = dealt.withColumns({"j": at("blocks"), "i": F.explode(F.expr("sequence(0, own_blocks - 1)")), "side": F.lit(1)})
+    key = ["label", "cell", "i", "j"]
+    return row_side.select(*key, "side", "rep", "n", "v").union(col_side.select(*key, "side", "rep", "n", "v")), key
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93) -> DataFrame:
     """One row per input row: id, n_links (other rows linked directly), component_id (smallest id reachable), kept.
 
@@ -94,40 +180,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = rows.withColumn("good", F.coalesce(finite, F.lit(False)))
     classes = rows.where("good").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("cls", F.xxhash64("label", "v"))
     classes = common.stage(classes, "classes")
-    by_length = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    frequent = by_length.orderBy(F.desc("n"), "d").limit(LENGTHS).collect()
-
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    centroids = {}
-    for d, n in frequent:
-        sample = classes.where(F.size("v") == d).orderBy(F.xxhash64("cls")).select("v").limit(SAMPLE).toPandas()["v"]
-        # scaled by the largest component first: no overflow of squares
-        x = np.stack([np.asarray(v, float) for v in sample])
-        x = unit(x / np.abs(x).max(axis=1, keepdims=True))
-        centroids[d] = choose_cells(x, n, reach)
-    cells = vectors.sparkSession.sparkContext.broadcast(centroids)  # at most 1024 vectors for each of so many lengths
-
-    def assign(batches):
-        for pdf in batches:
-            size = pdf["v"].map(len)
-            for d, part in pdf.groupby(size):
-                x = np.stack(part["v"].to_numpy()).astype(float)
-                x = unit(x / np.abs(x).max(axis=1, keepdims=True))
-                home, guest = visits(x, cells.value.get(d, x[:1] * 0), reach)
-                i, g = np.nonzero(guest)
-                at, cell, lives = np.concatenate([np.arange(len(x)), i]), np.concatenate([home, g]), np.concatenate([np.ones(len(x), bool), np.zeros(len(i), bool)])
-                yield pd.DataFrame({"label": part["label"].to_numpy()[at], "cell": [f"{d}/{c}" for c in cell], "home": lives, "rep": part["rep"].to_numpy()[at], "cls": part["cls"].to_numpy()[at], "n": part["n"].to_numpy()[at], "v": list(x[at])})
-
-    placed = common.stage(classes.where("rep is not null").mapInPandas(assign, "label string, cell string, home boolean, rep long, cls long, n long, v array<double>"), "cells")
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    sizes = placed.groupBy("label", "cell").agg(parts(F.count_if("home")).alias("own_blocks"), parts(F.count("*")).alias("blocks"))
-    # A cell's residents, in own_blocks, each meet all of its residents and guests, in blocks.
-    dealt = placed.join(sizes, ["label", "cell"])
-    at = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    row_side = dealt.where("home").withColumns({"i": at("own_blocks"), "j": F.explode(F.expr("sequence(0, blocks - 1)")), "side": F.lit(0)})
-    col_side = dealt.withColumns({"j": at("blocks"), "i": F.explode(F.expr("sequence(0, own_blocks - 1)")), "side": F.lit(1)})
-    key = ["label", "cell", "i", "j"]
-    tasks = row_side.select(*key, "side", "rep", "n", "v").union(col_side.select(*key, "side", "rep", "n", "v"))
+    placed = placed_in_cells(classes.where("rep is not null"), float(np.sqrt(max(0.0, 2 - 2 * threshold))))
+    tasks, key = exploded(placed)
 
     def products(pdf):
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]

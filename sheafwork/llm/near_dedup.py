@@ -299,7 +299,9 @@ def near_duplicates(
     keys = classes.select("rep", F.posexplode("bands").alias("i", "band"), F.col("n_shingles").alias("n")).select("rep", "i", F.xxhash64("i", "band").alias("key"), "n")
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
     none = F.array().cast("array<double>")
-    state = keys.join(shared, "key").withColumn("company", F.sum("members").over(Window.partitionBy("rep")))
+    # A bucket may hold a large share of all texts: its members are dealt over tasks in each join.
+    state = common.spread_join(keys, shared, "key", "members", "rep", ["members", "shingles"], total=bands * classes.count()).where("members is not null")
+    state = state.withColumn("company", F.sum("members").over(Window.partitionBy("rep")))
     state = state.withColumns({"root": F.col("rep"), "first_root": F.lit(-1).cast("long"), "pivots": F.array().cast("array<long>"), "lo": none, "hi": none})
     state = common.stage(state, "members")
     # Texts of all that share a bucket.  Merged at every size: how many these are grows with the corpus.
@@ -332,8 +334,9 @@ def near_duplicates(
     links = found = None
     for round_ in range(PIVOTS):
         fresh = F.lit(True) if not round_ else F.expr("root != first_root and not array_contains(pivots, rep)")
-        pivot = state.where(fresh).groupBy("key").agg(F.min(F.struct(-F.col("company"), "rep", "n")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.n").alias("m"))
-        now = round_rows = common.stage(state.join(pivot, "key"), "round")  # buckets without a fresh member have nothing left to compare
+        pivot = state.where(fresh).groupBy("key").agg(F.min(F.struct(-F.col("company"), "rep", "n")).alias("p"), F.max("members").alias("all")).select("key", F.col("p.rep").alias("a"), F.col("p.n").alias("m"), "all")
+        met = common.spread_join(state, pivot, "key", "all", "rep", ["a", "m"], total=state.count()).where("a is not null")
+        now = round_rows = common.stage(met, "round")  # buckets without a fresh member have nothing left to compare
         pairs = now.where(F.expr(f"rep != a and not array_contains(pivots, rep) and {sizes_fit.format(d=den, n=num, x='n', y='m')}")).select("a", F.col("rep").alias("b")).distinct()
         got = compared(common.stage(pairs, "pairs"))
         more = got.where("linked").select("a", "b")
@@ -351,8 +354,9 @@ def near_duplicates(
         common.discard(*done)
 
     # What is still apart within a bucket, unless distances to a pivot tell that no link is possible (Jaccard distance is a metric).
-    open_ = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    apart = state.join(open_, "key").where("not array_contains(pivots, rep)").join(classes.select("rep", "bands"), "rep")
+    open_ = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("members").alias("all")).where("x < y")
+    met = common.spread_join(state, open_, "key", "all", "rep", ["y"], total=state.count()).where("y is not null").drop("y")
+    apart = met.where("not array_contains(pivots, rep)").join(classes.select("rep", "bands"), "rep")
     pieces = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     apart = apart.withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
     blocks = apart.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)"))).withColumns({"pa": F.least("own", "other"), "pb": F.greatest("own", "other")})

@@ -52,10 +52,48 @@ def test_cells_blocks_and_odd_vectors(spark, monkeypatch):
     rows += [(1000 + i, x[5].tolist(), 1) for i in range(50)]  # copies
     rows += [(2000, None, 1), (2001, [], 1), (2002, [0.0] * 16, 1), (2003, [1.0, None] * 8, 1), (2004, [float("nan")] * 16, 0), (2005, x[5].tolist(), None), (2006, [float("inf")] * 16, 0), (2007, [1.0, 0.0], 1), (2008, [2.0, 0.0], 1)]
     df = spark.createDataFrame([(*r, r[0]) for r in rows], SCHEMA + ", cell long")
-    monkeypatch.setattr(ed, "choose_cells", lambda s, n, reach: ed.spherical_kmeans(s, min(8, len(s))))
     assert got(ed.near_vectors(df)) == brute(rows)
 
 
+def nested(n, tops=6, seed=5):
+    """Vectors in clusters of 6 clusters each, all of one label."""
+    rng = np.random.default_rng(seed)
+    top = rng.normal(size=(tops, 24)) * 6
+    low = top[:, None] + rng.normal(size=(tops, 6, 24)) * 2.5
+    x = (low[rng.integers(0, tops, n), rng.integers(0, 6, n)] + rng.normal(size=(n, 24)) * 0.5).astype(np.float32)
+    return [(i, v.tolist(), 1) for i, v in enumerate(x)]
+
+
+def as_classes(spark, rows):
+    return spark.createDataFrame([(str(lab), i, i * 7919, 1, [float(y) for y in v]) for i, v, lab in rows], "label string, rep long, cls long, n long, v array<double>")
+
+
+def test_cells_in_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 40)
+    monkeypatch.setattr(ed, "CELLS", 4)
+    rows = nested(1500)
+    placed = ed.placed_in_cells(as_classes(spark, rows), math.sqrt(2 - 2 * 0.93)).toPandas()
+    homes = placed[placed["home"]]
+    assert sorted(homes["rep"]) == list(range(1500)) and not placed.duplicated(["cell", "rep"]).any()
+    assert homes["cell"].str.count("/").max() >= 2
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(ed.near_vectors(df)) == brute(rows)
+
+
+def test_work_grows_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 64)
+    n = [ed.exploded(ed.placed_in_cells(as_classes(spark, nested(k, tops=k // 170)), math.sqrt(2 - 2 * 0.93)))[0].count() for k in (1000, 5000)]
+    assert n[1] <= 8 * n[0]
+
+
+def test_without_clusters(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 32))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, x + rng.normal(size=x.shape) * 0.15]))]
+    assert got(ed.near_vectors(spark.createDataFrame(rows, SCHEMA.replace("float", "double")))) == brute(rows)
+
+
 def test_empty_table(spark):
     assert ed.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
