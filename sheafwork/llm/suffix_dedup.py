@@ -25,8 +25,8 @@ _U = np.uint64
 CHUNK, SHARD, PART = 4 << 20, 2 << 20, 1 << 20
 #: Documents that may have an anchor before its strings are dealt one by one.
 HOT = 2048
-#: Distinct symbols up to which a reduced string is sorted by recursion.
-RECURSE = 512
+#: Suffixes of neighbouring buckets that are sorted at once, layers of them before a block is halved, places of a lane of common prefixes.
+BLOCK, LAYERS, LANE = 1 << 14, 40, 64
 _LAST, _FULL = np.iinfo(np.int64).max, _U(2**64 - 1)
 
 
@@ -41,87 +41,101 @@ def _types(t: np.ndarray) -> np.ndarray:
     return np.concatenate([t[after] < t[after + 1], [True]])
 
 
-def _deal(into: list[list[np.ndarray]], at: np.ndarray, symbols: np.ndarray) -> None:
-    order = np.argsort(symbols, kind="stable")
-    s = symbols[order]
-    cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    for a, b in zip(cuts, np.append(cuts[1:], len(s)), strict=True):
-        into[s[a]].append(at[order[a:b]])
+def _induced(t: np.ndarray, k: int, kind: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The places of one kind in their suffixes' order, bucket by bucket, each following from the place after it; in a bucket ``seeds``, which have their order already, stand behind them.
 
-
-def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
-    """All suffixes in order from the given order of leftmost-smaller ones: bucket by bucket, a bucket in waves of equal symbols."""
-    none = np.zeros(0, np.int64)
-    starts: list[list[np.ndarray]] = [[] for _ in range(k)]
-    _deal(starts, lms, t[lms])
-    larger: list[list[np.ndarray]] = [[] for _ in range(k)]
-    for c in range(k):
-        done = []
-        wave = np.concatenate(larger[c]) if larger[c] else none
+    Small neighbouring buckets are one block: its places are found layer by layer, then sorted by symbol and the place after. A block of many layers is halved, and a bucket of its own is filled in waves.
+    """
+    begin = np.concatenate([[0], np.bincount(t[kind], minlength=k).cumsum()])
+    head, out = begin[:-1].copy(), np.full(begin[-1], -1)
+    seeds = seeds[np.argsort(t[seeds], kind="stable")]
+    behind = np.searchsorted(t[seeds], np.arange(k + 1))
+    volume = begin + behind
+
+    def waves(c):
+        done = [out[begin[c] : begin[c + 1]]]
+        done[0] = done[0][done[0] >= 0]
+        while len(done[-1]):
+            x = done[-1][done[-1] > 0] - 1
+            done.append(x[kind[x] & (t[x] == c)])
+        own = np.concatenate(done)
+        out[begin[c] : begin[c + 1]] = own
+        return np.concatenate([own, seeds[behind[c] : behind[c + 1]]])
+
+    def layers(a, b):
+        """The block's places in order, None where they have too many layers."""
+        known = out[begin[a] : begin[b]]
+        known, own = known[known >= 0], seeds[behind[a] : behind[b]]
+        found, source, size = [np.concatenate([known, own])], [], len(known) + len(own)
+        where = np.arange(size)
         while True:
-            done.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[~small[before]]
-            same = t[before] == c
-            if not same.all():
-                _deal(larger, before[~same], t[before[~same]])
-            wave = before[same]
-            if not len(wave):
+            p = found[-1] - 1
+            on = (p >= 0) & kind[p] & (t[p] < b)
+            if not on.any():
                 break
-        larger[c] = [np.concatenate(done)]
-        for part in starts[c]:
-            before = part[part > 0] - 1
-            before = before[~small[before]]
-            if len(before):
-                _deal(larger, before, t[before])
-    smaller: list[list[np.ndarray]] = [[] for _ in range(k)]
-    out = [none] * k
-    for c in range(k - 1, -1, -1):
-        done = []
-        wave = np.concatenate(smaller[c]) if smaller[c] else none  # from large to small
-        if c == 0:
-            wave = np.array([len(t) - 1])
-        while len(wave):
-            done.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[small[before]]
-            same = t[before] == c
-            if not same.all():
-                _deal(smaller, before[~same], t[before[~same]])
-            wave = before[same]
-        own = larger[c][0]
-        before = own[::-1]
-        before = before[before > 0] - 1
-        before = before[small[before]]
-        if len(before):
-            _deal(smaller, before, t[before])
-        out[c] = np.concatenate([own, *[d[::-1] for d in reversed(done)]])
-    return np.concatenate(out)
-
-
-def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """Suffix order of the reduced string, by recursion where its alphabet is small.
-
-    An alphabet about as large as the string would make as many buckets as symbols; ranks of prefixes are doubled there until all differ.
-    """
-    if names.max() < RECURSE:
-        return suffix_array(names)
-    rank, step = names, 1
-    while rank.max() < len(rank) - 1:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:-step] = rank[step:] + 1
-        rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)[1]
-        step *= 2
-    return np.argsort(rank, kind="stable")
+            if len(found) > LAYERS:
+                return None
+            found.append(p[on])
+            source.append(where[on])
+            where = size + np.arange(len(found[-1]))
+            size += len(where)
+        places = np.concatenate(found)
+        role = np.repeat([0, 2, 1], [len(known), len(own), size - len(known) - len(own)])
+        group = (t[places].astype(np.int64) * 3 + role) * size
+        key, fresh = np.arange(size), len(known) + len(own)
+        for _ in found:  # each round settles one more layer
+            order = np.argsort(group + key, kind="stable")
+            if len(source):
+                place = np.empty(size, np.int64)
+                place[order] = np.arange(size)
+                key[fresh:] = place[np.concatenate(source)]
+        places, role = places[order], role[order]
+        out[begin[a] : begin[b]] = places[role != 2]
+        return places
+
+    edges, a = [], 0
+    while a < k:
+        b = max(a + 1, int(np.searchsorted(volume, volume[a] + BLOCK, side="right")) - 1)
+        edges.append((a, b))
+        a = b
+    edges.reverse()
+    while edges:
+        a, b = edges.pop()
+        ordered = waves(a) if b - a == 1 else layers(a, b)
+        if ordered is None:
+            edges += [((a + b) // 2, b), (a, (a + b) // 2)]
+            continue
+        x = ordered[ordered > 0] - 1
+        x = x[kind[x] & (t[x] >= b)]
+        if len(x):
+            x = x[np.argsort(t[x], kind="stable")]
+            s = t[x]
+            cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            many = np.diff(np.append(cut, len(s)))
+            out[head[s] + np.arange(len(s)) - np.repeat(cut, many)] = x
+            head[s[cut]] += many
+    return out
+
+
+def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """All suffixes in order from the given order of leftmost-smaller ones: the larger ones from these, then the smaller ones from the larger ones, from the last symbol to the first."""
+    last = len(t) - 1
+    larger = _induced(t, k, ~small, lms)
+    inner = small.copy()
+    inner[last] = False
+    smaller = _induced(k - 1 - t, k, inner, larger[::-1])[::-1]
+    both = np.concatenate([larger, [last], smaller])
+    return both[np.argsort(t[both], kind="stable")]
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order, for symbols from 0 to 65534."""
+    """Starts of all suffixes in order, for symbols from 0 on, none far above the others' number.  Names of the leftmost-smaller substrings are a string of their own, sorted in the same way unless all differ."""
     if not len(symbols):
         return np.zeros(0, np.int64)
-    t = np.append(symbols.astype(np.int32) + 1, 0)
-    t = np.unique(t, return_inverse=True)[1].astype(np.uint16)
+    t = np.append(symbols.astype(np.int64) + 1, 0)
+    t = (np.bincount(t) > 0).cumsum()[t] - 1
     k = int(t.max()) + 1
+    t = t.astype(np.uint16 if k < 1 << 16 else np.int32)
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
@@ -136,7 +150,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         new = np.concatenate([[0], _differ(t, ordered, length[i])]).cumsum()
         names = np.zeros(len(lms), np.int64)
         names[i] = new
-        lms = lms[_order_of_names(names)]
+        lms = ordered if new[-1] == len(lms) - 1 else lms[suffix_array(names)]
     return _induce(t, small, lms, k)[1:]
 
 
@@ -157,20 +171,35 @@ def _differ(t: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray
 
 
 def permuted_prefixes(flat: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Common prefixes of the suffixes of an array with the ones before, up to ``most`` bytes each; 0 for the first.  They are computed in the order of the text's places, where reads are local."""
+    """Common prefixes of the suffixes of an array with the ones before, up to ``most`` bytes each; 0 for the first.
+
+    They are computed in the order of the text's places: a place shares all but one byte of what the place before it shares, so comparing goes on from there. Lanes of ``LANE`` places advance side by side,
+    only their first places are compared afresh, and those where the place before (or its neighbour's next one) isn't in the array.
+    """
     order = np.argsort(sa[1:], kind="stable")
     x, y = sa[1:][order], sa[:-1][order]
-    padded = np.concatenate([flat, np.zeros(most + 8, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded, (len(flat) + most, 8), (1, 1))
-    got, live = np.zeros(len(x), np.int64), np.arange(len(x))
-    for at in range(0, most, 8):
-        differs = word[x[live] + at].view(_U).ravel() ^ word[y[live] + at].view(_U).ravel()
-        lowest = differs & (~differs + _U(1))  # the first differing byte holds the lowest bit that differs
-        got[live] = at + np.where(differs == 0, 8, np.log2(np.maximum(lowest, _U(1)).astype(float)).astype(np.int64) // 8)
-        live = live[differs == 0]
-    room = len(flat) - np.maximum(x, y)
+    present = np.zeros(len(flat) + 1, bool)
+    present[sa] = True
+    follows = np.zeros(len(x), bool)
+    follows[1:] = (x[1:] == x[:-1] + 1) & present[y[:-1] + 1]
+    room = np.minimum(most, len(flat) - np.maximum(x, y))
+    padded = np.concatenate([flat, np.zeros(most + 16, np.uint8)])
+    word = np.lib.stride_tricks.as_strided(padded, (len(flat) + most + 8, 8), (1, 1))
+    got = np.zeros(len(x), np.int64)
+    for step in range(LANE):
+        r = np.arange(step, len(x), LANE)
+        at = np.where(follows[r], np.maximum(got[r - 1] - 1, 0), 0) if step else np.zeros(len(r), np.int64)
+        live = np.flatnonzero(at < room[r])
+        while len(live):
+            i, n = r[live], at[live]
+            differs = word[x[i] + n].view(_U).ravel() ^ word[y[i] + n].view(_U).ravel()
+            lowest = differs & (~differs + _U(1))  # the first differing byte holds the lowest bit that differs
+            n = n + np.where(differs == 0, 8, np.log2(np.maximum(lowest, _U(1)).astype(float)).astype(np.int64) // 8)
+            at[live] = n
+            live = live[(differs == 0) & (n < room[i])]
+        got[r] = np.minimum(at, room[r])
     out = np.zeros(len(sa), np.int64)
-    out[1:][order] = np.minimum(np.minimum(got, most), room)
+    out[1:][order] = got
     return out
 
 

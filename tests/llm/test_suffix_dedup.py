@@ -91,7 +91,7 @@ def test_hot_anchors_runs_and_long_strings(spark):
 def test_common_prefixes_and_recursion():
     rng = np.random.default_rng(4)
     flat = rng.integers(0, 3, 4000).astype(np.uint8)
-    sa = suffix_dedup.suffix_array(flat.astype(np.int64))  # few symbols: the reduced string is sorted by recursion
+    sa = suffix_dedup.suffix_array(flat.astype(np.int64))
     text = flat.tobytes()
     assert [text[a:] for a in sa] == sorted(text[i:] for i in range(len(text)))
     want = [0]
@@ -101,3 +101,37 @@ def test_common_prefixes_and_recursion():
             n += 1
         want.append(n)
     assert suffix_dedup.permuted_prefixes(flat, sa, 20).tolist() == want
+
+
+def test_recursion_for_every_alphabet(monkeypatch):
+    """Reduced strings of thousands of names are sorted by the same function, whatever blocks and layers there are."""
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 40, 9) for _ in range(400)]
+    s = np.concatenate([words[i] for i in rng.integers(0, 400, 3000)])
+    want = np.array(sorted(range(len(s)), key=lambda i: s[i : i + 400].tolist()))
+    own, names = suffix_dedup.suffix_array, []
+
+    def watched(symbols):
+        names.append(len(np.unique(symbols)))
+        return own(symbols)
+
+    monkeypatch.setattr(suffix_dedup, "suffix_array", watched)
+    for block, layers in ((1, 1), (64, 1), (1 << 14, 40), (1 << 30, 1 << 30)):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        monkeypatch.setattr(suffix_dedup, "LAYERS", layers)
+        names.clear()
+        got_ = watched(s)
+        assert (got_ == want).all() and len(names) > 1 and max(names[1:]) > 512
+
+
+def test_common_prefixes_of_a_part_of_the_places():
+    """Where some places are not in the array, the place before says nothing and the prefix is compared afresh."""
+    rng = np.random.default_rng(9)
+    text = b"".join([b"abcabcab", b"bcabca"][i] for i in rng.integers(0, 2, 400))
+    flat = np.frombuffer(text, np.uint8)
+    sa = suffix_dedup.suffix_array(flat.astype(np.int64))
+    sa = sa[rng.random(len(sa)) < 0.7]
+    want = [0]
+    for a, b in zip(sa[1:], sa[:-1]):
+        want.append(next((n for n in range(30) if max(a, b) + n >= len(text) or text[a + n] != text[b + n]), 30))
+    assert suffix_dedup.permuted_prefixes(flat, sa, 30).tolist() == want
