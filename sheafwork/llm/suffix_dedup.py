@@ -22,11 +22,11 @@ from . import textbytes as tb
 
 _U = np.uint64
 #: Text bytes of a chunk, of surroundings' text that a shard is meant for, and of one suffix array (which takes some hundred times its text's memory).
-CHUNK, SHARD, PART = 4 << 20, 2 << 20, 1 << 20
+CHUNK, SHARD, PART = 4 << 20, 2 << 20, 1 << 19
 #: Documents that may have an anchor before its strings are dealt one by one.
 HOT = 2048
 #: Suffixes of neighbouring buckets that are sorted at once, layers of them before a block is halved, places of a lane of common prefixes.
-BLOCK, LAYERS, LANE = 1 << 14, 40, 64
+BLOCK, LAYERS, LANE = 1 << 13, 40, 64
 _LAST, _FULL = np.iinfo(np.int64).max, _U(2**64 - 1)
 
 
@@ -35,10 +35,8 @@ _LAST, _FULL = np.iinfo(np.int64).max, _U(2**64 - 1)
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than the next one.  The last symbol is the smallest and stands nowhere else."""
-    n = len(t)
     differs = np.flatnonzero(t[:-1] != t[1:])
-    after = differs[np.minimum(np.searchsorted(differs, np.arange(n - 1)), len(differs) - 1)]
-    return np.concatenate([t[after] < t[after + 1], [True]])
+    return np.append(np.repeat(t[differs] < t[differs + 1], np.diff(differs, prepend=-1)), True)
 
 
 def _induced(t: np.ndarray, k: int, kind: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -47,7 +45,8 @@ def _induced(t: np.ndarray, k: int, kind: np.ndarray, seeds: np.ndarray) -> np.n
     Small neighbouring buckets are one block: its places are found layer by layer, then sorted by symbol and the place after. A block of many layers is halved, and a bucket of its own is filled in waves.
     """
     begin = np.concatenate([[0], np.bincount(t[kind], minlength=k).cumsum()])
-    head, out = begin[:-1].copy(), np.full(begin[-1], -1)
+    head, out = begin[:-1].copy(), np.full(begin[-1], -1, np.int32)
+    wanted = np.where(kind, t, np.int32(-1))  # the last place is never wanted, so that none before the first is
     seeds = seeds[np.argsort(t[seeds], kind="stable")]
     behind = np.searchsorted(t[seeds], np.arange(k + 1))
     volume = begin + behind
@@ -56,8 +55,8 @@ def _induced(t: np.ndarray, k: int, kind: np.ndarray, seeds: np.ndarray) -> np.n
         done = [out[begin[c] : begin[c + 1]]]
         done[0] = done[0][done[0] >= 0]
         while len(done[-1]):
-            x = done[-1][done[-1] > 0] - 1
-            done.append(x[kind[x] & (t[x] == c)])
+            x = done[-1] - 1
+            done.append(x[wanted[x] == c])
         own = np.concatenate(done)
         out[begin[c] : begin[c + 1]] = own
         return np.concatenate([own, seeds[behind[c] : behind[c + 1]]])
@@ -70,7 +69,8 @@ def _induced(t: np.ndarray, k: int, kind: np.ndarray, seeds: np.ndarray) -> np.n
         where = np.arange(size)
         while True:
             p = found[-1] - 1
-            on = (p >= 0) & kind[p] & (t[p] < b)
+            s = wanted[p]
+            on = (s >= 0) & (s < b)
             if not on.any():
                 break
             if len(found) > LAYERS:
@@ -105,11 +105,12 @@ def _induced(t: np.ndarray, k: int, kind: np.ndarray, seeds: np.ndarray) -> np.n
         if ordered is None:
             edges += [((a + b) // 2, b), (a, (a + b) // 2)]
             continue
-        x = ordered[ordered > 0] - 1
-        x = x[kind[x] & (t[x] >= b)]
+        x = ordered - 1
+        x = x[wanted[x] >= b]
         if len(x):
-            x = x[np.argsort(t[x], kind="stable")]
             s = t[x]
+            order = np.argsort(s, kind="stable")
+            x, s = x[order], s[order]
             cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             many = np.diff(np.append(cut, len(s)))
             out[head[s] + np.arange(len(s)) - np.repeat(cut, many)] = x
@@ -124,7 +125,7 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.nda
     inner = small.copy()
     inner[last] = False
     smaller = _induced(k - 1 - t, k, inner, larger[::-1])[::-1]
-    both = np.concatenate([larger, [last], smaller])
+    both = np.concatenate([larger, np.array([last], np.int32), smaller])
     return both[np.argsort(t[both], kind="stable")]
 
 
@@ -137,7 +138,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     k = int(t.max()) + 1
     t = t.astype(np.uint16 if k < 1 << 16 else np.int32)
     small = _types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
         rough = _induce(t, small, lms, k)
         is_lms = np.zeros(len(t), bool)
@@ -193,8 +194,8 @@ def permuted_prefixes(flat: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray
         while len(live):
             i, n = r[live], at[live]
             differs = word[x[i] + n].view(_U).ravel() ^ word[y[i] + n].view(_U).ravel()
-            lowest = differs & (~differs + _U(1))  # the first differing byte holds the lowest bit that differs
-            n = n + np.where(differs == 0, 8, np.log2(np.maximum(lowest, _U(1)).astype(float)).astype(np.int64) // 8)
+            below = (differs & (~differs + _U(1))) - _U(1)  # the bits below the lowest that differs, which is in the first differing byte; all where none does
+            n = n + (np.bitwise_count(below) >> 3)
             at[live] = n
             live = live[(differs == 0) & (n < room[i])]
         got[r] = np.minimum(at, room[r])
