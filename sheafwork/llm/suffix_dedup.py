@@ -443,8 +443,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             many = hi - lo
             of = order[_ranges(lo, many)]
             row, start, mask = np.concatenate([row, np.repeat(again[0], many)]), np.concatenate([start, np.repeat(again[1], many)]), np.concatenate([mask, mask[of]])
-        at = [(off[row] + start)[(mask >> _U(k)) & _U(1) > 0] + k for k in range(least - anchor + 1)]
-        at = np.unique(np.concatenate(at))
+        place, hit = off[row] + start, np.zeros(len(flat), bool)
+        for k in range(least - anchor + 1):
+            hit[place[(mask >> _U(k)) & _U(1) > 0] + k] = True
+        at = np.flatnonzero(hit)
         edges = np.searchsorted(at, off)
         out = []
         for i in range(len(left)):
