@@ -36,16 +36,26 @@ _STAGED: list[str] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it is computed once, a lost executor costs no recomputation, and the shuffles behind it can go at once."""
+#: Spark's own bound on the bytes of a batch for Python.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def stage(df: DataFrame, name: str, batch: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once, a lost executor costs no recomputation, and the shuffles behind it can go at once.
+
+    ``batch`` bounds the bytes that go to Python at once, such as "4m".
+    """
     spark = df.sparkSession
     where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({BATCH: batch} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(where)
     finally:
-        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     out = spark.read.schema(df.schema).parquet(where)
     out.staged_at = where
     _STAGED.append(where)

@@ -24,8 +24,10 @@ from . import textbytes as tb
 RANKED = 1 << 15
 #: Words that are encoded in one go, with blanks between.
 ENCODED = 1024
-#: Words whose ids a worker keeps.
-CACHED = 1 << 20
+#: Words whose ids a worker keeps, and ids of all of them.
+CACHED, IDS = 1 << 20, 1 << 23
+#: Bytes of texts that a worker gets at once, and of those that it takes apart in one go.
+BATCH, SLICE = "4m", 1 << 20
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -36,7 +38,7 @@ class _Cache:
         self.clear()
 
     def clear(self):
-        self.keys, self.pool, self.begin, self.many = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.pool, self.begin, self.many = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of hashes, and which of them are known."""
@@ -47,8 +49,8 @@ class _Cache:
         self.keys = np.concatenate([self.keys, keys])
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(n) - n])[order]
-        self.many = np.concatenate([self.many, n])[order]
+        self.begin = np.concatenate([self.begin, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])[order]
+        self.many = np.concatenate([self.many, n.astype(np.int32)])[order]
         self.pool = np.concatenate([self.pool, ids])
 
 
@@ -62,6 +64,11 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def _forget() -> None:
+    """A worker that lives on holds no tokenizers and no words any more."""
+    _TOKENIZERS.clear()
+
+
 def token_ids(flat: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of texts, end to end, and how many each has.
 
@@ -73,7 +80,7 @@ def token_ids(flat: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray,
     if not len(h):
         return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
     kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
-    if len(cache.keys) > CACHED:
+    if len(cache.keys) > CACHED or len(cache.pool) > IDS:
         cache.clear()
     new = np.flatnonzero(~cache.find(kinds)[1])
     if len(new):
@@ -89,7 +96,7 @@ def token_ids(flat: np.ndarray, off: np.ndarray, path: str) -> tuple[np.ndarray,
             many.append(np.bincount(of, minlength=len(part)))
         cache.add(kinds[new], np.concatenate(ids), np.concatenate(many))
     at = cache.find(kinds)[0]
-    pool, begin, n = cache.pool, cache.begin[at], cache.many[at]
+    pool, begin, n = cache.pool, cache.begin[at].astype(np.int64), cache.many[at].astype(np.int64)
     many = n[which]
     out = pool[np.repeat(begin[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
     ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(counts)])]
@@ -102,7 +109,7 @@ def _pieces(path: str, most: int, end_id: int):
     def run(batches):
         for batch in batches:
             flat, off = tb.flat_column(batch.column(1))
-            for a, b in tb.slices(off, 1 << 21, 1 << 14):
+            for a, b in tb.slices(off, SLICE, 1 << 14):
                 o = off[a : b + 1]
                 ids, counts = token_ids(flat[o[0] : o[-1]], o - o[0], path)
                 at, rows = 0, ([], [], [], [], [])
@@ -214,7 +221,7 @@ def pack(
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pieces = source.mapInArrow(_pieces(tokenizer_path, capacity, end_id), schema)
     # equal pieces of repeated rows may change places with each other: any order does, if it stays as it was written
-    pieces = common.stage(pieces, "pieces")
+    pieces = common.stage(pieces, "pieces", BATCH)
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     plan = spark.sparkContext.broadcast(places(best_fit(histogram, capacity, max_docs, max_cost, score=score)))
     buckets = spark.createDataFrame([(n, -(-many // RANKED)) for n, many in histogram.items()], "length long, buckets long")
@@ -229,6 +236,7 @@ def pack(
 
     def place(batches):
         p = plan.value
+        _forget()  # all is encoded by now
         for pdf in batches:
             length, rank = pdf["length"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64)
             i = np.searchsorted(p["key"], length * (1 << 44) + rank, side="right") - 1

@@ -75,3 +75,35 @@ def test_small_plan_matches_one_by_one_best_fit():
         i = min(fit, key=lambda i: free[i]) if fit else len(free)
         free[i:i + 1] = [(free[i] if fit else 10) - x]
     assert sum(n for n, _ in bins) == len(free)
+
+
+def test_workers_hold_little(spark, monkeypatch):
+    """Ids that a worker keeps are bounded by their own number too, not only by words; tables go when all is encoded; results stay the same."""
+    from sheafwork.llm import textbytes as tb
+
+    texts = [" ".join(f"w{i}x{'ab12' * 40}{j}" for j in range(20)) for i in range(6)]
+    flat, off = tb.flatten(texts)
+    want, n = packing.token_ids(flat, off, PATH)
+    monkeypatch.setattr(packing, "IDS", 50)
+    packing._forget()
+    assert PATH not in packing._TOKENIZERS
+    got = [packing.token_ids(*tb.flatten([t]), PATH) for t in texts]
+    assert np.concatenate([g for g, _ in got]).tolist() == want.tolist() and [int(c[0]) for _, c in got] == n.tolist()
+    assert len(packing._TOKENIZERS[PATH][1].pool) <= int(n[-1])  # only the last text's
+    packing._forget()
+
+
+def test_batches_are_bounded(spark):
+    """A staged table's batches for Python hold so many bytes at most, about, and the session's own option stays."""
+    import pyarrow as pa
+
+    from sheafwork.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.range(400, numPartitions=1).selectExpr("repeat('x', 1000) AS text")
+    before = spark.conf.get(common.BATCH)
+    n = [r.n for r in common.stage(rows.mapInArrow(sizes, "n long"), "sizes", "64k").collect()]
+    assert sum(n) == 400 and max(n) <= 100 and spark.conf.get(common.BATCH) == before
