@@ -72,12 +72,17 @@ def _contexts(batches):
                     np.add.at(total[w], x, index[w][y])
                     np.add.at(total[w], y, index[w][x])
     flat = total.reshape(PARTS, -1)
+    del index
     yield pd.DataFrame({"part": np.arange(PARTS), "sums": [p.tobytes() for p in flat]})
 
 
 def _sum_parts(pdf):
-    total = sum(np.frombuffer(b, np.float32) for b in pdf["sums"])
-    return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [total.tobytes()]})
+    """One part of the word vectors: a word's own index vector counts too, for words that stand for themselves; then every word has the same length."""
+    part = int(pdf["part"].iloc[0])
+    total = sum(np.frombuffer(b, np.float32) for b in pdf["sums"]).reshape(-1, DIM)
+    own = index_vectors().reshape(PARTS, -1, DIM)[part] / np.sqrt(NONZERO)
+    vectors = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9) + own
+    return pd.DataFrame({"part": [part], "vectors": [vectors.astype(np.float32).tobytes()]})
 
 
 def pooled(flat: np.ndarray, off: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -139,6 +144,20 @@ def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int =
     return w, b, v, float(c[0]), float(grid[int(np.argmin(loss))])
 
 
+def _learn(pdf):
+    """The network of all rows that are learnt from, in one row; no layers where labels are too few or of one class."""
+    pdf = pdf.sort_values("id", ignore_index=True)
+    y = pdf["y"].to_numpy(float)
+    out = {"share": float(y.mean()), "temperature": 1.0, "out_bias": 0.0, "first": b"", "bias": b"", "out": b""}
+    if len(y) >= 10 and y.min() != y.max():
+        x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(y), -1).astype(float)
+        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        w, b, v, c, temperature = train_network((x - mean) / scale, y)
+        w = w / scale[:, None]
+        out |= {"temperature": temperature, "out_bias": c, "first": w.tobytes(), "bias": (b - mean @ w).tobytes(), "out": v.tobytes()}
+    return pd.DataFrame([out])
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
     """A model of ``labels`` (id, 0/1) over the texts of ``docs``, from at most ``max_train`` labelled rows, chosen by a hash of their ids.
 
@@ -150,31 +169,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     chosen = usable.orderBy(F.xxhash64("id", F.lit(23)), "id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     texts = common.stage(texts.repartition(8, "id"), "labelled")
-    sums = texts.select("text").mapInPandas(_contexts, "part int, sums binary").groupBy("part").applyInPandas(_sum_parts, "part int, sums binary")
-    # PARTS rows, together the size of the model
-    vectors = np.concatenate([np.frombuffer(r.sums, np.float32) for r in sorted(sums.collect(), key=lambda r: r.part)] or [np.zeros(2 * BUCKETS * DIM, np.float32)]).reshape(2, BUCKETS, DIM)
-    # A word's own index vector counts too: words that stand for themselves; then every word has the same length.
-    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=2, keepdims=True), 1e-9) + index_vectors() / np.sqrt(NONZERO)
-    vectors = vectors.astype(np.float32)
+    sums = texts.select("text").mapInPandas(_contexts, "part int, sums binary").groupBy("part").applyInPandas(_sum_parts, "part int, vectors binary")
+    # PARTS rows, together the size of the word vectors: all that the driver holds of them
+    parts = {r.part: r.vectors for r in sums.collect()}
+    vectors = np.frombuffer(b"".join(parts.pop(p) for p in sorted(parts)) or bytes(8 * BUCKETS * DIM), np.float32).reshape(2, BUCKETS, DIM)
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches):
         for pdf in batches:
             flat, off = tb.flatten(pdf["text"])
             x = np.concatenate([pooled(flat[off[a] : off[b]], off[a : b + 1] - off[a], shared.value) for a, b in tb.slices(off, 1 << 18)] or [np.zeros((0, 2 * DIM), np.float32)])
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": list(x)})
-
-    got = texts.mapInPandas(features, "id long, y double, x array<float>").orderBy("id").toPandas()
-    y = got["y"].to_numpy(float)
-    if len(got) < 10 or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.5
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": [r.tobytes() for r in x.astype(np.float32)]})
+
+    # the rows are ``max_train`` at most, so one task learns from all of them, and the driver gets one row
+    learnt = texts.mapInPandas(features, "id long, y double, x binary").groupBy().applyInPandas(_learn, "share double, temperature double, out_bias double, first binary, bias binary, out binary")
+    got = learnt.first()
+    shared.destroy()
+    if got is None or not got.first:
+        share = got.share if got else 0.5
         return Model(np.zeros((2, BUCKETS, 1), np.float32), np.zeros(1), np.zeros(1), float(np.log((share + 1e-6) / (1 - share + 1e-6))), 1.0, share)
-    x = np.stack(got["x"].to_numpy()).astype(float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    w, b, v, c, temperature = train_network((x - mean) / scale, y)
-    w = w / scale[:, None]
-    b = b - mean @ w
-    return Model(np.stack([vectors[i] @ w[i * DIM : (i + 1) * DIM].astype(np.float32) for i in range(2)]), b, v, c, temperature)
+    b, v = np.frombuffer(got.bias), np.frombuffer(got.out)
+    w = np.frombuffer(got.first).reshape(2 * DIM, len(b)).astype(np.float32)
+    return Model(np.stack([vectors[i] @ w[i * DIM : (i + 1) * DIM] for i in range(2)]), b, v, got.out_bias, got.temperature)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

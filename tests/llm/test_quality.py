@@ -52,3 +52,18 @@ def test_probabilities_follow_the_real_shares():
     w, b, v, c, temperature = quality.train_network(x[:4000], y[:4000])
     p = 1 / (1 + np.exp(-(np.tanh(x[4000:] @ w + b) @ v + c) / temperature))
     assert abs(p.mean() - y[4000:].mean()) < 0.05
+
+
+def test_learning_stays_in_tasks(spark, monkeypatch):
+    """The driver trains nothing and gets no rows that are learnt from, only the word vectors and one row of the network."""
+
+    def never(*_, **__):
+        raise AssertionError("in the driver")
+
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", never)
+    monkeypatch.setattr(quality, "train_network", never)
+    sf = "/root/testdata/sf0.01"
+    model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.vectors.shape == (2, quality.BUCKETS, len(model.out)) and len(model.bias) == len(model.out) > 1
+    none = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("false"))
+    assert not none.vectors.any() and none.empty == 0.5
