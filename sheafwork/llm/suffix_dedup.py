@@ -2,7 +2,7 @@
 
 A string of ``least`` bytes that stands in two documents has in both the same anchor: the k bytes with the smallest hash among all that it holds, the leftmost of equal ones.
 So documents are cut to the surroundings of their anchors, and those of anchors that stand in two documents or more go to the shard of the anchor's hash. A shard builds suffix arrays of
-its distinct surroundings, part by part: suffixes are classified, leftmost-smaller substrings sorted and named, the reduced string sorted, and the array induced from it in linear time.
+its distinct surroundings, part by part: suffixes are classified, leftmost-smaller substrings sorted and named, the reduced string sorted, and the array induced from it.
 Common prefixes of neighbours are computed in the text's order (permuted); neighbours that share ``least`` bytes are occurrences of one string, and the smallest document among them keeps it.
 A surrounding that stands several times in a chunk goes to the shard once. Anchors that very many documents have are dealt string by string, so that no shard grows with how often one phrase is used.
 """
@@ -27,6 +27,8 @@ CHUNK, SHARD, PART = 4 << 20, 2 << 20, 1 << 19
 HOT = 2048
 #: Suffixes of neighbouring buckets that are sorted at once, layers of them before a block is halved, places of a lane of common prefixes.
 BLOCK, LAYERS, LANE = 1 << 13, 40, 64
+#: Words that a run may take beyond its first, on an average, before buckets are filled one after the other.
+ROUNDS = 4
 _LAST, _FULL = np.iinfo(np.int64).max, _U(2**64 - 1)
 
 
@@ -39,15 +41,83 @@ def _types(t: np.ndarray) -> np.ndarray:
     return np.append(np.repeat(t[differs] < t[differs + 1], np.diff(differs, prepend=-1)), True)
 
 
-def _induced(t: np.ndarray, k: int, kind: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The places of one kind in their suffixes' order, bucket by bucket, each following from the place after it; in a bucket ``seeds``, which have their order already, stand behind them.
+class Runs:
+    """Places of one kind with their runs, which go on to the next place of the other kind; from the order of these, the seeds, follows theirs.
+
+    Suffixes are in the order of their runs' symbols and then of the seeds' ranks, and a place of the kind comes before a seed of its symbol. As many symbols as a word holds are sorted together with the rank; where
+    runs are longer, equal ones go on with the next word. Where that takes long, as for long runs of one symbol, buckets are filled one after the other.
+    """
+
+    def __init__(self, t: np.ndarray, k: int, kind: np.ndarray):
+        self.t, self.k, self.kind = t, k, kind
+        self.run = np.minimum.accumulate(np.where(kind, np.int32(len(t)), np.arange(len(t), dtype=np.int32))[::-1])[::-1] - np.arange(len(t), dtype=np.int32)
+        bits, ends = (2 * k - 1).bit_length(), int(np.count_nonzero(kind[:-1] & ~kind[1:]))
+        self.low = max(ends - 1, 0).bit_length()
+        self.width = min((64 - self.low) // bits, int(self.run.max()) + 1)
+        code = ((t.astype(_U) << _U(1)) | ~kind) << _U(self.low)
+        on = _U(0) - kind.astype(_U)
+        self.word = code
+        for j in range(1, self.width):
+            rest = self.word[1:] & on[:-1]  # nothing behind a seed
+            self.word = code << _U(bits * j)
+            self.word[:-1] |= rest
+        #: The bit of a word that is set if its j-th place is a seed.
+        self.seed = [_U(1 << (self.low + bits * (self.width - 1 - j))) for j in range(self.width)]
+
+    def induced(self, seeds: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The wanted places of the kind in order, from seeds whose order within buckets is known."""
+        run, width = self.run, self.width
+        x = np.flatnonzero(wanted & self.kind).astype(np.int32)
+        if not len(x):
+            return x
+        seeds = seeds[self.kind[seeds - 1]]  # those that end a run; the last place is never of the kind
+        seeds = seeds[np.argsort(self.t[seeds], kind="stable")]
+        if int((run[x] // width).sum()) > ROUNDS * len(x):
+            out = _by_buckets(self.t, self.k, self.kind, seeds)
+            return out[wanted[out]]
+        rank = np.zeros(len(self.t), np.int32)
+        rank[seeds] = np.arange(len(seeds), dtype=np.int32)
+
+        def words(x):
+            n = run[x]
+            near = n < width
+            return self.word[x] | (rank[x + n] * near).astype(_U), near
+
+        key, near = words(x)
+        done = np.sort(key)
+        found = done & sum(self.seed)
+        back = np.zeros(len(x), np.int32)
+        for bit in self.seed:
+            back += found < bit
+        out = seeds[(done & _U((1 << self.low) - 1)).astype(np.int64)] - back
+        if not near.all():
+            order = np.argsort(key[~near])
+            places, group = x[~near][order], key[~near][order]
+            at, step = np.arange(len(places)), width
+            while True:
+                same = group[1:] == group[:-1]
+                tied = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+                if not tied.any():
+                    break
+                at, group = at[tied], group[tied]
+                place = places[at]
+                more, near = words(place + step)
+                order = np.lexsort((more, group))
+                places[at], more, near = place[order], more[order], near[order]
+                new = np.concatenate([[True], (group[1:] != group[:-1]) | (more[1:] != more[:-1])]).cumsum()
+                at, group, step = at[~near], new[~near], step + width
+            out[found == 0] = places
+        return out
+
+
+def _by_buckets(t: np.ndarray, k: int, kind: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """All places of one kind in their suffixes' order, bucket by bucket, each following from the place after it; in a bucket ``seeds``, in their order, stand behind them.
 
     Small neighbouring buckets are one block: its places are found layer by layer, then sorted by symbol and the place after. A block of many layers is halved, and a bucket of its own is filled in waves.
     """
     begin = np.concatenate([[0], np.bincount(t[kind], minlength=k).cumsum()])
     head, out = begin[:-1].copy(), np.full(begin[-1], -1, np.int32)
     wanted = np.where(kind, t, np.int32(-1))  # the last place is never wanted, so that none before the first is
-    seeds = seeds[np.argsort(t[seeds], kind="stable")]
     behind = np.searchsorted(t[seeds], np.arange(k + 1))
     volume = begin + behind
 
@@ -118,32 +188,42 @@ def _induced(t: np.ndarray, k: int, kind: np.ndarray, seeds: np.ndarray) -> np.n
     return out
 
 
-def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
-    """All suffixes in order from the given order of leftmost-smaller ones: the larger ones from these, then the smaller ones from the larger ones, from the last symbol to the first."""
-    last = len(t) - 1
-    larger = _induced(t, k, ~small, lms)
-    inner = small.copy()
-    inner[last] = False
-    smaller = _induced(k - 1 - t, k, inner, larger[::-1])[::-1]
-    both = np.concatenate([larger, np.array([last], np.int32), smaller])
-    return both[np.argsort(t[both], kind="stable")]
+def _induce(larger_runs: Runs, smaller_runs: Runs, lms: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted suffixes in order from the given order of leftmost-smaller ones: the larger ones from these, then the smaller ones from the larger ones, from the last symbol to the first."""
+    t, k, last = larger_runs.t, larger_runs.k, len(wanted) - 1
+    head = np.zeros(len(t), bool)  # larger ones that smaller ones follow from
+    head[1:] = smaller_runs.kind[:-1]
+    larger = larger_runs.induced(lms, wanted | head)
+    smaller = smaller_runs.induced(larger[::-1], wanted)[::-1]
+    larger = larger[wanted[larger]]
+    if wanted[last]:
+        smaller = np.concatenate([np.array([last], np.int32), smaller])
+    # In a bucket the larger ones stand first.
+    a, b = (np.bincount(t[x], minlength=k) for x in (larger, smaller))
+    out = np.empty(len(larger) + len(smaller), np.int32)
+    out[np.arange(len(larger)) + np.repeat(b.cumsum() - b, a)] = larger
+    out[np.arange(len(smaller)) + np.repeat(a.cumsum(), b)] = smaller
+    return out
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order, for symbols from 0 on, none far above the others' number.  Names of the leftmost-smaller substrings are a string of their own, sorted in the same way unless all differ."""
+def suffix_array(symbols: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of all suffixes (or of the wanted ones) in order, for symbols from 0 on, none far above the others' number.  Names of the leftmost-smaller substrings are a string of their own, sorted in the same way unless all differ."""
     if not len(symbols):
         return np.zeros(0, np.int64)
     t = np.append(symbols.astype(np.int64) + 1, 0)
     t = (np.bincount(t) > 0).cumsum()[t] - 1
     k = int(t.max()) + 1
     t = t.astype(np.uint16 if k < 1 << 16 else np.int32)
+    wanted = np.append(np.ones(len(symbols), bool) if wanted is None else wanted, False)
     small = _types(t)
-    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
+    is_lms = np.zeros(len(t), bool)
+    is_lms[1:] = small[1:] & ~small[:-1]
+    lms = np.flatnonzero(is_lms).astype(np.int32)
+    inner = small.copy()
+    inner[-1] = False
+    kinds = Runs(t, k, ~small), Runs(k - 1 - t, k, inner)
     if len(lms) > 1:
-        rough = _induce(t, small, lms, k)
-        is_lms = np.zeros(len(t), bool)
-        is_lms[lms] = True
-        ordered = rough[is_lms[rough]]
+        ordered = _induce(*kinds, lms, is_lms)
         place = np.zeros(len(t), np.int64)
         place[lms] = np.arange(len(lms))
         length = np.append(np.diff(lms) + 1, 1)  # a substring ends with the first symbol of the next one
@@ -152,7 +232,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         names = np.zeros(len(lms), np.int64)
         names[i] = new
         lms = ordered if new[-1] == len(lms) - 1 else lms[suffix_array(names)]
-    return _induce(t, small, lms, k)[1:]
+    return _induce(*kinds, lms, wanted)
 
 
 def _differ(t: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -177,10 +257,15 @@ def permuted_prefixes(flat: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray
     They are computed in the order of the text's places: a place shares all but one byte of what the place before it shares, so comparing goes on from there. Lanes of ``LANE`` places advance side by side,
     only their first places are compared afresh, and those where the place before (or its neighbour's next one) isn't in the array.
     """
-    order = np.argsort(sa[1:], kind="stable")
-    x, y = sa[1:][order], sa[:-1][order]
     present = np.zeros(len(flat) + 1, bool)
-    present[sa] = True
+    present[sa[:1]] = True
+    rank = np.zeros(len(flat), np.int64)
+    rank[sa] = np.arange(len(sa))
+    others = np.zeros(len(flat), bool)
+    others[sa[1:]] = True
+    order = rank[np.flatnonzero(others)] - 1
+    present[:-1] |= others
+    x, y = sa[1:][order], sa[:-1][order]
     follows = np.zeros(len(x), bool)
     follows[1:] = (x[1:] == x[:-1] + 1) & present[y[:-1] + 1]
     room = np.minimum(most, len(flat) - np.maximum(x, y))
@@ -207,32 +292,45 @@ def permuted_prefixes(flat: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray
 # ---- anchors -------------------------------------------------------------------------------------------------------------
 
 
+def _least_places(h: np.ndarray, window: int) -> np.ndarray:
+    """Where in each window the hash is smallest, by its upper 48 bits, the leftmost of equal ones; 2**15 windows at once, with places in the lower bits."""
+    out = np.empty(len(h) - window + 1, np.int32)
+    for a in range(0, len(out), 1 << 15):
+        v = h[a : a + (1 << 15) + window - 1] >> _U(16) << _U(16)
+        v |= np.arange(len(v), dtype=_U)
+        have = 1
+        while have < window:
+            step = min(have, window - have)
+            v = np.minimum(v[:-step], v[step:])
+            have += step
+        out[a : a + (1 << 15)] = (v & _U(65535)).astype(np.int32) + np.int32(a)
+    return out
+
+
 def anchors(flat: np.ndarray, off: np.ndarray, least: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, place, hash, first, last) of the anchors of texts: first and last are the places of the first and the last string of ``least`` bytes whose anchor it is."""
+    """(row, place, hash, first, last) of the anchors of texts: first and last are the places of the first and the last string of ``least`` bytes whose anchor it is.
+
+    Anchors have the smallest of many hashes, whose upper bits would give the first shards most of them, so the hashes that are returned are scrambled once more.
+    """
     out = [[], [], [], [], []]
-    window = least - k + 1
     for a, b in tb.slices(off, 1 << 16):
         o = off[a : b + 1] - off[a]
         part = flat[off[a] : off[b]]
         if len(part) < least:
             continue
         h = tb.kgram_hash(part, k)
-        at = np.arange(len(h), dtype=np.int32)
-        have = 1
-        while have < window:
-            step = min(have, window - have)
-            x, y = at[: len(at) - step], at[step:]
-            at = np.where(h[x] <= h[y], x, y)  # the leftmost of equal ones
-            have += step
-        ends = np.repeat(o[1:], np.diff(o))[: len(at)]
-        begin = np.flatnonzero(np.arange(len(at)) + least <= ends)  # places of strings
-        if not len(begin):
-            continue
-        at = at[begin].astype(np.int64)
-        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        at, first, last = at[cut], begin[cut], begin[np.append(cut[1:], len(at)) - 1]
-        row = np.searchsorted(o, at, side="right") - 1
-        for c, x in zip(out, (row + a, at - o[row], h[at], first - o[row], last - o[row]), strict=True):
+        at = _least_places(h, least - k + 1)
+        # Strings begin up to ``least`` before a text's end; what lies between is left out below.
+        new = np.ones(len(at), bool)
+        new[1:] = at[1:] != at[:-1]
+        edges = np.concatenate([o[:-1], (o[1:] - least + 1)[np.diff(o) >= least]])
+        new[edges[edges < len(at)]] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        row = np.searchsorted(o, first, side="right") - 1
+        on = first + least <= o[row + 1]
+        first, last, row, at = first[on], last[on], row[on], at[first[on]].astype(np.int64)
+        for c, x in zip(out, (row + a, at - o[row], tb.mix(h[at]), first - o[row], last - o[row]), strict=True):
             c.append(x)
     kinds = (np.int64, np.int64, _U, np.int64, np.int64)
     return tuple(np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, kinds, strict=True))
@@ -299,13 +397,13 @@ def repeats(texts: list[bytes], ids: np.ndarray, least: int) -> np.ndarray:
     np.minimum.at(own_id, which, ids)
     # a separator after each surrounding, smaller than any byte
     symbols = np.insert(flat.astype(np.int32) + 1, off[1:], 0)
-    sa = suffix_array(symbols)
-    back = np.full(len(symbols), -1)
-    back[np.arange(len(flat)) + owner] = np.arange(len(flat))
-    sa = back[sa]
-    valid = np.arange(len(flat)) + least <= off[1:][owner]
-    sa = sa[sa >= 0]
-    sa = sa[valid[sa]]
+    place = np.arange(len(flat))
+    begins = place[place + least <= off[1:][owner]]
+    wanted = np.zeros(len(symbols), bool)
+    wanted[begins + owner[begins]] = True
+    back = np.zeros(len(symbols), np.int64)
+    back[place + owner] = place
+    sa = back[suffix_array(symbols, wanted)]
     smallest = np.full((len(kind), max(1, int(size.max(initial=0)) - least + 1)), _LAST)
     if len(sa):
         cut = np.flatnonzero(permuted_prefixes(flat, sa, least) < least)

@@ -135,3 +135,54 @@ def test_common_prefixes_of_a_part_of_the_places():
     for a, b in zip(sa[1:], sa[:-1]):
         want.append(next((n for n in range(30) if max(a, b) + n >= len(text) or text[a + n] != text[b + n]), 30))
     assert suffix_dedup.permuted_prefixes(flat, sa, 30).tolist() == want
+
+
+def test_anchors_are_dealt_evenly():
+    """An anchor has the smallest hash of many; shards by that hash itself would be more and more empty."""
+    rng = np.random.default_rng(2)
+    flat = rng.integers(0, 256, 200_000).astype(np.uint8)
+    h = suffix_dedup.anchors(flat, np.array([0, len(flat)]), 50, 26)[2]
+    many = np.bincount(suffix_dedup._shard(h, 8).astype(np.int64), minlength=8)
+    assert many.min() > 0.8 * many.max()
+
+
+def test_anchors_of_texts_beyond_a_block():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in (0, 19, 20, 90_000, 3, 400)]
+    flat, off = suffix_dedup.tb.flatten(texts)
+    got_, want = list(zip(*[x.tolist() for x in suffix_dedup.anchors(flat, off, 20, 7)])), []
+    for row, text in enumerate(texts):
+        full = suffix_dedup.tb.kgram_hash(np.frombuffer(text, np.uint8), 7)
+        upper = (full >> np.uint64(16)).tolist()
+        for i in range(len(text) - 19):
+            at = min(range(i, i + 14), key=lambda p: (upper[p], p))
+            if i and want[-1][1] == at:
+                want[-1][4] = i
+            else:
+                want.append([row, at, int(suffix_dedup.tb.mix(full[at : at + 1])[0]), i, i])
+    assert got_ == [tuple(w) for w in want]
+
+
+def test_many_shards(spark, monkeypatch):
+    """Kinds of anchors come back from all shards in the order in which a chunk has them."""
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1000)
+    rng = random.Random(5)
+    parts = ["".join(rng.choices("abcdefgh ", k=rng.randint(20, 120))) for _ in range(60)]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 6)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (2048, 4):
+        assert got(suffix_dedup.remove_repeats(df, chunk_bytes=4000, hot=hot)) == brute(rows, 50)
+
+
+def test_wanted_suffixes_by_words_and_by_buckets(monkeypatch):
+    """Wanted suffixes only, runs of all lengths, whether equal runs go on word by word or buckets are filled in turn."""
+    rng = np.random.default_rng(7)
+    for rounds in (-1, 0, suffix_dedup.ROUNDS, 10**9):
+        monkeypatch.setattr(suffix_dedup, "ROUNDS", rounds)
+        for n, k in [(1, 1), (40, 2), (300, 3), (700, 256), (500, 60000)]:
+            x = rng.integers(0, k, n)
+            for s in (x, np.sort(x), np.sort(x)[::-1], np.repeat(x, rng.integers(1, 30, n))[:900], np.tile(x[: n // 9 + 1], 9)):
+                order = sorted(range(len(s)), key=lambda i: s[i:].tolist())
+                wanted = rng.random(len(s)) < 0.3
+                assert suffix_dedup.suffix_array(s).tolist() == order
+                assert suffix_dedup.suffix_array(s, wanted).tolist() == [i for i in order if wanted[i]]
