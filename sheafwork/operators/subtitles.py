@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_TIME = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})"
+# Hours have two digits or more.
+_TIME = r"(?<!\d)(\d{2,}+:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2,}+:\d{2}:\d{2}[,.]\d{3})"
 
 
 def _clean(c: Column) -> Column:
@@ -31,7 +32,7 @@ def srt_cues(text: Column) -> Column:
 
 def vtt_cues(text: Column) -> Column:
     """Cues of WebVTT: the first block is the head; the times may be on any line; lines of digits are cue numbers."""
-    time = r"((?:\d{2}:)?\d{2}:\d{2}\.\d{3})\s*-->\s*((?:\d{2}:)?\d{2}:\d{2}\.\d{3})"
+    time = r"((?:(?<!\d)\d{2,}+:)?\d{2}:\d{2}\.\d{3})\s*-->\s*((?:\d{2,}+:)?\d{2}:\d{2}\.\d{3})"
     blocks = _blocks(text)
     timed = F.filter(F.slice(blocks, 2, F.greatest(F.size(blocks), F.lit(1))), lambda b: b.rlike(time))
     body = lambda b: F.array_join(F.filter(F.split(b, "\n"), lambda x: ~x.rlike("-->") & ~x.rlike(r"^\d+$")), " ")
