@@ -55,9 +55,14 @@ def detector_suffix(name: Column) -> Column:
     return F.when(F.endswith(low, F.lit(".tar.gz")), F.lit(".tar.gz")).when(F.endswith(low, F.lit(".tar.bz2")), F.lit(".tar.bz2")).otherwise(last_suffix(name))
 
 
-def file_size_label(size: Column) -> Column:
+def file_size_label(size: Column, largest: str = "GB") -> Column:
+    """A size in B, KB, MB or GB, in no unit above ``largest``."""
     unit = lambda power, name: F.format_string(f"%.1f {name}", size.cast("double") / F.lit(float(1024**power)))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, unit(1, "KB")).when(size < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
+    units = ("KB", "MB", "GB")[: ("KB", "MB", "GB").index(largest) + 1]
+    out = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+    for i, name in enumerate(units[:-1], 1):
+        out = out.when(size < 1024 ** (i + 1), unit(i, name))
+    return out.otherwise(unit(len(units), largest))
 
 
 def _pad(c: Column, n: int) -> Column:

@@ -57,13 +57,13 @@ def zip_entries(files: DataFrame, key: str, content: str) -> DataFrame:
     return seen.join(heads, ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "name", "size", "packed", (F.col("flags") % 2 == 1).alias("encrypted"))
 
 
-def archive_reports(entries: DataFrame, key: str, most: int = 50) -> DataFrame:
+def archive_reports(entries: DataFrame, key: str, most: int = 50, largest: str = "GB") -> DataFrame:
     """(key, files, encrypted, bytes, listing, note): what a listing says of each archive's entries: how many there are and how many of them encrypted, the first ones line by line, in order, and how many more.
 
-    Lines of each archive are limited before they are gathered.
+    Lines of each archive are limited before they are gathered. Sizes have no unit above ``largest``.
     """
     mark = F.when(F.col("encrypted"), F.lit(" [암호화]")).otherwise("")
-    line = F.concat("name", mark, F.lit(" ("), T.file_size_label(F.col("size")), F.lit(")"))
+    line = F.concat("name", mark, F.lit(" ("), T.file_size_label(F.col("size"), largest), F.lit(")"))
     totals = entries.groupBy(key).agg(F.count("*").alias("files"), F.count_if("encrypted").alias("encrypted"), F.sum("size").alias("bytes"))
     first = entries.where(F.col("nth") < most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))).alias("l"))
     out = totals.join(first, key).withColumn("listing", F.array_join(F.transform("l", lambda x: x["line"]), "\n"))

@@ -101,8 +101,8 @@ def _archives(spark, sf_dir):
     SELECT k, count(*) AS files, count(*) FILTER (WHERE s = 'F') AS encrypted, sum(o)::BIGINT AS bytes, string_agg('o' || o || '.txt' || CASE WHEN s = 'F' THEN ' [암호화]' ELSE '' END || ' (' || label || ')', chr(10) ORDER BY nth) FILTER (WHERE nth < 8) AS listing,
            CASE WHEN count(*) > 8 THEN '... 외 ' || (count(*) - 8) || '개' END AS note FROM s GROUP BY k""")
 def zip_reports(spark, sf_dir):
-    """What listings of archives say: entries, encrypted ones, sizes, the first eight lines."""
-    return K.archive_reports(K.zip_entries(_archives(spark, sf_dir), "k", "content"), "k", most=8)
+    """What listings of archives say: entries, encrypted ones, sizes (in KB at most, as the SQL has them), the first eight lines."""
+    return K.archive_reports(K.zip_entries(_archives(spark, sf_dir), "k", "content"), "k", most=8, largest="KB")
 
 
 @query(f"""WITH {_O} SELECT k, nth, ({_BEFORE.format(_ZIP_SIZE)})::BIGINT AS at, 'o' || o || '.txt' AS name, o AS size, 4 + o % 30 AS packed, s = 'F' AS encrypted FROM o WHERE k % 5 <> 0 OR nth < 2""")

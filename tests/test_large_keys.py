@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sheafwork.functions import text as T
 from sheafwork.operators import subtitles as S
 from sheafwork.plans import catalog
 
@@ -30,3 +31,10 @@ def test_cues_of_a_hundred_hours(spark, tmp_path):
     assert [(c.start, c.end) for c in srt] == want and [(c.start.replace(".", ","), c.end.replace(".", ",")) for c in vtt] == want
     events = spark.read.parquet(f"{SF}/events.parquet")
     assert matches(spark, tmp_path, "srt_render_parse", events=events.withColumn("event_id", F.col("event_id") * 60_000))
+
+
+def test_listings_of_archives_with_entries_of_megabytes(spark, tmp_path):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_custkey < 40")
+    assert matches(spark, tmp_path, "zip_reports", orders=orders.withColumn("o_orderkey", F.col("o_orderkey") * 997 + 1_048_000))
+    sizes = spark.createDataFrame([(n,) for n in (1023, 1024, 1024**2 - 1, 1024**2, 1024**3)], "n long")
+    assert [r[0] for r in sizes.select(T.file_size_label(F.col("n"))).collect()] == ["1023 B", "1.0 KB", "1024.0 KB", "1.0 MB", "1.0 GB"]
