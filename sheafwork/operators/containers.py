@@ -6,8 +6,11 @@ behind this: fields are column expressions over the bytes.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import binary as B
 from ..functions import text as T
@@ -189,81 +192,116 @@ def pickled_strings(files: DataFrame, key: str, content: str, most: int = 50) ->
     return seen.withColumn("n", nth).where(F.col("n") <= most).select(F.col("file").alias(key), (F.col("n") - 1).cast("long").alias("nth"), "text")
 
 
+def _chain(table: list[int], at: int) -> list[int]:
+    """Sectors from one on by their table, up to one that it says nothing of or that was there before."""
+    seen: dict[int, None] = {}
+    while at < len(table) and table[at] != 0xFFFFFFFF and at not in seen:
+        seen[at] = None
+        at = table[at]
+    return list(seen)
+
+
+def _chains_of(table: pd.Series, starts: pd.Series) -> pd.Series:
+    return pd.Series([[_chain(t, int(s)) for s in begin] for t, begin in ((np.frombuffer(x, "<u4").tolist(), y) for x, y in zip(table, starts, strict=True))], dtype=object)
+
+
+#: Chains by a table and the sectors they begin with. As it isn't deterministic to Spark, it stays a column of its own and never moves into a lambda that names it.
+_chains = F.pandas_udf(_chains_of, ArrayType(ArrayType(LongType()))).asNondeterministic()
+
+
+def _computed(f: DataFrame, **columns: Column) -> DataFrame:
+    """Further columns, computed in a step of their own: Spark can't take a Python function of a column whose lambdas it has moved into the function's arguments."""
+    return f.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _upto(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
 class Compound:
-    """A file system of sectors in a file (compound files of old office documents): its table of sectors, directory and streams."""
+    """A file system of sectors in a file (compound files of old office documents): its table of sectors, directory and streams.
+
+    A file is a value, and its table of sectors is a small part of it (four bytes a sector), so chains are followed where the value is: no sector is shuffled, and only tables go to Python. Values
+    that lambdas look into are bound first, as each look at a column would copy it.
+    """
 
     def __init__(self, files: DataFrame, key: str, content: str):
         self.key = key
         f = _named(files, key, content).where(B.starts_with(F.col("content"), "D0CF11E0A1B11AE1"))
         n = lambda at, size: B.number_at(F.col("content"), F.lit(at), size, little=True)
-        f = f.withColumns({"size": F.call_function("shiftleft", F.lit(1).cast("long"), n(30, 2).cast("int")), "mini": F.call_function("shiftleft", F.lit(1).cast("long"), n(32, 2).cast("int")), "tables": n(44, 4), "dir": n(48, 4), "cutoff": n(56, 4), "minifat": n(60, 4), "more": n(68, 4)})
-        self.files = written(f.where(n(30, 2).between(7, 16) & n(32, 2).between(2, 16)), "compound")
-        self.fat = Chain(self._entries(self._table_sectors()))
-
-    def _sectors(self, rows: DataFrame) -> DataFrame:
-        """Rows (file, sector) with the sector's bytes."""
-        f = self.files.select("file", "content", "size")
-        return rows.join(f, "file").withColumn("bytes", F.substr("content", ((F.col("sector") + 1) * F.col("size") + 1).cast("int"), F.col("size").cast("int"))).drop("content")
-
-    def _table_sectors(self) -> DataFrame:
-        """(file, nth, sector): sectors of the table of sectors, 109 of them named in the head, further ones in a chain of sectors of their own."""
-        f, c = self.files, F.col("content")
-        head = f.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(108).cast("long"))).alias("nth"), "content").select("file", "nth", B.number_at(c, 76 + F.col("nth") * 4, 4, little=True).alias("sector"))
-        last = f.where(F.col("more") < NO_SECTOR)
-        all_ = last.select("file", "content", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.octet_length(c) / F.col("size")) - 2)).alias("at"))
-        links = written(all_.select("file", "at", B.number_at(c, (F.col("at") + 2) * F.col("size") - 4, 4, little=True).alias("next")), "difat")
-        seen = Chain(links).walk(last.select("file", F.col("more").alias("start"))).select("file", F.col("at").alias("sector"), F.col("nth").alias("k"))
-        each = F.col("size") / 4 - 1
-        further = self._sectors(seen).select("file", "k", "bytes", each.cast("long").alias("each")).select("file", "k", "bytes", "each", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1)).alias("i"))
-        further = further.select("file", (109 + F.col("k") * F.col("each") + F.col("i")).alias("nth"), B.number_at(F.col("bytes"), F.col("i") * 4, 4, little=True).alias("sector"))
-        return written(head.unionByName(further).where(F.col("sector") < NO_SECTOR), "tables")
-
-    def _entries(self, sectors: DataFrame) -> DataFrame:
-        """(file, at, next): entries of the sectors (file, nth, sector) of a table, numbered through."""
-        each = (F.col("size") / 4).cast("long")
-        rows = self._sectors(sectors).select("file", "nth", "bytes", each.alias("each")).select("file", "nth", "bytes", "each", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1)).alias("i"))
-        rows = rows.select("file", (F.col("nth") * F.col("each") + F.col("i")).alias("at"), B.number_at(F.col("bytes"), F.col("i") * 4, 4, little=True).alias("next"))
-        return rows.where(F.col("next") != 0xFFFFFFFF)
-
-    def _walk(self, chain: Chain, starts: DataFrame) -> DataFrame:
-        return chain.walk(starts.where(F.col("start") < NO_SECTOR).distinct()).withColumnRenamed("at", "sector")
+        f = f.withColumns({"size": F.call_function("shiftleft", F.lit(1).cast("long"), n(30, 2).cast("int")), "mini": F.call_function("shiftleft", F.lit(1).cast("long"), n(32, 2).cast("int")), "dir": n(48, 4), "cutoff": n(56, 4), "minifat": n(60, 4), "more": n(68, 4)})
+        f = f.where(n(30, 2).between(7, 16) & n(32, 2).between(2, 16) & F.col("more").isNotNull())
+        # The table's own sectors: 109 named in the head, further ones in a chain of sectors that end with the number of the next.
+        size, c = F.col("size"), F.col("content")
+        nexts = T.let(c, lambda b: F.array_join(F.transform(_upto(F.floor(F.octet_length(b) / size) - 1), lambda i: F.hex(F.substr(b, ((i + 2) * size - 3).cast("int"), F.lit(4)))), ""))
+        f = _computed(f, nexts=F.unhex(F.when(F.col("more") < NO_SECTOR, nexts).otherwise("")))
+        f = f.withColumn("further", F.get(_chains("nexts", F.array("more")), F.lit(0))).drop("nexts", "more")
+        numbers = lambda x, m: F.transform(_upto(m), lambda i: B.number_at(x, i * 4, 4, little=True))
+        more = T.let(c, lambda b: F.flatten(F.transform("further", lambda s: T.let(self._sector(b, s), lambda x: numbers(x, size / 4 - 1)))))
+        f = f.withColumn("tables", F.concat(T.let(F.substr(c, F.lit(77), F.lit(436)), lambda x: numbers(x, F.lit(109))), more)).drop("further")
+        last = F.array_max(F.transform("tables", lambda s, i: F.when(s < NO_SECTOR, i + 1)))
+        f = _computed(f, fat=self._table(F.slice("tables", F.lit(1), F.coalesce(last, F.lit(0))))).drop("tables")
+        f = f.withColumn("heads", _chains("fat", F.array(F.coalesce("dir", F.lit(NO_SECTOR)), F.coalesce("minifat", F.lit(NO_SECTOR)))))
+        self.files = _computed(f, entries=self._directory(F.col("heads")[0]), minitable=self._table(F.col("heads")[1])).drop("heads", "dir", "minifat")
+
+    @staticmethod
+    def _sector(b: Column, s: Column) -> Column:
+        """The bytes of a sector; null without any."""
+        size = F.col("size")
+        return F.when((s < NO_SECTOR) & ((s + 1) * size < F.octet_length(b)), F.substr(b, ((s + 1) * size + 1).cast("int"), size.cast("int")))
+
+    def _table(self, sectors: Column) -> Column:
+        """Sectors end to end; what isn't there says nothing of any sector."""
+        hexed = lambda b, s: F.rpad(F.coalesce(F.hex(self._sector(b, s)), F.lit("")), (2 * F.col("size")).cast("int"), F.lit("F"))
+        return F.unhex(T.let(F.col("content"), lambda b: F.array_join(F.transform(sectors, lambda s: hexed(b, s)), "")))
+
+    @staticmethod
+    def _entry(place: Column, b: Column) -> Column:
+        n = lambda at, size: B.number_at(b, F.lit(at), size, little=True)
+        kind = n(66, 1).cast("int")
+        name = F.decode(F.substr(b, F.lit(1), F.greatest(F.lit(0), F.least(F.lit(64), n(64, 2).cast("int")) - 2)), "UTF-16LE")
+        return F.when(kind.isin(1, 2, 5), F.struct(place.alias("place"), name.alias("name"), kind.alias("type"), n(116, 4).alias("start"), n(120, 4).alias("length")))
+
+    def _directory(self, sectors: Column) -> Column:
+        each = lambda x, nth: F.transform(_upto(F.col("size") / 128), lambda i: T.let(F.substr(x, (i * 128 + 1).cast("int"), F.lit(128)), lambda e: self._entry(nth * 32 + i, e)))
+        found = T.let(F.col("content"), lambda b: F.flatten(F.transform(sectors, lambda s, nth: T.let(self._sector(b, s), lambda x: each(x, nth)))))
+        return F.filter(found, lambda e: e.isNotNull())
 
     def directory(self) -> DataFrame:
-        """(file, name, type, start, length): entries of the directory; 1 is a storage, 2 a stream, 5 the root. A chain that leads back to itself is read once."""
-        seen = self._walk(self.fat, self.files.select("file", F.col("dir").alias("start")))
-        rows = self._sectors(seen.select("file", "nth", "sector")).select("file", "nth", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("size") / 128).cast("long") - 1)).alias("i"))
-        b = F.substr("bytes", (F.col("i") * 128 + 1).cast("int"), F.lit(128))
-        rows = rows.select("file", (F.col("nth") * 32 + F.col("i")).alias("place"), b.alias("b"))
-        n = lambda at, size: B.number_at(F.col("b"), F.lit(at), size, little=True)
-        name = F.decode(F.substr("b", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(64), n(64, 2).cast("int")) - 2)), "UTF-16LE")
-        rows = rows.select("file", "place", name.alias("name"), n(66, 1).cast("int").alias("type"), n(116, 4).alias("start"), n(120, 4).alias("length"))
-        return written(rows.where("type in (1, 2, 5)"), "directory")
+        """(file, place, name, type, start, length): entries of the directory; 1 is a storage, 2 a stream, 5 the root. A chain that leads back to itself is read once."""
+        return self.files.select("file", F.inline("entries"))
+
+    def _parts(self, wanted: Column | None) -> DataFrame:
+        """Streams with the list of their parts (nth, bytes): the sectors of their chains, the last cut to the stream's length; of short streams the small sectors inside the root's."""
+        f = self.files.withColumn("streams", F.filter("entries", lambda e: (e["type"] == 2) & (e["length"] > 0)))
+        small = lambda e: e["length"] < F.col("cutoff")
+        starts = lambda on: F.transform("streams", lambda e: F.when(on(e), e["start"]).otherwise(F.lit(NO_SECTOR)))
+        root = F.get(F.transform(F.filter("entries", lambda e: e["type"] == 5), lambda e: e["start"]), F.lit(0))
+        f = _computed(f, of_fat=F.array_append(starts(lambda e: ~small(e)), F.coalesce(root, F.lit(NO_SECTOR))), of_mini=starts(small))
+        f = f.withColumns({"large": _chains("fat", "of_fat"), "minis": _chains("minitable", "of_mini")})
+        f = f.withColumn("root", F.element_at("large", -1))
+        size, mini = F.col("size"), F.col("mini")
+
+        def parts(b, e, k):
+            unit = F.when(small(e), mini).otherwise(size)
+            of = lambda s: F.when(small(e), T.let(self._sector(b, F.get("root", F.floor(s * mini / size).cast("int"))), lambda x: F.substr(x, (s * mini % size + 1).cast("int"), mini.cast("int")))).otherwise(self._sector(b, s))
+            cut = lambda x, nth: F.substr(x, F.lit(1), F.greatest(F.lit(0), F.least(unit, e["length"] - nth * unit)).cast("int"))
+            chain = F.when(small(e), F.col("minis")[k]).otherwise(F.col("large")[k])
+            got = F.transform(chain, lambda s, nth: F.struct(nth.cast("long").alias("nth"), cut(of(s), nth).alias("bytes")))
+            return F.filter(got, lambda p: p["bytes"].isNotNull() & (p["nth"] * unit < e["length"]))
+
+        streams = T.let(F.col("content"), lambda b: F.transform("streams", lambda e, k: F.struct(e["place"].alias("place"), e["name"].alias("name"), e["type"].alias("type"), e["start"].alias("start"), e["length"].alias("length"), parts(b, e, k).alias("parts"))))
+        got = f.select("file", F.inline(streams)).where(F.size("parts") > 0)
+        return got if wanted is None else got.where(wanted)
 
     def pieces(self, wanted: Column | None = None) -> DataFrame:
-        """(file, name, nth, bytes): the sectors of streams in the order of their chains, the last cut to the stream's length; of short streams the small sectors inside the root's. ``wanted`` chooses entries."""
-        entries = self.directory()
-        streams = entries.where("type = 2 and length > 0")
-        streams = (streams if wanted is None else streams.where(wanted)).join(self.files.select("file", "cutoff", "mini", "size"), "file").withColumn("small", F.col("length") < F.col("cutoff"))
-        streams = written(streams.select("file", "place", "name", "start", "length", "small", F.when(F.col("small"), F.col("mini")).otherwise(F.col("size")).alias("unit")), "streams")
-        large = streams.where("not small")
-        seen = self._walk(self.fat, large.select("file", "start"))
-        big = self._sectors(seen).join(large, ["file", "start"]).select("file", "place", "name", "nth", "bytes", "length", "unit")
-        # Short streams: chains of small sectors, which lie one after the other in the sectors of the root.
-        tables = self._walk(self.fat, self.files.select("file", F.col("minifat").alias("start"))).select("file", "nth", "sector")
-        small = streams.where("small")
-        minis = self._walk(Chain(self._entries(tables)), small.select("file", "start"))
-        roots = self._sectors(self._walk(self.fat, entries.where("type = 5").select("file", "start")).select("file", F.col("nth").alias("in"), "sector")).select("file", "in", "bytes", "size")
-        at = minis.join(self.files.select("file", "mini", "size"), "file").withColumn("in", F.floor(F.col("sector") * F.col("mini") / F.col("size"))).withColumn("from", F.col("sector") * F.col("mini") % F.col("size"))
-        got = at.drop("size").join(roots.drop("size"), ["file", "in"]).withColumn("bytes", F.substr("bytes", (F.col("from") + 1).cast("int"), F.col("mini").cast("int")))
-        got = got.join(small, ["file", "start"]).select("file", "place", "name", "nth", "bytes", "length", "unit")
-        rest = F.greatest(F.lit(0), F.least(F.col("unit"), F.col("length") - F.col("nth") * F.col("unit"))).cast("int")
-        out = big.unionByName(got).where(F.col("nth") * F.col("unit") < F.col("length"))
-        return out.select(F.col("file").alias(self.key), "place", "name", "nth", F.substr("bytes", F.lit(1), rest).alias("bytes"))
+        """(file, place, name, nth, bytes): the sectors of streams in the order of their chains, cut to their lengths. ``wanted`` chooses entries."""
+        return self._parts(wanted).select(F.col("file").alias(self.key), "place", "name", F.inline("parts"))
 
     def streams(self, wanted: Column | None = None) -> DataFrame:
         """(file, name, content): streams whole, as their chains give them; a stream is a value, so it must fit one."""
-        parts = F.transform(F.array_sort(F.collect_list(F.struct("nth", "bytes"))), lambda p: F.hex(p["bytes"]))
-        return self.pieces(wanted).groupBy(self.key, "place", "name").agg(F.unhex(F.array_join(parts, "")).alias("content")).drop("place")
+        whole = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["bytes"])), ""))
+        return self._parts(wanted).select(F.col("file").alias(self.key), "name", whole.alias("content"))
 
 
 def document_text(files: DataFrame, key: str, content: str) -> DataFrame:

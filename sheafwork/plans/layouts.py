@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import binary as B
+from ..functions import text as T
 from ..operators import chains as C
 from ..operators import containers as K
 from ..operators import nesting as E
@@ -179,20 +180,26 @@ def pickle_strings(spark, sf_dir):
 def sector_streams(spark, sf_dir):
     """Text of a stream whose sectors lie backwards in the file: a compound file for each nation."""
     c = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("l"))
-    code = F.hex(F.encode(F.array_join(F.transform("l", lambda x: x["c_name"]), "\n"), "UTF-16LE"))
-    c = c.select("k", F.rpad(code, F.greatest(F.lit(8192), F.length(code)), F.lit("0")).alias("code")).withColumn("m", F.ceil(F.length("code") / 1024).cast("long"))
-    c = c.withColumn("f", F.ceil((F.col("m") + 1) / 127).cast("long"))  # sectors: the table's, the directory, the stream's
-    m, f = F.col("m"), F.col("f")
+    c = c.select("k", F.encode(F.array_join(F.transform("l", lambda x: x["c_name"]), "\n"), "UTF-16LE").alias("raw"))
+    # Sectors of 512 bytes, or of 4096 where the 109 sectors of the table that a head names wouldn't do.
+    c = c.select("k", "raw", F.explode(F.array(F.greatest(F.lit(4096), F.octet_length("raw")).cast("long"))).alias("length"))  # a step of its own: lambdas look at the length, not at the text
+    c = c.withColumn("z", F.when(F.col("length") > 108 * 127 * 512, 4096).otherwise(512).cast("long"))
+    c = c.withColumn("m", F.ceil(F.col("length") / F.col("z")).cast("long"))
+    c = c.withColumn("f", F.ceil((F.col("m") + 1) / (F.col("z") / 4 - 1)).cast("long"))  # sectors: the table's, the directory, the stream's
+    m, f, z = F.col("m"), F.col("f"), F.col("z")
     le = lambda v: _hex(v, 4, True)
     entry = lambda i: F.when(i < f, le(F.lit(0xFFFFFFFD))).when(i == f, le(F.lit(0xFFFFFFFE))).when(i == f + 1, le(F.lit(0xFFFFFFFE))).when(i <= f + m, le(i - 1)).otherwise(F.lit("FFFFFFFF"))
-    table = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), f * 128 - 1), entry), "")
+    padded = lambda x: F.rpad(x, (2 * z).cast("int"), F.lit("0"))
+    table = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), f * (z / 4).cast("long") - 1), entry), "")
     heads = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(108).cast("long")), lambda i: F.when(i < f, le(i)).otherwise(F.lit("FFFFFFFF"))), "")
-    head = _cat("D0CF11E0A1B11AE1", "00" * 16, "3E000300FEFF09000600", "00" * 10, le(f), le(f), "00000000", "00100000", "FEFFFFFF", "00000000", "FEFFFFFF", "00000000", heads)
+    version = F.when(z == 512, F.lit("3E000300FEFF09000600")).otherwise(F.lit("3E000400FEFF0C000600"))
+    head = _cat("D0CF11E0A1B11AE1", "00" * 16, version, "00" * 10, le(f), le(f), "00000000", "00100000", "FEFFFFFF", "00000000", "FEFFFFFF", "00000000", heads)
     name = lambda n: n.encode("utf-16-le").hex().upper().ljust(128, "0") + f"{2 * len(n) + 2:02X}00"
     root = name("Root Entry") + "0501" + "FF" * 12 + "00" * 36 + "FEFFFFFF" + "00" * 8
-    stream = _cat(name("WordDocument"), "0201", "FF" * 12, "00" * 36, le(f + m), le(F.length("code") / 2), "00000000")
-    backwards = F.array_join(F.reverse(F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda i: F.rpad(F.substr("code", (i * 1024 + 1).cast("int"), F.lit(1024)), 1024, "0"))), "")
-    files = c.select("k", F.unhex(_cat(head, table, root, stream, "00" * 256, backwards)).alias("content"))
+    stream = _cat(name("WordDocument"), "0201", "FF" * 12, "00" * 36, le(f + m), le(F.col("length")), "00000000")
+    sector = lambda raw, i: padded(F.hex(F.substr(raw, (i * z + 1).cast("int"), z.cast("int"))))
+    backwards = T.let(F.col("raw"), lambda raw: F.array_join(F.reverse(F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda i: sector(raw, i))), ""))
+    files = c.select("k", F.unhex(_cat(padded(head), table, padded(_cat(root, stream)), backwards)).alias("content"))
     return K.document_text(files, "k", "content").select(F.col("k").cast("int").alias("k"), "text")
 
 

@@ -278,3 +278,23 @@ def test_what_is_never_closed_stays(spark):
     assert got(T.strip_html, "a<style </style>b</style>c") == "ac" and got(T.strip_tags, "a<>b<i>c<d") == "a<>bc<d" and got(T.trim_all, " \u00a0 a  b \n") == "a  b"
     assert got(lambda c: F.size(S.html_headings(c)), "<h1>a</h1><h2>b<h3>c</h3><h4>d") == 2
     assert got(lambda c: M.csv_rows(c, F.lit(",")), 'a\x1e,"b\x1fc"\x0e,\x0eS\nd') == [["a\x1e", "b\x1fc\x0e", "\x0eS"], ["d"]]
+
+
+def test_chains_of_sectors_need_no_job_of_their_own(spark):
+    """A compound file is read where it is: however long its chains are, planning it starts no job."""
+    df = files(spark, compound([("WordDocument", bytes(range(256)) * 200)]))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("compound", "")
+    got = K.document_text(df, "f", "c")
+    jobs = len(tracker.getJobIdsForGroup("compound"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 0 and got.count() == 1
+
+
+def test_sectors_of_4096_bytes_where_a_head_names_too_few(spark, tmp_path):
+    """A stream beyond the sectors that 109 sectors of a table can name, as the query's files have at larger sizes."""
+    from sheafwork.plans import catalog
+
+    spark.range(200_000).selectExpr("id as c_custkey", "1 as c_nationkey", "concat('Customer#', lpad(id, 9, '0'))  as c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.queries()["sector_streams"](spark, str(tmp_path)).collect()
+    assert len(got) == 1 and got[0].text == "\n".join(f"Customer#{i:09}" for i in range(200_000))
