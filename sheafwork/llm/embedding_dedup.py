@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors in a block; about how many vectors, and numbers in them, the centroids of one cell are trained on; vectors that a task gives their cells at once.
-BLOCK, SAMPLE, SAMPLE_NUMBERS, PART = 2048, 8192, 1 << 23, 16_384
+#: Vectors in a block; about how many vectors, and numbers in them, the centroids of one cell are trained on; numbers in the vectors, guests' copies too, that a task gives out at once.
+BLOCK, SAMPLE, SAMPLE_NUMBERS, PART_NUMBERS = 2048, 8192, 1 << 23, 1 << 20
+#: Blocks to a side of what a task multiplies; the share of a block that can be multiplied with a vector while a copy of it is moved.
+SIDE, COPY = 4, 0.25
 #: Cells that come of one at most, and the share of its residents that a cell may keep if it is to be split once more.
 CELLS, SHRINK = 256, 0.9
 
@@ -52,15 +54,15 @@ def visits(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.n
     return home, guest
 
 
-def choose_cells(x: np.ndarray, n: int, reach: float, most: int = CELLS) -> np.ndarray:
-    """Centroids with the least work over all n vectors: residents times residents and guests, in each cell, and the copies to be moved."""
-    best, cost = unit(x[:1]), float(n) * n + 64.0 * n
+def choose_cells(x: np.ndarray, n: int, reach: float, most: int = CELLS, copy: float = COPY * BLOCK) -> np.ndarray:
+    """Centroids with the least work over all n vectors: residents times residents and guests, in each cell, and the copies to be moved, each of which takes as long as ``copy`` products."""
+    best, cost = unit(x[:1]), float(n) * n + copy * n
     k = 4
     while k <= min(most, len(x) // 20):
         c = spherical_kmeans(x, k)
         home, guest = visits(x, c, reach)
         own = np.bincount(home, minlength=k) * (n / len(x))
-        new = float((own * (own + guest.sum(axis=0) * (n / len(x)))).sum()) + 64.0 * n * (1 + guest.mean() * k)
+        new = float((own * (own + guest.sum(axis=0) * (n / len(x)))).sum()) + copy * n * (1 + guest.mean() * k)
         if new < cost:
             best, cost = c, new
         k *= 4
@@ -95,13 +97,15 @@ def _whole(batches):
             yield part.assign(cell=str(d), home=True, open=True, parent=2**62, v=list(x))[["label", "cell", "home", "open", "parent", "rep", "cls", "n", "v"]]
 
 
-def _trained(reach: float, most: int):
-    """The centroids that a cell is split by, trained on its sample; one if no split is worth it."""
+def _trained(reach: float, most: int, copy: float):
+    """The centroids that a cell is split by, trained on its sample, and how many rows come of one by that; one centroid if no split is worth it."""
 
     def run(pdf):
         pdf = pdf.sort_values("cls")
-        c = choose_cells(np.stack(pdf["v"].to_numpy()), int(pdf["residents"].iloc[0]), reach, most)
-        return pd.DataFrame({"label": pdf["label"].iloc[:1], "cell": pdf["cell"].iloc[:1], "centroids": [[list(x) for x in c]]})
+        x = np.stack(pdf["v"].to_numpy())
+        c = choose_cells(x, int(pdf["residents"].iloc[0]), reach, most, copy)
+        copies = 1 + (visits(x, c, reach)[1].sum() / len(x) if len(c) > 1 else 0)
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "cell": pdf["cell"].iloc[:1], "copies": [float(copies)], "centroids": [[list(x) for x in c]]})
 
     return run
 
@@ -117,7 +121,9 @@ def _moved(reach: float):
         if len(c) < 2:
             return out.assign(open=False)
         c = np.stack(c)
-        home, guest = visits(np.stack(out["v"].to_numpy()), c, reach)
+        x = np.stack(out["v"].to_numpy())
+        seen = [visits(x[i : i + 1024], c, reach) for i in range(0, len(x), 1024)]  # bounded memory
+        home, guest = (np.concatenate(part) for part in zip(*seen, strict=True))
         i, g = np.nonzero(guest)
         at, child = np.concatenate([np.arange(len(out)), i]), np.concatenate([home, g])
         lives = np.concatenate([out["home"].to_numpy(), np.zeros(len(i), bool)])
@@ -140,13 +146,17 @@ def placed_in_cells(classes: DataFrame, reach: float) -> DataFrame:
         if large.isEmpty():
             common.discard(large)
             return placed
-        parts = F.ceil(F.col("members") / PART).cast("int")
-        rows = common.spread_join(placed.withColumn("at", F.struct("label", "cell")), large.withColumn("parts", parts), "at", "members", "cls", ["residents", "d", "parts"]).drop("at")
-        splits = rows.where("residents is not null").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        of_cell = lambda dim, keep: common.spread_join(placed.withColumn("at", F.struct("label", "cell")), dim, "at", "members", "cls", keep).drop("at")
         take = F.greatest(F.lit(64), F.least(F.lit(SAMPLE), F.floor(SAMPLE_NUMBERS / F.col("d"))))
-        sample = splits.where("home").where(F.pmod(F.xxhash64("cls", F.lit("sample")), F.col("residents")) < take).select("label", "cell", "residents", "cls", "v")
-        trained = common.stage(sample.groupBy("label", "cell").applyInPandas(_trained(reach, CELLS), "label string, cell string, centroids array<array<double>>"), "centroids")
-        dealt = trained.join(large.select("label", "cell", parts.alias("parts")), ["label", "cell"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+        sample = of_cell(large, ["residents", "d"]).where("home and residents is not null").where(F.pmod(F.xxhash64("cls", F.lit("sample")), F.col("residents")) < take).select("label", "cell", "residents", "cls", "v")
+        trained = common.stage(sample.groupBy("label", "cell").applyInPandas(_trained(reach, CELLS, COPY * BLOCK), "label string, cell string, copies double, centroids array<array<double>>"), "centroids")
+        # As many parts as what comes of a cell asks for: borders may be so wide that a vector is a guest in most cells.
+        parts = F.ceil(F.col("members") * F.coalesce("copies", F.lit(1.0)) * F.col("d") / PART_NUMBERS).cast("int")
+        before_parts, large = large, common.stage(large.join(trained.select("label", "cell", "copies"), ["label", "cell"], "left").withColumn("parts", parts), "large")
+        common.discard(before_parts)
+        rows = of_cell(large, ["residents", "parts"])
+        splits = rows.where("residents is not null").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        dealt = trained.drop("copies").join(large.select("label", "cell", "parts"), ["label", "cell"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
         key = ["label", "cell", "part"]
         names = placed.columns
         moved = splits.select(*names, "part", "residents").groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(_moved(reach), _PLACED)
@@ -156,7 +166,7 @@ def placed_in_cells(classes: DataFrame, reach: float) -> DataFrame:
 
 def exploded(placed: DataFrame) -> tuple[DataFrame, list[str]]:
     """Rows of the products' tasks and the columns that name a task: a cell's residents, in own_blocks, each meet all of its residents and guests, in blocks."""
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / (SIDE * BLOCK))).cast("int")
     sizes = placed.groupBy(F.struct("label", "cell").alias("at")).agg(F.count("*").alias("members"), parts(F.count_if("home")).alias("own_blocks"), parts(F.count("*")).alias("blocks"))
     dealt = common.spread_join(placed.withColumn("at", F.struct("label", "cell")), sizes, "at", "members", "cls", ["own_blocks", "blocks"], total=placed.count())
     at = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
@@ -190,10 +200,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
         ra, rb, nb = a["rep"].to_numpy(), b["rep"].to_numpy(), b["n"].to_numpy()
         links, ii, jj = np.zeros(len(a), np.int64), [], []
-        for s in range(0, len(a), 512):  # bounded memory
-            hit = x[s : s + 512] @ y.T >= threshold
-            hit &= ra[s : s + 512, None] != rb[None, :]
-            links[s : s + 512] = hit @ nb
+        for s in range(0, len(a), 256):  # bounded memory
+            hit = x[s : s + 256] @ y.T >= threshold
+            hit &= ra[s : s + 256, None] != rb[None, :]
+            links[s : s + 256] = hit @ nb
             i, j = np.nonzero(hit)
             if len(i):
                 roots, nodes = _spanning(ra[i + s], rb[j])

@@ -108,3 +108,29 @@ def test_no_linked_pair_is_parted_by_cells():
     home, _ = ed.visits(x, c, reach)
     other, guest = ed.visits(y, c, reach)
     assert near.any() and ((home == other) | guest[np.arange(300), home])[near].all()
+
+
+def test_parts_follow_what_comes_of_a_cell(spark, monkeypatch, tmp_path):
+    """Vectors that are guests in most cells: no task gives out many more rows than a part may have."""
+    monkeypatch.setattr(ed, "BLOCK", 40)
+    monkeypatch.setattr(ed, "COPY", 0.0, raising=False)
+    monkeypatch.setattr(ed, "PART_NUMBERS", 24 * 500, raising=False)
+    moved, folder = ed._moved, str(tmp_path)
+
+    def counted(reach):
+        run = moved(reach)
+
+        def and_count(pdf, trained):
+            import uuid
+
+            out = run(pdf, trained)
+            open(f"{folder}/{len(out)}-{uuid.uuid4().hex}", "w").close()
+            return out
+
+        return and_count
+
+    monkeypatch.setattr(ed, "_moved", counted)
+    rows = nested(3000)
+    assert got(ed.near_vectors(spark.createDataFrame(rows, SCHEMA), threshold=0.8)) == brute(rows, 0.8)
+    sizes = [int(f.name.split("-")[0]) for f in tmp_path.iterdir()]
+    assert sum(sizes) > 6000 and max(sizes) < 1500
