@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import release, written
+from ..sources.shared import joined, release, written
 
 #: Bytes that are searched by one row of places().
 SEARCHED = 1 << 16
@@ -46,7 +46,7 @@ class Chain:
         while len(self.jumps) <= k:
             j = self.jumps[-1]
             b = j.select(self.file, F.col("at").alias("to"), F.col("to").alias("on"))
-            self.jumps.append(written(j.join(b, [self.file, "to"]).select(self.file, "at", F.col("on").alias("to")), "jumps"))
+            self.jumps.append(written(joined(j, b, [self.file, "to"]).select(self.file, "at", F.col("on").alias("to")), "jumps"))
         return self.jumps[k]
 
     def walk(self, starts: DataFrame) -> DataFrame:
@@ -56,14 +56,14 @@ class Chain:
         """
         bounded = "end" in starts.columns
         seen = starts.select(self.file, "start", F.col("end") if bounded else F.lit(None).cast("long").alias("end"), F.col("start").alias("at"), F.lit(0).cast("long").alias("nth"))
-        seen = seen.join(self.jumps[0].select(self.file, "at"), [self.file, "at"], "left_semi")
+        seen = joined(seen, self.jumps[0].select(self.file, "at"), [self.file, "at"], "left_semi")
         if bounded:
             seen = seen.where("at < end")
         seen, many, k = written(seen.select(self.file, "start", "end", "at", "nth"), "walk"), -1, 0
         while (now := seen.count()) != many:
             step = self._jump(k)
-            on = seen.join(step, [self.file, "at"]).select(self.file, "start", "end", F.col("to").alias("at"), (F.col("nth") + (1 << k)).alias("nth"))
-            on = on.join(self.jumps[0].select(self.file, "at"), [self.file, "at"], "left_semi")
+            on = joined(seen, step, [self.file, "at"]).select(self.file, "start", "end", F.col("to").alias("at"), (F.col("nth") + (1 << k)).alias("nth"))
+            on = joined(on, self.jumps[0].select(self.file, "at"), [self.file, "at"], "left_semi")
             if bounded:
                 on = on.where("at < end")
             both = seen.unionByName(on).groupBy(self.file, "start", "at").agg(F.min("nth").alias("nth"), F.first("end").alias("end"))
@@ -86,7 +86,7 @@ def running(rows: DataFrame, keys: list[str], order: str, value: Column, name: s
     upto = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, 0))
     sums = sums.withColumn("__before", upto - F.col("__sum")).drop("__sum")
     within = F.sum("__value").over(Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__within", within).join(sums, [*keys, "__block"]).withColumn(name, F.col("__before") + F.col("__within")).drop("__value", "__block", "__within", "__before")
+    return joined(rows.withColumn("__within", within), sums, [*keys, "__block"]).withColumn(name, F.col("__before") + F.col("__within")).drop("__value", "__block", "__within", "__before")
 
 
 def nearest_smaller(rows: DataFrame, key: str, nth: str, level: str) -> DataFrame:
@@ -100,12 +100,12 @@ def nearest_smaller(rows: DataFrame, key: str, nth: str, level: str) -> DataFram
     while True:
         target = now.select(key, F.col("__i").alias("__p"), F.col("__l").alias("__pl"), F.col("__p").alias("__pp"))
         right = F.col("__p").isNull() | (F.col("__pl") < F.col("__l"))
-        step = now.where("not __ok").join(target, [key, "__p"], "left")
+        step = joined(now.where("not __ok"), target, [key, "__p"], "left")
         step = step.select(key, "__i", "__l", F.when(right, F.col("__p")).otherwise(F.col("__pp")).alias("__p"), right.alias("__ok"))
         done, now = now, written(now.where("__ok").unionByName(step), "nearest")
         release(done)
         if not now.where("not __ok").limit(1).count():
-            return rows.join(now.select(key, F.col("__i").alias(nth), F.col("__p").alias("parent")), [key, nth])
+            return joined(rows, now.select(key, F.col("__i").alias(nth), F.col("__p").alias("parent")), [key, nth])
 
 
 def rooted(rows: DataFrame, key: str, nth: str, name: str, alive: str | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ def rooted(rows: DataFrame, key: str, nth: str, name: str, alive: str | None = N
     now = written(rows.select(key, F.col(nth).alias("__i"), F.col("parent").alias("__p"), F.col(name).alias("path"), live.alias("alive")), "paths")
     while now.where("__p is not null").limit(1).count():
         up = now.select(key, F.col("__i").alias("__p"), F.col("__p").alias("__pp"), F.col("path").alias("__path"), F.col("alive").alias("__alive"))
-        step = now.join(up, [key, "__p"], "left").select(key, "__i", F.col("__pp").alias("__p"), F.concat(F.coalesce("__path", F.lit("")), "path").alias("path"), (F.col("alive") & F.coalesce("__alive", F.lit(True))).alias("alive"))
+        step = joined(now, up, [key, "__p"], "left").select(key, "__i", F.col("__pp").alias("__p"), F.concat(F.coalesce("__path", F.lit("")), "path").alias("path"), (F.col("alive") & F.coalesce("__alive", F.lit(True))).alias("alive"))
         done, now = now, written(step, "paths")
         release(done)
     return now.select(key, F.col("__i").alias(nth), "path", "alive")

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import binary as B
 from ..functions import text as T
-from ..sources.shared import written
+from ..sources.shared import joined, written
 from .chains import Chain, places
 
 # Boxes that hold boxes; of meta the boxes begin after four more bytes.
@@ -42,7 +42,7 @@ def shape_records(files: DataFrame, key: str, content: str) -> DataFrame:
     links = written(links.withColumn("next", at + 8 + F.col("bytes")), "shapes")
     chain = Chain(links)
     seen = chain.walk(_starts(links, 100))
-    return seen.join(links.drop("next"), ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "bytes")
+    return joined(seen, links.drop("next"), ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "bytes")
 
 
 def zip_entries(files: DataFrame, key: str, content: str) -> DataFrame:
@@ -57,7 +57,7 @@ def zip_entries(files: DataFrame, key: str, content: str) -> DataFrame:
     heads = heads.select("file", "at", n(6, 2).alias("flags"), n(18, 4).alias("packed"), n(22, 4).alias("size"), n(26, 2).alias("names"), n(28, 2).alias("extra"), T.text_of(F.substr(c, (at + 31).cast("int"), n(26, 2).cast("int"))).alias("name"))
     heads = written(heads.withColumn("next", at + 30 + F.col("names") + F.col("extra") + F.col("packed")), "heads")
     seen = Chain(heads).walk(_starts(heads, 0))
-    return seen.join(heads, ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "name", "size", "packed", (F.col("flags") % 2 == 1).alias("encrypted"))
+    return joined(seen, heads, ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "name", "size", "packed", (F.col("flags") % 2 == 1).alias("encrypted"))
 
 
 def archive_reports(entries: DataFrame, key: str, most: int = 50, largest: str = "GB") -> DataFrame:
@@ -69,7 +69,7 @@ def archive_reports(entries: DataFrame, key: str, most: int = 50, largest: str =
     line = F.concat("name", mark, F.lit(" ("), T.file_size_label(F.col("size"), largest), F.lit(")"))
     totals = entries.groupBy(key).agg(F.count("*").alias("files"), F.count_if("encrypted").alias("encrypted"), F.sum("size").alias("bytes"))
     first = entries.where(F.col("nth") < most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", line.alias("line")))).alias("l"))
-    out = totals.join(first, key).withColumn("listing", F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    out = joined(totals, first, [key]).withColumn("listing", F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
     return out.select(key, "files", "encrypted", "bytes", "listing", F.when(F.col("files") > most, F.concat(F.lit("... 외 "), (F.col("files") - most).cast("string"), F.lit("개"))).alias("note"))
 
 
@@ -82,7 +82,7 @@ def tar_entries(files: DataFrame, key: str, content: str, most: int = 100) -> Da
     heads = places(f, "file", "content", step=512).where(at + 512 <= F.octet_length(c)).select("file", "at", clean(0, 100).alias("name"), size.alias("size")).where("name <> ''")
     heads = written(heads.withColumn("next", at + 512 + F.ceil(F.col("size") / 512) * 512), "heads")
     seen = Chain(heads).walk(_starts(heads, 0)).where(F.col("nth") < most)
-    return seen.join(heads, ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "name", "size")
+    return joined(seen, heads, ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "name", "size")
 
 
 def boxes(files: DataFrame, key: str, content: str) -> DataFrame:
@@ -104,7 +104,7 @@ def boxes(files: DataFrame, key: str, content: str) -> DataFrame:
     todo = written(f.select("file", F.lit(0).cast("long").alias("start"), whole.alias("end"), F.lit("").alias("above"), F.lit(0).alias("level")), "starts")
     out = None
     while todo.limit(1).count():
-        seen = chain.walk(todo.select("file", "start", "end")).join(todo, ["file", "start"]).join(found, ["file", "at"])
+        seen = joined(joined(chain.walk(todo.select("file", "start", "end")), todo, ["file", "start"]), found, ["file", "at"])
         fits = F.min(F.when(at + F.col("size") > F.col("end"), at)).over(Window.partitionBy("file", "start"))
         seen = seen.withColumn("broken", fits).where(F.col("broken").isNull() | (at < F.col("broken")))
         level = written(seen.select("file", F.concat("above", F.lit("/"), "type").alias("path"), "at", "size", "level", "head", "type", "width", "height"), "level")
@@ -153,7 +153,7 @@ def avro_blocks(files: DataFrame, key: str, content: str, ranged: int = 1 << 20)
     good = (F.col("at") < F.col("whole") - 16) & (F.col("records") > 0) & (F.col("bytes") > 0) & (F.col("data") + F.col("bytes") <= F.col("whole"))
     blocks = written(blocks.where(good).withColumn("next", F.col("data") + F.col("bytes") + 16), "blocks")
     seen = Chain(blocks).walk(blocks.groupBy("file").agg(F.min("head.at").alias("start")))
-    return seen.join(blocks, ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "records", "bytes")
+    return joined(seen, blocks, ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "records", "bytes")
 
 
 def next_places(points: DataFrame, targets: DataFrame, block: int = 1 << 16) -> DataFrame:
@@ -163,8 +163,8 @@ def next_places(points: DataFrame, targets: DataFrame, block: int = 1 << 16) ->
     on = F.min(F.when(F.col("point"), F.col("p"))).over(Window.partitionBy("file", "b").orderBy("p").rangeBetween(0, Window.unboundedFollowing))
     firsts = both.groupBy("file", "b").agg(F.min(F.when(F.col("point"), F.col("p"))).alias("first"))
     later = F.min("first").over(Window.partitionBy("file").orderBy("b").rowsBetween(1, Window.unboundedFollowing))
-    found = both.withColumn("own", on).where("not point").join(firsts.withColumn("later", later).drop("first"), ["file", "b"])
-    return targets.join(found.select("file", F.col("p").alias("to"), F.coalesce("own", "later").alias("next")), ["file", "to"])
+    found = joined(both.withColumn("own", on).where("not point"), firsts.withColumn("later", later).drop("first"), ["file", "b"])
+    return joined(targets, found.select("file", F.col("p").alias("to"), F.coalesce("own", "later").alias("next")), ["file", "to"])
 
 
 def pickled_strings(files: DataFrame, key: str, content: str, most: int = 50) -> DataFrame:
@@ -187,7 +187,8 @@ def pickled_strings(files: DataFrame, key: str, content: str, most: int = 50) ->
         found = p if found is None else found.unionByName(p)
     found = written(found, "opcodes")
     links = written(next_places(found, found).withColumnRenamed("to", "after"), "opcodes")
-    seen = Chain(links).walk(found.groupBy("file").agg(F.min("at").alias("start"))).join(found, ["file", "at"]).where("text is not null")
+    seen = Chain(links).walk(found.groupBy("file").agg(F.min("at").alias("start")))
+    seen = joined(seen, found, ["file", "at"]).where("text is not null")
     nth = F.row_number().over(Window.partitionBy("file").orderBy("nth"))  # groups are limited before the shuffle
     return seen.withColumn("n", nth).where(F.col("n") <= most).select(F.col("file").alias(key), (F.col("n") - 1).cast("long").alias("nth"), "text")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import written
+from ..sources.shared import joined, written
 from . import chains, markup
 
 _KEY = r"""(?s)^("[^"]*"|'[^']*'|[^:\[\]{}"'#&*!|>%@`][^:]*?)\s*:(?:\s+(.*))?$"""
@@ -50,18 +50,18 @@ def yaml_values(files: DataFrame, key: str, text: str) -> DataFrame:
     rows = written(chains.nearest_smaller(rows, "__file", "nth", "level"), "yaml")
     while True:  # scalars hold nothing
         leaf = rows.where("literal is not null").select("__file", F.col("nth").alias("parent"), F.col("parent").alias("above"), F.lit(True).alias("leaf"))
-        if not rows.join(leaf.select("__file", "parent"), ["__file", "parent"], "left_semi").limit(1).count():
+        if not joined(rows, leaf.select("__file", "parent"), ["__file", "parent"], "left_semi").limit(1).count():
             break
-        rows = written(rows.join(leaf, ["__file", "parent"], "left").withColumn("parent", F.when(F.col("leaf"), F.col("above")).otherwise(F.col("parent"))).drop("above", "leaf"), "yaml")
+        rows = written(joined(rows, leaf, ["__file", "parent"], "left").withColumn("parent", F.when(F.col("leaf"), F.col("above")).otherwise(F.col("parent"))).drop("above", "leaf"), "yaml")
     rows = rows.withColumn("of", F.coalesce("parent", F.lit(-1)))
     rows = chains.running(rows, ["__file", "of"], "nth", F.col("item").cast("int"), "place")
     step = F.when(F.col("item"), F.concat(F.lit("["), (F.col("place") - 1).cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "name"))
     rows = rows.withColumn("step", step)
     last = rows.groupBy("__file", "of", "step").agg(F.max("nth").alias("last"))
-    rows = written(rows.join(last, ["__file", "of", "step"]).withColumn("alive", F.col("nth") == F.col("last")), "yaml")
+    rows = written(joined(rows, last, ["__file", "of", "step"]).withColumn("alive", F.col("nth") == F.col("last")), "yaml")
     paths = chains.rooted(rows, "__file", "nth", "step", "alive")
     below = rows.groupBy("__file", F.col("parent").alias("nth")).agg(F.bool_or("item").alias("list")).where("nth is not null")
-    out = rows.select("__file", "nth", "literal").join(paths.where("alive").drop("alive"), ["__file", "nth"]).join(below, ["__file", "nth"], "left")
+    out = joined(joined(rows.select("__file", "nth", "literal"), paths.where("alive").drop("alive"), ["__file", "nth"]), below, ["__file", "nth"], "left")
     flow = F.col("literal").rlike(r"^\[[^\[\]{}\"']*\]$")
     inside = F.filter(F.transform(F.split(F.regexp_extract("literal", r"^\[(.*)\]$", 1), ","), lambda x: T.trim_all(x)), lambda x: x != "")
     one = "array<struct<path:string,kind:string,value:string>>"
@@ -99,8 +99,8 @@ def proto_definitions(files: DataFrame, key: str, text: str) -> DataFrame:
     paths = chains.rooted(s.where("block is not null"), "__file", "nth", "step").drop("alive")
     kinds = s.where("block is not null").select("__file", F.col("nth").alias("parent"), F.col("block").alias("in1"), F.col("parent").alias("above"))
     outer = kinds.select("__file", F.col("parent").alias("above"), F.col("in1").alias("in2"))
-    inside = s.join(kinds, ["__file", "parent"], "left").join(outer, ["__file", "above"], "left").withColumn("inside", F.when(F.col("in1") == "group", F.col("in2")).otherwise(F.col("in1")))
-    inside = inside.join(paths.select("__file", F.col("nth").alias("parent"), F.col("path").alias("around")), ["__file", "parent"], "left").withColumn("around", F.coalesce("around", F.lit("")))
+    inside = joined(joined(s, kinds, ["__file", "parent"], "left"), outer, ["__file", "above"], "left").withColumn("inside", F.when(F.col("in1") == "group", F.col("in2")).otherwise(F.col("in1")))
+    inside = joined(inside, paths.select("__file", F.col("nth").alias("parent"), F.col("path").alias("around")), ["__file", "parent"], "left").withColumn("around", F.coalesce("around", F.lit("")))
     gap = F.array_position("w", F.lit("=")).cast("int")
     typed = F.filter("w", lambda x, i: (i < gap - 2) & ~((i == 0) & x.isin("repeated", "optional", "required")))
     number = F.when(F.get("w", gap) == "-", F.concat(F.lit("-"), F.get("w", gap + 1))).otherwise(F.get("w", gap)).try_cast("long")

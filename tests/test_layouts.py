@@ -298,3 +298,12 @@ def test_sectors_of_4096_bytes_where_a_head_names_too_few(spark, tmp_path):
     spark.range(200_000).selectExpr("id as c_custkey", "1 as c_nationkey", "concat('Customer#', lpad(id, 9, '0'))  as c_name").write.parquet(f"{tmp_path}/customer.parquet")
     got = catalog.queries()["sector_streams"](spark, str(tmp_path)).collect()
     assert len(got) == 1 and got[0].text == "\n".join(f"Customer#{i:09}" for i in range(200_000))
+
+
+def test_tables_that_grow_are_never_sent_through_the_driver(spark):
+    """Joins of written tables are dealt by key, however small their compressed files look."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    yaml = E.yaml_values(files(spark, "a:\n- b: 1\n  c: 2\n", kind="string"), "f", "c")
+    level = C.nearest_smaller(spark.createDataFrame([("k", 0, 1), ("k", 1, 2)], "k string, i long, v int"), "k", "i", "v")
+    assert "Broadcast" not in plan(yaml) + plan(level)
+    assert rows(yaml.select("path")) == [("a",), ("a[0]",), ("a[0].b",), ("a[0].c",)]
