@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import binary as B
 from ..functions import text as T
@@ -85,34 +86,69 @@ def tar_entries(files: DataFrame, key: str, content: str, most: int = 100) -> Da
     return joined(seen, heads, ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "name", "size")
 
 
+def _walked(files: DataFrame, walk, fields: dict) -> DataFrame:
+    """Rows (file, …) that ``walk`` finds in the bytes of each file (file, content), one after the other; ``fields``: their names and Spark's types.
+
+    A file is a value: its walk needs no more memory than the value, and files spread over the tasks without a shuffle. Rows go out some at a time.
+    """
+    arrow = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64()}
+    kinds, names, some = [arrow[t] for t in fields.values()], ["file", *fields], 1 << 14
+
+    def run(batches):
+        for batch in batches:
+            keys, at, found = batch.column(0), [], []
+
+            def out():
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), *[pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]], names)
+
+            for i, c in enumerate(batch.column(1)):
+                for row in walk(c.as_py() or b""):
+                    at.append(i)
+                    found.append(row)
+                    if len(found) == some:
+                        yield out()
+                        at, found = [], []
+            if found:
+                yield out()
+
+    return files.select("file", "content").mapInArrow(run, StructType([StructField("file", files.schema["file"].dataType), *[StructField(n, {"int": IntegerType(), "long": LongType()}.get(t) or (StringType() if t == "string" else BinaryType())) for n, t in fields.items()]]))
+
+
+def _box_walk(inner: tuple[str, ...]):
+    """Boxes (path, at, size, level, width, height) of a file's bytes."""
+    letters = bytes([*range(0x20, 0x7F), 0xA9])
+
+    def walk(c: bytes):
+        todo = [(0, len(c), "", 0)]
+        while todo:
+            at, end, above, level = todo.pop()
+            while at < end and at + 8 <= len(c) and not c[at + 4 : at + 8].strip(letters):
+                size, head = int.from_bytes(c[at : at + 4], "big"), 8
+                if size == 1:
+                    size, head = int.from_bytes(c[at + 8 : at + 16], "big", signed=True) if at + 16 <= len(c) else 0, 16
+                elif size == 0:
+                    size = len(c) - at
+                if size < head or at + size > end:
+                    break
+                kind = c[at + 4 : at + 8].decode("latin-1")
+                path, sides = f"{above}/{kind}", [None, None]
+                if kind == "ispe":
+                    sides = [int.from_bytes(x, "big") if len(x) == 4 else None for x in (c[at + head + 4 : at + head + 8], c[at + head + 8 : at + head + 12])]
+                yield path, at, size, level, *sides
+                if kind in inner:
+                    todo.append((at + head + (4 if kind == "meta" else 0), at + size, path, level + 1))
+                at += size
+
+    return walk
+
+
 def boxes(files: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, path, at, size, level, width, height): the boxes of ISO media files, level by level, however deep they are; width and height of ``ispe`` boxes.
+    """(key, path, at, size, level, width, height): the boxes of ISO media files, however deep they are; width and height of ``ispe`` boxes.
 
     A box lies within the one that holds it: one that doesn't fit ends the walk there. Sizes of 64 bits, and size 0 for all that is left of the file, are known.
     """
-    f = _named(files, key, content)
-    c, at, whole = F.col("content"), F.col("at"), F.octet_length("content").cast("long")
-    kind = F.substr(c, (at + 5).cast("int"), F.lit(4))
-    short = B.number_at(c, at, 4)
-    size = F.when(short == 1, B.number_at(c, at + 8, 8)).when(short == 0, whole - at).otherwise(short)
-    head = F.when(short == 1, 16).otherwise(8)
-    # Only places whose four bytes can be a type and whose size fits can be boxes.
-    found = places(f, "file", "content").where(at + 8 <= whole).where(F.hex(kind).rlike("^(?:[2-6][0-9A-F]|7[0-9A-E]|A9){4}$"))
-    found = found.select("file", "at", size.alias("size"), head.alias("head"), B.latin1(kind).alias("type"), whole.alias("whole"), *[F.when(kind == F.lit(b"ispe"), B.number_at(c, at + head + o, 4)).alias(n) for o, n in ((4, "width"), (8, "height"))])
-    found = written(found.where((F.col("size") >= F.col("head")) & (at + F.col("size") <= F.col("whole"))).drop("whole"), "boxes")
-    chain = Chain(found.select("file", "at", (at + F.col("size")).alias("next")))
-    todo = written(f.select("file", F.lit(0).cast("long").alias("start"), whole.alias("end"), F.lit("").alias("above"), F.lit(0).alias("level")), "starts")
-    out = None
-    while todo.limit(1).count():
-        seen = joined(joined(chain.walk(todo.select("file", "start", "end")), todo, ["file", "start"]), found, ["file", "at"])
-        fits = F.min(F.when(at + F.col("size") > F.col("end"), at)).over(Window.partitionBy("file", "start"))
-        seen = seen.withColumn("broken", fits).where(F.col("broken").isNull() | (at < F.col("broken")))
-        level = written(seen.select("file", F.concat("above", F.lit("/"), "type").alias("path"), "at", "size", "level", "head", "type", "width", "height"), "level")
-        out = level if out is None else out.unionByName(level)
-        inner = level.where(F.col("type").isin(*BOXES)).withColumn("start", at + F.col("head") + F.when(F.col("type") == "meta", 4).otherwise(0)).withColumn("end", at + F.col("size"))
-        todo = written(inner.select("file", "start", "end", F.col("path").alias("above"), (F.col("level") + 1).alias("level")), "starts")
-    none = found.select("file", F.lit("").alias("path"), "at", "size", F.lit(0).alias("level"), "width", "height").limit(0)
-    return (none if out is None else out).select(F.col("file").alias(key), "path", "at", "size", "level", "width", "height")
+    found = _walked(_named(files, key, content), _box_walk(BOXES), {"path": "string", "at": "long", "size": "long", "level": "int", "width": "long", "height": "long"})
+    return found.withColumnRenamed("file", key)
 
 
 def _avro_sync(c: Column) -> Column:

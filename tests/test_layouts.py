@@ -307,3 +307,15 @@ def test_tables_that_grow_are_never_sent_through_the_driver(spark):
     level = C.nearest_smaller(spark.createDataFrame([("k", 0, 1), ("k", 1, 2)], "k string, i long, v int"), "k", "i", "v")
     assert "Broadcast" not in plan(yaml) + plan(level)
     assert rows(yaml.select("path")) == [("a",), ("a[0]",), ("a[0].b",), ("a[0].c",)]
+
+
+def test_boxes_are_found_without_rounds(spark):
+    """Walks of media files start no job of their own, and rows of one file may be more than go out at once."""
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    df = files(spark, box(b"moov", box(b"trak", box(b"free", b"ab")) * 20_000), box(b"meta", bytes(4) + box(b"iprp", box(b"ipco", box(b"ispe", bytes(4) + struct.pack(">II", 7, 9))))), None)
+    spark.sparkContext.setJobGroup("boxes", "")
+    got = K.boxes(df, "f", "c")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boxes"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 0 and rows(got.groupBy("f", "path").count()) == [("f0", "/moov", 1), ("f0", "/moov/trak", 20_000), ("f0", "/moov/trak/free", 20_000), *[("f1", p, 1) for p in ("/meta", "/meta/iprp", "/meta/iprp/ipco", "/meta/iprp/ipco/ispe")]]
+    assert [tuple(r) for r in got.where("width is not null").select("at", "size", "level", "width", "height").collect()] == [(28, 20, 3, 7, 9)]
