@@ -6,10 +6,12 @@ behind this: fields are column expressions over the bytes.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -192,15 +194,29 @@ def avro_blocks(files: DataFrame, key: str, content: str, ranged: int = 1 << 20)
     return joined(seen, blocks, ["file", "at"]).select(F.col("file").alias(key), "nth", "at", "records", "bytes")
 
 
-def next_places(points: DataFrame, targets: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """``targets`` (file, to, …) with next: the first of ``points`` (file, at) at or after ``to``; null without one. Both are sorted within blocks of places, and blocks among each other."""
-    both = points.select("file", F.col("at").alias("p"), F.lit(True).alias("point")).distinct().unionByName(targets.select("file", F.col("to").alias("p"), F.lit(False).alias("point")).distinct())
-    both = both.withColumn("b", F.floor(F.col("p") / block))
-    on = F.min(F.when(F.col("point"), F.col("p"))).over(Window.partitionBy("file", "b").orderBy("p").rangeBetween(0, Window.unboundedFollowing))
-    firsts = both.groupBy("file", "b").agg(F.min(F.when(F.col("point"), F.col("p"))).alias("first"))
-    later = F.min("first").over(Window.partitionBy("file").orderBy("b").rowsBetween(1, Window.unboundedFollowing))
-    found = joined(both.withColumn("own", on).where("not point"), firsts.withColumn("later", later).drop("first"), ["file", "b"])
-    return joined(targets, found.select("file", F.col("p").alias("to"), F.coalesce("own", "later").alias("next")), ["file", "to"])
+def _string_walk(most: int):
+    """Strings (nth, text) of a pickled object's bytes by their opcodes."""
+    code, control = re.compile(rb"[\x8c\x55\x58]"), re.compile(r"[\x00-\x1f\x7f]")
+
+    def walk(c: bytes):
+        at = nth = 0
+        while nth < most and (m := code.search(c, at)):
+            at = m.start()
+            head = 5 if c[at] == 0x58 else 2
+            begin, n = at + head, int.from_bytes(c[at + 1 : at + head], "little")
+            if begin > len(c) or begin + n > len(c) or (head == 5 and not 0 < n < 10_000):
+                at += 1
+                continue
+            at = begin + n
+            try:
+                text = c[begin:at].decode()
+            except UnicodeDecodeError:
+                continue
+            if len(text.encode("utf-16-le")) > 2 and not (head == 2 and control.search(text)):
+                yield nth, text
+                nth += 1
+
+    return walk
 
 
 def pickled_strings(files: DataFrame, key: str, content: str, most: int = 50) -> DataFrame:
@@ -209,24 +225,8 @@ def pickled_strings(files: DataFrame, key: str, content: str, most: int = 50) ->
     An opcode with a length of one byte (8C, 55) or of four (58, below 10,000) whose string fits takes it whole, so what looks like an opcode inside it isn't one. Strings of one character, those that
     aren't UTF-8, and short ones with control characters don't count, but hide what is in them all the same.
     """
-    f = _named(files, key, content)
-    c, at, whole = F.col("content"), F.col("at"), F.octet_length("content")
-    found = None
-    for code, head in (("8C", 2), ("55", 2), ("58", 5)):
-        p = places(f, "file", "content", code)
-        n = B.number_at(c, at + 1, head - 1, little=True)
-        fits = (at + head + n <= whole) & (F.lit(True) if head == 2 else n.between(1, 9999))
-        raw = F.substr(c, (at + head + 1).cast("int"), n.cast("int"))
-        text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-        text = F.when(T.utf16_length(text) > 1, text)
-        p = p.where(fits).select("file", "at", (at + head + n).alias("to"), (F.when(~text.rlike(r"[\x00-\x1F\x7F]"), text) if head == 2 else text).alias("text"))
-        found = p if found is None else found.unionByName(p)
-    found = written(found, "opcodes")
-    links = written(next_places(found, found).withColumnRenamed("to", "after"), "opcodes")
-    seen = Chain(links).walk(found.groupBy("file").agg(F.min("at").alias("start")))
-    seen = joined(seen, found, ["file", "at"]).where("text is not null")
-    nth = F.row_number().over(Window.partitionBy("file").orderBy("nth"))  # groups are limited before the shuffle
-    return seen.withColumn("n", nth).where(F.col("n") <= most).select(F.col("file").alias(key), (F.col("n") - 1).cast("long").alias("nth"), "text")
+    found = _walked(_named(files, key, content), _string_walk(most), {"nth": "long", "text": "string"})
+    return found.withColumnRenamed("file", key)
 
 
 def _chain(table: list[int], at: int) -> list[int]:

@@ -319,3 +319,14 @@ def test_boxes_are_found_without_rounds(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs == 0 and rows(got.groupBy("f", "path").count()) == [("f0", "/moov", 1), ("f0", "/moov/trak", 20_000), ("f0", "/moov/trak/free", 20_000), *[("f1", p, 1) for p in ("/meta", "/meta/iprp", "/meta/iprp/ipco", "/meta/iprp/ipco/ispe")]]
     assert [tuple(r) for r in got.where("width is not null").select("at", "size", "level", "width", "height").collect()] == [(28, 20, 3, 7, 9)]
+
+
+def test_strings_are_found_without_rounds(spark):
+    """Strings of pickled objects need no job of their own; an opcode whose length doesn't fit is passed over by a byte."""
+    df = files(spark, b"\x58\xff\xff\xff\xff\x55\x02ab\x8c\x03\xe2\x82\xac\x8c\x02cd" + b"\x58\x02\0\0\0e\x01" * 3, b"\x8c\x02xy" * 70_000, b"\x55", None)
+    spark.sparkContext.setJobGroup("strings", "")
+    got = K.pickled_strings(df, "f", "c")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("strings"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 0 and [r for r in rows(got) if r[0] == "f0"] == [("f0", i, t) for i, t in enumerate(["ab", "cd", "e\x01", "e\x01", "e\x01"])]
+    assert got.where("f <> 'f0'").count() == 50 and K.pickled_strings(df, "f", "c", most=100_000).where("f = 'f1'").count() == 70_000
